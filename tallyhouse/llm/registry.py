@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import byte_bpe, sharding, token_counts
+from tallyhouse.llm import byte_bpe, chat, mips, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scans": secrets.op2,
+        "op3_quality_classifier": quality.op3,
+        "op4_chat_formatting": chat.op4,
+        "op5_exact_top_k": mips.op5,
         "op8_token_counts": token_counts.op8,
         "op9_sharding": sharding.op9,
         "op10_byte_bpe": byte_bpe.op10,
