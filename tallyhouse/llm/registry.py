@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import byte_bpe, chat, mips, quality, secrets, sharding, token_counts
+from tallyhouse.llm import byte_bpe, chat, decontaminate, line_dedup, mips, ngram_join, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": ngram_join.op1,
         "op2_secret_scans": secrets.op2,
         "op3_quality_classifier": quality.op3,
         "op4_chat_formatting": chat.op4,
         "op5_exact_top_k": mips.op5,
+        "op6_decontamination": decontaminate.op6,
+        "op7_line_dedup": line_dedup.op7,
         "op8_token_counts": token_counts.op8,
         "op9_sharding": sharding.op9,
         "op10_byte_bpe": byte_bpe.op10,
