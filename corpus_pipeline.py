@@ -1,20 +1,50 @@
-"""Documents to training tokens in stages, each written as Parquet and read again as the next one's documents."""
+"""Documents to training tokens in five stages, each written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyhouse.llm import byte_bpe
+from tallyhouse.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality
 from tallyhouse.llm.common import materialize, table
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document that is left, and the digest of what they decode to."""
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every line once, or nearly so: texts lose the lines that an earlier one repeats, and documents left without any go."""
+    rows = line_dedup.deduplicated(docs)
+    rows = rows.where((F.col("n_removed") == 0) | F.coalesce(F.trim("text") != "", F.lit(True)))
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by five-word shingles alike to 0.8 or more; rows that repeat an id stay or go together."""
+    groups = ngram_join.linked(docs, n=5, num=4, den=5)
+    return docs.join(groups.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a test item."""
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number and digest of each document's ids, and the digest of what they decode to."""
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("byte-level BPE encoding and decoding", encode)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", distinct_lines),
+    ("n-gram Jaccard join", distinct_documents),
+    ("benchmark decontamination", clean_documents),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 
 #: The classifier and the rank queue have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
