@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of WORD, by class; 0 stands for the start.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SIZE = len(ALPHABET) + 1
+#: How many observations the single characters' shares weigh, where transitions are few.
+BACKOFF = 5.0
 _CODES = np.zeros(256, dtype=np.int64)
 _CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(1, SIZE)
 
@@ -81,15 +83,17 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
 
     A corpus without either kind of sample leaves that model uniform.
     """
-    tally = np.ones((2, SIZE * SIZE))
+    tally = np.zeros((2, SIZE * SIZE))
     for label, which, n in counts.collect():
         tally[label, which] += n
     tally = tally.reshape(2, SIZE, SIZE)
-    p = np.log(tally / tally.sum(axis=2, keepdims=True))
+    single = tally.sum(axis=1) + 0.5
+    single /= single.sum(axis=1, keepdims=True)
+    p = np.log((tally + BACKOFF * single[:, None, :]) / (tally.sum(axis=2, keepdims=True) + BACKOFF))
     return (p[1] - p[0]).reshape(-1)
 
 
-def secret_spans(docs: DataFrame, ratio: np.ndarray | None = None, bound: float = 1.0) -> DataFrame:
+def secret_spans(docs: DataFrame, ratio: np.ndarray | None = None, bound: float = 0.5) -> DataFrame:
     """doc_id and the ``found`` spans (kind, start, end; code points, end exclusive) of every row's whole text.
 
     ``ratio`` comes from ``log_ratios``; without it the models are trained on ``docs``. A null or empty text has no spans;
