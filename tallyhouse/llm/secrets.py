@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two Markov models of order one over character classes are trained from labelled samples that the corpus itself gives:
-what the patterns catch is labelled random; other long words of identifier characters, as far as no pattern touches them,
-are labelled ordinary. A word is a secret too when its log-likelihood ratio a character passes a bound, it is long and it
+what the patterns catch is labelled random; other long words of identifier characters, as far as no pattern touches them
+and digits stand at the end only, are labelled ordinary. A word is a secret too when its log-likelihood ratio a character passes a bound, it is long and it
 mixes digits with letters. Counting takes one pass over all texts; the counts are summed inside tasks, so what is gathered
 is a table bounded by the alphabet squared, whatever the input.
 """
@@ -21,6 +21,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+ORDINARY = re.compile(r"[A-Za-z+/_=-]+[0-9]*").fullmatch
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters of WORD, by class; 0 stands for the start.
@@ -68,7 +69,7 @@ def transition_counts(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 for s in spans:
                     counts[1] += np.bincount(_steps(s[3]), minlength=SIZE * SIZE)
-                for _, _, word in other_words(text, spans):
+                for word in (w for _, _, w in other_words(text, spans) if ORDINARY(w)):
                     counts[0] += np.bincount(_steps(word), minlength=SIZE * SIZE)
             label, which = np.nonzero(counts)
             return [label, which, counts[label, which]]

@@ -9,6 +9,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyhouse.llm import byte_bpe, chat, components, decontaminate, line_dedup, mips, ngram_join, quality, secrets, sharding, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, body long, line int"
@@ -103,7 +105,7 @@ def test_secrets(spark, odd, none):
 def test_quality(spark, odd, none, sf_dir):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
-    got = quality.scores(docs, model).join(labels, "doc_id").where(quality.held_out(docs["doc_id"])).select("quality", "predicted").collect()
+    got = quality.scores(docs, model).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).select("quality", "predicted").collect()
     assert np.mean([r["quality"] == r["predicted"] for r in got]) > 0.9
     rows = quality.scores(odd, model)
     assert rows.count() == odd.count() and rows.columns == [*[c for c in odd.columns if c != "score"], "score", "predicted"]
@@ -149,7 +151,6 @@ def test_top_k(spark):
     v[100:200] = v[0]  # ties
     rows = [(i, [float(x) for x in v[i]], 0) for i in range(400)] + [(1000, None, 0), (1050, [1.0, None] * 4, 0), (1100, [float("nan")] * 8, 0), (1150, [float("inf")] * 8, 0), (1200, [0.0] * 8, 0), (1250, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    from pyspark.sql import functions as F
 
     for lead, block in ((3, 64), (8, 4096)):
         got = sorted(map(tuple, mips.top_k(df, F.col("vec_id") % 50 == 0, block=block, query_block=5, lead=lead).collect()))
