@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tallyhouse.plans import prices  # noqa: F401  registers on import
+from tallyhouse.plans.register import QUERIES, SQL
 
 
 def queries() -> dict:
