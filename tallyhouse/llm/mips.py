@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyhouse.llm.common import materialize, table
 
-QUERY_BLOCK, BLOCK, LEADING = 1024, 4096, 16
+#: Queries and vectors in a block; leading coordinates; how many of them a task multiplies at once.
+QUERY_BLOCK, BLOCK, LEADING = 512, 2048, 16
+QUERY_GROUP, SLICE = 64, 256
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -78,22 +80,47 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(gram)[1][:, ::-1]
 
 
+def _slice_scores(q: np.ndarray, c: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", q[at], c[of])
+
+
 def best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int):
-    """Up to k best (query index, id, score) of a block for each query, by score, then smaller id; below ``floor`` left out."""
-    q, c = queries.astype(float) @ turn, block.astype(float) @ turn
-    bound = q[:, :lead] @ c[:, :lead].T + np.outer(np.linalg.norm(q[:, lead:], axis=1), np.linalg.norm(c[:, lead:], axis=1))
-    slack = 1e-9 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + 1e-6
-    at, of = np.nonzero(bound + slack >= floor[:, None])
-    keep = query_ids[at] != block_ids[of]
-    at, of = at[keep], of[keep]
-    score = np.einsum("ij,ij->i", queries[at], block[of]) if len(at) else np.zeros(0, dtype=np.int64)
-    keep = score >= floor[at]
-    at, of, score = at[keep], of[keep], score[keep]
-    order = np.lexsort((block_ids[of], -score, at))
-    at, of, score = at[order], of[order], score[order]
-    first = np.searchsorted(at, at)
-    keep = np.arange(len(at)) - first < k
-    return at[keep], block_ids[of[keep]], score[keep]
+    """Up to k best (query index, id, score) of a block for each query, by score, then smaller id; below ``floor`` left out.
+
+    Queries go in groups and the block, longest vectors first, in slices, so a few MB are held at a time. Each slice's finds
+    raise the threshold for the next, and a group is done once no query of it can reach its own with the lengths that are left.
+    """
+    out = []
+    c_all = block.astype(float) @ turn
+    c_length, c_rest = np.linalg.norm(c_all, axis=1), np.linalg.norm(c_all[:, lead:], axis=1)
+    longest = np.maximum.accumulate(c_length[::-1])[::-1]
+    for start in range(0, len(queries), QUERY_GROUP):
+        ids, vectors = query_ids[start : start + QUERY_GROUP], queries[start : start + QUERY_GROUP]
+        q = vectors.astype(float) @ turn
+        length, rest = np.linalg.norm(q, axis=1), np.linalg.norm(q[:, lead:], axis=1)
+        need = floor[start : start + QUERY_GROUP].astype(np.int64).copy()
+        best = (np.zeros(0, np.int64),) * 3  # query, id, score
+        for low in range(0, len(block), SLICE):
+            high = low + SLICE
+            slack = 1e-9 * length * longest[low] + 1e-6
+            if (length * longest[low] + slack < need).all():
+                break
+            bound = q[:, :lead] @ c_all[low:high, :lead].T + np.outer(rest, c_rest[low:high])
+            at, of = np.nonzero(bound + slack[:, None] >= need[:, None])
+            of += low
+            keep = ids[at] != block_ids[of]
+            at, of = at[keep], of[keep]
+            score = _slice_scores(vectors, block, at, of)
+            keep = score >= need[at]
+            at, found, score = (np.concatenate([x, y]) for x, y in zip(best, (at[keep], block_ids[of[keep]], score[keep])))
+            order = np.lexsort((found, -score, at))
+            at, found, score = at[order], found[order], score[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            best = tuple(x[place < k] for x in (at, found, score))
+            last = place == k - 1
+            need[at[last]] = np.maximum(need[at[last]], score[last])
+        out.append((best[0] + start, best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_block: int = QUERY_BLOCK, block: int = BLOCK, lead: int = LEADING) -> DataFrame:
