@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhouse.plans import directory, pages, pipelines, prices, scalars  # noqa: F401  registers on import
+from tallyhouse.plans import directory, more, pages, pipelines, prices, scalars  # noqa: F401  registers on import
 from tallyhouse.plans.register import QUERIES, SQL
 
 
