@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyhouse.operators.sizes import dimension
+
 #: The total order of an offer's observations.
 ORDER = ("observed_at", "ord1", "ord2", "ord3", "ord4")
 
@@ -122,8 +124,8 @@ def changes_only(series: DataFrame, key: str, at: list[str], value: str) -> Data
 def absences(presence: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     """missing_since, returned_at of each key from the runs it was seen in: runs are numbered, and a jump in numbers is an absence. The last one stays open."""
     numbered = runs.select("run", F.row_number().over(Window.orderBy("run")).alias("no"))  # a row for each run
-    seen = presence.join(F.broadcast(numbered), "run")
+    seen = presence.join(dimension(numbered), "run")
     after = Window.partitionBy(key).orderBy("no")
     gaps = seen.withColumn("next_no", F.lead("no").over(after)).withColumn("returned_at", F.lead("run").over(after)).where("next_no > no + 1 or next_no is null")
     start = numbered.select(F.col("run").alias("missing_since"), (F.col("no") - 1).alias("no"))
-    return gaps.join(F.broadcast(start), "no").select(key, "missing_since", "returned_at")
+    return gaps.join(dimension(start), "no").select(key, "missing_since", "returned_at")

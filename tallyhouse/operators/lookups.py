@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyhouse.operators.sizes import dimension
+
 
 def star(obs: DataFrame, offer: DataFrame, product: DataFrame, site: DataFrame) -> DataFrame:
     """Observations with their offer, product and site. Facts meet offers on the offer's key; the site dimension is a row for each site."""
     o = offer.select("offer_id", "region", "unit_code", "basis_quantity", "status")
     p = product.select("source_id", "product_id", "product_name", "brand", "category_path", "material_key", "curation")
-    return obs.join(o, "offer_id").join(p, ["source_id", "product_id"]).join(F.broadcast(site), "source_id")
+    return obs.join(o, "offer_id").join(p, ["source_id", "product_id"]).join(site, "source_id")
 
 
 def most_specific(facts: DataFrame, rules: DataFrame, facets: list[str], on: list[str], wildcard: str = "*") -> DataFrame:
@@ -32,7 +34,7 @@ def most_specific(facts: DataFrame, rules: DataFrame, facets: list[str], on: lis
         return sum((F.when(r[f"rule_{c}"] != wildcard, w).otherwise(0) for c, w in weight.items()), F.lit(0))
 
     picked = F.array_max(F.transform(F.filter("_rules", fits), lambda r: F.struct(rank(r).alias("rank"), r.alias("rule"))))["rule"]
-    return facts.join(F.broadcast(table), on, "left").withColumn("_rule", picked).select(*facts.columns, *[F.col(f"_rule.{c}").alias(c) for c in values])
+    return facts.join(dimension(table), on, "left").withColumn("_rule", picked).select(*facts.columns, *[F.col(f"_rule.{c}").alias(c) for c in values])
 
 
 def rate_by_authority(rates: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def scope_reasons(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     region = lambda s: F.array_contains(s["regions"], F.col("region")) | F.array_contains(s["regions"], "*")
     material = lambda s: (F.size(s["materials"]) == 0) | F.array_contains(s["materials"], F.col("material_key"))
     why = F.when(F.col("_scopes").isNull(), "source not declared").when(~F.exists("_scopes", region), "region out of scope").when(~F.exists("_scopes", lambda s: region(s) & material(s)), "material out of scope")
-    return rows.join(F.broadcast(table), "source_key", "left").withColumn("reject_reason", why).drop("_scopes")
+    return rows.join(dimension(table), "source_key", "left").withColumn("reject_reason", why).drop("_scopes")
 
 
 def volume_breaches(runs: DataFrame, minimum: int, most_drop: float) -> DataFrame:

@@ -1,0 +1,16 @@
+"""Which side of a join may be sent to every task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+#: Rows up to which a declared table (rules, scopes, rates, runs) is broadcast.
+MOST = 50_000
+
+
+def dimension(df: DataFrame, most: int = MOST) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows; otherwise Spark chooses the join. Counting stops after ``most``.
+
+    Tables read from files need no hint: Spark compares their size with its own threshold.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.sizes import dimension
 from tallyhouse.functions import text as x
 from tallyhouse.operators import charter, history, ingest, lookups
 from tallyhouse.plans.pipelines import LINE, batches
@@ -40,7 +41,7 @@ def _(v):
 @query("s9_source_contracts", "SELECT r_name AS source_key, CASE WHEN r_name IN ('ASIA', 'EUROPE', 'AFRICA') THEN 'declared' ELSE 'undeclared' END AS state FROM region")
 def _(v):
     declared = v.spark.createDataFrame([("ASIA", 10), ("EUROPE", 10), ("AFRICA", 5)], "source_key string, min_rows int")
-    rows = v.site.join(F.broadcast(declared), "source_key", "left")
+    rows = v.site.join(dimension(declared), "source_key", "left")
     return rows.select("source_key", F.when(F.col("min_rows").isNotNull(), "declared").otherwise("undeclared").alias("state"))
 
 
@@ -56,9 +57,9 @@ def _(v):
 def _(v):
     # One source's grid: the source is pushed into the scan of the facts before anything is joined.
     site = v.site.where("source_key = 'ASIA'")
-    obs = v.obs.join(F.broadcast(site.select("source_id")), "source_id", "left_semi")
+    obs = v.obs.join(site.select("source_id"), "source_id", "left_semi")
     facts = history.extremes(obs).select("offer_id", *double("current", "lowest", "highest"), "currency")
-    rows = facts.join(v.offer.select("offer_id", "source_id", "region"), "offer_id").join(F.broadcast(site), "source_id").withColumn("material_key", F.lit("*"))
+    rows = facts.join(v.offer.select("offer_id", "source_id", "region"), "offer_id").join(site, "source_id").withColumn("material_key", F.lit("*"))
     plain = v.tax_rule.where("region = '*' and material_key = '*'")
     out = lookups.most_specific(rows, plain, ["region", "material_key"], ["source_key"])
     return out.select("offer_id", "source_key", "region", F.col("current").alias("price"), "currency", F.coalesce("tax_mode", F.lit("UNVERIFIED")).alias("tax_mode"), "lowest", "highest")

@@ -175,7 +175,7 @@ def _(v):
 @query("t25_renamed_source", "SELECT CASE WHEN source_key = 'ASIA' THEN 'ORIENT' ELSE source_key END AS source_key, count(*) AS offers FROM offer f JOIN site s ON s.source_id = f.source_id WHERE source_key <> 'EUROPE' GROUP BY source_key")
 def _(v):
     renamed = v.site.where("source_key <> 'EUROPE'").withColumn("source_key", F.when(F.col("source_key") == "ASIA", "ORIENT").otherwise(F.col("source_key")))
-    return v.offer.join(F.broadcast(renamed), "source_id").groupBy("source_key").agg(F.count("*").alias("offers"))
+    return v.offer.join(renamed, "source_id").groupBy("source_key").agg(F.count("*").alias("offers"))
 
 
 @query("f13_price_keys", "SELECT offer_id, ord1, ord2, ord3, sha256(concat('v2|currency=', currency, '|price=', CAST(price AS VARCHAR), '|tax=', CAST(tax_included AS VARCHAR))) AS price_key, 'currency,price,tax' AS fields FROM obs")
@@ -225,7 +225,7 @@ def _(v):
 @query("s11_export_faults", "SELECT 'none' AS fault, 0 AS n WHERE 1 = 0")
 def _(v):
     folder = f"{v.spark.conf.get('spark.sql.warehouse.dir')}/bundle_{uuid.uuid4().hex}"
-    P.write_bundle(v.offer.join(F.broadcast(v.site), "source_id").select("offer_id", "region", "source_key"), folder)
+    P.write_bundle(v.offer.join(v.site, "source_id").select("offer_id", "region", "source_key"), folder)
     found = P.manifest(v.spark, folder)
     return P.verified(found, P.manifest(v.spark, folder)).groupBy("fault").agg(F.count("*").alias("n"))
 
@@ -233,6 +233,6 @@ def _(v):
 @query("s10_exported_offers", "SELECT offer_id, region, source_key FROM offer f JOIN site s ON s.source_id = f.source_id")
 def _(v):
     folder = f"{v.spark.conf.get('spark.sql.warehouse.dir')}/bundle_{uuid.uuid4().hex}"
-    rows = v.offer.join(F.broadcast(v.site), "source_id").select("offer_id", "region", "source_key")
+    rows = v.offer.join(v.site, "source_id").select("offer_id", "region", "source_key")
     P.write_bundle(rows, folder)
     return v.spark.read.schema("offer_id long, region string, source_key string").json(folder)

@@ -221,7 +221,7 @@ def _(v):
     offers = v.obs.groupBy("source_id", "product_id", "offer_id").agg(F.count("*").alias("n"), F.max("observed_at").alias("last"))
     products = offers.groupBy("source_id", "product_id").agg(F.count("*").alias("offers"), F.sum("n").alias("n"), F.max("last").alias("last"))
     rows = products.groupBy("source_id").agg(F.count("*").alias("products"), F.sum("offers").alias("offers"), F.sum("n").alias("observations"), F.max("last").alias("last_seen"))
-    return rows.join(F.broadcast(v.site), "source_id").select("source_key", "products", "offers", "observations", "last_seen")
+    return rows.join(v.site, "source_id").select("source_key", "products", "offers", "observations", "last_seen")
 
 
 @query("a4_watch_strip", "SELECT count(*) AS total, CAST(sum(CASE WHEN curation = 'ignored' THEN 1 ELSE 0 END) AS BIGINT) AS ignored, count(DISTINCT CASE WHEN curation = 'selected' THEN product_id END) AS selected FROM product")
@@ -303,7 +303,7 @@ def _(v):
 
 @query("p4_free_search", "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE lower(c_name) LIKE '%00007%' OR lower(n_name) = 'nation_7'")
 def _(v):
-    rows = v.customer.join(F.broadcast(v.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.where(F.col("c_name").ilike("%00007%") | (F.lower("n_name") == "nation_7")).select("c_custkey")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyhouse.operators.sizes import dimension
 from tallyhouse.operators import history, lookups
 from tallyhouse.plans.register import query
 
@@ -180,7 +181,7 @@ def _(v):
  LEFT JOIN tax_rule t ON t.source_key = s.source_key AND t.region IN (f.region, '*') AND t.material_key IN (p.material_key, '*')) AS x WHERE rn = 1""",
 )
 def _(v):
-    facts = v.offer.join(F.broadcast(v.site), "source_id").join(v.product.select("source_id", "product_id", "material_key"), ["source_id", "product_id"]).select("offer_id", "source_key", "region", "material_key")
+    facts = v.offer.join(v.site, "source_id").join(v.product.select("source_id", "product_id", "material_key"), ["source_id", "product_id"]).select("offer_id", "source_key", "region", "material_key")
     rows = lookups.most_specific(facts, v.tax_rule, ["region", "material_key"], ["source_key"])
     return rows.select("offer_id", "source_key", "region", "material_key", F.coalesce("tax_mode", F.lit("UNVERIFIED")).alias("tax_mode"), "tax_rate_pct")
 
@@ -191,7 +192,7 @@ RATE = "(SELECT currency, per_usd FROM (SELECT *, row_number() OVER (PARTITION B
 @query("j4_prices_in_usd", f"SELECT l.offer_id, l.currency, CAST(l.price AS DOUBLE) AS price, round(CAST(l.price AS DOUBLE) / CAST(r.per_usd AS DOUBLE), 4) AS usd FROM {LATEST} AS l LEFT JOIN {RATE} AS r ON r.currency = l.currency")
 def _(v):
     rates = lookups.rate_by_authority(v.currency_rate).select("currency", "per_usd")
-    rows = history.latest_per_offer(v.obs).join(F.broadcast(rates), "currency", "left")
+    rows = history.latest_per_offer(v.obs).join(dimension(rates), "currency", "left")
     return rows.select("offer_id", "currency", *double("price"), F.round(F.col("price").cast("double") / F.col("per_usd"), 4).alias("usd"))
 
 
@@ -206,7 +207,7 @@ def _(v):
  FROM offer f JOIN site s ON s.source_id = f.source_id JOIN product p ON p.source_id = f.source_id AND p.product_id = f.product_id""")
 def _(v):
     scopes = v.spark.createDataFrame([("ASIA", ["*"], []), ("EUROPE", ["NATION_7", "NATION_8"], []), ("AFRICA", ["*"], ["ECONOMY", "PROMO"])], "source_key string, regions array<string>, materials array<string>")
-    facts = v.offer.join(F.broadcast(v.site), "source_id").join(v.product.select("source_id", "product_id", "material_key"), ["source_id", "product_id"])
+    facts = v.offer.join(v.site, "source_id").join(v.product.select("source_id", "product_id", "material_key"), ["source_id", "product_id"])
     return lookups.scope_reasons(facts, scopes).select("offer_id", "reject_reason")
 
 
@@ -226,7 +227,7 @@ def _(v):
 
 @query("p13_offer_identity", "SELECT f.offer_id, f.region, s.source_key FROM offer f JOIN site s ON s.source_id = f.source_id WHERE s.source_key = 'ASIA' AND f.offer_id % 7 = 0")
 def _(v):
-    return v.offer.where("offer_id % 7 = 0").join(F.broadcast(v.site.where("source_key = 'ASIA'")), "source_id").select("offer_id", "region", "source_key")
+    return v.offer.where("offer_id % 7 = 0").join(v.site.where("source_key = 'ASIA'"), "source_id").select("offer_id", "region", "source_key")
 
 
 @query("w13_changes_only", f"SELECT offer_id, observed_at, ord1, ord2, ord3, CAST(price AS DOUBLE) AS price FROM (SELECT *, lag(price) OVER (PARTITION BY offer_id ORDER BY {ORD}) AS b FROM obs WHERE provenance = 'reported') AS x WHERE b IS NULL OR b <> price")

@@ -95,7 +95,7 @@ def _(v):
 
 @query("f18_region_names", "SELECT c_custkey, n_name AS country FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def _(v):
-    return v.customer.join(F.broadcast(v.nation), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", F.col("n_name").alias("country"))
+    return v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", F.col("n_name").alias("country"))
 
 
 @query("f19_tax_labels", "SELECT source_key, region, material_key, concat(CASE tax_mode WHEN 'incl' THEN 'tax included' ELSE 'tax excluded' END, CASE WHEN tax_rate_pct IS NULL THEN '' ELSE concat(' ', CAST(CAST(tax_rate_pct AS INT) AS VARCHAR), '%') END) AS label FROM tax_rule")
@@ -136,7 +136,7 @@ def _(v):
 def _(v):
     both = F.concat("n_name", F.lit(" - "), "c_mktsegment")
     city, region = x.city_and_region(both)
-    return v.customer.join(F.broadcast(v.nation), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", city.alias("city"), region.alias("region"))
+    return v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", city.alias("city"), region.alias("region"))
 
 
 @query("o4_numbered_codes", "SELECT p_brand, CAST(row_number() OVER (ORDER BY regexp_replace(p_brand, '[0-9]+$', ''), coalesce(TRY_CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT), 0)) AS INT) AS place FROM (SELECT DISTINCT p_brand FROM part) AS b")

@@ -114,7 +114,7 @@ class Warehouse:
     @cached_property
     def offer(self) -> DataFrame:
         nation = self.nation.select("n_nationkey", "n_name")
-        rows = self._offered().join(self.part, F.col("product_id") == F.col("p_partkey")).join(F.broadcast(nation), F.expr("n_nationkey = product_id % 25"))
+        rows = self._offered().join(self.part, F.col("product_id") == F.col("p_partkey")).join(nation, F.expr("n_nationkey = product_id % 25"))
         return self._of(rows, OFFER, "offer_id", "source_id", "product_id")
 
     @cached_property
