@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and outlives any executor."""
+def materialize(df: DataFrame, label: str, links: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and outlives any executor.
+
+    Tables of ``links`` hold a few numbers a row; they are written by four tasks a core at most, not by one for each shuffle
+    partition, so that rounds over them don't make thousands of tiny files.
+    """
     spark = df.sparkSession
+    if links:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,6 +60,41 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     return df.mapInArrow(run, kind)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int):
+    """Actions inside hand Python at most so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A null text counts as an empty one."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+#: Bits of the bitmap that ``among`` broadcasts: half a megabyte, whatever the input.
+BITMAP_BITS = 1 << 22
+
+
+def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts by ``doc_id``: rows whose id may be among ``ids`` (column id), and rows whose id is not.
+
+    A bitmap of the ids' hashes, of fixed size, is broadcast; a join of the first part with ``ids`` decides the rest. Texts of
+    documents that a small set of ids doesn't name are so kept out of shuffles. However many ids there are, the parts are
+    right: a full bitmap only sends more rows into the first. Rows without id are in the second.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
+    known = ids.select(at(F.col("id").cast("long")).alias("_h"))
+    bitmap = known.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    bitmap = F.broadcast(materialize(bitmap, "bitmap"))  # a row of 4 KB for each 32,768 bits
+    h = at(F.col("doc_id").cast("long"))
+    place = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    marked = docs.withColumn("_at", F.bitmap_bucket_number(h)).join(bitmap, F.col("_at") == F.col("_bucket"), "left").withColumn("_hit", hit)
+    return tuple(marked.where(c).select(*[F.col(x) for x in docs.columns]) for c in (F.col("_hit"), ~F.col("_hit")))

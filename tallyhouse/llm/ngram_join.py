@@ -23,12 +23,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.llm.common import map_batches, materialize, table, texts
+from tallyhouse.llm.common import among, map_batches, materialize, short_batches, table, texts
 from tallyhouse.llm.components import merged
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bits of the dense sketch, as 64-bit words; bits of a segment of the sparse one.
-WORDS, SEGMENT_BITS = 8, 20
+WORDS, SEGMENT_BITS = 32, 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 def dense_sketch(s: np.ndarray) -> list[int]:
     """The parity sketch of WORDS * 64 bits."""
-    parity = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS) & 1
+    parity = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=64 * WORDS) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -187,24 +187,40 @@ def _close(bands: Bands) -> Column:
     return (small * bands.den >= large * bands.num) & (hamming * (bands.den + bands.num) <= (small + large) * (bands.den - bands.num))
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike to num/den at least, by their texts."""
-    a, b = (bodies.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+def _verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike to num/den at least, by their texts, which are fetched for them alone.
 
-    def run(batches):
-        @lru_cache(maxsize=256)
+    A row's text counts if it has its class's set: an id may come with several texts. Batches are kept short, as a row holds
+    two whole texts.
+    """
+    spark = pairs.sparkSession
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked", links=True)
+    asked, _ = among(docs.select("doc_id", "text"), ids)
+    whole = asked.withColumnRenamed("doc_id", "id").join(facts.select("id", "size", "one", "two").join(ids, "id", "left_semi"), "id")
+
+    def own(batches):
+        for batch in batches:
+            marks = zip(*(batch.column(c).to_pylist() for c in ("size", "one", "two")))
+            yield batch.select(["id", "text"]).filter(pa.array([(len(s := shingle_set(x.as_py() or "", n)), *fingerprint(s)) == m for x, m in zip(batch.column("text"), marks)], pa.bool_()))
+
+    def alike(batches):
+        @lru_cache(maxsize=64)
         def set_of(text):
             return shingle_set(text, n)
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                s, t = set_of(x), set_of(y)
+            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+                s, t = set_of(x.as_py()), set_of(y.as_py())
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both * den >= num * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    with short_batches(spark, 500):
+        bodies = materialize(whole.mapInArrow(own, "id long, text string").dropDuplicates(["id"]), "bodies")
+        a, b = (bodies.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        return materialize(both.mapInArrow(alike, "a long, b long"), "verified")
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -224,44 +240,32 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame
     several = shared.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     shared = materialize(shared.join(several, "key"), "shared")
     ids = shared.select("id").distinct()
-    facts = materialize(sets.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", *same, "sketch").dropDuplicates(["id"]), "facts")
+    facts = materialize(sets.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", *same, "sketch").dropDuplicates(["id"]), "facts", links=True)
     fa, fb = (facts.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-
-    whole = docs.select(F.col("doc_id").alias("id"), "text").join(facts.select("id", *same), "id")
-
-    def own():  # a text by which its row has the class's set
-        def keep(batches):
-            for batch in batches:
-                marks = zip(*(batch.column(c).to_pylist() for c in ("size", "one", "two")))
-                yield batch.select(["id", "text"]).filter(pa.array([(len(s := shingle_set(x, n)), *fingerprint(s)) == m for x, m in zip(texts(batch), marks)]))
-
-        return keep
-
-    bodies = materialize(whole.mapInArrow(own(), "id long, text string").dropDuplicates(["id"]), "bodies")
-
-    components = materialize(ids.select("id", F.col("id").alias("comp")), "components")
+    alike = lambda pairs: _verified(pairs, docs, facts, n, num, den)
+    components = materialize(ids.select("id", F.col("id").alias("comp")), "components", links=True)
     star = shared.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(star.join(fa, "a").join(fb, "b").where(_close(bands)).select("a", "b"), "star")
-    first = star.groupBy("b").agg(F.min("a").alias("a"))
-    components = merged(components, materialize(_verified(first, bodies, n, num, den), "verified"))
+    star = materialize(star.join(fa, "a").join(fb, "b").where(_close(bands)).select("a", "b"), "star", links=True)
+    first = materialize(star.groupBy("b").agg(F.min("a").alias("a")), "first", links=True)
+    components = merged(components, alike(first))
 
     def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
         ca, cb = (known.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
         return pairs.join(ca, "a").join(cb, "b").where("comp_a <> comp_b").select("a", "b")
 
-    rest = materialize(apart(star.join(first, ["a", "b"], "left_anti"), components), "rest")
+    rest = materialize(apart(star.join(first, ["a", "b"], "left_anti"), components), "rest", links=True)
     if not rest.isEmpty():
-        components = merged(components, materialize(_verified(rest, bodies, n, num, den), "verified"))
+        components = merged(components, alike(rest))
     # Buckets that still span components: their members meet each other, hubs apart.
     member = shared.select("key", "id", "hub").join(components, "id")
     mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    member = materialize(member.where("id <> hub").join(mixed, "key").join(facts.select("id", "size", "sketch"), "id"), "member")
+    member = materialize(member.where("id <> hub").join(mixed, "key").join(facts.select("id", "size", "sketch"), "id"), "member", links=True)
     if not member.isEmpty():
         a, b = (member.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "size", "sketch")]) for x in "ab")
         across = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & _close(bands)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        across = materialize(across, "across")
+        across = materialize(across, "across", links=True)
         if not across.isEmpty():
-            components = merged(components, materialize(_verified(across, bodies, n, num, den), "verified"))
+            components = merged(components, alike(across))
     comp = components.select(F.col("id").alias("rep"), "comp")
     return rows.join(comp, "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
