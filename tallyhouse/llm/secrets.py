@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two Markov models of order one over character classes are trained from labelled samples that the corpus itself gives:
-what the patterns catch is labelled random; other long words of identifier characters, as far as no pattern touches them
-and digits stand at the end only, are labelled ordinary. A word is a secret too when its log-likelihood ratio a character passes a bound, it is long and it
-mixes digits with letters. Counting takes one pass over all texts; the counts are summed inside tasks, so what is gathered
-is a table bounded by the alphabet squared, whatever the input.
+what the patterns catch is labelled random; other words of 10 or more identifier characters, as far as no pattern touches
+them and digits stand at the end only, and plain numbers are labelled ordinary. A key may come from another alphabet than
+the patterns' hits, so half of the random model is a uniform draw of letters and digits. A word, or what is left of one
+beside a pattern's match, is a secret too when its log-likelihood ratio passes a bound that grows with its length; nothing
+else is asked of it. Counting takes one pass over all texts; the counts are summed inside tasks, so what is gathered is a
+table bounded by the alphabet squared, whatever the input.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 #: A run of 20 or more characters, and of 24 or more: the same spans as the open patterns give after short ones are dropped.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-WORD = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-ORDINARY = re.compile(r"[A-Za-z+/_=-]+[0-9]*").fullmatch
+#: Words, and parts of them, are scored from so many characters on; one of fewer than ENOUGH needs the evidence of that many.
+SHORTEST, ENOUGH = 10, 16
+WORD = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+ORDINARY = re.compile(r"[A-Za-z+/_=-]+[0-9]*|[0-9+/_=-]+").fullmatch
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters of WORD, by class; 0 stands for the start.
@@ -29,6 +33,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 SIZE = len(ALPHABET) + 1
 #: How many observations the single characters' shares weigh, where transitions are few.
 BACKOFF = 5.0
+#: The random model's share that is a uniform draw of letters and digits.
+UNIFORM = 0.5
 _CODES = np.zeros(256, dtype=np.int64)
 _CODES[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.arange(1, SIZE)
 
@@ -48,14 +54,23 @@ def _steps(word: str) -> np.ndarray:
     return np.concatenate([[0], codes[:-1]]) * SIZE + codes
 
 
-def other_words(text: str, spans: list) -> list[tuple[int, int, str]]:
-    """(start, end, word) of long words that no pattern's match touches."""
+def other_words(text: str, spans: list, whole: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, word) of long words, or of the long parts of words that no pattern's match covers; ``whole``: only words that none touches."""
     out, k = [], 0
     for m in WORD.finditer(text):
-        while k < len(spans) and spans[k][2] <= m.start():
+        at, end = m.span()
+        while k < len(spans) and spans[k][2] <= at:
             k += 1
-        if not any(s[0] < m.end() and s[2] > m.start() for s in spans[k:]):
-            out.append((m.start(), m.end(), m[0]))
+        parts = []
+        for s in spans[k:]:
+            if s[0] >= end:
+                break
+            if s[2] > at:
+                parts.append((at, s[0]))
+                at = s[2]
+        if whole and parts:
+            continue
+        out.extend((a, b, text[a:b]) for a, b in [*parts, (at, end)] if b - a >= SHORTEST)
     return out
 
 
@@ -69,7 +84,7 @@ def transition_counts(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 for s in spans:
                     counts[1] += np.bincount(_steps(s[3]), minlength=SIZE * SIZE)
-                for word in (w for _, _, w in other_words(text, spans) if ORDINARY(w)):
+                for word in (w for _, _, w in other_words(text, spans, whole=True) if ORDINARY(w)):
                     counts[0] += np.bincount(_steps(word), minlength=SIZE * SIZE)
             label, which = np.nonzero(counts)
             return [label, which, counts[label, which]]
@@ -87,11 +102,18 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     tally = np.zeros((2, SIZE * SIZE))
     for label, which, n in counts.collect():
         tally[label, which] += n
+    tally[0] = np.maximum(tally[0] - 1, 0)  # a transition seen once is a key of letters as likely as a word; its own count must not clear it
     tally = tally.reshape(2, SIZE, SIZE)
     single = tally.sum(axis=1) + 0.5
     single /= single.sum(axis=1, keepdims=True)
-    p = np.log((tally + BACKOFF * single[:, None, :]) / (tally.sum(axis=2, keepdims=True) + BACKOFF))
-    return (p[1] - p[0]).reshape(-1)
+    p = (tally + BACKOFF * single[:, None, :]) / (tally.sum(axis=2, keepdims=True) + BACKOFF)
+    draw = np.array([c.isalnum() for c in "." + ALPHABET]) / 62
+    return (np.log((1 - UNIFORM) * p[1] + UNIFORM * draw) - np.log(p[0])).reshape(-1)
+
+
+def is_random(word: str, ratio: np.ndarray, bound: float) -> bool:
+    """Whether the word's ratio passes ``bound`` a character, counted for ENOUGH characters at least."""
+    return ratio[_steps(word)].sum() > bound * max(len(word), ENOUGH)
 
 
 def secret_spans(docs: DataFrame, ratio: np.ndarray | None = None, bound: float = 0.5) -> DataFrame:
@@ -110,7 +132,7 @@ def secret_spans(docs: DataFrame, ratio: np.ndarray | None = None, bound: float
                 spans = base_spans(text)
                 extra = []
                 for start, end, word in other_words(text, spans):
-                    if any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and ratio[_steps(word)].mean() > bound:
+                    if is_random(word, ratio, bound):
                         extra.append((start, 3, end, word))
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b, _ in sorted(spans + extra)])
             return [batch.column("doc_id"), out]

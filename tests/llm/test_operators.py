@@ -102,6 +102,15 @@ def test_secrets(spark, odd, none):
     assert secrets.secret_spans(odd).count() == odd.count() and secrets.secret_spans(none).count() == 0
 
 
+def test_secrets_of_letters_short_and_partly_covered(spark):
+    rows = [(k, f"key {hashlib.sha1(str(k).encode()).hexdigest()} {random.Random(k).randrange(10**15, 10**16)} " + " ".join(f"{a}{b}" for a in ("ordinary", "another", "longer", "identifier") for b in ("name", "number", "_place", "ending"))) for k in range(100)]
+    letters, short, rest = "qZvKxWjBfTgPzRkYhMcD", "zK8qLw3Vx9", "Qx7LbVz2KpWj"
+    text = f"identifiername {letters} and {short} in {rest}{'0af' * 8}{rest} 4263429643439180 short {short[:9]}"
+    got = secrets.secret_spans(spark.createDataFrame([*rows, (900, text)], "doc_id long, text string"))
+    found = {r["doc_id"]: [(text[s["start"] : s["end"]]) for s in r["found"] if s["kind"] == "markov"] for r in got.where("doc_id in (1, 900)").collect()}
+    assert found == {1: [], 900: [letters, short, rest, rest]}
+
+
 def test_quality(spark, odd, none, sf_dir):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
