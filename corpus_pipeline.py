@@ -17,7 +17,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every line once, or nearly so: texts lose the lines that an earlier one repeats, and documents left without any go."""
-    rows = line_dedup.deduplicated(docs)
+    rows = line_dedup.deduplicated(docs, min_words=line_dedup.SHORT_WORDS)
     rows = rows.where((F.col("n_removed") == 0) | F.coalesce(F.trim("text") != "", F.lit(True)))
     return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyhouse.llm.common import materialize, table, texts
 
 MIN_WORDS = 8
+#: The floor of ``op7`` and the pipeline: one word is a quarter of a line at most.
+SHORT_WORDS = 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 
@@ -180,5 +182,5 @@ def deduplicated(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """Every document: its lines, how many of them go, and the digest of what is left."""
-    rows = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=SHORT_WORDS)
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

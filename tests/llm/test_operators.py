@@ -272,6 +272,26 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_short_lines_one_word_apart(spark, tmp_path):
+    r = random.Random(6)
+    bases = [prose(k, r.choice([1, 2, 3, 4, 5, 6, 7, 8]), 12).split() for k in range(30)]
+    rows = [(900, "Tolyoued with by of nteres atre are."), (901, "Anat with by of nteres atre are.")]
+    for i in range(80):
+        words = list(r.choice(bases))
+        at = r.randrange(len(words))
+        words[at : at + r.choice([0, 1])] = r.choice([[], [f"n{r.randrange(3)}"]])
+        rows.append((i, " ".join(words)))
+    want, seen = {}, []
+    for i, line in sorted(rows):
+        words = line.split()
+        gone = words and any(words == x or (min(len(words), len(x)) >= 4 and distance(words, x) <= 1) for x in seen)
+        seen += [words] * bool(words)
+        want[i] = int(bool(gone))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x["n_removed"] for x in line_dedup.op7(spark, str(tmp_path)).collect()}
+    assert got == want and got[901] == 1
+
+
 def test_within_one():
     r = random.Random(1)
     for _ in range(500):
