@@ -2,7 +2,9 @@
 
 The index holds for each word its postings: item and weight. A weight is the word's BM25 impact in the item over the sum of
 the item's impacts, so a score is the share, from 0 to 1, of an item that a passage covers, and one threshold serves items
-of any length. Passages are windows of words, half over each other and long enough that any item lies whole in one.
+of any length. Passages are windows of words, half over each other and long enough that any item lies whole in one. Items
+are banded by length, each band with an index and a width of its own, so that a passage is at most four times as long as
+an item (or PASSAGE words), whatever other items there are.
 
 Most passages fall to a bound before they are searched. In each item the commonest words are set apart, as many as make up at
 most three quarters of the threshold: they are all that an item can get besides its other, essential words. A passage in
@@ -10,7 +12,8 @@ which no item gets the rest of the threshold from its essential words can hold n
 threshold, and the largest weights of the pivot's block before it is scored. All items above the threshold come back, and
 count when the words of the question and of the answer are both there in order.
 
-The index is built from shards of the items, each bounded in bytes, so what is broadcast doesn't grow with the benchmark.
+The indexes are built from shards of the items, each bounded in bytes, so what is broadcast at once doesn't grow with the
+benchmark. Document frequencies, number and mean length are counted once over all items, so scores don't depend on shards.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import table, texts
+from tallyhouse.llm.common import materialize, table, texts
 
 #: Share of an item that a passage has to cover; share of question and answer that has to be there in order.
 THRESHOLD, OVERLAP = 0.6, 0.8
@@ -64,16 +67,29 @@ def in_order(part: list[str], passage: list[str]) -> float:
     return len(ends) / len(part)
 
 
+def band(n: int) -> int:
+    """The stride for an item of n words: PASSAGE / 2 doubled until the item fits."""
+    stride = PASSAGE // 2
+    while stride < n:
+        stride *= 2
+    return stride
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    """``known``: number of items with words, their mean length, and each word's document frequency, if ``items`` are a part of all."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, known: tuple[int, float, dict[str, int]] | None = None):
         self.ids, bags = [], []
         self.parts = []
         for item_id, text in sorted(items):
             if words := words_of(text):
                 self.ids.append(item_id), bags.append(Counter(words)), self.parts.append(question_and_answer(text))
-        n = len(bags)
-        df = Counter(w for bag in bags for w in bag)
-        mean = sum(sum(bag.values()) for bag in bags) / max(n, 1)
+        if known:
+            n, mean, df = known
+        else:
+            n = len(bags)
+            df = Counter(w for bag in bags for w in bag)
+            mean = sum(sum(bag.values()) for bag in bags) / max(n, 1)
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         self.postings: dict[str, tuple[list[int], list[float]]] = {}
         for k, bag in enumerate(bags):
@@ -104,7 +120,7 @@ class Index:
                 else:
                     self.essential.setdefault(w, []).append((k, x))
             self.need.append(threshold - aside - 1e-9)
-        self.stride = max(PASSAGE // 2, *(sum(bag.values()) for bag in bags)) if bags else PASSAGE // 2
+        self.stride = band(max((sum(bag.values()) for bag in bags), default=0))
 
     def retrieve(self, words: set[str], threshold: float) -> list[tuple[int, float]]:
         """Item numbers and scores from the threshold on: block-max WAND."""
@@ -148,9 +164,8 @@ class Index:
             cursors = left
         return found
 
-    def search(self, text: str, threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
-        """For each item that the text holds: its best passage's score and the shares of question and answer in it."""
-        words = words_of(text)
+    def search(self, words: list[str], threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
+        """For each item that the text of these words holds: its best passage's score and the shares of question and answer in it."""
         essential, need, stride = self.essential, self.need, self.stride
         passages: dict[int, set[str]] = {}
         for k, w in enumerate(words):
@@ -172,12 +187,43 @@ class Index:
         return {self.ids[k]: x for k, x in found.items()}
 
 
+class Banded:
+    """An index for each band of the items' lengths."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, known: tuple[int, float, dict[str, int]] | None = None):
+        by: dict[int, list[tuple[int, str]]] = {}
+        for item in items:
+            by.setdefault(band(len(words_of(item[1]))), []).append(item)
+        self.indexes = [Index(by[k], threshold, known) for k in sorted(by)]
+
+    def search(self, text: str, threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
+        words = words_of(text)
+        found: dict[int, tuple[float, float, float]] = {}
+        for index in self.indexes:
+            for item, x in index.search(words, threshold, overlap).items():
+                found[item] = max(found.get(item, x), x)
+        return found
+
+
 def _indexes(items: DataFrame, threshold: float):
     """An index for each shard of the items, broadcast: at most about SHARD_BYTES of their texts pass the driver at once."""
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
     shards = max(1, -(-(items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // SHARD_BYTES))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(shard, w, x) for shard, text in zip(batch.column("shard").to_pylist(), texts(batch)) if (words := words_of(text)) for w, x in [(None, len(words)), *((w, 1) for w in set(words))]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64()))], names=["shard", "word", "n"])
+
+    placed = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("long"))
+    #: A row without word for each item holds its length.
+    words = materialize(placed.select("shard", "text").mapInArrow(run, "shard long, word string, n long").groupBy("shard", "word").agg(F.sum("n").alias("n"), F.count("*").alias("items")), "item_words")
+    n, length = words.where("word is null").agg(F.coalesce(F.sum("items"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    df = words.where("word is not null").groupBy("word").agg(F.sum("items").alias("df"))
     for shard in range(shards):
-        yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()], threshold))
+        held = dict(map(tuple, df.join(words.where((F.col("shard") == shard) & F.col("word").isNotNull()).select("word"), "word", "left_semi").collect()))
+        yield items.sparkSession.sparkContext.broadcast(Banded([tuple(r) for r in placed.where(F.col("shard") == shard).select("item_id", "text").collect()], threshold, (n, length / max(n, 1), held)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:

@@ -312,6 +312,23 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.uncontaminated(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_decontamination_does_not_depend_on_other_items_or_shards(spark, monkeypatch):
+    items = [(k, f"{prose(1000 + k, 16).capitalize()}? {prose(2000 + k, 4)}.") for k in range(30)]
+    words = items[7][1].replace("?", "").replace(".", "").lower().split()
+    spread = " ".join(f"{w} {prose(k, 60)}" for k, w in enumerate(words))  # in order, over 1,200 words
+    docs = spark.createDataFrame([(1, spread), (2, f"{prose(-1, 300)} {' '.join(words)} {prose(-2, 300)}")], "doc_id long, text string")
+    long = (99, prose(77, 3000, 2000))
+    bench = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    found = lambda rows: sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in decontaminate.contaminated(docs, bench(rows)).collect())
+    assert [x[:2] for x in found([*items, long])] == [(2, 7)]
+    held = spark.createDataFrame([(3, f"{prose(-3, 100)} {long[1]}")], "doc_id long, text string")
+    assert [r["item_id"] for r in decontaminate.contaminated(held, bench([*items, long])).collect()] == [99]
+    partly = [(k, f"common{k % 3} words{k % 2} {text}") for k, text in items]
+    whole = found(partly)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 600)
+    assert whole and whole == found(partly)
+
+
 def test_wand_finds_what_full_scoring_finds():
     r = random.Random(2)
     index = decontaminate.Index([(k, prose(r.randrange(5), 30, 60)) for k in range(150)])
