@@ -4,7 +4,8 @@ Merges of one pre-token come off a queue of buckets, one bucket for each merge r
 can be done. Which buckets have something is kept in a hierarchical bitmap: 64-bit words with a bit for each rank, and above
 them one integer with a bit for each word. Finding the lowest rank takes two find-first-set steps however many places wait.
 Places go stale when a neighbour is merged first; they are recognised on the way out and skipped. The cost grows with the
-length of the pre-token, not with its square.
+length of the pre-token, not with its square. Pre-tokens of a few dozen bytes, where building the queue costs more than it
+saves, take the lowest rank off a short list instead; both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import DataFrame
 
 from tallyhouse.llm.common import map_batches, table, texts
 
-#: Pre-tokens a task keeps encoded.
-KEPT = 300_000
+#: Pre-tokens a worker keeps encoded, in each of two generations.
+KEPT = 150_000
+#: Bytes from which a pre-token goes through the queue.
+QUEUED = 48
+_NONE = 1 << 60
 
 #: Spaces that don't stand between two words, and cuts for texts with such.
 _LOOSE = re.compile(r" (?:\s|\Z)").search
@@ -38,25 +42,45 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pairs = [[self.ranks.get(bytes((x, y)), -1) for y in range(256)] for x in range(256)]
+        self.single = [bytes((x,)) for x in range(256)]
+        self.pairs = [[self.ranks.get(bytes((x, y)), _NONE) for y in range(256)] for x in range(256)]
         #: The queue's lower bitmap, a bit for each rank; empty between pre-tokens. The upper one is an int of a bit for each word.
         self.low = [0] * (max(self.tokens) // 64 + 1)
         self.fresh: dict[str, list[int]] = {x: self.merge(x.encode()) for x in _ENDS}
         self.old: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token.
+        """The ids of one pre-token."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        return self.merge_queued(piece) if len(piece) >= QUEUED else self.merge_listed(piece)
+
+    def merge_listed(self, piece: bytes) -> list[int]:
+        """By a list of the parts and one of the ranks with which each would merge with the next: quadratic, so for short ones."""
+        ranks, get, pairs = self.ranks, self.ranks.get, self.pairs
+        parts = list(map(self.single.__getitem__, piece))
+        waits = [pairs[x][y] for x, y in zip(piece, piece[1:])]
+        while waits and (rank := min(waits)) != _NONE:
+            i = waits.index(rank)
+            parts[i] = new = parts[i] + parts.pop(i + 1)
+            del waits[i]
+            if i < len(waits):
+                waits[i] = get(new + parts[i + 1], _NONE)
+            if i:
+                waits[i - 1] = get(parts[i - 1] + new, _NONE)
+        return [ranks[x] for x in parts]
+
+    def merge_queued(self, piece: bytes) -> list[int]:
+        """By the rank queue.
 
         ``after`` and ``before`` link the parts by where they start; ``waits`` holds the rank with which a part and the next
-        would merge now, -1 for none: a place whose rank differs from the bucket's is stale. A bucket is one place, or a heap.
+        would merge now: a place whose rank differs from the bucket's is stale. A bucket is one place, or a heap.
         """
         ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
         get, low, pairs, n = ranks.get, self.low, self.pairs, len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n))
         waits = [pairs[x][y] for x, y in zip(piece, piece[1:])]
-        waits.append(-1)
+        waits.append(_NONE)
         high, buckets = 0, {}
 
         def push(rank, place):
@@ -73,7 +97,7 @@ class ByteBpe:
                 heappush(held, place)
 
         for place, rank in enumerate(waits):
-            if rank >= 0:
+            if rank != _NONE:
                 push(rank, place)
         while high:
             word = (high & -high).bit_length() - 1
@@ -93,18 +117,18 @@ class ByteBpe:
                 continue
             j = after[i]
             end = after[i] = after[j]
-            waits[j] = -1
+            waits[j] = _NONE
             if end < n:
                 before[end] = i
-                waits[i] = new = get(piece[i : after[end]], -1)
-                if new >= 0:
+                waits[i] = new = get(piece[i : after[end]], _NONE)
+                if new != _NONE:
                     push(new, i)
             else:
-                waits[i] = -1
+                waits[i] = _NONE
             if i:
                 p = before[i]
-                waits[p] = new = get(piece[p:end], -1)
-                if new >= 0:
+                waits[p] = new = get(piece[p:end], _NONE)
+                if new != _NONE:
                     push(new, p)
         out, i = [], 0
         while i < n:

@@ -63,6 +63,13 @@ def test_byte_bpe_matches_the_library(odd, none):
         text = "".join(r.choice("ab aAth\n é漢!1.,'s") for _ in range(r.choice([3, 40, 900])))
         assert bpe.encode(text) == library.encode_ordinary(text)
         assert bpe.decode(bpe.encode(text)) == text.encode()
+    for n in (1, 2, 5, 30, 47, 48, 49, 60, 3000):  # both ways of merging, on both sides of where they change over
+        for letters in ("ab", "aaaaab", "thequickbrown", "é漢а", "\x00\xff"):
+            piece = "".join(r.choice(letters) for _ in range(n)).encode()
+            want = library._encode_single_piece(piece)
+            assert bpe.merge_queued(piece) == want or piece in bpe.ranks
+            if len(piece) < 400:
+                assert bpe.merge_listed(piece) == want or piece in bpe.ranks
     for row in byte_bpe.encoded(odd, RANKS).join(odd.dropDuplicates(["doc_id"]), "doc_id").collect():
         assert row["token_ids"] == library.encode_ordinary(row["text"] or "")
     back = byte_bpe.decoded(byte_bpe.encoded(odd, RANKS), RANKS)
