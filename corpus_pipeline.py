@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyhouse.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality
-from tallyhouse.llm.common import among, materialize, table
+from tallyhouse.llm.common import Scratch, among, materialize, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,10 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles alike to 0.8 or more; rows that repeat an id stay or go together."""
+    scratch = Scratch(spark)
     groups = ngram_join.linked(docs, n=5, num=4, den=5)
-    gone = materialize(groups.where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    asked, stays = among(docs, gone)
+    gone = scratch.write(groups.where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    asked, stays = among(scratch, docs, "doc_id", gone)
     return stays.unionByName(asked.join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
 
 

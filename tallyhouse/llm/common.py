@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,18 +26,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, label: str, links: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and outlives any executor.
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own below the shared one.
 
-    Tables of ``links`` hold a few numbers a row; they are written by four tasks a core at most, not by one for each shuffle
-    partition, so that rounds over them don't make thousands of tiny files.
+    ``write`` cuts the lineage, and what it has written outlives any executor. ``drop`` deletes tables once all that is made of
+    them is written too. Spark removes the shuffle files of finished jobs when the driver's JVM has collected what refers to
+    them, so it is asked to; otherwise they would stay on the executors' disks for the whole run.
     """
-    spark = df.sparkSession
-    if links:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, label: str, links: bool = False) -> DataFrame:
+        """``df`` as written to the shared folder and read back.
+
+        Tables of ``links`` hold a few numbers a row; they are written by four tasks a core at most, not by one for each
+        shuffle partition, so that rounds over them don't make thousands of tiny files.
+        """
+        if links:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
+        path = f"{self.folder}/{len(self.paths)}-{label}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[len(self.paths)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for k, (table_, path) in self.paths.items():
+            if path and any(table_ is x for x in tables):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+                self.paths[k] = (None, None)
+        gc.collect()
+        jvm.System.gc()
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as written to the shared folder and read back, for good."""
+    return Scratch(df.sparkSession).write(df, label)
 
 
 def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
@@ -81,20 +109,23 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 BITMAP_BITS = 1 << 22
 
 
-def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two parts by ``doc_id``: rows whose id may be among ``ids`` (column id), and rows whose id is not.
+def among(scratch: Scratch, rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts by a long ``column``: those whose value may be in ``ids`` (one column), and those whose value is not.
 
-    A bitmap of the ids' hashes, of fixed size, is broadcast; a join of the first part with ``ids`` decides the rest. Texts of
-    documents that a small set of ids doesn't name are so kept out of shuffles. However many ids there are, the parts are
-    right: a full bitmap only sends more rows into the first. Rows without id are in the second.
+    A bitmap of the ids' hashes, of fixed size, is broadcast; a join of the first part with ``ids`` decides the rest. What a
+    small set of ids doesn't name is so kept out of shuffles. However many ids there are, the parts are right: a full bitmap
+    only sends more rows into the first. Rows with a null there are in the second.
     """
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
-    known = ids.select(at(F.col("id").cast("long")).alias("_h"))
-    bitmap = known.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
-    bitmap = F.broadcast(materialize(bitmap, "bitmap"))  # a row of 4 KB for each 32,768 bits
-    h = at(F.col("doc_id").cast("long"))
+    at = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BITMAP_BITS))
+    known = ids.select(at(F.col(ids.columns[0])).alias("_h"))
+    bitmap = known.groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits")
+    )
+    bitmap = F.broadcast(scratch.write(bitmap, "bitmap"))  # a row of 4 KB for each 32,768 bits
+    h = at(F.col(column))
     place = F.bitmap_bit_position(h)
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
-    marked = docs.withColumn("_at", F.bitmap_bucket_number(h)).join(bitmap, F.col("_at") == F.col("_bucket"), "left").withColumn("_hit", hit)
-    return tuple(marked.where(c).select(*[F.col(x) for x in docs.columns]) for c in (F.col("_hit"), ~F.col("_hit")))
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+    marked = rows.withColumn("_at", F.bitmap_bucket_number(h)).join(bitmap, F.col("_at") == F.col("_bucket"), "left")
+    parts = marked.withColumn("_hit", hit)
+    return tuple(parts.where(c).select(*[F.col(x) for x in rows.columns]) for c in (F.col("_hit"), ~F.col("_hit")))

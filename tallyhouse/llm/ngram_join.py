@@ -3,13 +3,16 @@
 A document is the set of its word n-grams. Hashing each n-gram to a bit and XOR-ing the bits gives a parity sketch: equal
 n-grams of two documents cancel, so the Hamming distance of two sketches is at most the size of the sets' symmetric
 difference. Documents alike to degree J differ in at most d = (|A| + |B|) (1 - J) / (1 + J) n-grams. By size band, the
-sketch is cut into d + 1 + w segments, so at least w + 1 of them agree; a segment in which no n-gram falls says little and
-is left out by documents with at most w such segments (the rest keep them). Equal segments are found by one sort.
-
-Copies of a set are one class from the start. Within a segment's bucket every member first meets the smallest one only,
-members of one component need no further comparison, and what then still spans components is compared pair by pair under
-size and Hamming bounds, so groups of copies give links in proportion to their size, and no link between components is
-missed. Every candidate is verified on the texts' own n-gram sets.
+sketch is cut into d + 1 + w segments, so at least w + 1 of them agree; a segment in which no n-gram falls says nothing and
+gives no key. A document with more than w such segments adds a second layout of segments, then a third, until one leaves
+it w at most: of two documents, the one that stops first has a segment there that agrees and isn't empty. Equal segments
+are found by one sort.
+
+Copies of a set are one class from the start; classes go by the set's fingerprint, so rows that share an id but not a text
+keep apart until ids are asked for. Within a segment's bucket every class first meets the smallest one only; what then still
+spans components meets under size and Hamming bounds, by a short sketch first and a long one for what is left. Candidates
+are verified on the texts' own n-gram sets, the likeliest of each component first: what joins components on the way needs
+no more verification, so texts are read in proportion to the classes, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhouse.llm.common import among, map_batches, materialize, short_batches, table, texts
+from tallyhouse.llm.common import Scratch, among, map_batches, short_batches, table, texts
 from tallyhouse.llm.components import merged
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Bits of the dense sketch, as 64-bit words; bits of a segment of the sparse one.
-WORDS, SEGMENT_BITS = 32, 20
+#: 64-bit words of the long and of the short dense sketch; bits of a segment of the sparse one; layouts of segments at most.
+WORDS, SHORT, SEGMENT_BITS, LAYOUTS = 32, 4, 20, 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,6 +67,11 @@ def dense_sketch(s: np.ndarray) -> list[int]:
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
+def folded(sketch: list[int]) -> list[int]:
+    """The parity sketch of SHORT * 64 bits, from the long one."""
+    return np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(-1, SHORT)).tolist()
+
+
 class Bands:
     """Size bands for a Jaccard bound num/den. Band k holds sizes from start[k] on, up to start[k + 1] left out."""
 
@@ -81,8 +89,8 @@ class Bands:
 
     @lru_cache(maxsize=4096)
     def segments(self, k: int) -> tuple[int, int]:
-        """Segments of band k, and how many empty ones a document may leave out."""
-        low, d = int(self.start[k]), self.differ(2 * int(self.start[k + 1] - 1))
+        """Segments of band k, and how many empty ones leave a document one that agrees. Sets that meet there may be smaller than the band."""
+        low, d = -(-int(self.start[k]) * self.num // self.den), self.differ(2 * int(self.start[k + 1] - 1))
         w = 0
         while w < d + 1:
             empty = (d + 1 + w) * math.exp(-low / (d + 1 + w))
@@ -98,51 +106,60 @@ class Bands:
 
 
 def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """A 64-bit key for each segment, by band, of the set's sparse parity sketch: a linear digest of the segment's set bits.
+    """A 64-bit key for each segment that isn't empty, by band and layout, of the set's sparse parity sketch: a linear digest of the segment's set bits.
 
-    Sets too small to differ from a different one within the bound have no keys: copies are found as classes.
+    Sets too small to differ from a different one within the bound have no keys: copies are found as classes. In the last
+    layout empty segments have keys too, for a set that none of them serves.
     """
     out = []
     for band in bands.of(len(s)):
         if not bands.differ(2 * int(bands.start[band + 1] - 1)):
             continue
         m, spare = bands.segments(band)
-        h = _mix(s ^ np.uint64(band))
-        segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        bit = h & np.uint64((1 << SEGMENT_BITS) - 1)
-        order = np.argsort(segment, kind="stable")
-        total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_mix((segment[order] << np.uint64(SEGMENT_BITS)) + bit[order] + _MIX1))])
-        ends = np.searchsorted(segment[order], np.arange(m + 1))
-        digest = total[ends[1:]] ^ total[ends[:-1]]
-        keys = _mix(_mix(digest + np.arange(m, dtype=np.uint64) * _MIX2) + np.uint64(band))
-        empty = ends[1:] == ends[:-1]
-        out.append(keys[~empty] if empty.sum() <= spare else keys)
+        for layout in range(LAYOUTS):
+            seed = np.uint64(band + (layout << 32))
+            h = _mix(s ^ seed)
+            segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            bit = h & np.uint64((1 << SEGMENT_BITS) - 1)
+            order = np.argsort(segment, kind="stable")
+            steps = np.bitwise_xor.accumulate(_mix((segment[order] << np.uint64(SEGMENT_BITS)) + bit[order] + _MIX1))
+            total = np.concatenate([np.zeros(1, np.uint64), steps])
+            ends = np.searchsorted(segment[order], np.arange(m + 1))
+            digest = total[ends[1:]] ^ total[ends[:-1]]
+            keys = _mix(_mix(digest + np.arange(m, dtype=np.uint64) * _MIX2) + seed)
+            empty = ends[1:] == ends[:-1]
+            last = layout == LAYOUTS - 1
+            out.append(keys if last else keys[~empty])
+            if empty.sum() <= spare or last:
+                break
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def make():
         def step(batch):
-            size, one, two, sketch = [], [], [], []
+            size, one, two, short, sketch = [], [], [], [], []
             for text in texts(batch):
                 s = shingle_set(text, n)
                 a, b = fingerprint(s)
-                size.append(len(s)), one.append(a), two.append(b), sketch.append(dense_sketch(s))
-            return [batch.column("doc_id"), size, one, two, sketch]
+                long = dense_sketch(s)
+                size.append(len(s)), one.append(a), two.append(b), short.append(folded(long)), sketch.append(long)
+            return [batch.column("doc_id"), size, one, two, short, sketch]
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id long, size long, one long, two long, sketch array<long>", make)
+    schema = "doc_id long, size long, one long, two long, short array<long>, sketch array<long>"
+    return map_batches(docs.select("doc_id", "text"), schema, make)
 
 
 def _keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """key, id of every segment; a copy of a set that the task has lately seen adds none."""
+    """key, id (half of the set's fingerprint) of every segment; a copy of a set that the task has lately seen adds none."""
 
     def run(batches):
         seen: OrderedDict = OrderedDict()
         for batch in batches:
             ids, keys = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
+            for text in texts(batch):
                 s = shingle_set(text, n)
                 mark = (len(s), *fingerprint(s))
                 if not len(s) or mark in seen:
@@ -151,123 +168,180 @@ def _keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                 if len(seen) > 50_000:
                     seen.popitem(last=False)
                 keys.append(segment_keys(s, bands))
-                ids.append(np.full(len(keys[-1]), doc_id, np.int64))
+                ids.append(np.full(len(keys[-1]), mark[1], np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "key long, id long")
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "key long, id long")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """The rows whose key has others: one sort, read in order, a batch at a time."""
+    """key, hub, id: the distinct ids of a key besides its smallest, which is the hub: one sort, read in order, a batch at a time."""
 
     def run(batches):
-        last_key = last_id = None
-        open_ = False  # whether the last row of the batch before went out
+        last_key = last_id = last_hub = None
         for batch in batches:
             key, id_ = (batch.column(c).to_numpy() for c in ("key", "id"))
             if not len(key):
                 continue
-            again = key[1:] == key[:-1]
-            keep = np.concatenate([[key[0] == last_key if last_key is not None else False], again])
-            first = bool(keep[0])
-            keep[:-1] |= again
-            if first and not open_:
-                yield pa.RecordBatch.from_arrays([pa.array([last_key]), pa.array([last_id])], names=["key", "id"])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(id_[keep])], names=["key", "id"])
-            last_key, last_id, open_ = int(key[-1]), int(id_[-1]), bool(keep[-1])
+            first = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+            new = first | np.concatenate([[id_[0] != last_id], id_[1:] != id_[:-1]])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            hub = np.where(at >= 0, id_[at], 0 if last_hub is None else last_hub)
+            keep = new & ~first
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, hub, id_)], names=["key", "hub", "id"])
+            last_key, last_id, last_hub = int(key[-1]), int(id_[-1]), int(hub[-1])
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, hub long, id long")
 
 
-def _close(bands: Bands) -> Column:
-    """Size and Hamming bounds of a pair with columns size_a, size_b, sketch_a, sketch_b."""
-    hamming = sum((F.bit_count(F.element_at("sketch_a", i + 1).bitwiseXOR(F.element_at("sketch_b", i + 1))) for i in range(WORDS)), F.lit(0))
+def _close(bands: Bands, column: str, words: int) -> Column:
+    """Size and Hamming bounds of a pair with columns size_a, size_b and sketches ``column``_a, ``column``_b."""
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    return (small * bands.den >= large * bands.num) & (hamming * (bands.den + bands.num) <= (small + large) * (bands.den - bands.num))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike to num/den at least, by their texts, which are fetched for them alone.
-
-    A row's text counts if it has its class's set: an id may come with several texts. Batches are kept short, as a row holds
-    two whole texts.
-    """
-    spark = pairs.sparkSession
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked", links=True)
-    asked, _ = among(docs.select("doc_id", "text"), ids)
-    whole = asked.withColumnRenamed("doc_id", "id").join(facts.select("id", "size", "one", "two").join(ids, "id", "left_semi"), "id")
-
-    def own(batches):
-        for batch in batches:
-            marks = zip(*(batch.column(c).to_pylist() for c in ("size", "one", "two")))
-            yield batch.select(["id", "text"]).filter(pa.array([(len(s := shingle_set(x.as_py() or "", n)), *fingerprint(s)) == m for x, m in zip(batch.column("text"), marks)], pa.bool_()))
-
-    def alike(batches):
-        @lru_cache(maxsize=64)
-        def set_of(text):
-            return shingle_set(text, n)
-
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                s, t = set_of(x.as_py()), set_of(y.as_py())
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(both * den >= num * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with short_batches(spark, 500):
-        bodies = materialize(whole.mapInArrow(own, "id long, text string").dropDuplicates(["id"]), "bodies")
-        a, b = (bodies.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(alike, "a long, b long"), "verified")
+    within = _hamming(column, words) * (bands.den + bands.num) <= (small + large) * (bands.den - bands.num)
+    return (small * bands.den >= large * bands.num) & within
+
+
+def _hamming(column: str, words: int) -> Column:
+    word = lambda x, i: F.element_at(f"{column}_{x}", i + 1)
+    return sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(words)), F.lit(0))
+
+
+def _side(rows: DataFrame, x: str, key: str, *columns: str) -> DataFrame:
+    """``rows`` as one side of pairs: ``key`` as a or b, the other columns with that letter behind."""
+    return rows.select(F.col(key).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+
+
+class _Join:
+    """One run of the join: its scratch tables and what each step needs."""
+
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int):
+        self.docs, self.n, self.bands, self.scratch = docs.select("doc_id", "text"), n, Bands(num, den), Scratch(docs.sparkSession)
+
+    def bodies(self, classes: DataFrame, ids: DataFrame) -> DataFrame:
+        """id (of a class) and a text of it, for the classes named."""
+        n = self.n
+        named = classes.join(ids, "id", "left_semi").select("id", "rep", "size", "one", "two")
+        asked, _ = among(self.scratch, self.docs, "doc_id", named.select("rep"))
+        whole = asked.join(named, F.col("doc_id") == F.col("rep")).select("id", "text", "size", "one", "two")
+
+        def own(batches):  # an id may come with several texts
+            for batch in batches:
+                marks = zip(*(batch.column(c).to_pylist() for c in ("size", "one", "two")))
+                sets = (shingle_set(x.as_py() or "", n) for x in batch.column("text"))
+                keep = pa.array([(len(s), *fingerprint(s)) == m for s, m in zip(sets, marks)], pa.bool_())
+                yield batch.select(["id", "text"]).filter(keep)
+
+        with short_batches(self.scratch.spark, 500):
+            return self.scratch.write(whole.mapInArrow(own, "id long, text string").dropDuplicates(["id"]), "bodies")
+
+    def alike(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are alike to num/den at least, by their texts. Batches are kept short, as a row holds two whole texts."""
+        n, num, den = self.n, self.bands.num, self.bands.den
+
+        def verify(batches):
+            @lru_cache(maxsize=64)
+            def set_of(text):
+                return shingle_set(text, n)
+
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+                    s, t = set_of(x.as_py()), set_of(y.as_py())
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    keep.append(both * den >= num * (len(s) + len(t) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        both = pairs.select("a", "b").join(_side(bodies, "a", "id", "text"), "a").join(_side(bodies, "b", "id", "text"), "b")
+        with short_batches(self.scratch.spark, 500):
+            return self.scratch.write(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "verified")
+
+    def settled(self, classes: DataFrame, components: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``components`` after every pair (a, b, far) that is alike is a link.
+
+        Rounds: each component has its nearest few pairs verified, more from round to round, and pairs within a component are
+        done. All pairs that still span components at the end have been verified.
+        """
+        if pairs.isEmpty():
+            return components
+        scratch, width = self.scratch, 2
+        bodies = self.bodies(classes, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        while True:
+            of = (_side(components, x, "id", "comp") for x in "ab")
+            apart = scratch.write(pairs.join(next(of), "a").join(next(of), "b").where("comp_a <> comp_b"), "apart", links=True)
+            if apart.isEmpty():
+                break
+            sides = apart.select("a", "b", "far", F.explode(F.array("comp_a", "comp_b")).alias("comp"))
+            place = F.row_number().over(Window.partitionBy("comp").orderBy("far", "a", "b"))
+            asked = scratch.write(sides.withColumn("place", place).where(F.col("place") <= width).select("a", "b").distinct(), "tried", links=True)
+            links = self.alike(asked, bodies)
+            components = merged(scratch, components, links)
+            rest = scratch.write(apart.select("a", "b", "far").join(asked, ["a", "b"], "left_anti"), "rest", links=True)
+            scratch.drop(apart, asked, links, pairs)
+            pairs, width = rest, width * 8
+        scratch.drop(apart, bodies, pairs)
+        return components
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``: documents link when their n-gram sets have a Jaccard similarity of num/den at least.
 
     component_id is the smallest doc_id reachable. A text without words (null, empty, blank) has no n-grams and stays alone;
-    rows without doc_id have no component; repeated rows share one; further columns are left aside.
+    rows without doc_id have no component and link nothing; rows with words that repeat an id share one component, whatever
+    their texts; further columns are left aside; an empty table gives no rows.
     """
-    bands = Bands(num, den)
-    sets = materialize(_sets(docs, n), "sets")
+    run = _Join(docs, n, num, den)
+    scratch, bands = run.scratch, run.bands
+    sets = scratch.write(_sets(docs, n), "sets")
     same = ["one", "two", "size"]
-    classes = sets.where("doc_id is not null and size > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    rows = materialize(sets.drop("sketch").join(classes, same, "left"), "rows")
-    rep_of = rows.where("rep is not null").select(F.col("doc_id").alias("id"), "rep").distinct()
-    found = materialize(_shared(_keys(docs, n, bands)), "found")
-    shared = found.join(rep_of, "id").select("key", F.col("rep").alias("id")).distinct()
-    several = shared.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    shared = materialize(shared.join(several, "key"), "shared")
-    ids = shared.select("id").distinct()
-    facts = materialize(sets.withColumnRenamed("doc_id", "id").join(ids, "id").select("id", *same, "sketch").dropDuplicates(["id"]), "facts", links=True)
-    fa, fb = (facts.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    alike = lambda pairs: _verified(pairs, docs, facts, n, num, den)
-    components = materialize(ids.select("id", F.col("id").alias("comp")), "components", links=True)
-    star = shared.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(star.join(fa, "a").join(fb, "b").where(_close(bands)).select("a", "b"), "star", links=True)
-    first = materialize(star.groupBy("b").agg(F.min("a").alias("a")), "first", links=True)
-    components = merged(components, alike(first))
-
-    def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        ca, cb = (known.select(F.col("id").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-        return pairs.join(ca, "a").join(cb, "b").where("comp_a <> comp_b").select("a", "b")
-
-    rest = materialize(apart(star.join(first, ["a", "b"], "left_anti"), components), "rest", links=True)
-    if not rest.isEmpty():
-        components = merged(components, alike(rest))
+    known = sets.where("doc_id is not null and size > 0").groupBy(*same).agg(
+        F.min("doc_id").alias("rep"), F.first("short").alias("short"), F.first("sketch").alias("sketch")
+    )
+    classes = scratch.write(known.withColumn("id", F.monotonically_increasing_id()), "classes")
+    shared = scratch.write(_shared(_keys(docs, n, bands)), "shared")
+    marks = shared.select(F.explode(F.array("hub", "id")).alias("one")).distinct()
+    facts = scratch.write(classes.join(marks, "one", "left_semi"), "facts", links=True)
+    pairs = shared.select(F.col("hub").alias("mark_a"), F.col("id").alias("mark_b")).distinct()
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """a, b, far: the pairs (a, b) of classes that pass the long sketch, and by how much."""
+        full = pairs.join(_side(facts, "a", "id", "size", "sketch"), "a").join(_side(facts, "b", "id", "size", "sketch"), "b")
+        far = _hamming("sketch", WORDS) / (F.col("size_a") + F.col("size_b"))
+        return full.where(_close(bands, "sketch", WORDS)).select("a", "b", far.alias("far"))
+
+    for x in "ab":
+        pairs = pairs.join(_side(facts, x, "id", "one", "size", "short").withColumnRenamed(f"one_{x}", f"mark_{x}"), f"mark_{x}")
+    star = scratch.write(near(pairs.where("a <> b").where(_close(bands, "short", SHORT)).select("a", "b")), "star", links=True)
+    components = scratch.write(facts.select("id", F.col("id").alias("comp")), "components", links=True)
+    components = run.settled(classes, components, star)
     # Buckets that still span components: their members meet each other, hubs apart.
-    member = shared.select("key", "id", "hub").join(components, "id")
+    member = shared.select("key", F.col("id").alias("one")).join(facts.select("one", "id", "size", "short").join(components, "id"), "one")
     mixed = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    member = materialize(member.where("id <> hub").join(mixed, "key").join(facts.select("id", "size", "sketch"), "id"), "member", links=True)
-    if not member.isEmpty():
-        a, b = (member.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "comp", "size", "sketch")]) for x in "ab")
-        across = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & _close(bands)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        across = materialize(across, "across", links=True)
-        if not across.isEmpty():
-            components = merged(components, alike(across))
-    comp = components.select(F.col("id").alias("rep"), "comp")
-    return rows.join(comp, "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    member = scratch.write(member.join(mixed, "key").drop("one"), "member", links=True)
+    scratch.drop(shared)
+    sides = [_side(member, x, "id", "key", "comp", "size", "short").withColumnRenamed(f"key_{x}", "key") for x in "ab"]
+    met = sides[0].join(sides[1], "key").where((F.col("comp_a") < F.col("comp_b")) & _close(bands, "short", SHORT))
+    met = scratch.write(met.select("a", "b").distinct(), "met", links=True)
+    across = scratch.write(near(met), "across", links=True)
+    components = run.settled(classes, components, across)
+    # From classes to ids: rows that repeat an id with several texts join their classes.
+    worded = sets.where("doc_id is not null and size > 0").select("doc_id", *same)
+    twice = worded.groupBy("doc_id").agg(F.min("one").alias("low"), F.max("one").alias("high")).where("low < high").select("doc_id")
+    every = classes.select(*same, "rep", "id").join(components, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    every = scratch.write(every, "every")
+    own = worded.join(twice, "doc_id", "left_semi").distinct().join(every, same).select("doc_id", "comp")
+    least = own.groupBy("doc_id").agg(F.min("comp").alias("a"))
+    bridges = own.join(least, "doc_id").select("a", F.col("comp").alias("b")).where("a < b").distinct()
+    bridges = scratch.write(bridges, "bridges", links=True)
+    comps = bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    over = merged(scratch, scratch.write(comps, "bridged", links=True), bridges)
+    over = over.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    every_ = every.join(over, "comp", "left").select(*same, "rep", F.coalesce("to", "comp").alias("comp"))
+    least = every_.groupBy("comp").agg(F.min("rep").alias("least"))
+    named = scratch.write(every_.join(least, "comp").select(*same, "least"), "named")
+    scratch.drop(classes, facts, components, member, met, every, bridges)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return sets.select("doc_id", *same).join(named, same, "left").select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.common import Scratch
 from tallyhouse.llm import byte_bpe, chat, components, decontaminate, line_dedup, mips, ngram_join, quality, secrets, sharding, token_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, body long, line int"
@@ -216,6 +217,26 @@ def test_ngram_join(spark, odd, none, n, num, den):
     assert ngram_join.linked(none).count() == 0
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    a, b = prose(1, 90), prose(2, 90)
+    near = lambda text: text.rsplit(" ", 1)[0]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (5, prose(3, 90)), (6, prose(4, 90)), (6, prose(3, 90)), (7, prose(4, 90)), (7, "")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {(x["doc_id"], x["component_id"]) for x in ngram_join.linked(df).where("n_shingles > 0").collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 5)}
+
+
+def test_texts_with_many_empty_segments_have_no_key_in_common():
+    bands = ngram_join.Bands(4, 5)
+    r = np.random.default_rng(0)
+    seen: Counter = Counter()
+    for size in [*range(3, 60), *range(60, 6000, 60)]:
+        for _ in range(3):
+            seen.update(ngram_join.segment_keys(r.integers(0, 1 << 63, size).astype(np.uint64), bands).tolist())
+    assert max(seen.values()) == 1
+
+
 def test_sketches_bound_the_difference():
     r = random.Random(9)
     for _ in range(50):
@@ -233,7 +254,7 @@ def test_sketches_bound_the_difference():
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(60, 50), (50, 70), (80, 80)]
     ids = spark.createDataFrame([(i, i) for i in range(100)], "id long, comp long")
-    got = {r["id"]: r["comp"] for r in components.merged(ids, spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["id"]: r["comp"] for r in components.merged(Scratch(spark), ids, spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 if i <= 40 else 50 if i in (60, 50, 70) else i for i in range(100)}
 
 
