@@ -38,19 +38,28 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_token_counts(odd, none):
-    library = token_counts.PieceCounter(PIECES).library
-    rows = token_counts.token_counts(odd, PIECES, limit=100).collect()
-    texts = Counter((r["doc_id"], len(library.encode(r["text"] or "")), len((r["text"] or "").encode())) for r in odd.collect())
-    assert Counter((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in rows) == texts
-    assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in rows)
+def piece_library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+@pytest.mark.parametrize("common", [0, 5, 100_000])
+def test_token_counts(spark, odd, none, common):
+    library = piece_library()
+    r = random.Random(8)
+    loose = [(100 + k, "".join(r.choice("ab  \u2581\u2581 \n.é漢<s>\t\xa0xq1") for _ in range(r.choice([1, 2, 5, 60]))), *[None] * 6) for k in range(300)]
+    rows = odd.unionByName(spark.createDataFrame(loose, DOCS))
+    got = token_counts.token_counts(rows, PIECES, limit=100, common=common).collect()
+    texts = Counter((r["doc_id"], len(library.encode(r["text"] or "")), len((r["text"] or "").encode())) for r in rows.collect())
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_bytes"]) for r in got) == texts
+    assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got)
     assert token_counts.token_counts(none, PIECES).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", " ", "  ", " a", "a ", "a  b", "\n a", "a \n  b ", "<s> hi </s>", "▁a ▁ b", "漢字 テスト", "a" * 300, "a　 b"])
+@pytest.mark.parametrize("text", ["", " ", "  ", " a", "a ", "a  b", "\n a", "a \n  b ", "<s> hi </s>", "▁a ▁ b", "▁ ", "a▁  b", "▁", "漢字 テスト", "a" * 300, "a　 b"])
 def test_pre_tokens_add_up(text):
-    counter = token_counts.piece_counter(PIECES)
-    assert counter.count([Counter(token_counts.pre_tokens(text))])[0] == len(counter.library.encode(text))
+    assert sum(token_counts.piece_counter(PIECES)(token_counts.pre_tokens(text))) == len(piece_library().encode(text))
 
 
 def test_byte_bpe_matches_the_library(odd, none):
