@@ -30,8 +30,7 @@ class Scratch:
     """Tables of one run of an operator, in a folder of their own below the shared one.
 
     ``write`` cuts the lineage, and what it has written outlives any executor. ``drop`` deletes tables once all that is made of
-    them is written too. Spark removes the shuffle files of finished jobs when the driver's JVM has collected what refers to
-    them, so it is asked to; otherwise they would stay on the executors' disks for the whole run.
+    them is written too.
     """
 
     def __init__(self, spark: SparkSession):
@@ -58,8 +57,11 @@ class Scratch:
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(conf).delete(at, True)
                 self.paths[k] = (None, None)
+
+    def tidy(self) -> None:
+        """Lets shuffle files of finished jobs go: Spark removes them once the driver's JVM has collected what refers to them, so it is asked to. Otherwise they stay on the executors' disks for the whole run."""
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

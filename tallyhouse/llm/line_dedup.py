@@ -164,6 +164,7 @@ def _near_copies(scratch: Scratch, near: DataFrame, min_words: int) -> DataFrame
     pairs = some.join(first, "key").select(place.alias("place"), earlier.alias("earlier")).where("earlier < place")
     pairs = scratch.write(pairs.distinct(), "pairs", links=True)
     scratch.drop(met, some, first)
+    scratch.tidy()
     said = near.select(place.alias("place"), "words")
 
     def verify(batches):
@@ -196,6 +197,7 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORD
     copies = lines.select("one", "two", place.alias("place")).join(several, ["one", "two"]).where("place > first").select("place.*")
     gone = [scratch.write(copies, "copies")]
     scratch.drop(lines)
+    scratch.tidy()
     if max_edits:
         halved = firsts.select(*PLACE, F.posexplode("keys").alias("which", "key"))
         met = halved.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -205,11 +207,13 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORD
         asked, _ = among(scratch, source, "doc_id", owing.select("doc_id"))
         near = scratch.write(_picked(asked, owing), "near")
         scratch.drop(owing)
+        scratch.tidy()
         gone.append(_near_copies(scratch, near, min_words))
         scratch.drop(near)
     every = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
     out = scratch.write(every.groupBy("doc_id", "body").agg(F.collect_set("line").alias("lines")), "removed")
     scratch.drop(firsts, *gone)
+    scratch.tidy()
     return out
 
 

@@ -5,41 +5,54 @@ a threshold: its k-th best score so far. It then goes only to blocks whose longe
 times length of vector), and there only the leading coordinates, after a rotation by the vectors' singular directions, are
 multiplied for all; the rest is bounded by the lengths of what is left (Cauchy-Schwarz). Whatever could still reach the
 threshold is scored exactly in integers. Rows without a vector, or with a null or non-finite component, take no part.
+
+Blocks are grouped by levels of length. A block of queries is sent only to the levels that it can reach, and there to each
+of a number of parts that follows the level's share of the blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyhouse.llm.common import materialize, table
+from tallyhouse.llm.common import Scratch, table
 
 #: Queries and vectors in a block; leading coordinates; how many of them a task multiplies at once.
 QUERY_BLOCK, BLOCK, LEADING = 512, 2048, 16
 QUERY_GROUP, SLICE = 64, 256
+#: Levels of length for each doubling. Components beyond FAR, either way, count as FAR; scores beyond a long's range as its end.
+LEVELS, FAR, END = 2, 1e300, (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v (array of long: floor(scale * x)) and its squared length, for rows that take part."""
-    x = F.transform("embedding", lambda e: F.floor(e.cast("double") * scale))
-    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-    rows = vectors.where(F.coalesce(usable, F.lit(False))).select("vec_id", x.alias("v"))
-    return rows.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
+    """vec_id, v (array of double: whole numbers, floor(scale * x)) and its length, for rows that take part."""
+
+    def whole(e):
+        y = F.greatest(F.least(e.cast("double"), F.lit(FAR)), F.lit(-FAR)) * scale
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # doubles from there on are whole
+
+    odd = F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
+    usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~odd
+    rows = vectors.where(F.coalesce(usable, F.lit(False))).select("vec_id", F.transform("embedding", whole).alias("v"))
+    most = F.aggregate("v", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
+    part = F.aggregate("v", F.lit(0.0), lambda a, e: a + (e / F.col("most")) * (e / F.col("most")))
+    length = F.when(F.col("most") > 0, F.col("most") * F.sqrt(part)).otherwise(0.0)  # no square overflows
+    return rows.withColumn("most", most).withColumn("length", length).drop("most")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of one length at the front, shorter vectors padded with zeros."""
     lengths = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(lengths), dim), dtype=np.int64)
+    out = np.zeros((len(lengths), dim))
     flat = column.flatten().to_numpy(zero_copy_only=False)
     out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
 
 
 def packed(rows: DataFrame, size: int, dim: int) -> DataFrame:
-    """Blocks of up to ``size`` rows in the order they come: ids and vectors as bytes, and the longest squared length."""
-    schema = "n int, ids binary, vectors binary, norm2 long"
+    """Blocks of up to ``size`` rows in the order they come: ids and vectors as bytes, and the longest length."""
+    schema = "n int, ids binary, vectors binary, length double"
 
     def run(batches):
         ids, vectors, norms = [], [], []
@@ -48,19 +61,20 @@ def packed(rows: DataFrame, size: int, dim: int) -> DataFrame:
             nonlocal ids, vectors, norms
             i, v, m = np.concatenate(ids), np.concatenate(vectors), np.concatenate(norms)
             ids, vectors, norms = [i[take:]], [v[take:]], [m[take:]]
-            return pa.RecordBatch.from_pydict({"n": pa.array([len(i[:take])], pa.int32()), "ids": pa.array([i[:take].tobytes()], pa.binary()), "vectors": pa.array([v[:take].tobytes()], pa.binary()), "norm2": pa.array([int(m[:take].max())], pa.int64())})
+            columns = [pa.array([len(i[:take])], pa.int32()), *(pa.array([x[:take].tobytes()], pa.binary()) for x in (i, v))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([float(m[:take].max())])], names=["n", "ids", "vectors", "length"])
 
         for batch in batches:
             if batch.num_rows:
                 ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64))
                 vectors.append(_matrix(batch.column("v"), dim))
-                norms.append(batch.column("norm2").to_numpy(zero_copy_only=False).astype(np.int64))
+                norms.append(batch.column("length").to_numpy(zero_copy_only=False))
                 while sum(map(len, ids)) >= size:
                     yield block(size)
         if sum(map(len, ids)):
             yield block(size)
 
-    return rows.select("vec_id", "v", "norm2").mapInArrow(run, schema)
+    return rows.select("vec_id", "v", "length").mapInArrow(run, schema)
 
 
 def rotation(rows: DataFrame, dim: int) -> np.ndarray:
@@ -69,7 +83,8 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     def run(batches):
         gram = np.zeros((dim, dim))
         for batch in batches:
-            v = _matrix(batch.column("v"), dim).astype(float)
+            v = _matrix(batch.column("v"), dim)
+            v /= np.maximum(np.abs(v).max(axis=1, keepdims=True, initial=0), 1e-300)  # directions alone matter, and no square overflows
             gram += v.T @ v
         i, j = np.indices((dim, dim))
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(gram.ravel())], names=["i", "j", "x"])
@@ -80,8 +95,15 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(gram)[1][:, ::-1]
 
 
-def _slice_scores(q: np.ndarray, c: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", q[at], c[of])
+def _exact(q: np.ndarray, c: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows ``at`` of q and ``of`` of c; what a long can't hold counts as its end."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**62:
+        return np.einsum("ij,ij->i", q[at].astype(np.int64), c[of].astype(np.int64))
+    big_q, big_c = ([[int(x) for x in row] for row in m] for m in (q, c))
+    scores = (sum(x * y for x, y in zip(big_q[i], big_c[j])) for i, j in zip(at, of))
+    return np.fromiter((max(-END, min(END, x)) for x in scores), np.int64, len(at))
 
 
 def best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int):
@@ -90,13 +112,18 @@ def best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int
     Queries go in groups and the block, longest vectors first, in slices, so a few MB are held at a time. Each slice's finds
     raise the threshold for the next, and a group is done once no query of it can reach its own with the lengths that are left.
     """
+    with np.errstate(over="ignore", invalid="ignore"):  # a bound that overflows prunes nothing
+        return _best_of(query_ids, queries, block_ids, block, turn, floor, k, lead)
+
+
+def _best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int):
     out = []
-    c_all = block.astype(float) @ turn
+    c_all = block @ turn
     c_length, c_rest = np.linalg.norm(c_all, axis=1), np.linalg.norm(c_all[:, lead:], axis=1)
     longest = np.maximum.accumulate(c_length[::-1])[::-1]
     for start in range(0, len(queries), QUERY_GROUP):
         ids, vectors = query_ids[start : start + QUERY_GROUP], queries[start : start + QUERY_GROUP]
-        q = vectors.astype(float) @ turn
+        q = vectors @ turn
         length, rest = np.linalg.norm(q, axis=1), np.linalg.norm(q[:, lead:], axis=1)
         need = floor[start : start + QUERY_GROUP].astype(np.int64).copy()
         best = (np.zeros(0, np.int64),) * 3  # query, id, score
@@ -106,11 +133,11 @@ def best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int
             if (length * longest[low] + slack < need).all():
                 break
             bound = q[:, :lead] @ c_all[low:high, :lead].T + np.outer(rest, c_rest[low:high])
-            at, of = np.nonzero(bound + slack[:, None] >= need[:, None])
+            at, of = np.nonzero(~(bound + slack[:, None] < need[:, None]))
             of += low
             keep = ids[at] != block_ids[of]
             at, of = at[keep], of[keep]
-            score = _slice_scores(vectors, block, at, of)
+            score = _exact(vectors, block, at, of)
             keep = score >= need[at]
             at, found, score = (np.concatenate([x, y]) for x, y in zip(best, (at[keep], block_ids[of[keep]], score[keep])))
             order = np.lexsort((found, -score, at))
@@ -128,40 +155,47 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
 
     ``is_query`` is a column over vec_id. All rows of a query's own id are left out; a repeated row is one more candidate.
     Fewer candidates than k give all of them; no query or no candidate gives no rows. Shorter vectors count as padded with
-    zeros.
+    zeros. Very large finite components take part: scores that a long can't hold count as its end.
     """
-    rows = materialize(quantized(vectors, scale), "vectors")
+    scratch = Scratch(vectors.sparkSession)
+    spark = scratch.spark
+    rows = scratch.write(quantized(vectors, scale), "vectors")
     dim = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()["d"] or 1
     turn = rotation(rows, dim)
-    spark = rows.sparkSession
-    order = [F.col("norm2").desc(), F.col("vec_id").asc()]
-    blocks = materialize(packed(rows.repartitionByRange(*order).sortWithinPartitions(*order), block, dim).withColumn("block", F.xxhash64("ids", "vectors")), "blocks")
-    queries = materialize(packed(rows.where(is_query).dropDuplicates(["vec_id"]), query_block, dim), "queries")
-    longest = blocks.orderBy(F.col("norm2").desc(), "block").limit(1).collect()  # one block: its size is a parameter
+    order = [F.col("length").desc(), F.col("vec_id").asc()]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    level = F.floor(F.log2(F.greatest("length", F.lit(1e-9))) * LEVELS).cast("int")
+    blocks = packed(sorted_, block, dim).withColumn("level", level).withColumn("block", F.xxhash64("ids", "vectors"))
+    blocks = scratch.write(blocks, "blocks")
+    asked = rows.where(is_query).dropDuplicates(["vec_id"]).repartitionByRange(*order).sortWithinPartitions(*order)
+    queries = scratch.write(packed(asked, query_block, dim), "queries")
+    longest = blocks.orderBy(F.col("length").desc(), "block").limit(1).collect()  # one block: its size is a parameter
     if not longest:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first = longest[0]
-    lead_ids, lead_vectors = np.frombuffer(first["ids"], np.int64), np.frombuffer(first["vectors"], np.int64).reshape(-1, dim)
-    k_, lead_ = k, min(lead, dim)
 
     def unpack(ids, vectors):
-        return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dim)
+        return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
+
+    lead_ids, lead_vectors = unpack(longest[0]["ids"], longest[0]["vectors"])
+    k_, lead_ = k, min(lead, dim)
 
     def start(batches):
-        """The threshold of each query, from the block of the longest vectors; the longest reach any of the block's queries has."""
+        """The threshold of each query, from the block of the longest vectors; the least length that any of the block's queries needs."""
         for batch in batches:
             for r in batch.to_pylist():
                 ids, v = unpack(r["ids"], r["vectors"])
-                lowest = np.full(len(ids), np.iinfo(np.int64).min // 2)
+                lowest = np.full(len(ids), -END)
                 at, _, score = best_of(ids, v, lead_ids, lead_vectors, turn, lowest, k_, lead_)
                 full = np.bincount(at, minlength=len(ids)) >= k_
-                np.minimum.at(floor := np.full(len(ids), np.iinfo(np.int64).max // 2), at, score)
+                np.minimum.at(floor := np.full(len(ids), END), at, score)
                 floor = np.where(full, floor, lowest)
-                length = np.sqrt((v.astype(float) ** 2).sum(axis=1))
+                most = np.abs(v).max(axis=1, initial=0)
+                length = most * np.sqrt(((v / np.maximum(most, 1e-300)[:, None]) ** 2).sum(axis=1))
                 need = np.where(length > 0, floor / np.maximum(length, 1e-300), np.where(floor <= 0, -1.0, np.inf))
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([r["ids"]], pa.binary()), "vectors": pa.array([r["vectors"]], pa.binary()), "floors": pa.array([floor.astype(np.int64).tobytes()], pa.binary()), "need": pa.array([float(need.min())])})
+                columns = [pa.array([x], pa.binary()) for x in (r["ids"], r["vectors"], floor.astype(np.int64).tobytes())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([float(need.min())])], names=["ids", "vectors", "floors", "need"])
 
-    started = materialize(queries.mapInArrow(start, "ids binary, vectors binary, floors binary, need double"), "started")
+    started = scratch.write(queries.mapInArrow(start, "ids binary, vectors binary, floors binary, need double"), "started")
 
     def score(batches):
         for batch in batches:
@@ -171,15 +205,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
                 at, found, points = best_of(ids, v, other, w, turn, np.frombuffer(r["floors"], np.int64), k_, lead_)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(points)], names=["query_id", "vec_id", "score"])
 
-    # Blocks of the stated queries meet the blocks they can reach: a key for each half, dealt so that both sides are spread.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    reach = F.sqrt(F.col("norm2").cast("double")) * (1 + 1e-9)
-    other = blocks.select(F.pmod("block", F.lit(parts)).alias("part"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"), reach.alias("reach"))
-    spread = started.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    met = spread.join(other, (spread["part"] == other["part"]) & (other["reach"] >= spread["need"])).select("ids", "vectors", "floors", "other_ids", "other_vectors")
-    found = met.mapInArrow(score, "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
-
+    # A few thousand levels at most, whatever the input: a double has no more doublings.
+    dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    levels = [tuple(r) for r in blocks.groupBy("level").agg(F.count("*"), F.max("length")).collect()]
+    held = F.array(*[F.struct(F.lit(a).alias("level"), F.lit(min(n, dealt)).alias("parts"), F.lit(m * (1 + 1e-9)).alias("reach")) for a, n, m in levels])
+    parts_of = F.create_map(*[F.lit(x) for a, n, _ in levels for x in (a, min(n, dealt))])
+    other = blocks.select("level", F.pmod("block", parts_of[F.col("level")]).cast("int").alias("part"), "length", F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
+    sent = started.withColumn("to", F.explode(F.filter(held, lambda x: x["reach"] >= F.col("need"))))
+    sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1))).withColumn("level", F.col("to.level")).drop("to")
+    met = sent.join(other, ["level", "part"]).where(F.col("length") * (1 + 1e-9) >= F.col("need"))
+    found = met.select("ids", "vectors", "floors", "other_ids", "other_vectors").mapInArrow(score, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

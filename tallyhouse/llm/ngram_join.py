@@ -280,6 +280,7 @@ class _Join:
             scratch.drop(apart, asked, links, pairs)
             pairs, width = rest, width * 8
         scratch.drop(apart, bodies, pairs)
+        scratch.tidy()
         return components
 
 
@@ -299,6 +300,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame
     )
     classes = scratch.write(known.withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = scratch.write(_shared(_keys(docs, n, bands)), "shared")
+    scratch.tidy()
     marks = shared.select(F.explode(F.array("hub", "id")).alias("one")).distinct()
     facts = scratch.write(classes.join(marks, "one", "left_semi"), "facts", links=True)
     pairs = shared.select(F.col("hub").alias("mark_a"), F.col("id").alias("mark_b")).distinct()
@@ -340,6 +342,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame
     least = every_.groupBy("comp").agg(F.min("rep").alias("least"))
     named = scratch.write(every_.join(least, "comp").select(*same, "least"), "named")
     scratch.drop(classes, facts, components, member, met, every, bridges)
+    scratch.tidy()
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return sets.select("doc_id", *same).join(named, same, "left").select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
 

@@ -15,29 +15,36 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROUNDS = 6
+#: Rounds of the network; cells of the grid beyond the rows at most.
+ROUNDS, WALK = 6, 64
 
 
 def grid(n: int) -> tuple[int, int]:
-    """The sides of the smallest nearly square grid of n cells."""
-    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    """The sides of a nearly square grid of n cells and at most WALK more."""
+    a = max(1, math.isqrt(n))
+    while a > WALK and -n % a > WALK:
+        a -= 1
     return a, max(1, -(-n // a))
 
 
 def _steps(n: int) -> int:
-    """Walks needed: at most the cells beyond n can follow each other. For large n a row in sqrt(n) starts outside, so 64 in a row don't occur."""
+    """Walks that always suffice: only the cells beyond n can follow each other."""
     a, b = grid(n)
-    return min(a * b - n, 64)
+    return a * b - n
 
 
 def _forward(x: str, a: int, b: int, seed: int) -> str:
-    mixed = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', {x} % {a}L, 'r', {x} div {a}L), (s, j) -> named_struct('l', s.r, 'r', (s.l + pmod(xxhash64(s.r, j, {seed}), if(j % 2 = 0, {a}L, {b}L))) % if(j % 2 = 0, {a}L, {b}L)), s -> s.r * {a}L + s.l)"
-    return mixed
+    side = f"if(j % 2 = 0, {a}L, {b}L)"
+    state = f"named_struct('l', {x} % {a}L, 'r', {x} div {a}L)"
+    step = f"(s, j) -> named_struct('l', s.r, 'r', (s.l + pmod(xxhash64(s.r, j, {seed}), {side})) % {side})"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {state}, {step}, s -> s.r * {a}L + s.l)"
 
 
 def _backward(x: str, a: int, b: int, seed: int) -> str:
     side = f"if(({ROUNDS - 1} - j) % 2 = 0, {a}L, {b}L)"
-    return f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', {x} % {a}L, 'r', {x} div {a}L), (s, j) -> named_struct('l', pmod(s.r - pmod(xxhash64(s.l, {ROUNDS - 1} - j, {seed}), {side}), {side}), 'r', s.l), s -> s.r * {a}L + s.l)"
+    state = f"named_struct('l', {x} % {a}L, 'r', {x} div {a}L)"
+    mixed = f"pmod(s.r - pmod(xxhash64(s.l, {ROUNDS - 1} - j, {seed}), {side}), {side})"
+    return f"aggregate(sequence(0, {ROUNDS - 1}), {state}, (s, j) -> named_struct('l', {mixed}, 'r', s.l), s -> s.r * {a}L + s.l)"
 
 
 def _walked(step, column: str, n: int, seed: int) -> Column:
@@ -77,7 +84,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 7, buckets: int =
     Null texts have size 16 and checksum 0; null ids and repeated rows are rows like any other; further columns are left
     aside; an empty table gives no rows.
     """
-    facts = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    facts = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     n = docs.count()
     place = numbered(facts, "doc_id", ["size", "text_crc32"], buckets).withColumn("_place", permuted("row_number", max(n, 1), seed))
     return place.select("doc_id", "size", "text_crc32", "row_number", (F.col("_place") % shards).cast("int").alias("shard"), F.expr(f"_place div {shards}").alias("slot"))

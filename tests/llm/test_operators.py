@@ -100,11 +100,57 @@ def test_sharding(spark, odd, none):
     assert sharding.shard_rows(none).count() == 0
     again = sharding.shard_rows(odd.repartition(7), shards=3).collect()
     assert Counter(rows) == Counter(again)
-    for n in (1, 2, 3, 17, 101, 1000):
+    for n in (1, 2, 3, 17, 101, 1000, 5003):
         got = spark.range(n).select("id", sharding.permuted("id", n).alias("p")).select("id", "p", sharding.row_number_of("p", n).alias("back")).collect()
         assert sorted(r["p"] for r in got) == list(range(n)) and all(r["id"] == r["back"] for r in got)
 
 
+def brute_place(x, n, seed=7):
+    """The network and the walk in plain Python, over Spark's hash."""
+    from pyspark.sql import SparkSession
+
+    a, b = sharding.grid(n)
+    hashed = {}
+
+    def spark_hash(r, j):
+        if (r, j) not in hashed:
+            row = SparkSession.active().sql(f"SELECT transform(sequence(0, {max(a, b)}), r -> xxhash64(r * 1L, {j}, {seed})) AS h").first()["h"]
+            hashed.update({(k, j): h for k, h in enumerate(row)})
+        return hashed[r, j]
+
+    def network(x):
+        left, right = x % a, x // a
+        for j in range(sharding.ROUNDS):
+            left, right = right, (left + spark_hash(right, j)) % (b if j % 2 else a)
+        return right * a + left
+
+    out = []
+    for y in x:
+        y = network(y)
+        while y >= n:
+            y = network(y)
+        out.append(y)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 7, 101, 600])
+def test_sharding_matches_brute_force(spark, n):
+    docs = spark.createDataFrame([(k * 3, "x" * (k % 7)) for k in range(n)], "doc_id long, text string")
+    rows = sorted(sharding.shard_rows(docs, shards=4).collect(), key=lambda r: r["row_number"])
+    places = brute_place(range(n), n)
+    assert [(r["shard"], r["slot"]) for r in rows] == [(p % 4, p // 4) for p in places]
+
+
+def test_walks_are_bounded_and_equal_rows_spread(spark):
+    for n in [*range(1, 3000), 10**6 + 3, 10**9 + 7, 10**10 + 19]:
+        a, b = sharding.grid(n)
+        assert 0 <= a * b - n <= sharding.WALK and a * b >= n
+    same = spark.range(5000).selectExpr("1L AS doc_id", "'same' AS text")
+    rows = sharding.shard_rows(same, shards=7).collect()
+    slots = Counter(r["shard"] for r in rows)
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 5000 and max(slots.values()) - min(slots.values()) <= 1
+
+
 def test_secrets(spark, odd, none):
     key = "zK8qLw3Vx9Tb2Rf7Hn5s4"
     rows = [(k, f"token = '{base64.b64encode(hashlib.sha1(str(k).encode()).digest()).decode()}' plainidentifiername anotherlongordinaryname2") for k in range(200)]
@@ -187,6 +233,16 @@ def test_top_k(spark):
     assert mips.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e8, 1.0]), (1, [3e8, -2.0]), (2, [-1e8, 5.0]), (50, [1e300, -1e300]), (51, [1e308, 1.0]), (52, [2e9, 1.0]), (53, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    end = mips.END
+    q = {i: [int(min(max(x, -1e300), 1e300) * 256) if abs(x * 256) >= 2**53 else int(np.floor(x * 256)) for x in v] for i, v in rows}
+    score = lambda a, b: max(-end, min(end, sum(x * y for x, y in zip(q[a], q[b]))))
+    want = [(a, k + 1, b, -s) for a in (0, 50) for k, (s, b) in enumerate(sorted((-score(a, b), b) for b in q if b != a)[:5])]
+    assert sorted(map(tuple, mips.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+
+
 def brute_components(rows, n, num, den):
     sets = {i: set(ngram_join.shingle_set(t or "", n).tolist()) for i, t in rows if i is not None}
     root = {i: i for i in sets}
