@@ -31,7 +31,7 @@ from tallyhouse.llm.components import merged
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: 64-bit words of the long and of the short dense sketch; bits of a segment of the sparse one; layouts of segments at most.
-WORDS, SHORT, SEGMENT_BITS, LAYOUTS = 32, 4, 20, 16
+WORDS, SHORT, SEGMENT_BITS, LAYOUTS = 32, 8, 20, 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
