@@ -19,13 +19,20 @@ def fold_digits(c: str | Column) -> Column:
     return F.translate(_col(c), DIGITS, PLAIN)
 
 
+#: Currency marks as sites write them, in the order in which they are taken out.
+CURRENCY_MARKS = ("SAR", "EGP", "USD", "EUR", "AED", "KWD", "QAR", "ر.س", "ريال", "ج.م", "جنيه", "LE", "L.E.", "$", "€", "£")
+
+
 def parse_money(c: str | Column) -> Column:
     """A decimal(18,4) from a price text; null for blank or unreadable ones (``money_error`` tells them apart).
 
-    With both marks the one further right is the decimal mark. A comma alone is one if a single comma has one or two digits
-    behind it; a point alone always is.
+    Currency marks go first, as some hold points. With both marks the one further right is the decimal mark. A comma alone
+    is one if a single comma has one or two digits behind it; a point alone always is.
     """
-    kept = F.regexp_replace(fold_digits(c), "[^0-9.,-]", "")
+    text = fold_digits(c)
+    for mark in CURRENCY_MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    kept = F.regexp_replace(text, "[^0-9.,-]", "")
     comma, point = F.length(kept) - F.instr(F.reverse(kept), ","), F.length(kept) - F.instr(F.reverse(kept), ".")
     has_comma, has_point = kept.contains(","), kept.contains(".")
     plain = (
@@ -117,16 +124,36 @@ def selling_unit(name: str | Column, weight: str | Column, unit: str = "kg") ->
     return F.when(F.abs(said - _col(weight).cast("double")) <= 1e-6, unit)
 
 
-#: Units as sites write them.
-UNIT_ALIASES = {"kgs": "kg", "kilogram": "kg", "kilo": "kg", "metre": "m", "meter": "m", "mtr": "m", "litre": "l", "liter": "l", "ltr": "l", "piece": "pcs", "pc": "pcs", "each": "pcs", "ton": "t", "tonne": "t"}
+#: Units as sites write them, and the codes they stand for.
+UNIT_ALIASES = {
+    "meter": "m", "meters": "m", "metre": "m", "metres": "m", "mtr": "m",
+    "kilogram": "kg", "kilograms": "kg", "kilo": "kg", "kgs": "kg",
+    "litre": "liter", "litres": "liter", "liters": "liter", "l": "liter",
+    "ton": "tonne", "tons": "tonne", "tonnes": "tonne", "metric ton": "tonne",
+    "square meter": "m2", "square metre": "m2", "sqm": "m2", "m²": "m2",
+    "cubic meter": "m3", "cubic metre": "m3", "cbm": "m3", "m³": "m3",
+    "pieces": "piece", "pcs": "piece", "pc": "piece", "each": "piece",
+    "kwh": "kWh", "kw/h": "kWh",
+    "متر": "m", "امتار": "m", "أمتار": "m",
+    "كيلوجرام": "kg", "كجم": "kg", "كيلو": "kg",
+    "لتر": "liter", "قطعة": "piece", "حبة": "piece",
+}
 
 
-def canonical_unit(c: str | Column) -> Column:
-    """A unit without a currency before its slash, by the table of aliases."""
-    raw = F.lower(F.trim(_col(c)))
-    tail = F.trim(F.when(raw.contains("/"), F.substring_index(raw, "/", -1)).otherwise(raw))
+def canonical_unit(c: str | Column, currency: str | Column | None = None) -> Column:
+    """A unit's code by the table of aliases; unknown ones stay as they are, in lower case. Null for blank.
+
+    What stands before a slash goes if it is the row's currency or all upper case, so ``USD/liter`` is a liter and ``kg/m2``
+    stays whole.
+    """
+    raw = F.trim(_col(c))
+    head, tail = F.trim(F.substring_index(raw, "/", 1)), F.regexp_replace(raw, "^[^/]*/", "")
+    own = F.lit(False) if currency is None else F.upper(head) == F.upper(F.trim(F.coalesce(_col(currency), F.lit(""))))
+    capitals = (head == F.upper(head)) & head.rlike("\\p{Lu}")
+    text = F.when(raw.contains("/") & (own | capitals), tail).otherwise(raw)
+    key = F.rtrim(F.lower(F.trim(text)), F.lit("."))
     known = F.create_map(*[F.lit(x) for pair in UNIT_ALIASES.items() for x in pair])
-    return F.when(tail != "", F.coalesce(F.try_element_at(known, tail), tail))
+    return F.when(raw != "", F.coalesce(F.try_element_at(known, key), key))
 
 
 def price_unit(unit: str | Column, quantity: str | Column) -> Column:

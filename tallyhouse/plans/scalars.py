@@ -15,11 +15,34 @@ def _(v):
     return v.documents.select("doc_id", F.md5(x.fold_digits(F.translate("text", "0123456789", "٠١٢٣٤٥٦٧٨٩")).cast("binary")).alias("folded"))
 
 
-@query("f2_parse_money", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice, 2) AS DOUBLE) AS amount FROM lineitem")
-def _(v):
-    # The amount as a site would write it: points between thousands, a comma before the cents, and a currency.
-    written = F.concat(F.lit("SAR "), F.translate(F.format_number("l_extendedprice", 2), ",.", ".,"))
-    return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", x.parse_money(written).cast("double").alias("amount"))
+#: Price texts by the part of the cents, as sites write them: marks with points, either side, both decimal styles, Arabic digits, and one without a number.
+MONEY_SQL = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE WHEN cents % 9 = 8 THEN NULL WHEN cents % 9 = 7 THEN CAST(cents // 100 AS DOUBLE) ELSE cents / 100.0 END AS amount,
+       cents % 9 = 8 AS wrong
+FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) AS l
+"""
+
+
+@query("f2_parse_money", MONEY_SQL)
+def _(v):
+    rows = v.lineitem.withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    amount = F.format_number(F.col("cents") / 100, 2)
+    other = F.translate(amount, ",.", ".,")
+    whole = F.format_number(F.expr("cents div 100"), 0)
+    ways = [
+        F.concat(amount, F.lit(" ر.س")),
+        F.concat(F.lit("ر.س "), amount),
+        F.concat(F.lit("L.E. "), amount),
+        F.concat(other, F.lit(" L.E.")),
+        F.concat(F.lit("ج.م "), F.translate(amount, "0123456789.,", x.DIGITS[:10] + x.DIGITS[20:])),
+        F.concat(F.lit("SAR "), other),
+        F.concat(F.lit("$"), F.replace(amount, F.lit(","), F.lit(""))),
+        F.concat(whole, F.lit(" جنيه")),
+        F.lit("call us"),
+    ]
+    written = F.element_at(F.array(*ways), (F.col("cents") % len(ways) + 1).cast("int"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", x.parse_money(written).cast("double").alias("amount"), x.money_error(written).alias("wrong"))
 
 
 @query("f3_canonical_amount", "SELECT offer_id, ord1, ord2, ord3, regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS amount FROM obs")
@@ -66,10 +89,19 @@ def _(v):
     return v.part.select("p_partkey", x.selling_unit(name, F.col("p_size") + F.col("p_size") % 2).alias("unit"))
 
 
-@query("f11_canonical_unit", "SELECT offer_id, CASE unit_code WHEN 'kg' THEN 'kg' WHEN 'm' THEN 'm' END AS unit FROM offer")
+#: What a site says, with its currency, and the code of it.
+UNITS = (
+    ("SAR/Kilogram", "SAR", "kg"), (" Mtr ", "SAR", "m"), ("kg/m2", "SAR", "kg/m2"), ("egp/liters", "EGP", "liter"), ("Pcs.", "SAR", "piece"),
+    ("SQM", "EGP", "m2"), ("متر", "EGP", "m"), ("kW/h", "SAR", "kWh"), ("Bag", "SAR", "bag"), ("USD/M³", "EGP", "m3"),
+)
+UNITS_SQL = "SELECT offer_id, ord1, ord2, ord3, CASE ord4 % 11 %s END AS unit FROM obs"
+
+
+@query("f11_canonical_unit", UNITS_SQL.replace("%s", " ".join(f"WHEN {k} THEN '{u}'" for k, (_, _, u) in enumerate(UNITS))))
 def _(v):
-    raw = F.when(F.col("unit_code") == "kg", "SAR/Kilogram").when(F.col("unit_code") == "m", " Mtr ")
-    return v.offer.select("offer_id", x.canonical_unit(raw).alias("unit"))
+    said = F.array(*[F.struct(F.lit(a).alias("raw"), F.lit(b).alias("currency")) for a, b, _ in UNITS], F.struct(F.lit(" ").alias("raw"), F.lit("SAR").alias("currency")))
+    rows = v.obs.withColumn("said", F.element_at(said, (F.col("ord4") % 11 + 1).cast("int")))
+    return rows.select("offer_id", "ord1", "ord2", "ord3", x.canonical_unit(F.col("said.raw"), F.col("said.currency")).alias("unit"))
 
 
 @query("f14_price_unit", "SELECT offer_id, CASE WHEN unit_code IS NULL THEN '' WHEN basis_quantity = 1 THEN concat('per ', unit_code) ELSE concat('per ', CAST(basis_quantity AS VARCHAR), ' ', unit_code) END AS unit_text FROM offer")

@@ -22,7 +22,8 @@ class _Tables(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            t = {"rows": [], "head": [], "caption": dict(attrs).get("aria-label") or "", "warnings": set(), "in_head": False, "cell": None, "in_caption": False}
+            label = dict(attrs).get("aria-label") or ""
+            t = {"rows": [], "head": [], "caption": label, "captioned": False, "warnings": set(), "in_head": False, "cell": None, "in_caption": False}
             self.done.append(t)
             self.open.append(t)
         elif self.open:
@@ -40,7 +41,7 @@ class _Tables(HTMLParser):
                 t["rows"][-1].append("")
                 t["cell"] = True
             elif tag == "caption":
-                t["in_caption"] = True
+                t |= {"in_caption": True, "captioned": True, "caption": ""}
 
     def handle_endtag(self, tag):
         if not self.open:
@@ -63,11 +64,16 @@ class _Tables(HTMLParser):
                 t["rows"][-1][-1] += data
 
 
+#: How sure a table's header is with cells that say so and a caption, without the caption, and without either.
+SURE = (0.95, 0.88, 0.7)
+
+
 def tables_of(html: str) -> list[tuple]:
     """caption, header, rows, confidence, warnings of each table with rows.
 
-    The header is the last row of the head, else the first row with header cells, else the first row; confidence falls in
-    that order. Rows are padded to the widest.
+    The header is the last row of the head, else the first row if it has header cells; else columns are numbered and every row
+    is data. Rows of the head are never data, other rows always are, wherever header cells stand in them. Rows are padded to
+    the widest.
     """
     parser = _Tables()
     parser.feed(html)
@@ -78,13 +84,19 @@ def tables_of(html: str) -> list[tuple]:
         if not full:
             continue
         heads = [k for k in full if t["head"][k][0]]
-        ths = [k for k in full if t["head"][k][1]]
-        at, confidence = (heads[-1], 0.95) if heads else (ths[0], 0.88) if ths else (full[0], 0.70)
+        if not heads and t["head"][full[0]][1]:
+            heads = full[:1]
+        data = [k for k in full if k not in heads]
         width = max(len(rows[k]) for k in full)
         if len({len(rows[k]) for k in full}) > 1:
             t["warnings"].add("uneven rows")
-        pad = lambda r: r + [""] * (width - len(r))
-        out.append((" ".join(t["caption"].split()), pad(rows[at]), [pad(rows[k]) for k in full if k > at], confidence, sorted(t["warnings"])))
+        if not heads:
+            t["warnings"].add("no header row")
+        named = rows[heads[-1]] if heads else []
+        header = [x or f"Column {k + 1}" for k, x in enumerate(named + [""] * (width - len(named)))]
+        caption = " ".join(t["caption"].split())
+        sure = SURE[2] if not heads else SURE[0] if t["captioned"] else SURE[1]
+        out.append((caption, header, [rows[k] + [""] * (width - len(rows[k])) for k in data], sure, sorted(t["warnings"])))
     return out
 
 
@@ -96,7 +108,8 @@ def html_tables(pages: DataFrame) -> DataFrame:
             rows = [(i, k, *t) for i, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for k, t in enumerate(tables_of(html or ""))]
             if rows:
                 types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())), pa.float64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["page_id", "table_no", "caption", "header", "rows", "confidence", "warnings"])
+                names = ["page_id", "table_no", "caption", "header", "rows", "confidence", "warnings"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return pages.select("page_id", "html").where(F.col("html").contains("<table")).mapInArrow(run, TABLE)
 

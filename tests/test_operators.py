@@ -14,13 +14,22 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"c {kind}").select(f(F.col("c")).alias("r")).first()["r"]
 
 
-@pytest.mark.parametrize("said, amount", [("1,234.56", 1234.56), ("1.234,56", 1234.56), ("129.38 SAR", 129.38), ("1,234", 1234), ("12,5", 12.5), ("٣٬٤٥٠٫٥", 3450.5), ("", None), ("n/a", None), (None, None)])
+@pytest.mark.parametrize("said, amount", [("1,234.56", 1234.56), ("1.234,56", 1234.56), ("129.38 SAR", 129.38), ("1,234", 1234), ("12,5", 12.5), ("٣٬٤٥٠٫٥", 3450.5), ("", None), ("n/a", None), (None, None),
+    ("129.38 ر.س", 129.38), ("ر.س 129.38", 129.38), ("L.E. 120", 120), ("120 L.E.", 120), ("ج.م 1,234.56", 1234.56), ("LE 12", 12), ("-5 €", -5), ("ريال ١٢", 12)])
 def test_money(spark, said, amount):
     got = one(spark, said, x.parse_money)
     assert (None if got is None else float(got)) == amount
     assert one(spark, said, x.money_error) in ((True,) if said == "n/a" else (False, None))
 
 
+@pytest.mark.parametrize("said, currency, unit", [("USD/liter", "EGP", "liter"), ("sar/kg", "SAR", "kg"), ("kg/m2", "SAR", "kg/m2"), ("sqm", "", "m2"), ("Liters", "", "liter"), ("pcs.", "", "piece"), ("أمتار", "", "m"), ("kWh", "", "kWh"), (" ", "SAR", None), ("Metric Ton", "", "tonne"), ("SAR / m²", "EGP", "m2"), ("roll", "", "roll")])
+def test_units(spark, said, currency, unit):
+    got = spark.createDataFrame([(said, currency)], "u string, c string").select(x.canonical_unit("u", "c").alias("r"), x.canonical_unit("u").alias("alone")).first()
+    assert got["r"] == unit
+    if not currency:
+        assert got["alone"] == unit
+
+
 def test_fingerprint_sorts_keys_as_written(spark):
     got = one(spark, {"Size": " ١٠ ", "color": "Red"}, x.option_fingerprint, "map<string,string>")
     assert got == "size=10|color=red"
@@ -80,6 +89,13 @@ def test_html_tables(spark):
     html = "<table aria-label='x'><tr><th>a<th>b</tr><tr><td>1</td><td colspan=2>2 <i>x</i></td></tr><tr><td>3</td></tr></table>"
     (caption, header, rows, confidence, warnings), = pages.tables_of(html)
     assert (caption, header, rows, confidence, warnings) == ("x", ["a", "b"], [["1", "2 x"], ["3", ""]], 0.88, ["merged cells", "uneven rows"])
+    plain = "<table><tr><td>1<td>2</tr><tr><td>3<td>4</tr><tr><th>total<td>6</tr></table>"
+    (caption, header, rows, confidence, warnings), = pages.tables_of(plain)
+    assert (header, rows, confidence, warnings) == (["Column 1", "Column 2"], [["1", "2"], ["3", "4"], ["total", "6"]], 0.7, ["no header row"])
+    two = "<table><caption>c</caption><thead><tr><td>x</tr><tr><th>a<td></tr></thead><tr><td>1<td>2<td>3</tr><tr><th>sum<td>2</tr></table>"
+    (caption, header, rows, confidence, _), = pages.tables_of(two)
+    assert (caption, header, rows, confidence) == ("c", ["a", "Column 2", "Column 3"], [["1", "2", "3"], ["sum", "2", ""]], 0.95)
+    assert pages.tables_of("<table><thead><tr><th>a</tr></thead><tr><td>1</tr></table>")[0][3] == 0.88
     assert pages.html_tables(spark.createDataFrame([(1, None), (2, "<p>")], "page_id long, html string")).count() == 0
 
 
