@@ -74,4 +74,4 @@ def group_of_code(codes: DataFrame, rules: DataFrame, code: str) -> DataFrame:
     order = lambda r: F.struct(F.array_position(F.array(F.lit("exact"), F.lit("prefix"), F.lit("suffix")), r["kind"]).alias("o"), (-F.length(r["pattern"])).alias("l"), r["group"].alias("group"))
     best = F.array_min(F.transform(F.filter("_rules", fits), order))["group"]
     rules_of = table.withColumn("_one", F.lit(1))  # one row
-    return codes.withColumn("_one", F.lit(1)).join(F.broadcast(rules_of), "_one").withColumn("detail_group", F.coalesce(best, F.lit("other"))).withColumn("recognised", best.isNotNull()).drop("_rules", "_one")
+    return codes.withColumn("_one", F.lit(1)).join(rules_of, "_one").withColumn("detail_group", F.coalesce(best, F.lit("other"))).withColumn("recognised", best.isNotNull()).drop("_rules", "_one")

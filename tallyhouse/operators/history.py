@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhouse.operators.sizes import dimension
-
 #: The total order of an offer's observations.
 ORDER = ("observed_at", "ord1", "ord2", "ord3", "ord4")
 
@@ -94,13 +92,25 @@ def protected(obs: DataFrame) -> DataFrame:
 
 
 def extremes(obs: DataFrame) -> DataFrame:
-    """Lowest, highest, first, current and previous differing price of each offer in its current currency, with the change."""
-    latest = latest_per_offer(obs)
-    now = latest.select("offer_id", F.col("currency").alias("now_currency"), F.col("price").alias("current"))
-    rows = obs.join(now, "offer_id").where("currency = now_currency")
-    out = rows.groupBy("offer_id", "now_currency", "current").agg(F.min("price").alias("lowest"), F.max("price").alias("highest"), F.count("*").alias("n"), F.min_by("price", in_order()).alias("first"), F.max_by(F.when(F.col("price") != F.col("current"), F.col("price")), F.when(F.col("price") != F.col("current"), in_order())).alias("previous"))
+    """Lowest, highest, first, current and previous differing price of each offer in its current currency, with the change.
+
+    One window names each offer's latest price and currency, and the aggregation runs over the same partitioning: one shuffle.
+    """
+    rank = F.struct((F.col("provenance") == "observed").alias("seen"), "business_date", *ORDER, "price", "currency")
+    rows = obs.withColumn("_now", F.max(rank).over(Window.partitionBy("offer_id"))).where("currency = _now.currency")
+    other = F.col("price") != F.col("_now.price")
+    out = rows.groupBy("offer_id").agg(
+        F.first("currency").alias("currency"),
+        F.first("_now.price").alias("current"),
+        F.min("price").alias("lowest"),
+        F.max("price").alias("highest"),
+        F.count("*").alias("n"),
+        F.min_by("price", in_order()).alias("first"),
+        F.max_by(F.when(other, F.col("price")), F.when(other, in_order())).alias("previous"),
+    )
     change = F.col("current") - F.col("previous")
-    return out.withColumnRenamed("now_currency", "currency").withColumn("change", change).withColumn("change_pct", F.when(F.col("previous") != 0, F.round(change.cast("double") / F.col("previous").cast("double") * 100, 4)))
+    share = F.when(F.col("previous") != 0, F.round(change.cast("double") / F.col("previous").cast("double") * 100, 4))
+    return out.withColumn("change", change).withColumn("change_pct", share)
 
 
 def price_on(asked: DataFrame, periods: DataFrame) -> DataFrame:
@@ -124,8 +134,8 @@ def changes_only(series: DataFrame, key: str, at: list[str], value: str) -> Data
 def absences(presence: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     """missing_since, returned_at of each key from the runs it was seen in: runs are numbered, and a jump in numbers is an absence. The last one stays open."""
     numbered = runs.select("run", F.row_number().over(Window.orderBy("run")).alias("no"))  # a row for each run
-    seen = presence.join(dimension(numbered), "run")
+    seen = presence.join(numbered, "run")
     after = Window.partitionBy(key).orderBy("no")
     gaps = seen.withColumn("next_no", F.lead("no").over(after)).withColumn("returned_at", F.lead("run").over(after)).where("next_no > no + 1 or next_no is null")
     start = numbered.select(F.col("run").alias("missing_since"), (F.col("no") - 1).alias("no"))
-    return gaps.join(dimension(start), "no").select(key, "missing_since", "returned_at")
+    return gaps.join(start, "no").select(key, "missing_since", "returned_at")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyhouse.operators.sizes import dimension
-
 
 def star(obs: DataFrame, offer: DataFrame, product: DataFrame, site: DataFrame) -> DataFrame:
     """Observations with their offer, product and site. Facts meet offers on the offer's key; the site dimension is a row for each site."""
@@ -17,8 +15,8 @@ def star(obs: DataFrame, offer: DataFrame, product: DataFrame, site: DataFrame)
 def most_specific(facts: DataFrame, rules: DataFrame, facets: list[str], on: list[str], wildcard: str = "*") -> DataFrame:
     """Each fact with its most specific rule; facets named first weigh more. Facts without a rule keep nulls.
 
-    Rules are a declared dimension: they are grouped into one row for each ``on`` and broadcast, and each fact picks from
-    its row's array, so facts are neither shuffled nor multiplied.
+    Rules are grouped into one row for each ``on``, and each fact picks from its row's array, so facts are never multiplied;
+    while that table is below Spark's own threshold in bytes, they aren't shuffled either.
     """
     values = [c for c in rules.columns if c not in (*on, *facets)]
     table = rules.groupBy(*on).agg(F.collect_list(F.struct(*[F.col(c).alias(f"rule_{c}") for c in facets], *values)).alias("_rules"))
@@ -34,7 +32,7 @@ def most_specific(facts: DataFrame, rules: DataFrame, facets: list[str], on: lis
         return sum((F.when(r[f"rule_{c}"] != wildcard, w).otherwise(0) for c, w in weight.items()), F.lit(0))
 
     picked = F.array_max(F.transform(F.filter("_rules", fits), lambda r: F.struct(rank(r).alias("rank"), r.alias("rule"))))["rule"]
-    return facts.join(dimension(table), on, "left").withColumn("_rule", picked).select(*facts.columns, *[F.col(f"_rule.{c}").alias(c) for c in values])
+    return facts.join(table, on, "left").withColumn("_rule", picked).select(*facts.columns, *[F.col(f"_rule.{c}").alias(c) for c in values])
 
 
 def rate_by_authority(rates: DataFrame) -> DataFrame:
@@ -71,7 +69,14 @@ def scope_reasons(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     region = lambda s: F.array_contains(s["regions"], F.col("region")) | F.array_contains(s["regions"], "*")
     material = lambda s: (F.size(s["materials"]) == 0) | F.array_contains(s["materials"], F.col("material_key"))
     why = F.when(F.col("_scopes").isNull(), "source not declared").when(~F.exists("_scopes", region), "region out of scope").when(~F.exists("_scopes", lambda s: region(s) & material(s)), "material out of scope")
-    return rows.join(dimension(table), "source_key", "left").withColumn("reject_reason", why).drop("_scopes")
+    return rows.join(table, "source_key", "left").withColumn("reject_reason", why).drop("_scopes")
+
+
+def ownership(claims: DataFrame, owners: DataFrame) -> DataFrame:
+    """``verdict`` on claims (offer_id, source_id) by the offers' owners (offer_id, owner): an offer counts only under its own source."""
+    rows = claims.join(owners, "offer_id", "left")
+    own = F.when(F.col("owner") == F.col("source_id"), "owned").otherwise("of another source")
+    return rows.withColumn("verdict", F.when(F.col("owner").isNull(), "no such offer").otherwise(own))
 
 
 def volume_breaches(runs: DataFrame, minimum: int, most_drop: float) -> DataFrame:

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.sizes import dimension
 from tallyhouse.functions import text as x
 from tallyhouse.operators import charter, history, ingest, lookups
 from tallyhouse.plans.pipelines import LINE, batches
@@ -41,7 +40,7 @@ def _(v):
 @query("s9_source_contracts", "SELECT r_name AS source_key, CASE WHEN r_name IN ('ASIA', 'EUROPE', 'AFRICA') THEN 'declared' ELSE 'undeclared' END AS state FROM region")
 def _(v):
     declared = v.spark.createDataFrame([("ASIA", 10), ("EUROPE", 10), ("AFRICA", 5)], "source_key string, min_rows int")
-    rows = v.site.join(dimension(declared), "source_key", "left")
+    rows = v.site.join(declared, "source_key", "left")
     return rows.select("source_key", F.when(F.col("min_rows").isNotNull(), "declared").otherwise("undeclared").alias("state"))
 
 

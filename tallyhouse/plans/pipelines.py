@@ -63,9 +63,9 @@ def _(v):
     return P.sitemap_urls(files, "xml")
 
 
-@query("s8_snapshots", "SELECT page_id, url, sha256(html) AS content_hash FROM pages WHERE strlen(html) <= 8000")
+@query("s8_snapshots", "SELECT page_id, url, sha256(html) AS content_hash FROM pages WHERE strlen(html) <= 2000000")
 def _(v):
-    return P.snapshots(v.pages, 8000).select("page_id", "url", "content_hash")
+    return P.snapshots(v.pages, P.MOST_BYTES).select("page_id", "url", "content_hash")
 
 
 @query("u4_merged_snapshots", "SELECT DISTINCT url, sha256(html) AS content_hash FROM pages")

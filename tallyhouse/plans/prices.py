@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyhouse.operators.sizes import dimension
 from tallyhouse.operators import history, lookups
 from tallyhouse.plans.register import query
 
@@ -24,17 +23,17 @@ def double(*names: str) -> list:
 
 @query("w1_latest_per_offer", f"SELECT offer_id, business_date, CAST(price AS DOUBLE) AS price, currency, availability, provenance FROM {LATEST} AS l")
 def _(v):
-    return history.latest_per_offer(v.obs).select("offer_id", "business_date", *double("price"), "currency", "availability", "provenance")
+    return v.latest.select("offer_id", "business_date", *double("price"), "currency", "availability", "provenance")
 
 
 @query("w2_newest_per_offer", f"SELECT offer_id, business_date, CAST(price AS DOUBLE) AS price, currency FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY {DESC}) AS rn FROM obs) AS x WHERE rn = 1")
 def _(v):
-    return history.newest_per_offer(v.obs).select("offer_id", "business_date", *double("price"), "currency")
+    return v.priced(history.newest_per_offer(v.facts)).select("offer_id", "business_date", *double("price"), "currency")
 
 
 @query("w3_previous_different_price", f"SELECT offer_id, CAST(price AS DOUBLE) AS previous FROM (SELECT o.*, row_number() OVER (PARTITION BY o.offer_id ORDER BY {DESC.replace('observed_at', 'o.observed_at').replace('ord', 'o.ord')}) AS rk FROM obs o JOIN {LATEST} AS l ON l.offer_id = o.offer_id AND l.currency = o.currency AND l.price <> o.price) AS x WHERE rk = 1")
 def _(v):
-    return history.previous_different(v.obs, history.latest_per_offer(v.obs)).select("offer_id", *double("previous"))
+    return history.previous_different(v.obs, v.latest).select("offer_id", *double("previous"))
 
 
 @query("w4_price_timeline", f"SELECT offer_id, period_no, opened_because, first_detected_at, last_confirmed_at, n_observations, CAST(price AS DOUBLE) AS price, currency, tax_included, lead(first_detected_at) OVER (PARTITION BY offer_id ORDER BY period_no) AS closed_at FROM {PERIODS} AS p")
@@ -150,7 +149,10 @@ ASKED = "(SELECT offer_id, DATE '1996-06-15' AS day FROM offer WHERE offer_id %
 )
 def _(v):
     day = lambda d: F.lit(d).cast("date").alias("day")
-    asked = v.offer.where("offer_id % 3 = 0").select("offer_id", day("1996-06-15")).unionByName(v.offer.select("offer_id", day("1999-12-31"))).unionByName(v.offer.where("offer_id % 50 = 0").select((-F.col("offer_id")).alias("offer_id"), day("1996-06-15")))
+    # Every third offer on an early day, all on a late one, and ids that no offer has; the offers are gathered once.
+    known, other = F.col("offer_id"), (-F.col("offer_id")).alias("offer_id")
+    asks = [F.when(known % 3 == 0, F.struct(known, day("1996-06-15"))), F.struct(known, day("1999-12-31")), F.when(known % 50 == 0, F.struct(other, day("1996-06-15")))]
+    asked = v.facts.select("offer_id").distinct().select(F.inline(F.array_compact(F.array(*asks))).alias("offer_id", "day"))
     return history.price_on(asked, history.timeline(v.obs)).select("offer_id", "day", "status", *double("price"), "currency")
 
 
@@ -159,7 +161,7 @@ STAR = "obs o JOIN offer f ON f.offer_id = o.offer_id JOIN product p ON p.source
 
 @query("j1_star_latest", f"SELECT o.offer_id, s.source_key, p.product_name, p.brand, f.region, f.unit_code, CAST(o.price AS DOUBLE) AS price, o.currency FROM {LATEST} AS o JOIN offer f ON f.offer_id = o.offer_id JOIN product p ON p.source_id = o.source_id AND p.product_id = o.product_id JOIN site s ON s.source_id = o.source_id")
 def _(v):
-    return lookups.star(history.latest_per_offer(v.obs), v.offer, v.product, v.site).select("offer_id", "source_key", "product_name", "brand", "region", "unit_code", *double("price"), "currency")
+    return v.flat(history.latest_per_offer(v.facts)).select("offer_id", "source_key", "product_name", "brand", "region", "unit_code", *double("price"), "currency")
 
 
 @query("j17_history_export", f"SELECT o.offer_id, s.source_key, p.product_name, f.region, o.observed_at, o.ord1, o.ord2, CAST(o.price AS DOUBLE) AS price, o.currency, o.provenance FROM {STAR} WHERE f.status = 'active'")
@@ -192,7 +194,7 @@ RATE = "(SELECT currency, per_usd FROM (SELECT *, row_number() OVER (PARTITION B
 @query("j4_prices_in_usd", f"SELECT l.offer_id, l.currency, CAST(l.price AS DOUBLE) AS price, round(CAST(l.price AS DOUBLE) / CAST(r.per_usd AS DOUBLE), 4) AS usd FROM {LATEST} AS l LEFT JOIN {RATE} AS r ON r.currency = l.currency")
 def _(v):
     rates = lookups.rate_by_authority(v.currency_rate).select("currency", "per_usd")
-    rows = history.latest_per_offer(v.obs).join(dimension(rates), "currency", "left")
+    rows = v.latest.join(rates, "currency", "left")
     return rows.select("offer_id", "currency", *double("price"), F.round(F.col("price").cast("double") / F.col("per_usd"), 4).alias("usd"))
 
 
@@ -217,17 +219,28 @@ def _(v):
     return lookups.volume_breaches(runs, 40, 0.2).select("source_id", "run", "rows", "previous", "breach")
 
 
-@query("p3_filter_language", f"SELECT offer_id, business_date, CAST(price AS DOUBLE) AS price FROM {LATEST} AS l WHERE availability = 'in_stock' AND price >= 1200 AND business_date > DATE '1996-01-01' AND lower(currency) LIKE '%sa%'")
+@query("p3_filter_language", f"SELECT offer_id, business_date, CAST(price AS DOUBLE) AS price FROM {LATEST} AS l WHERE availability = 'in_stock' AND price >= 950 AND business_date > DATE '1996-01-01' AND lower(currency) LIKE '%sa%'")
 def _(v):
-    asked = {"f.availability": "is:in_stock", "f.price": "gte:1200", "f.business_date": "after:1996-01-01", "f.currency": "has:SA", "f.secret": "is:1"}
-    rows, ignored = lookups.filtered(history.latest_per_offer(v.obs), asked, {"availability": ["is"], "price": ["gte", "lte"], "business_date": ["after", "before"], "currency": ["has", "is"]})
+    asked = {"f.availability": "is:in_stock", "f.price": "gte:950", "f.business_date": "after:1996-01-01", "f.currency": "has:SA", "f.secret": "is:1"}
+    rows, ignored = lookups.filtered(v.latest, asked, {"availability": ["is"], "price": ["gte", "lte"], "business_date": ["after", "before"], "currency": ["has", "is"]})
     assert ignored == ["f.secret"]
     return rows.select("offer_id", "business_date", *double("price"))
 
 
-@query("p13_offer_identity", "SELECT f.offer_id, f.region, s.source_key FROM offer f JOIN site s ON s.source_id = f.source_id WHERE s.source_key = 'ASIA' AND f.offer_id % 7 = 0")
+OWNED = """
+SELECT c.offer_id, c.source_id, CASE WHEN f.source_id IS NULL THEN 'no such offer' WHEN f.source_id = c.source_id THEN 'owned' ELSE 'of another source' END AS verdict
+FROM (SELECT DISTINCT CASE WHEN ord4 = 50 THEN 0 - offer_id ELSE offer_id END AS offer_id, CAST(ord4 % 5 AS INT) AS source_id FROM obs) AS c
+LEFT JOIN offer f ON f.offer_id = c.offer_id
+"""
+
+
+@query("p13_offer_identity", OWNED)
 def _(v):
-    return v.offer.where("offer_id % 7 = 0").join(v.site.where("source_key = 'ASIA'"), "source_id").select("offer_id", "region", "source_key")
+    # Claims that an offer is a source's, as requests would make them: right ones, wrong ones, and ids that don't exist.
+    claimed = F.when(F.col("ord4") == 50, -F.col("offer_id")).otherwise(F.col("offer_id"))
+    claims = v.facts.select(claimed.alias("offer_id"), (F.col("ord4") % 5).cast("int").alias("source_id")).distinct()
+    owners = v.facts.select("offer_id", F.col("source_id").alias("owner")).distinct()
+    return lookups.ownership(claims, owners).select("offer_id", "source_id", "verdict")
 
 
 @query("w13_changes_only", f"SELECT offer_id, observed_at, ord1, ord2, ord3, CAST(price AS DOUBLE) AS price FROM (SELECT *, lag(price) OVER (PARTITION BY offer_id ORDER BY {ORD}) AS b FROM obs WHERE provenance = 'reported') AS x WHERE b IS NULL OR b <> price")
@@ -243,7 +256,7 @@ def _(v):
 
 @query("o1_allowed_sort", f"SELECT l.offer_id, p.product_name, CAST(l.price AS DOUBLE) AS price FROM {LATEST} AS l JOIN product p ON p.source_id = l.source_id AND p.product_id = l.product_id ORDER BY l.price DESC, p.product_name, l.offer_id LIMIT 100")
 def _(v):
-    rows = history.latest_per_offer(v.obs).join(v.product.select("source_id", "product_id", "product_name"), ["source_id", "product_id"])
+    rows = v.flat(history.latest_per_offer(v.facts))
     return lookups.page(rows, [F.col("price").desc(), F.col("product_name"), F.col("offer_id")], 0, 100).select("offer_id", "product_name", *double("price"))
 
 

@@ -6,6 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyhouse.operators import history
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Each derived table: columns (name -> SQL expression), read from what. The expressions mean the same in Spark and in other SQL engines.
@@ -41,6 +43,10 @@ PRODUCT = {
     "material_key": "p_type",
     "curation": "CASE WHEN p_partkey % 10 = 0 THEN 'ignored' WHEN p_partkey % 10 < 4 THEN 'selected' ELSE 'inventoried' END",
 }
+#: Columns of an observation that come from its product.
+PRICED = ("price_before", "price")
+#: Customers of this segment are never stored as records.
+UNSTORED = "c_mktsegment <> 'MACHINERY'"
 SIGHTING = {"dataset_key": "event_type", "external_id": "CAST(user_id AS STRING)", "run_date": "CAST(ts AS DATE)", "seen_at": "ts", "page_no": "event_id % 40", "event_id": "event_id"}
 STORED = {"dataset_key": "'click'", "external_id": "CAST(c_custkey AS STRING)", "status": "CASE WHEN c_custkey % 11 = 0 THEN 'unavailable' ELSE 'active' END", "c_name": "c_name", "c_nationkey": "c_nationkey", "c_mktsegment": "c_mktsegment"}
 PAGE = {"page_id": "page_id", "url": "url", "locale": "regexp_extract(url, '^https?://[^/]+/([a-z][a-z])/', 1)", "locale_free_url": "regexp_replace(url, '/[a-z][a-z]/', '/')", "html": "html"}
@@ -67,7 +73,7 @@ VIEWS = {
     "tax_rule": _values(TAX_RULES, "source_key, region, material_key, tax_mode, tax_rate_pct, tax_evidence"),
     "currency_rate": _values(RATES, "currency, per_usd, as_of, source_key, source_kind"),
     "sighting": f"SELECT {_select(SIGHTING)} FROM events",
-    "stored_record": f"SELECT {_select(STORED)} FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey < 400",
+    "stored_record": f"SELECT {_select(STORED)} FROM customer WHERE {UNSTORED}",
     "record_rev": "SELECT c_custkey AS record_id, 1 AS rev, c_name, c_mktsegment AS segment FROM customer UNION ALL SELECT c_custkey, 2, c_name, CASE WHEN c_custkey % 7 = 0 THEN concat(c_mktsegment, '_X') ELSE c_mktsegment END FROM customer",
     "material": "SELECT min(p_partkey) AS material_id, p_name AS material_name, concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1), ' ', min(p_type)) AS material_name_alt, CAST(min(p_partkey) * 7 AS STRING) AS gtin FROM part GROUP BY p_name",
     "page_key": f"SELECT {_select(PAGE)} FROM pages",
@@ -95,9 +101,29 @@ class Warehouse:
         return df.select(*more, *[F.expr(x).alias(name) for name, x in columns.items()])
 
     @cached_property
-    def obs(self) -> DataFrame:
+    def facts(self) -> DataFrame:
+        """Observations without their prices: no join, so rows can be chosen before they meet anything."""
+        return self._of(self.lineitem, {k: x for k, x in OBS.items() if k not in PRICED}, "l_discount")
+
+    def priced(self, facts: DataFrame) -> DataFrame:
+        """Facts with their prices."""
         part = self.part.select("p_partkey", "p_retailprice")
-        return self._of(self.lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")), OBS)
+        return self._of(facts.join(part, F.col("product_id") == F.col("p_partkey")), {k: OBS[k] for k in PRICED}, *facts.columns).drop("l_discount")
+
+    @cached_property
+    def obs(self) -> DataFrame:
+        return self.priced(self.facts)
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        """The latest observation of each offer; only those meet their prices."""
+        return self.priced(history.latest_per_offer(self.facts))
+
+    def flat(self, facts: DataFrame) -> DataFrame:
+        """Facts with their prices and all that their offers, products and sites say: each dimension is joined once."""
+        rows = facts.join(self.part, F.col("product_id") == F.col("p_partkey"))
+        rows = rows.join(self.nation.select("n_nationkey", "n_name"), F.expr("n_nationkey = product_id % 25")).join(self.site, "source_id")
+        return self._of(rows, {k: OBS[k] for k in PRICED} | OFFER | PRODUCT, *facts.columns, "source_key").drop("l_discount")
 
     @cached_property
     def site(self) -> DataFrame:
@@ -131,7 +157,7 @@ class Warehouse:
 
     @cached_property
     def stored_record(self) -> DataFrame:
-        return self._of(self.customer.where("c_custkey % 3 <> 0 AND c_custkey < 400"), STORED)
+        return self._of(self.customer.where(UNSTORED), STORED)
 
     @cached_property
     def record_rev(self) -> DataFrame:

@@ -8,6 +8,8 @@ PAYLOAD = "payload_version int, source_key string, kind string, scraped_at strin
 
 #: Generations of the format that are understood.
 OLDEST, NEWEST = 2, 4
+#: Fixed value: the largest page that is kept, in bytes.
+MOST_BYTES = 2_000_000
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +73,7 @@ def sitemap_urls(files: DataFrame, column: str, host: str | None = None) -> Data
     return rows.where(F.parse_url("url", F.lit("HOST")) == host) if host else rows
 
 
-def snapshots(pages: DataFrame, max_bytes: int) -> DataFrame:
+def snapshots(pages: DataFrame, max_bytes: int = MOST_BYTES) -> DataFrame:
     """Pages to keep: with the hash of their content, without those over the bound."""
     return pages.where(F.octet_length("html") <= max_bytes).withColumn("content_hash", F.sha2("html", 256))
 
