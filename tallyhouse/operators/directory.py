@@ -54,9 +54,11 @@ def tree_shape(df: DataFrame) -> DataFrame:
     return facts.withColumn("grouped", (F.col("regions") > 1) & (F.col("names") < F.col("n")))
 
 
-def implied_rates(rows: DataFrame) -> DataFrame:
-    """Rates that rows with a price in two currencies imply."""
-    return rows.where("price > 0 and usd > 0 and currency <> 'USD'").groupBy("currency", "as_of").agg(F.round(F.avg(F.col("price") / F.col("usd")), 6).alias("per_usd"), F.count("*").alias("n"))
+def implied_rates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rates that rows with a local price and one in dollars imply: of each currency and ``by`` the last row's (``at``), and how many rows there were."""
+    fit = rows.where("local > 0 and usd > 0 and upper(currency) <> 'USD'")
+    last = F.max_by(F.col("local") / F.col("usd"), "at").alias("per_usd")
+    return fit.groupBy("currency", *by).agg(last, F.count("*").alias("n"))
 
 
 def price_key(**parts):

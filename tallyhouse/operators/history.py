@@ -131,11 +131,12 @@ def changes_only(series: DataFrame, key: str, at: list[str], value: str) -> Data
     return series.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col(f"_before.{value}").eqNullSafe(F.col(value))).drop("_before")
 
 
-def absences(presence: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+def absences(presence: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """missing_since, returned_at of each key from the runs it was seen in: runs are numbered, and a jump in numbers is an absence. The last one stays open."""
     numbered = runs.select("run", F.row_number().over(Window.orderBy("run")).alias("no"))  # a row for each run
     seen = presence.join(numbered, "run")
-    after = Window.partitionBy(key).orderBy("no")
-    gaps = seen.withColumn("next_no", F.lead("no").over(after)).withColumn("returned_at", F.lead("run").over(after)).where("next_no > no + 1 or next_no is null")
+    after = Window.partitionBy(*keys).orderBy("no")
+    next_ = seen.withColumn("next_no", F.lead("no").over(after)).withColumn("returned_at", F.lead("run").over(after))
+    gaps = next_.where("next_no > no + 1 or next_no is null")
     start = numbered.select(F.col("run").alias("missing_since"), (F.col("no") - 1).alias("no"))
-    return gaps.join(start, "no").select(key, "missing_since", "returned_at")
+    return gaps.join(start, "no").select(*keys, "missing_since", "returned_at")

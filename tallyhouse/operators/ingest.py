@@ -33,14 +33,6 @@ def classified(batch: DataFrame, open_prices: DataFrame, seen: DataFrame) -> Dat
     return rows.withColumn("outcome", F.when(F.col("known"), "duplicate").when((F.col("provenance") == "observed") & (F.col("open_key") == F.col("price_key")), "confirmed").otherwise("new")).drop("known", "open_key")
 
 
-def scd2(open_rules: DataFrame, declared: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """What happens to each rule: unchanged, changed (close and open), opened, closed."""
-    a = open_rules.select(*keys, F.struct(*values).alias("old"))
-    b = declared.select(*keys, F.struct(*values).alias("new"))
-    action = F.when(F.col("old").isNull(), "opened").when(F.col("new").isNull(), "closed").when(F.col("old").eqNullSafe(F.col("new")), "unchanged").otherwise("changed")
-    return a.join(b, keys, "full_outer").select(*keys, action.alias("action"))
-
-
 def revised(state: DataFrame, batch: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Generic records by key: unchanged rows are only seen again, changed ones get a revision, new ones their first."""
     h = lambda: F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
@@ -58,13 +50,6 @@ def field_changes(revisions: DataFrame, key: str, rev: str, fields: list[str]) -
     return rows.select(key, rev, F.explode(F.array_compact(F.array(*diffs))).alias("d")).select(key, rev, "d.*")
 
 
-def schema_verdict(old: list[str], new: list[str]) -> str:
-    """A superset opens a version; a lost field refuses; otherwise nothing changes."""
-    if set(old) - set(new):
-        return "refused"
-    return "widened" if set(new) - set(old) else "same"
-
-
 def retired_stand_ins(variants: DataFrame) -> DataFrame:
     """Product-level stand-ins (variant id = product id) of products that have real variants by now."""
     real = variants.where("variant_id <> product_id").select("product_id").distinct()

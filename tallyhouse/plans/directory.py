@@ -124,16 +124,6 @@ def _(v):
     return rows.select("external_id", state.alias("state"))
 
 
-@query("t28_absence_intervals", """SELECT external_id, (SELECT min(run_date) FROM (SELECT DISTINCT run_date FROM sighting) AS r WHERE r.run_date > x.run_date) AS missing_since, next_run AS returned_at FROM (
- SELECT external_id, run_date, no, lead(run_date) OVER (PARTITION BY external_id ORDER BY no) AS next_run, lead(no) OVER (PARTITION BY external_id ORDER BY no) AS next_no FROM (SELECT DISTINCT s.external_id, s.run_date, r.no FROM sighting s JOIN (SELECT run_date, row_number() OVER (ORDER BY run_date) AS no FROM (SELECT DISTINCT run_date FROM sighting) AS d) AS r ON r.run_date = s.run_date WHERE s.dataset_key = 'click') AS p) AS x
- WHERE (next_no > no + 1 OR next_no IS NULL) AND run_date < (SELECT max(run_date) FROM sighting)""")
-def _(v):
-    from tallyhouse.operators import history
-
-    presence = v.sighting.where("dataset_key = 'click'").select("external_id", F.col("run_date").alias("run")).distinct()
-    return history.absences(presence, v.sighting.select(F.col("run_date").alias("run")).distinct(), "external_id")
-
-
 PAIRS = "(SELECT p.product_id, m.material_id, max(len(list_intersect(p.t, m.t)) / len(list_distinct(list_concat(p.t, m.t)))) AS confidence FROM (SELECT DISTINCT product_id, string_split(lower(product_name), ' ') AS t FROM product) AS p CROSS JOIN (SELECT material_id, string_split(lower(material_name), ' ') AS t FROM material UNION ALL SELECT material_id, string_split(lower(material_name_alt), ' ') FROM material) AS m GROUP BY p.product_id, m.material_id HAVING max(len(list_intersect(p.t, m.t)) / len(list_distinct(list_concat(p.t, m.t)))) >= 0.55)"
 
 

@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import directory, history
 from tallyhouse.plans.prices import LATEST, double
 from tallyhouse.plans.register import query
-from tallyhouse.sources import pages as H, payloads as P
+from tallyhouse.sources import pages as H
 from tallyhouse.streaming import jobs
 
 
-@query("h1_html_tables", "SELECT c_nationkey AS page_id, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment, 0.95 AS confidence FROM customer")
+TABLES_SQL = """
+SELECT c_custkey // 100 AS page_id, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment,
+       CASE c_custkey // 100 % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.88 ELSE 0.7 END AS confidence
+FROM customer
+"""
+
+
+def customer_pages(v, columns: list[str], head):
+    """A page for each hundred customers, with a table of them."""
+    cells = F.concat(*[F.concat(F.lit("<td> "), F.col(c).cast("string"), F.lit("</td>")) for c in columns])
+    page = F.expr("c_custkey div 100").alias("page_id")
+    rows = v.customer.groupBy(page).agg(F.array_join(F.collect_list(F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))), "").alias("rows"))
+    return rows.select("page_id", F.concat(head, F.col("rows"), F.lit("</table>")).alias("html"))
+
+
+@query("h1_html_tables", TABLES_SQL)
 def _(v):
-    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td><td> "), "c_name", F.lit("</td><td>"), "c_mktsegment", F.lit("</td></tr>"))
-    html = v.customer.groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.concat(F.lit("<p>x</p><table><caption>C</caption><thead><tr><th>id</th><th>name</th><th>segment</th></tr></thead>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
-    rows = H.html_tables(html).select("page_id", "header", "confidence", F.explode("rows").alias("cells"))
-    cell = lambda name: F.try_element_at(F.map_from_arrays("header", "cells"), F.lit(name)).alias(name)
-    return rows.select("page_id", cell("id"), cell("name"), cell("segment"), "confidence")
+    # By turns a head with a caption, a first row of header cells, and no header at all.
+    names = "<tr><th>id</th><th>name</th><th>segment</th></tr>"
+    kind = F.col("page_id") % 3
+    head = F.when(kind == 0, f"<p>x</p><table><caption>C</caption><thead>{names}</thead>").when(kind == 1, f"<table>{names}").otherwise("<table>")
+    pages = customer_pages(v, ["c_custkey", "c_name", "c_mktsegment"], head)
+    rows = H.html_tables(pages).select("page_id", "header", "confidence", F.explode("rows").alias("cells"))
+    cell = lambda k, name: F.when(F.col("header")[k].isin(name, f"Column {k + 1}"), F.col("cells")[k]).alias(name)
+    return rows.select("page_id", cell(0, "id"), cell(1, "name"), cell(2, "segment"), "confidence")
 
 
 @query("h2_jsonld_products", "SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, CAST(p_retailprice AS DECIMAL(12,2)) AS price, CASE WHEN p_size % 2 = 0 THEN 'in_stock' ELSE 'out_of_stock' END AS availability FROM part")
@@ -38,18 +54,27 @@ def _(v):
     return H.english_alternate(H.alternates(v.pages.select("page_id", html.alias("html"))), "sa")
 
 
-@query("h4_embedded_variations", "SELECT p_size AS page_id, p_partkey AS variation_id, p_retailprice AS display_price, p_name AS sku FROM part")
+VARIATIONS_SQL = "SELECT p_partkey // 50 AS page_id, p_partkey AS variation_id, p_retailprice AS display_price, p_name AS sku FROM part"
+
+
+@query("h4_embedded_variations", VARIATIONS_SQL)
 def _(v):
-    rows = v.part.groupBy(F.col("p_size").alias("page_id")).agg(F.to_json(F.collect_list(F.struct(F.col("p_partkey").alias("variation_id"), F.col("p_retailprice").alias("display_price"), F.col("p_name").alias("sku")))).alias("j"))
-    html = rows.select("page_id", F.concat(F.lit('<form data-product_variations="'), F.replace("j", F.lit('"'), F.lit("&quot;")), F.lit('"></form>')).alias("html"))
+    one = F.struct(F.col("p_partkey").alias("variation_id"), F.col("p_retailprice").alias("display_price"), F.col("p_name").alias("sku"))
+    rows = v.part.groupBy(F.expr("p_partkey div 50").alias("page_id")).agg(F.to_json(F.collect_list(one)).alias("j"))
+    escaped = F.replace("j", F.lit('"'), F.lit("&quot;"))
+    html = rows.select("page_id", F.concat(F.lit('<form data-product_variations="'), escaped, F.lit('"></form>')).alias("html"))
     return H.embedded_variations(html).select("page_id", "variation_id", "display_price", "sku")
 
 
-@query("h5_zipped_columns", "SELECT p_size, count(*) AS n FROM part WHERE p_size % 10 <> 0 GROUP BY p_size")
+ZIPPED_SQL = "SELECT p_partkey // 20 AS page, count(*) AS n FROM part WHERE p_partkey // 20 % 10 <> 0 GROUP BY 1"
+
+
+@query("h5_zipped_columns", ZIPPED_SQL)
 def _(v):
-    rows = v.part.groupBy("p_size").agg(F.collect_list("p_name").alias("names"), F.collect_list("p_retailprice").alias("prices"))
-    drifted = rows.withColumn("names", F.when(F.col("p_size") % 10 == 0, F.slice("names", 2, 1_000_000)).otherwise(F.col("names")))
-    return H.zipped(drifted, "names", "prices")[0].groupBy("p_size").agg(F.count("*").alias("n"))
+    # Columns of twenty products a page; every tenth page has lost a name, and a page that drifts is refused.
+    rows = v.part.groupBy(F.expr("p_partkey div 20").alias("page")).agg(F.collect_list("p_name").alias("names"), F.collect_list("p_retailprice").alias("prices"))
+    lost = F.when(F.col("page") % 10 == 0, F.slice("names", 2, 20)).otherwise(F.col("names"))
+    return H.zipped(rows.withColumn("names", lost), "names", "prices")[0].groupBy("page").agg(F.count("*").alias("n"))
 
 
 @query("h6_boxes_and_coordinates", "SELECT c_custkey, c_name AS name, c_mktsegment AS segment, c_nationkey + 0.25 AS lat, 30.5 AS lon FROM customer")
@@ -156,28 +181,6 @@ def _(v):
     return directory.adopted_offers(rows.where("p % 2 = 0").drop("p"), batch).groupBy("how").agg(F.count("*").alias("n"))
 
 
-@query("t6_confirmed_periods", "SELECT source_id, max(business_date) AS confirmed_to FROM obs WHERE run_id % 2 = 0 GROUP BY source_id")
-def _(v):
-    return v.obs.where("run_id % 2 = 0").groupBy("source_id").agg(F.max("business_date").alias("confirmed_to"))
-
-
-@query("t10_implied_rates", "SELECT currency, run_id AS as_of, round(avg(CAST(price AS DOUBLE) / (CAST(price AS DOUBLE) / 3.75)), 6) AS per_usd, count(*) AS n FROM obs WHERE price > 0 GROUP BY currency, run_id")
-def _(v):
-    rows = v.obs.select("currency", F.col("run_id").alias("as_of"), F.col("price").cast("double").alias("price"), (F.col("price").cast("double") / 3.75).alias("usd"))
-    return directory.implied_rates(rows)
-
-
-@query("t24_pruned_log", "SELECT count(*) AS n FROM obs WHERE business_date >= DATE '1998-01-01'")
-def _(v):
-    return v.obs.where("business_date >= date'1998-01-01'").agg(F.count("*").alias("n"))
-
-
-@query("t25_renamed_source", "SELECT CASE WHEN source_key = 'ASIA' THEN 'ORIENT' ELSE source_key END AS source_key, count(*) AS offers FROM offer f JOIN site s ON s.source_id = f.source_id WHERE source_key <> 'EUROPE' GROUP BY source_key")
-def _(v):
-    renamed = v.site.where("source_key <> 'EUROPE'").withColumn("source_key", F.when(F.col("source_key") == "ASIA", "ORIENT").otherwise(F.col("source_key")))
-    return v.offer.join(renamed, "source_id").groupBy("source_key").agg(F.count("*").alias("offers"))
-
-
 @query("f13_price_keys", "SELECT offer_id, ord1, ord2, ord3, sha256(concat('v2|currency=', currency, '|price=', CAST(price AS VARCHAR), '|tax=', CAST(tax_included AS VARCHAR))) AS price_key, 'currency,price,tax' AS fields FROM obs")
 def _(v):
     key, fields = directory.price_key(price=F.col("price"), currency=F.col("currency"), tax=F.col("tax_included"), region=F.lit("*"))
@@ -192,47 +195,52 @@ def _(v):
 
 
 def _stream(v, df, name: str):
-    """A derived table as files that a stream reads one by one, in the session's shared folder."""
-    folder = f"{v.spark.conf.get('spark.sql.warehouse.dir')}/stream_{name}_{uuid.uuid4().hex}"
-    df.repartition(3).write.parquet(f"{folder}/in")
-    return jobs.file_stream(v.spark, f"{folder}/in", df.schema), folder
+    """A derived table as files that a stream reads one by one, in the folder that all machines share."""
+    folder = jobs.work_folder(v.spark, name)
+    df.write.parquet(f"{folder}/in")
+    return jobs.file_stream(v.spark, f"{folder}/in", df.schema, per_trigger=8), folder
+
+
+LEDGER_SQL = """
+SELECT dataset_key, external_id, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, count(*) AS sightings
+FROM sighting GROUP BY dataset_key, external_id
+"""
 
 
-@query("r3_streaming_ledger", "SELECT dataset_key, external_id, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, count(*) AS sightings FROM sighting GROUP BY dataset_key, external_id")
+@query("r3_streaming_ledger", LEDGER_SQL)
 def _(v):
-    stream, folder = _stream(v, v.sighting.select("dataset_key", "external_id", "seen_at"), "ledger")
-    return jobs.drained(jobs.sightings_ledger(stream), f"ledger_{uuid.uuid4().hex}", "complete", f"{folder}/state")
+    stream, folder = _stream(v, v.sighting.select("dataset_key", "external_id", "seen_at").repartition(12), "ledger")
+    return jobs.newest(jobs.stored(jobs.sightings_ledger(stream), folder, "update"), ["dataset_key", "external_id"])
 
 
 @query("r4_streaming_once_each", "SELECT DISTINCT event_id, seen_at FROM sighting")
 def _(v):
     rows = v.sighting.select("event_id", F.col("seen_at").cast("timestamp").alias("seen_at"))
     stream, folder = _stream(v, rows.unionByName(rows), "once")
-    out = jobs.drained(jobs.once_each(stream, ["event_id"], "seen_at", "60 days"), f"once_{uuid.uuid4().hex}", "append", f"{folder}/state")
+    out = jobs.stored(jobs.once_each(stream, ["event_id"], "seen_at", "60 days"), folder)
     return out.select("event_id", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"))
 
 
-@query("r2_streaming_price_changes", "SELECT offer_id, count(*) AS n FROM (SELECT offer_id, CASE WHEN lag(price) OVER w IS NULL OR lag(price) OVER w <> price OR lag(currency) OVER w <> currency THEN 1 END AS c FROM (SELECT DISTINCT offer_id, observed_at, min(price) OVER (PARTITION BY offer_id, observed_at) AS price, min(currency) OVER (PARTITION BY offer_id, observed_at) AS currency FROM obs WHERE offer_id % 2 = 0) AS d WINDOW w AS (PARTITION BY offer_id ORDER BY observed_at)) AS x WHERE c = 1 GROUP BY offer_id")
-def _(v):
-    one = v.obs.where("offer_id % 2 = 0").groupBy("offer_id", F.col("observed_at").cast("timestamp").alias("observed_at")).agg(F.min("price").cast("double").alias("price"), F.min("currency").alias("currency"))
-    folder = f"{v.spark.conf.get('spark.sql.warehouse.dir')}/stream_changes_{uuid.uuid4().hex}"
-    one.repartition(1).write.parquet(f"{folder}/in")
-    stream = jobs.file_stream(v.spark, f"{folder}/in", one.schema)
-    out = jobs.drained(jobs.price_changes(stream), f"changes_{uuid.uuid4().hex}", "append", f"{folder}/state")
-    return out.groupBy("offer_id").agg(F.count("*").alias("n"))
-
-
-@query("s11_export_faults", "SELECT 'none' AS fault, 0 AS n WHERE 1 = 0")
-def _(v):
-    folder = f"{v.spark.conf.get('spark.sql.warehouse.dir')}/bundle_{uuid.uuid4().hex}"
-    P.write_bundle(v.offer.join(v.site, "source_id").select("offer_id", "region", "source_key"), folder)
-    found = P.manifest(v.spark, folder)
-    return P.verified(found, P.manifest(v.spark, folder)).groupBy("fault").agg(F.count("*").alias("n"))
-
-
-@query("s10_exported_offers", "SELECT offer_id, region, source_key FROM offer f JOIN site s ON s.source_id = f.source_id")
-def _(v):
-    folder = f"{v.spark.conf.get('spark.sql.warehouse.dir')}/bundle_{uuid.uuid4().hex}"
-    rows = v.offer.join(v.site, "source_id").select("offer_id", "region", "source_key")
-    P.write_bundle(rows, folder)
-    return v.spark.read.schema("offer_id long, region string, source_key string").json(folder)
+CHANGES_SQL = """
+SELECT offer_id, count(*) AS n FROM (
+ SELECT offer_id, CASE WHEN lag(price) OVER w IS NULL OR lag(price) OVER w <> price OR lag(currency) OVER w <> currency THEN 1 END AS c
+ FROM (SELECT offer_id, observed_at, min(price) AS price, min(currency) AS currency FROM obs GROUP BY offer_id, observed_at) AS d
+ WINDOW w AS (PARTITION BY offer_id ORDER BY observed_at)) AS x
+WHERE c = 1 GROUP BY offer_id
+"""
+
+
+@query("r2_streaming_price_changes", CHANGES_SQL)
+def _(v):
+    # Three deliveries, one after another: each run goes on from the open prices that the one before has left.
+    moment = F.col("observed_at").cast("timestamp").alias("observed_at")
+    one = v.obs.groupBy("offer_id", moment).agg(F.min("price").cast("double").alias("price"), F.min("currency").alias("currency"))
+    delivery = F.when(F.col("observed_at") < "1995-01-01", 0).when(F.col("observed_at") < "1999-01-01", 1).otherwise(2)
+    folder = jobs.work_folder(v.spark, "changes")
+    one.repartition("offer_id").withColumn("delivery", delivery).write.partitionBy("delivery").parquet(f"{folder}/all")
+    every = v.spark.read.parquet(f"{folder}/all")
+    for k in range(3):
+        every.where(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.file_stream(v.spark, f"{folder}/in", one.schema, per_trigger=64)
+        out = jobs.stored(jobs.price_changes(stream), folder)
+    return out.where("reason <> 'late'").groupBy("offer_id").agg(F.count("*").alias("n"))

@@ -11,56 +11,129 @@ from tallyhouse.sources import payloads as P
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
 
-def batches(v):
-    """Line items as batches of a source: a header and rows of strings, in chunks, one batch ragged and one too old."""
-    cells = F.array(*[F.col(c).cast("string") for c in LINE])
-    rows = v.lineitem.withColumn("run", F.col("l_orderkey") % 40).withColumn("part", F.col("l_orderkey") % 2)
-    out = rows.groupBy("run", "part").agg(F.collect_list(cells).alias("rows"))
-    ragged = F.when((F.col("run") == 7), F.concat(F.col("rows"), F.array(F.array(F.lit("x"))))).otherwise(F.col("rows"))
-    return out.select(F.when(F.col("run") == 9, 1).otherwise(3).alias("payload_version"), F.lit("ASIA").alias("source_key"), F.lit("product_prices").alias("kind"), F.when(F.col("run") == 11, "yesterday").otherwise("2024-01-01T00:00:00Z").alias("scraped_at"), F.lit("").alias("source_url"), F.array(*map(F.lit, LINE)).alias("header"), ragged.alias("rows"), F.struct(F.lit(0).alias("index"), F.lit(1).alias("total")).alias("chunk"), F.col("run").cast("string").alias("run_ref"), F.lit(None).cast("string").alias("bad"))
-
-
-@query("s2_rejected_batches", "SELECT CAST(l_orderkey % 40 AS VARCHAR) AS run_ref, CASE l_orderkey % 40 WHEN 7 THEN 'ragged rows' WHEN 9 THEN 'too old' ELSE 'no UTC stamp' END AS reason FROM lineitem WHERE l_orderkey % 40 IN (7, 9, 11) GROUP BY l_orderkey % 40")
+#: Batches are runs of a hundred orders; of every forty runs one is ragged, one too old, and one has no UTC stamp.
+BAD_RUNS = {7: "ragged rows", 9: "too old", 11: "no UTC stamp"}
+BAD = ", ".join(map(str, BAD_RUNS))
+REASONS = " ".join(f"WHEN {k} THEN '{why}'" for k, why in BAD_RUNS.items())
+
+
+def batches(v, unreadable: int | None = None):
+    """Line items as batches of a source: a header and rows of strings. There are as many batches as the orders ask for, each of a few hundred rows.
+
+    Quantities equal to ``unreadable`` are written as words.
+    """
+    cells = F.array(*[F.when(F.col("l_quantity") == unreadable, "n/a").otherwise(F.col(c).cast("string")) if c == "l_quantity" and unreadable else F.col(c).cast("string") for c in LINE])
+    out = v.lineitem.groupBy(F.expr("l_orderkey div 100").alias("run")).agg(F.collect_list(cells).alias("rows"))
+    of = lambda k: F.col("run") % 40 == k
+    return out.select(
+        F.when(of(9), 1).otherwise(3).alias("payload_version"),
+        F.lit("ASIA").alias("source_key"),
+        F.lit("product_prices").alias("kind"),
+        F.when(of(11), "yesterday").otherwise("2024-01-01T00:00:00Z").alias("scraped_at"),
+        F.lit("").alias("source_url"),
+        F.array(*map(F.lit, LINE)).alias("header"),
+        F.when(of(7), F.concat(F.col("rows"), F.array(F.array(F.lit("x"))))).otherwise(F.col("rows")).alias("rows"),
+        F.struct(F.lit(0).alias("index"), F.lit(1).alias("total")).alias("chunk"),
+        F.col("run").cast("string").alias("run_ref"),
+        F.lit(None).cast("string").alias("bad"),
+    )
+
+
+REJECTED_SQL = f"""
+SELECT CAST(run AS VARCHAR) AS run_ref, CASE run % 40 {REASONS} END AS reason
+FROM (SELECT DISTINCT l_orderkey // 100 AS run FROM lineitem) AS r WHERE run % 40 IN ({BAD})
+"""
+
+
+@query("s2_rejected_batches", REJECTED_SQL)
 def _(v):
     return P.checked(batches(v), LINE)[1].select("run_ref", "reason")
 
 
-@query("s3_named_rows", "SELECT CAST(l_orderkey % 40 AS VARCHAR) AS run_ref, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, '' AS price_trade FROM lineitem WHERE l_orderkey % 40 NOT IN (7, 9, 11)")
+NAMED_SQL = f"""
+SELECT CAST(l_orderkey // 100 AS VARCHAR) AS run_ref, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, '' AS price_trade
+FROM lineitem WHERE l_orderkey // 100 % 40 NOT IN ({BAD})
+"""
+
+
+@query("s3_named_rows", NAMED_SQL)
 def _(v):
     return P.named_rows(P.checked(batches(v), LINE)[0], [*LINE, "price_trade"]).select("run_ref", "l_orderkey", "l_partkey", "price_trade")
 
 
-@query("s4_whole_batches", "SELECT CAST(l_orderkey % 40 AS VARCHAR) AS run_ref, count(*) AS n FROM lineitem WHERE l_orderkey % 40 <> 5 GROUP BY l_orderkey % 40")
+WHOLE_SQL = """
+SELECT CAST(l_orderkey // 100 AS VARCHAR) AS run_ref, count(*) AS n FROM lineitem
+GROUP BY l_orderkey // 100 HAVING l_orderkey // 100 % 40 <> 5 AND count(DISTINCT l_partkey % 3) = 3
+"""
+
+
+@query("s4_whole_batches", WHOLE_SQL)
 def _(v):
+    # Runs in three chunks; of every forty runs one has lost its fourth.
     cells = F.array(*[F.col(c).cast("string") for c in LINE])
-    parts = v.lineitem.groupBy((F.col("l_orderkey") % 40).cast("string").alias("run_ref"), (F.col("l_partkey") % 3).cast("int").alias("part")).agg(F.collect_list(cells).alias("rows"))
-    total = F.when(F.col("run_ref") == "5", 4).otherwise(3)
-    chunked = parts.select("run_ref", "rows", F.lit("ASIA").alias("source_key"), F.lit("k").alias("kind"), F.lit("2024").alias("scraped_at"), F.array(*map(F.lit, LINE)).alias("header"), F.struct(F.col("part").alias("index"), total.alias("total")).alias("chunk"))
+    keys = [F.expr("l_orderkey div 100").alias("run"), (F.col("l_partkey") % 3).cast("int").alias("part")]
+    parts = v.lineitem.groupBy(*keys).agg(F.collect_list(cells).alias("rows"))
+    total = F.when(F.col("run") % 40 == 5, 4).otherwise(3)
+    chunk = F.struct(F.col("part").alias("index"), total.alias("total")).alias("chunk")
+    said = [F.lit(x).alias(k) for k, x in (("source_key", "ASIA"), ("kind", "k"), ("scraped_at", "2024"))]
+    chunked = parts.select(F.col("run").cast("string").alias("run_ref"), "rows", *said, F.array(*map(F.lit, LINE)).alias("header"), chunk)
     return P.whole(chunked).select("run_ref", F.size("rows").cast("long").alias("n"))
 
 
-def catalogues(v):
-    """Parts as JSON catalogues: a product for each brand and size class, its parts as variants."""
-    variant = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("sku"), F.col("p_retailprice").cast("string").alias("price"), F.lit(None).cast("string").alias("compare_at_price"), (F.col("p_size") > 10).alias("available"))
-    product = v.part.groupBy("p_brand", "p_size").agg(F.collect_list(variant).alias("variants"), F.min("p_partkey").alias("id"))
-    row = F.struct((F.col("id") + 1_000_000).alias("id"), F.col("p_brand").alias("title"), F.lit("v").alias("vendor"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("note"), F.lit(" ")).alias("attributes"), F.array(F.lit("a.jpg"), F.lit("b.jpg")).alias("images"), F.when(F.col("p_size") > 1, F.col("variants")).otherwise(F.array().cast("array<struct<id:bigint,sku:string,price:string,compare_at_price:string,available:boolean>>")).alias("variants"))
-    return product.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(row).alias("products"))).alias("body"))
+VARIANT = "struct<id:bigint,sku:string,price:string,compare_at_price:string,available:boolean>"
 
 
-@query("s5_catalogue_variants", "SELECT p_partkey AS variant_id, p_brand AS title, p_name AS sku, CAST(p_size > 10 AS BOOLEAN) AS available, FALSE AS stands_in FROM part WHERE p_size > 1 UNION ALL SELECT min(p_partkey) + 1000000, p_brand, NULL, NULL, TRUE FROM part WHERE p_size <= 1 GROUP BY p_brand, p_size")
+def catalogues(v):
+    """Parts as JSON catalogues: one for each two hundred parts, in it a product for each brand and size, with its parts as variants."""
+    variant = F.struct(
+        F.col("p_partkey").alias("id"),
+        F.col("p_name").alias("sku"),
+        F.col("p_retailprice").cast("string").alias("price"),
+        F.lit(None).cast("string").alias("compare_at_price"),
+        (F.col("p_size") > 10).alias("available"),
+    )
+    shelf = F.expr("p_partkey div 200").alias("shelf")
+    product = v.part.groupBy(shelf, "p_brand", "p_size").agg(F.collect_list(variant).alias("variants"), F.min("p_partkey").alias("id"))
+    row = F.struct(
+        (F.col("id") + 1_000_000_000).alias("id"),
+        F.col("p_brand").alias("title"),
+        F.lit("v").alias("vendor"),
+        F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("note"), F.lit(" ")).alias("attributes"),
+        F.array(F.lit("a.jpg"), F.lit("b.jpg")).alias("images"),
+        F.when(F.col("p_size") > 1, F.col("variants")).otherwise(F.array().cast(f"array<{VARIANT}>")).alias("variants"),
+    )
+    return product.groupBy("shelf").agg(F.to_json(F.struct(F.collect_list(row).alias("products"))).alias("body"))
+
+
+VARIANTS_SQL = """
+SELECT p_partkey AS variant_id, p_brand AS title, p_name AS sku, CAST(p_size > 10 AS BOOLEAN) AS available, FALSE AS stands_in FROM part WHERE p_size > 1
+UNION ALL
+SELECT min(p_partkey) + 1000000000, p_brand, NULL, NULL, TRUE FROM part WHERE p_size <= 1 GROUP BY p_partkey // 200, p_brand, p_size
+"""
+
+
+@query("s5_catalogue_variants", VARIANTS_SQL)
 def _(v):
     return P.catalogue_variants(catalogues(v), "body").select("variant_id", "title", "sku", "available", "stands_in")
 
 
-@query("s6_catalogue_details", "SELECT x.product_id, d.code, CASE d.code WHEN 'size' THEN CAST(x.p_size AS VARCHAR) WHEN 'image' THEN 'a.jpg' ELSE 'b.jpg' END AS raw_value FROM (SELECT min(p_partkey) + 1000000 AS product_id, p_size FROM part GROUP BY p_brand, p_size) AS x CROSS JOIN (VALUES ('size'), ('image'), ('image_1')) AS d(code)")
+DETAILS_SQL = """
+SELECT x.product_id, d.code, CASE d.code WHEN 'size' THEN CAST(x.p_size AS VARCHAR) WHEN 'image' THEN 'a.jpg' ELSE 'b.jpg' END AS raw_value
+FROM (SELECT min(p_partkey) + 1000000000 AS product_id, p_size FROM part GROUP BY p_partkey // 200, p_brand, p_size) AS x
+CROSS JOIN (VALUES ('size'), ('image'), ('image_1')) AS d(code)
+"""
+
+
+@query("s6_catalogue_details", DETAILS_SQL)
 def _(v):
     return P.catalogue_details(catalogues(v), "body")
 
 
 @query("s7_sitemap_urls", "SELECT DISTINCT url FROM pages")
 def _(v):
-    files = v.pages.groupBy((F.col("page_id") % 10).alias("file")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc> "), u, F.lit("</loc></url>"))), "\n"), F.lit("</urlset>")).alias("xml"))
-    return P.sitemap_urls(files, "xml")
+    entry = F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc> "), u, F.lit("</loc></url>")))
+    body = F.concat(F.lit("<urlset>"), F.array_join(entry, "\n"), F.lit("</urlset>"))
+    return P.sitemap_urls(v.pages.groupBy(F.expr("page_id div 500").alias("file")).agg(body.alias("xml")), "xml")
 
 
 @query("s8_snapshots", "SELECT page_id, url, sha256(html) AS content_hash FROM pages WHERE strlen(html) <= 2000000")
@@ -143,15 +216,6 @@ def _(v):
     return ingest.restated(old, new.unionByName(new))
 
 
-@query("t12_tax_rules_scd2", "SELECT source_key, region, material_key, CASE WHEN source_key = 'AFRICA' THEN 'closed' WHEN region = 'NATION_3' THEN 'changed' ELSE 'unchanged' END AS action FROM tax_rule UNION ALL SELECT r_name, 'all', '*', 'opened' FROM region")
-def _(v):
-    values = ["tax_mode", "tax_rate_pct", "tax_evidence"]
-    changed = F.when(F.col("region") == "NATION_3", 6.0).otherwise(F.col("tax_rate_pct"))
-    declared = v.tax_rule.where("source_key <> 'AFRICA'").withColumn("tax_rate_pct", changed)
-    more = v.region.select(F.col("r_name").alias("source_key"), F.lit("all").alias("region"), F.lit("*").alias("material_key"), F.lit("excl").alias("tax_mode"), F.lit(1.0).alias("tax_rate_pct"), F.lit("stated").alias("tax_evidence"))
-    return ingest.scd2(v.tax_rule, declared.unionByName(more), ["source_key", "region", "material_key"], values)
-
-
 @query("t13_record_revisions", "SELECT a.record_id, CASE WHEN a.record_id % 7 = 0 THEN 'revised' ELSE 'unchanged' END AS outcome, CASE WHEN a.record_id % 7 = 0 THEN 2 ELSE 1 END AS rev FROM record_rev a WHERE a.rev = 2")
 def _(v):
     rows = v.record_rev
@@ -234,11 +298,6 @@ def _(v):
     return v.offer.select("region").distinct().orderBy("region").limit(20)
 
 
-@query("a7_last_successful_run", "SELECT source_id, max(run_id) AS run_id FROM obs WHERE run_id % 5 <> 0 GROUP BY source_id")
-def _(v):
-    return v.obs.where("run_id % 5 <> 0").groupBy("source_id").agg(F.max("run_id").alias("run_id"))
-
-
 @query("a12_promotable_codes", "SELECT code, products FROM (SELECT p_brand AS code, count(DISTINCT p_partkey) AS products FROM part GROUP BY p_brand UNION ALL SELECT p_type, count(DISTINCT p_partkey) FROM part GROUP BY p_type) AS c WHERE products > 1")
 def _(v):
     codes = v.part.select("p_partkey", F.explode(F.map_keys(F.create_map("p_brand", F.lit(1), "p_type", F.lit(1)))).alias("code"))
@@ -293,14 +352,6 @@ def _(v):
     return newest.join(active, "dataset_key", "left").select("dataset_key", F.coalesce("active", F.lit(0)).alias("active"), "newest")
 
 
-@query("u6_field_sets", "SELECT a.p_partkey, CASE WHEN a.p_size % 3 = 0 THEN 'narrowed' WHEN a.p_size % 3 = 1 THEN 'widened' ELSE 'comparable' END AS verdict FROM part a")
-def _(v):
-    third = F.col("p_size") % 3
-    a, b = F.when(third == 0, F.array(F.lit("price"), F.lit("unit"))).otherwise(F.array(F.lit("price"))), F.when(third == 1, F.array(F.lit("unit"), F.lit("price"))).otherwise(F.array(F.lit("price")))
-    verdict = F.when(F.size(F.array_except(a, b)) > 0, "narrowed").when(F.size(F.array_except(b, a)) > 0, "widened").otherwise("comparable")
-    return v.part.select("p_partkey", verdict.alias("verdict"))
-
-
 @query("p4_free_search", "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE lower(c_name) LIKE '%00007%' OR lower(n_name) = 'nation_7'")
 def _(v):
     rows = v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey"))

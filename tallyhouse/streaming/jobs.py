@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -13,22 +15,52 @@ def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(kind).load(path)
 
 
-def append_new(keys: list[str], target: str) -> Callable[[DataFrame, int], None]:
-    """A sink that appends rows whose keys the table at ``target`` doesn't hold; replaying a batch adds nothing."""
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all machines share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/{name}_{uuid.uuid4().hex}"
+
+
+def append_new(keys: list[str], target: str, by: str) -> Callable[[DataFrame, int], None]:
+    """A sink that appends rows whose keys the table at ``target`` doesn't hold; replaying a batch adds nothing.
+
+    The table is partitioned by ``by``, one of the keys or a column that they decide, and only the partitions that the batch
+    touches are read, so the cost of a batch doesn't grow with the table.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         rows = batch.dropDuplicates(keys)
+        touched = [r[0] for r in batch.select(by).distinct().collect()]  # the partitions of the files of one batch
         try:
-            held = batch.sparkSession.read.schema(batch.schema).parquet(target).select(*keys)
-            rows = rows.join(held, keys, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+            held = batch.sparkSession.read.schema(batch.schema).parquet(target)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # before the first batch there is no table
                 raise
-        rows.write.mode("append").parquet(target)
+        else:
+            rows = rows.join(held.where(F.col(by).isin(touched)).select(*keys), keys, "left_anti")
+        rows.write.mode("append").partitionBy(by).parquet(target)
 
     return write
 
 
+def stored(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now, through to Parquet files: a folder for each micro-batch, so a batch that is replayed replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    started = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    started.trigger(availableNow=True).start().awaitTermination()
+    kind = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return stream.sparkSession.read.schema(kind).parquet(f"{folder}/out")
+
+
+def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key, from the updates that batches have stored."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+
+
 def once_each(stream: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
     """Rows without repeats of their keys that come within a time of each other; the state is bounded by it."""
     return stream.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
@@ -44,7 +76,11 @@ OPEN = "observed_at timestamp, price double, currency string"
 
 
 def price_changes(stream: DataFrame) -> DataFrame:
-    """An event whenever an offer's price or currency differs from its open one. Rows older than the open one are reported late and change nothing."""
+    """An event whenever an offer's price or currency differs from its open one. Rows older than the open one are reported late and change nothing.
+
+    The state is one row for each offer, its open price, and stays: without it a later price couldn't be told from a change.
+    A batch's rows of one offer are sorted together, so files should be cut by time.
+    """
 
     def step(key, frames, state: GroupState):
         out = []
@@ -54,18 +90,19 @@ def price_changes(stream: DataFrame) -> DataFrame:
             if held is not None and at < held[0]:
                 out.append((key[0], at, price, currency, "late"))
                 continue
-            reason = "first_seen" if held is None else "currency_change" if currency != held[2] else "price_change" if price != held[1] else None
+            reason = None
+            if held is None:
+                reason = "first_seen"
+            elif currency != held[2]:
+                reason = "currency_change"
+            elif price != held[1]:
+                reason = "price_change"
             if reason:
                 out.append((key[0], at, price, currency, reason))
             held = (at, price, currency)
         if held is not None:
-            state.update((held[0].to_pydatetime() if hasattr(held[0], "to_pydatetime") else held[0], float(held[1]), held[2]))
+            at = held[0].to_pydatetime() if hasattr(held[0], "to_pydatetime") else held[0]
+            state.update((at, float(held[1]), held[2]))
         yield pd.DataFrame(out, columns=["offer_id", "observed_at", "price", "currency", "reason"])
 
     return stream.groupBy("offer_id").applyInPandasWithState(step, CHANGE, OPEN, "append", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, as a table in memory: for tests and small reports."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)

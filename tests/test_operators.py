@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import text as x
-from tallyhouse.operators import history, ingest, lookups, matching
+from tallyhouse.operators import history, ingest, lookups, matching, state
 from tallyhouse.sources import pages, payloads
 
 
@@ -125,14 +125,59 @@ def test_upsert_never_clears(spark):
     assert {(r["k"], r["change_type"]) for r in changes.collect()} == {(2, "returned"), (2, "changed"), (3, "new")}
 
 
-def test_schema_verdicts():
-    assert [ingest.schema_verdict(["a", "b"], x) for x in (["a"], ["b", "a"], ["a", "b", "c"])] == ["refused", "same", "widened"]
+def test_schema_verdicts(spark):
+    rows = [(k, new, old) for k, (old, new) in enumerate([(["a", "b"], ["a"]), (["a", "b"], ["b", "a"]), (["a", "b"], ["a", "b", "c"]), (None, ["a"])])]
+    got = state.schemas_after(spark.createDataFrame(rows, "k int, new array<string>, old array<string>")).orderBy("k").collect()
+    assert [(r["verdict"], r["version"]) for r in got] == [("refused", 1), ("same", 1), ("widened", 2), ("first", 1)]
+    assert got[0]["schema_hash"] == got[1]["schema_hash"] != got[2]["schema_hash"]
+
+
+def test_rule_versions_close_and_open(spark):
+    day = datetime.date
+    stored = [("s", "r", "a", 1, day(2020, 1, 1), None), ("s", "r", "b", 1, day(2020, 1, 1), None), ("s", "r", "c", 1, day(2020, 1, 1), None), ("s", "r", "b", 9, day(2019, 1, 1), day(2020, 1, 1))]
+    now = [("s", "r", "a", 1), ("s", "r", "b", 2), ("s", "r", "d", 3)]
+    kind = "source_key string, region string, material_key string, rate int"
+    keys = ["source_key", "region", "material_key"]
+    after = state.rules_after(spark.createDataFrame(stored, f"{kind}, valid_from date, valid_to date"), spark.createDataFrame(now, kind), keys, ["rate"], "2021-05-05")
+    t = day(2021, 5, 5)
+    want = {("a", 1, day(2020, 1, 1), None), ("b", 1, day(2020, 1, 1), t), ("b", 2, t, None), ("c", 1, day(2020, 1, 1), t), ("d", 3, t, None), ("b", 9, day(2019, 1, 1), day(2020, 1, 1))}
+    assert {(r["material_key"], r["rate"], r["valid_from"], r["valid_to"]) for r in after.collect()} == want
+
+
+def test_confirmations_survive_a_rebuild(spark):
+    obs = observations(spark, [(1, 1, 10, "SAR", 0), (1, 2, 10, "SAR", 0), (1, 3, 12, "SAR", 0), (1, 4, 12, "SAR", 0)])
+    periods = history.timeline(obs)
+    seen = lambda good: obs.select("offer_id", "observed_at", F.when(F.dayofmonth("observed_at").isin(good), "success").otherwise("partial").alias("status"))
+    first = state.confirmations(periods, seen([2, 4]))
+    again = state.carried(state.confirmations(periods, seen([3])), first, ["offer_id", "first_detected_at", "price", "currency"])
+    assert [r["confirmed_at"].day for r in first.orderBy("period_no").collect()] == [2, 4]
+    assert [r["confirmed_at"].day for r in again.orderBy("period_no").collect()] == [2, 4]
+
+
+def test_facts_are_never_pruned(spark):
+    with pytest.raises(ValueError):
+        state.pruned("obs", None, "business_date", "2024-01-01")
 
 
 def test_append_new_is_idempotent(spark, tmp_path):
     from tallyhouse.streaming import jobs
 
-    sink = jobs.append_new(["k"], str(tmp_path / "t"))
-    for _ in range(2):
-        sink(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k long, v string"), 0)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    sink = jobs.append_new(["k", "day"], str(tmp_path / "t"), "day")
+    for rows in ([(1, "a", 1), (1, "a", 1), (2, "b", 1)], [(1, "a", 1), (1, "a", 2), (3, "c", 1)]):
+        for _ in range(2):
+            sink(spark.createDataFrame(rows, "k long, v string, day int"), 0)
+    got = spark.read.parquet(str(tmp_path / "t")).select("k", "day").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (2, 1), (3, 1)]
+
+
+def test_changes_carry_over_between_runs_and_late_rows_are_told(spark, tmp_path):
+    from tallyhouse.streaming import jobs
+
+    at = lambda day: datetime.datetime(2024, 1, day)
+    runs = [[(1, at(1), 10.0, "SAR"), (1, at(2), 10.0, "SAR")], [(1, at(4), 10.0, "SAR"), (1, at(3), 11.0, "SAR")], [(1, at(2), 9.0, "SAR"), (1, at(9), 10.0, "EGP")]]
+    schema = "offer_id long, observed_at timestamp, price double, currency string"
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = jobs.stored(jobs.price_changes(jobs.file_stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "work"))
+    got = [(r["observed_at"].day, r["reason"]) for r in out.orderBy("batch", "observed_at").collect()]
+    assert got == [(1, "first_seen"), (3, "price_change"), (4, "price_change"), (2, "late"), (9, "currency_change")]
