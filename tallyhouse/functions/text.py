@@ -171,10 +171,12 @@ def discount(regular: Column, effective: Column) -> dict[str, Column]:
 
 
 def change_text(before: Column, now: Column) -> Column:
-    """``+1.00 (+10.0%)``; empty without a move."""
+    """``+1.00 (+10.0%)``; empty without a move, or from a price of zero."""
     delta = now - before
     shown = F.round(delta, 2).cast("double")
-    return F.when(before.isNull() | now.isNull() | (delta == 0), "").when(before == 0, F.format_string("%+.2f", shown)).otherwise(F.format_string("%+.2f (%+.1f%%)", shown, delta.cast("double") / before.cast("double") * 100))
+    exact = lambda c: c.cast("decimal(18,4)")  # noqa: E731  halves go away from zero, whatever their binary form
+    share = F.round(exact(delta) * 100 / F.nullif(exact(before), exact(F.lit(0))), 1).cast("double")
+    return F.when(before.isNull() | now.isNull() | (delta == 0) | (before == 0), "").otherwise(F.format_string("%+.2f (%+.1f%%)", shown, share))
 
 
 def category_levels(path: str | Column, depth: int = 10) -> list[Column]:
@@ -188,17 +190,62 @@ def category_leaf(path: str | Column) -> Column:
     return F.try_element_at(parts, F.lit(-1))
 
 
-def tax_label(mode: Column, rate: Column) -> Column:
-    """What a row says about tax, from its rule."""
-    shown = F.regexp_replace(rate.cast("decimal(6,2)").cast("string"), "\\.?0+$", "")
-    percent = F.when(rate.isNotNull(), F.concat(F.lit(" "), shown, F.lit("%"))).otherwise("")
-    return F.when(mode == "incl", F.concat(F.lit("tax included"), percent)).when(mode == "excl", F.concat(F.lit("tax excluded"), percent)).otherwise("tax not verified")
+def _rate_text(rate: Column) -> Column:
+    return F.concat(F.regexp_replace(rate.cast("decimal(9,2)").cast("string"), "\\.?0+$", ""), F.lit("%"))
 
 
-def storefront_price(price: Column, sale: Column, minor: Column | None = None) -> Column:
-    """The sale price if it is above zero, else the price; in major units if the minor unit's digits are given."""
-    out = F.when(sale > 0, sale).otherwise(price).cast("double")
-    return out / F.pow(F.lit(10.0), minor) if minor is not None else out
+def tax_label(mode: Column, rate: Column, evidence: Column) -> Column:
+    """One phrase on a price's tax: what the row's figure holds (``mode``), at the rate its source states. It never implies a rate that isn't known."""
+    side = F.when(mode == "incl", "Incl. ").otherwise("Excl. ")
+    general = F.when(mode == "incl", "Tax included, rate not published").otherwise("Tax excluded, rate not published")
+    stated = (evidence == "stated") & rate.isNotNull()
+    return F.when(stated, F.concat(side, _rate_text(rate), F.lit(" tax"))).when(evidence == "general", general).otherwise("Tax treatment unverified")
+
+
+def tax_short_label(mode: Column, rate: Column, evidence: Column) -> Column:
+    """The same, short enough for a cell."""
+    side = F.when(mode == "incl", "Incl. ").otherwise("Excl. ")
+    stated = (evidence == "stated") & rate.isNotNull()
+    return F.when(stated, F.concat(side, _rate_text(rate))).when(evidence == "general", F.concat(side, F.lit("—"))).otherwise("Unverified")
+
+
+#: Countries by their two-letter codes, as far as sources are collected there.
+COUNTRIES = {
+    "AE": "United Arab Emirates", "BH": "Bahrain", "DJ": "Djibouti", "DZ": "Algeria", "EG": "Egypt", "IQ": "Iraq", "JO": "Jordan",
+    "KM": "Comoros", "KW": "Kuwait", "LB": "Lebanon", "LY": "Libya", "MA": "Morocco", "MR": "Mauritania", "OM": "Oman", "PS": "Palestine",
+    "QA": "Qatar", "SA": "Saudi Arabia", "SD": "Sudan", "SO": "Somalia", "SY": "Syria", "TN": "Tunisia", "YE": "Yemen",
+}
+
+
+def region_name(code: str | Column) -> Column:
+    """A country's name from its code; an unknown code stays, '*' and blank are no country."""
+    raw = F.trim(_col(code))
+    names = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
+    return F.when(F.coalesce(raw, F.lit("")).isin("", "*"), "").otherwise(F.coalesce(F.try_element_at(names, F.upper(raw)), raw))
+
+
+def region_code(name: str | Column) -> Column:
+    """A country's code from its name; blank for anything else, and for texts of two letters, which are codes already."""
+    raw = F.lower(F.trim(_col(name)))
+    codes = F.create_map(*[F.lit(x) for code, said in COUNTRIES.items() for x in (said.lower(), code)])
+    return F.when(F.length(raw) < 3, "").otherwise(F.coalesce(F.try_element_at(codes, raw), F.lit("")))
+
+
+def storefront_price(price: Column, flash: Column, trade: Column | None = None, minor: Column | None = None) -> dict[str, Column]:
+    """price, price_before and price_trade of a shop's product.
+
+    A flash price above zero is the price, and the usual one stands before it; the trade tier never is the price. All are in
+    major units if the minor unit's digits are given.
+    """
+    scale = F.pow(F.lit(10.0), minor) if minor is not None else F.lit(1.0)
+    on = flash > 0
+    out = {"price": F.when(on, flash).otherwise(price), "price_before": F.when(on, price), "price_trade": F.when(trade > 0, trade) if trade is not None else F.lit(None)}
+    return {k: c.cast("double") / scale for k, c in out.items()}
+
+
+def is_range(low: Column, high: Column) -> Column:
+    """Whether a product's price is a range, which no one variant has."""
+    return F.coalesce((low > 0) & (high > low), F.lit(False))
 
 
 def availability(c: str | Column) -> Column:

@@ -110,3 +110,18 @@ def availability_marks(stored: DataFrame, seen: DataFrame, absent: DataFrame) ->
     gone = (F.col("status") == "active") & F.col("last_absent_at").isNotNull() & (F.coalesce(F.col("last_seen_at") < F.col("last_absent_at"), F.lit(True)))
     back = (F.col("status") == "unavailable") & F.coalesce(F.col("last_seen_at") > F.col("last_absent_at"), F.col("last_seen_at").isNotNull())
     return rows.withColumn("mark", F.when(gone, "unavailable").when(back, "restored")).where("mark is not null")
+
+
+def promotable(products: DataFrame) -> DataFrame:
+    """kind, code, products: attribute codes (array ``codes``) and option axes (keys of the JSON ``axes``) of more than one product."""
+    codes = products.select("product_id", F.lit("attribute").alias("kind"), F.explode(F.array_compact("codes")).alias("code"))
+    axes = products.select("product_id", F.lit("axis").alias("kind"), F.explode(F.json_object_keys("axes")).alias("code"))
+    counts = codes.unionByName(axes).groupBy("kind", "code").agg(F.count_distinct("product_id").alias("products"))
+    return counts.where("products > 1")
+
+
+def pivoted(stated: DataFrame, codes: list[str], key: str) -> DataFrame:
+    """A column for each label of the allowed codes, with the last value stated for it (``at``). Labels are few: there is one for each code and language."""
+    rows = stated.where(F.col("code").isin(codes))
+    labels = sorted(r[0] for r in rows.select("label").distinct().collect())
+    return rows.groupBy(key).pivot("label", labels).agg(F.max_by("raw_value", "at"))

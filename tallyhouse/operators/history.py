@@ -80,23 +80,36 @@ def survivors(obs: DataFrame, bucket: str, before) -> DataFrame:
     return obs.where(F.col("business_date") < F.lit(before).cast("date")).withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")
 
 
-def protected(obs: DataFrame) -> DataFrame:
-    """First, latest, lowest and highest observations of each offer, ties kept, one row for each reason.
+def published(obs: DataFrame) -> DataFrame:
+    """What is published of each offer: its latest observed row, or all its reported rows where nothing was observed."""
+    own = Window.partitionBy("offer_id")
+    seen = F.col("provenance") == "observed"
+    order = own.orderBy(seen.desc(), F.col("business_date").desc(), in_order().desc())
+    rows = obs.withColumn("_any", F.max(seen).over(own)).withColumn("_n", F.row_number().over(order))
+    return rows.where((F.col("_n") == 1) | ~F.col("_any")).drop("_any", "_n")
+
+
+def protected(obs: DataFrame, other: str | None = None) -> DataFrame:
+    """First, latest, lowest and highest observations of each offer, ties kept, one row for each reason; rows without one under ``other``, if it is named.
 
     The four bounds of an offer come from one aggregation; the observations meet them in one join.
     """
     bounds = obs.groupBy("offer_id").agg(F.min("business_date").alias("first"), F.max("business_date").alias("latest"), F.min("price").alias("minimum"), F.max("price").alias("maximum"))
     reason = {"first": "business_date", "latest": "business_date", "minimum": "price", "maximum": "price"}
     hit = F.array_compact(F.array(*[F.when(F.col(c) == F.col(k), F.lit(k)) for k, c in reason.items()]))
+    if other:
+        hit = F.when(F.size(hit) == 0, F.array(F.lit(other))).otherwise(hit)
     return obs.join(bounds, "offer_id").select(*obs.columns, F.explode(hit).alias("reason"))
 
 
-def extremes(obs: DataFrame) -> DataFrame:
+def extremes(obs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Lowest, highest, first, current and previous differing price of each offer in its current currency, with the change.
 
+    ``carry`` names columns of the latest observation that come along.
+
     One window names each offer's latest price and currency, and the aggregation runs over the same partitioning: one shuffle.
     """
-    rank = F.struct((F.col("provenance") == "observed").alias("seen"), "business_date", *ORDER, "price", "currency")
+    rank = F.struct((F.col("provenance") == "observed").alias("seen"), "business_date", *ORDER, "price", "currency", *carry)
     rows = obs.withColumn("_now", F.max(rank).over(Window.partitionBy("offer_id"))).where("currency = _now.currency")
     other = F.col("price") != F.col("_now.price")
     out = rows.groupBy("offer_id").agg(
@@ -107,6 +120,9 @@ def extremes(obs: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.min_by("price", in_order()).alias("first"),
         F.max_by(F.when(other, F.col("price")), F.when(other, in_order())).alias("previous"),
+        F.max("business_date").alias("confirmed_at"),
+        F.first("_now.business_date").alias("business_date"),
+        *[F.first(f"_now.{c}").alias(c) for c in carry],
     )
     change = F.col("current") - F.col("previous")
     share = F.when(F.col("previous") != 0, F.round(change.cast("double") / F.col("previous").cast("double") * 100, 4))

@@ -79,6 +79,14 @@ def ownership(claims: DataFrame, owners: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", F.when(F.col("owner").isNull(), "no such offer").otherwise(own))
 
 
+def reconciled(stored: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """What the declared sources (key, declared) change in the stored ones (key, active): only rows that differ, sources that nobody declares, and declared ones that were never collected."""
+    both = stored.join(declared, key, "full_outer")
+    change = F.when(F.col("declared").isNull(), "undeclared").when(F.col("active").isNull(), "never collected")
+    change = change.when(F.col("declared") & ~F.col("active"), "activate").when(~F.col("declared") & F.col("active"), "deactivate")
+    return both.select(key, change.alias("change")).where("change is not null")
+
+
 def volume_breaches(runs: DataFrame, minimum: int, most_drop: float) -> DataFrame:
     """``breach`` for each (source, run, rows): no rows, fewer than the minimum, or too large a drop from the last run that had any."""
     before = F.last(F.when(F.col("rows") > 0, F.col("rows")), ignorenulls=True).over(Window.partitionBy("source_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))

@@ -36,3 +36,9 @@ def report(obs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows before, kept and dropped of each source."""
     counts = lambda df, name: df.groupBy("source_id").agg(F.count("*").alias(name))
     return counts(obs, "before").join(counts(kept, "kept"), "source_id", "left").select("source_id", "before", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("before") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+
+
+def pinned(pins: DataFrame, obs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pin and whether the observation that it names is there: 'kept' or 'stale'."""
+    rows = pins.join(obs.select(*keys, F.lit(True).alias("_there")).distinct(), keys, "left")
+    return rows.select(*keys, F.when(F.col("_there"), "kept").otherwise("stale").alias("pin"))

@@ -47,64 +47,13 @@ def _(v):
     return v.spark.read.schema(rows.schema).parquet(f"{folder}/facts")
 
 
-@query("s9_source_contracts", "SELECT r_name AS source_key, CASE WHEN r_name IN ('ASIA', 'EUROPE', 'AFRICA') THEN 'declared' ELSE 'undeclared' END AS state FROM region")
-def _(v):
-    declared = v.spark.createDataFrame([("ASIA", 10), ("EUROPE", 10), ("AFRICA", 5)], "source_key string, min_rows int")
-    rows = v.site.join(declared, "source_key", "left")
-    return rows.select("source_key", F.when(F.col("min_rows").isNotNull(), "declared").otherwise("undeclared").alias("state"))
-
-
 @query("s13_labelled_dataset", "SELECT external_id AS \"Number\", c_name AS \"Name\", c_mktsegment AS \"Segment\" FROM stored_record")
 def _(v):
     labels = {"external_id": "Number", "c_name": "Name", "c_mktsegment": "Segment"}
     return v.stored_record.select(*[F.col(k).alias(label) for k, label in labels.items()])
 
 
-@query("p10_grid_rows", f"""SELECT l.offer_id, s.source_key, f.region, CAST(l.price AS DOUBLE) AS price, l.currency, coalesce(t.tax_mode, 'UNVERIFIED') AS tax_mode, e.lowest, e.highest
- FROM {LATEST} AS l JOIN offer f ON f.offer_id = l.offer_id JOIN site s ON s.source_id = l.source_id LEFT JOIN (SELECT * FROM tax_rule WHERE region = '*' AND material_key = '*') AS t ON t.source_key = s.source_key
- JOIN (SELECT offer_id, currency, CAST(min(price) AS DOUBLE) AS lowest, CAST(max(price) AS DOUBLE) AS highest FROM obs GROUP BY offer_id, currency) AS e ON e.offer_id = l.offer_id AND e.currency = l.currency WHERE s.source_key = 'ASIA'""")
-def _(v):
-    # One source's grid: the source is pushed into the scan of the facts before anything is joined.
-    site = v.site.where("source_key = 'ASIA'")
-    obs = v.obs.join(site.select("source_id"), "source_id", "left_semi")
-    facts = history.extremes(obs).select("offer_id", *double("current", "lowest", "highest"), "currency")
-    rows = facts.join(v.offer.select("offer_id", "source_id", "region"), "offer_id").join(site, "source_id").withColumn("material_key", F.lit("*"))
-    plain = v.tax_rule.where("region = '*' and material_key = '*'")
-    out = lookups.most_specific(rows, plain, ["region", "material_key"], ["source_key"])
-    return out.select("offer_id", "source_key", "region", F.col("current").alias("price"), "currency", F.coalesce("tax_mode", F.lit("UNVERIFIED")).alias("tax_mode"), "lowest", "highest")
-
-
-@query("p15_record_page", "SELECT c_custkey, c_name, c_custkey + 0 AS next_cursor FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey > 200 ORDER BY c_custkey LIMIT 30) AS p")
-def _(v):
-    rows = lookups.after_key(v.customer.select("c_custkey", "c_name"), "c_custkey", 200, 30)
-    return rows.select("c_custkey", "c_name", F.col("c_custkey").alias("next_cursor"))
-
-
-@query("o7_truncation_flag", "SELECT count(*) AS rows, count(*) > 5000 AS truncated FROM offer")
-def _(v):
-    return v.offer.agg(F.count("*").alias("rows"), (F.count("*") > 5000).alias("truncated"))
-
-
 @query("w10_best_group_per_label", "SELECT p_brand AS label, p_type AS grp FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_size), p_type) AS rn FROM part GROUP BY p_brand, p_type) AS x WHERE rn = 1")
 def _(v):
     ranked = v.part.groupBy("p_brand", "p_type").agg(F.min("p_size").alias("rank"))
     return ranked.groupBy(F.col("p_brand").alias("label")).agg(F.min_by("p_type", F.struct("rank", "p_type")).alias("grp"))
-
-
-@query("f12_unit_charter", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'kg' WHEN p_size % 3 = 1 THEN 'm' END AS unit, CASE WHEN p_size % 3 < 2 THEN CAST(p_size AS DOUBLE) END AS quantity FROM part")
-def _(v):
-    third = F.col("p_size") % 3
-    named = v.part.select("p_partkey", F.when(third == 0, F.concat("p_name", F.lit(" bag of "), F.col("p_size").cast("string"), F.lit(" kg"))).otherwise(F.col("p_name")).alias("name"), F.when(third == 1, F.concat(F.col("p_size").cast("string"), F.lit(" m"))).when(third == 2, "as shown").alias("detail"))
-    found = charter.resolved([("name", "container"), ("name", "quantity"), ("detail", "quantity")], ["kg", "m"])
-    return named.select("p_partkey", found["unit"].alias("unit"), found["quantity"].alias("quantity"))
-
-
-@query("h8_discovered_records", "SELECT CAST(c_custkey AS BIGINT) AS record_id, c_mktsegment AS segment, CASE WHEN c_custkey % 7 = 0 THEN 'revised' WHEN c_custkey % 2 = 0 THEN 'unchanged' ELSE 'new' END AS outcome FROM customer")
-def _(v):
-    # Pages -> tables -> typed rows -> records against those stored before.
-    row = F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td><td>"), "c_mktsegment", F.lit("</td></tr>"))
-    html = v.customer.groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(F.concat(F.lit("<table><tr><th>id</th><th>segment</th></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
-    cells = H.html_tables(html).select("header", F.explode("rows").alias("cells")).select(F.map_from_arrays("header", "cells").alias("m"))
-    found = cells.select(x.converted(F.col("m")["id"], "integer").alias("record_id"), F.col("m")["segment"].alias("segment")).where("record_id is not null")
-    stored = v.customer.where("c_custkey % 7 = 0 or c_custkey % 2 = 0").select(F.col("c_custkey").alias("record_id"), F.when(F.col("c_custkey") % 7 == 0, "OLD").otherwise(F.col("c_mktsegment")).alias("segment"), F.lit(1).alias("rev"))
-    return ingest.revised(stored, found, "record_id", ["segment"]).join(found, "record_id").select("record_id", "segment", "outcome")

@@ -102,26 +102,6 @@ def _(v):
     return directory.details_by_language(rows.where("raw_value is not null"), ["p_partkey"], "code", "raw_value")
 
 
-@query("j16_details_export", "SELECT p.product_id, p.brand, min(f.offer_id) AS offer_id FROM product p JOIN offer f ON f.product_id = p.product_id AND f.source_id = p.source_id GROUP BY p.product_id, p.brand")
-def _(v):
-    first = v.offer.groupBy("source_id", "product_id").agg(F.min("offer_id").alias("offer_id"))
-    return v.product.select("source_id", "product_id", "brand").join(first, ["source_id", "product_id"]).groupBy("product_id", "brand").agg(F.min("offer_id").alias("offer_id"))
-
-
-@query("j15_stale_pins", "SELECT o.offer_id, o.ord1 FROM obs o WHERE o.ord1 % 97 = 0 AND o.provenance = 'reported'")
-def _(v):
-    keys = ["offer_id", "ord1", "ord2", "ord3"]
-    pins = v.obs.where("ord1 % 97 = 0").select(*keys)
-    return pins.join(v.obs.where("provenance <> 'reported'").select(*keys), keys, "left_anti").select("offer_id", "ord1")
-
-
-@query("j20_record_states", "SELECT r.record_id, count(*) AS revisions, max(rev) AS rev, max(CASE WHEN s.external_id IS NOT NULL THEN 1 ELSE 0 END) AS sighted FROM record_rev r LEFT JOIN (SELECT DISTINCT external_id FROM sighting) AS s ON s.external_id = CAST(r.record_id AS VARCHAR) GROUP BY r.record_id")
-def _(v):
-    last = v.record_rev.groupBy("record_id").agg(F.count("*").alias("revisions"), F.max("rev").alias("rev"))
-    seen = v.sighting.select(F.col("external_id").cast("long").alias("record_id"), F.lit(1).alias("sighted")).distinct()
-    return last.join(seen, "record_id", "left").select("record_id", "revisions", "rev", F.coalesce("sighted", F.lit(0)).alias("sighted"))
-
-
 @query("j23_field_assignments", "SELECT product_id, source_id, priority FROM (SELECT product_id, source_id, source_id % 3 AS priority, row_number() OVER (PARTITION BY product_id ORDER BY source_id % 3, source_id) AS rn FROM (SELECT product_id, source_id, max(business_date) AS d FROM obs GROUP BY product_id, source_id) AS f WHERE d >= DATE '1997-01-01') AS x WHERE rn = 1")
 def _(v):
     feeds = v.obs.groupBy("product_id", "source_id").agg(F.max("business_date").alias("last_seen"))
@@ -129,28 +109,11 @@ def _(v):
     return directory.assigned(feeds, ["product_id"], 365, "1998-01-01").select("product_id", "source_id", "priority")
 
 
-@query("j2_published_prices", f"SELECT l.offer_id, m.material_id, m.material_name, CAST(l.price AS DOUBLE) AS price FROM {LATEST} AS l JOIN product p ON p.product_id = l.product_id AND p.source_id = l.source_id JOIN material m ON m.material_name = p.product_name WHERE l.provenance = 'observed' AND p.product_id % 2 = 0")
-def _(v):
-    matches = v.product.where("product_id % 2 = 0").join(v.material, F.col("product_name") == F.col("material_name")).select("source_id", "product_id", "material_id", "material_name")
-    rows = history.latest_per_offer(v.obs).where("provenance = 'observed'").join(matches, ["source_id", "product_id"])
-    return rows.select("offer_id", "material_id", "material_name", *double("price"))
-
-
 @query("p6_saved_view", "SELECT region AS \"Country\", offer_id AS \"Offer\", source_id, product_id, basis_quantity, status FROM offer")
 def _(v):
     return directory.laid_out(v.offer, [("region", "Country", True), ("offer_id", "Offer", True), ("unit_code", "Unit", False)])
 
 
-@query("p7_export_rows", f"""SELECT l.offer_id, p.product_name, split_part(p.category_path, ' > ', 1) AS level_1, CASE WHEN f.unit_code IS NULL THEN '' WHEN f.basis_quantity = 1 THEN concat('per ', f.unit_code) ELSE concat('per ', CAST(f.basis_quantity AS VARCHAR), ' ', f.unit_code) END AS unit_text, CASE WHEN l.price_before > l.price THEN CAST(round(l.price_before - l.price, 2) AS DOUBLE) END AS discount
- FROM {LATEST} AS l JOIN offer f ON f.offer_id = l.offer_id JOIN product p ON p.product_id = l.product_id AND p.source_id = l.source_id""")
-def _(v):
-    from tallyhouse.functions import text as x
-    from tallyhouse.operators import lookups
-
-    rows = lookups.star(history.latest_per_offer(v.obs), v.offer, v.product, v.site)
-    return rows.select("offer_id", "product_name", x.category_levels("category_path", 1)[0], x.price_unit("unit_code", "basis_quantity").alias("unit_text"), x.discount(F.col("price_before"), F.col("price"))["amount"].alias("discount"))
-
-
 @query("p9_bilingual_columns", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS name FROM customer")
 def _(v):
     rows = v.customer.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(" ").alias("name"), F.col("c_name").alias("name_ar"))
@@ -168,12 +131,6 @@ def _(v):
     return directory.tree_shape(v.offer.join(v.product.select("source_id", "product_id", "product_name"), ["source_id", "product_id"]))
 
 
-@query("u7_source_board", "SELECT category, state, count(*) AS n FROM (SELECT 'shop' AS category, CASE WHEN r_regionkey % 2 = 0 THEN 'active' ELSE 'paused' END AS state FROM region UNION ALL SELECT 'directory', 'active' FROM nation) AS b GROUP BY category, state")
-def _(v):
-    shops = v.region.select(F.lit("shop").alias("category"), F.when(F.col("r_regionkey") % 2 == 0, "active").otherwise("paused").alias("state"))
-    return shops.unionByName(v.nation.select(F.lit("directory").alias("category"), F.lit("active").alias("state"))).groupBy("category", "state").agg(F.count("*").alias("n"))
-
-
 @query("t4_adopted_units", "SELECT how, count(*) AS n FROM (SELECT CASE WHEN unit_code IS NULL THEN 'adopts' ELSE 'exact' END AS how FROM offer WHERE product_id % 2 = 0 UNION ALL SELECT 'new' FROM offer WHERE product_id % 2 = 1) AS x GROUP BY how")
 def _(v):
     rows = v.offer.select("offer_id", F.col("offer_id").alias("product_id"), "region", "unit_code", F.col("product_id").alias("p"))

@@ -158,12 +158,6 @@ def _(v):
     return P.latest_validators(seen, "2024-01-10")
 
 
-@query("s12_packed_stream", "SELECT p_partkey, p_name FROM part")
-def _(v):
-    stream = P.packed({("shop", "part"): v.part.select("p_partkey", "p_name"), ("shop", "nation"): v.nation})
-    return P.unpacked(stream, "shop", "part", "p_partkey long, p_name string")
-
-
 @query("j13_locale_pairs", "SELECT locale_free_url, max(CASE WHEN locale = 'en' THEN page_id END) AS en, max(CASE WHEN locale = 'fr' THEN page_id END) AS fr, max(CASE WHEN locale = 'de' THEN page_id END) AS de, max(CASE WHEN locale = 'es' THEN page_id END) AS es FROM page_key GROUP BY locale_free_url")
 def _(v):
     return v.page_key.groupBy("locale_free_url").pivot("locale", ["en", "fr", "de", "es"]).agg(F.max("page_id"))
@@ -266,13 +260,6 @@ def _(v):
     return ingest.collapsed_new(row(v.part.where("p_partkey % 2 = 0"), "product", "new").unionByName(row(v.part, "variant", "new")).unionByName(row(v.part, "variant", "changed")))
 
 
-@query("j18_active_flags", "SELECT c_custkey, TRUE AS declared FROM customer WHERE c_custkey % 11 = 0 AND c_custkey % 2 = 0 UNION ALL SELECT c_custkey, FALSE FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 2 = 1")
-def _(v):
-    stored = v.customer.select("c_custkey", (F.col("c_custkey") % 11 != 0).alias("active"))
-    declared = v.customer.select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("declared"))
-    return stored.join(declared, "c_custkey").where("active <> declared").select("c_custkey", "declared")
-
-
 @query("j19_relationship_profile", "SELECT count(*) AS orders, count(c_custkey) AS matched, count(*) - count(c_custkey) AS orphans, count(DISTINCT o_custkey) AS parents FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0")
 def _(v):
     parents = v.customer.where("c_custkey % 4 <> 0").select("c_custkey")
@@ -288,44 +275,22 @@ def _(v):
     return rows.join(v.site, "source_id").select("source_key", "products", "offers", "observations", "last_seen")
 
 
-@query("a4_watch_strip", "SELECT count(*) AS total, CAST(sum(CASE WHEN curation = 'ignored' THEN 1 ELSE 0 END) AS BIGINT) AS ignored, count(DISTINCT CASE WHEN curation = 'selected' THEN product_id END) AS selected FROM product")
-def _(v):
-    return v.product.agg(F.count("*").alias("total"), F.sum(F.when(F.col("curation") == "ignored", 1).otherwise(0)).alias("ignored"), F.count_distinct(F.when(F.col("curation") == "selected", F.col("product_id"))).alias("selected"))
-
-
 @query("a6_facet_values", "SELECT DISTINCT region FROM offer ORDER BY region LIMIT 20")
 def _(v):
     return v.offer.select("region").distinct().orderBy("region").limit(20)
 
 
-@query("a12_promotable_codes", "SELECT code, products FROM (SELECT p_brand AS code, count(DISTINCT p_partkey) AS products FROM part GROUP BY p_brand UNION ALL SELECT p_type, count(DISTINCT p_partkey) FROM part GROUP BY p_type) AS c WHERE products > 1")
-def _(v):
-    codes = v.part.select("p_partkey", F.explode(F.map_keys(F.create_map("p_brand", F.lit(1), "p_type", F.lit(1)))).alias("code"))
-    return codes.groupBy("code").agg(F.count_distinct("p_partkey").alias("products")).where("products > 1")
-
-
 @query("a13_footprint", "SELECT 'obs' AS entity, count(*) AS n FROM obs UNION ALL SELECT 'offer', count(*) FROM offer UNION ALL SELECT 'product', count(*) FROM product")
 def _(v):
     count = lambda name: getattr(v, name).agg(F.lit(name).alias("entity"), F.count("*").alias("n"))
     return count("obs").unionByName(count("offer")).unionByName(count("product"))
 
 
-@query("a16_attribute_pivot", "SELECT p_partkey, p_brand AS brand, p_type AS type, CAST(p_size AS VARCHAR) AS size FROM part")
-def _(v):
-    long = v.part.select("p_partkey", F.expr("stack(3, 'brand', p_brand, 'type', p_type, 'size', cast(p_size as string))").alias("code", "raw_value"))
-    return long.groupBy("p_partkey").pivot("code", ["brand", "type", "size"]).agg(F.max("raw_value"))
-
-
 @query("a17_joined_categories", "SELECT p_brand, string_agg(p_type, ', ' ORDER BY p_type) AS types FROM (SELECT DISTINCT p_brand, p_type FROM part) AS p GROUP BY p_brand")
 def _(v):
     return v.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("types"))
 
 
-@query("a18_folded_variants", "SELECT p_brand, p_type, p_size, count(*) AS variants, min(p_retailprice) AS lowest, max(p_retailprice) AS highest, CASE WHEN count(DISTINCT p_name) = 1 THEN min(p_name) ELSE '' END AS name FROM part GROUP BY p_brand, p_type, p_size")
-def _(v):
-    return v.part.groupBy("p_brand", "p_type", "p_size").agg(F.count("*").alias("variants"), F.min("p_retailprice").alias("lowest"), F.max("p_retailprice").alias("highest"), F.when(F.count_distinct("p_name") == 1, F.min("p_name")).otherwise("").alias("name"))
-
-
 @query("a22_recent_observations", "SELECT offer_id, observed_at, ord1, ord2, ord3 FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, ord1 DESC, ord2 DESC, ord3 DESC, ord4 DESC) AS rn FROM obs) AS x WHERE rn <= 3")
 def _(v):
     from pyspark.sql import Window
@@ -340,11 +305,6 @@ def _(v):
     return v.site.join(last, "source_id", "left").select("source_key", "last_run")
 
 
-@query("a25_headings", "SELECT p_name, count(*) AS n, count(*) > 1 AS nested FROM part GROUP BY p_name")
-def _(v):
-    return v.part.groupBy("p_name").agg(F.count("*").alias("n"), (F.count("*") > 1).alias("nested"))
-
-
 @query("a26_dataset_catalogue", "SELECT d.dataset_key, count(CASE WHEN r.status = 'active' THEN 1 END) AS active, max(d.newest) AS newest FROM (SELECT dataset_key, max(seen_at) AS newest FROM sighting GROUP BY dataset_key) AS d LEFT JOIN stored_record r ON r.dataset_key = d.dataset_key GROUP BY d.dataset_key")
 def _(v):
     newest = v.sighting.groupBy("dataset_key").agg(F.max("seen_at").alias("newest"))

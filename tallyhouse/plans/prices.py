@@ -70,11 +70,6 @@ def _(v):
     return history.protected(v.obs).select("offer_id", "business_date", "ord1", "ord2", "ord3", "reason")
 
 
-@query("a15_protected_reasons", f"SELECT reason, count(*) AS n FROM ({PROTECTED}) AS p GROUP BY reason")
-def _(v):
-    return history.protected(v.obs).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query("u1_protected_set", f"SELECT DISTINCT offer_id, business_date, ord1, ord2, ord3 FROM ({PROTECTED} UNION ALL SELECT offer_id, business_date, ord1, ord2, ord3, 'pinned' FROM obs WHERE ord1 % 97 = 0) AS p")
 def _(v):
     keys = ["offer_id", "business_date", "ord1", "ord2", "ord3"]

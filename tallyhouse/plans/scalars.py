@@ -125,22 +125,6 @@ def _(v):
     return v.product.select("source_id", "product_id", *x.category_levels("category_path", 4), x.category_leaf("category_path").alias("leaf"))
 
 
-@query("f18_region_names", "SELECT c_custkey, n_name AS country FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
-def _(v):
-    return v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("c_custkey", F.col("n_name").alias("country"))
-
-
-@query("f19_tax_labels", "SELECT source_key, region, material_key, concat(CASE tax_mode WHEN 'incl' THEN 'tax included' ELSE 'tax excluded' END, CASE WHEN tax_rate_pct IS NULL THEN '' ELSE concat(' ', CAST(CAST(tax_rate_pct AS INT) AS VARCHAR), '%') END) AS label FROM tax_rule")
-def _(v):
-    return v.tax_rule.select("source_key", "region", "material_key", x.tax_label(F.col("tax_mode"), F.col("tax_rate_pct")).alias("label"))
-
-
-@query("f20_storefront_price", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 100 ELSE p_size * 250 END / 100.0 AS price FROM part")
-def _(v):
-    sale = F.when(F.col("p_size") % 2 == 0, F.col("p_size") * 100).otherwise(0)
-    return v.part.select("p_partkey", x.storefront_price(F.col("p_size") * 250, sale, F.lit(2)).alias("price"))
-
-
 @query("f21_availability", "SELECT offer_id, ord1, ord2, ord3, availability FROM obs")
 def _(v):
     said = F.when(F.col("availability") == "in_stock", "https://schema.org/InStock").when(F.col("availability") == "out_of_stock", "Out of stock").otherwise("call us")

@@ -119,11 +119,12 @@ class Warehouse:
         """The latest observation of each offer; only those meet their prices."""
         return self.priced(history.latest_per_offer(self.facts))
 
-    def flat(self, facts: DataFrame) -> DataFrame:
-        """Facts with their prices and all that their offers, products and sites say: each dimension is joined once."""
+    def flat(self, facts: DataFrame, priced: bool = False) -> DataFrame:
+        """Facts with their prices, unless they have them, and all that their offers, products and sites say: each dimension is joined once."""
         rows = facts.join(self.part, F.col("product_id") == F.col("p_partkey"))
         rows = rows.join(self.nation.select("n_nationkey", "n_name"), F.expr("n_nationkey = product_id % 25")).join(self.site, "source_id")
-        return self._of(rows, {k: OBS[k] for k in PRICED} | OFFER | PRODUCT, *facts.columns, "source_key").drop("l_discount")
+        more = {} if priced else {k: OBS[k] for k in PRICED}
+        return self._of(rows, more | OFFER | PRODUCT, *facts.columns, "source_key").drop("l_discount")
 
     @cached_property
     def site(self) -> DataFrame:

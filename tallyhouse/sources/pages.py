@@ -114,6 +114,12 @@ def html_tables(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").where(F.col("html").contains("<table")).mapInArrow(run, TABLE)
 
 
+def approved(tables: DataFrame, fields: list[str], sure: float) -> DataFrame:
+    """Discovered tables that may be stored: sure enough of their header, with all fields in it, without merged cells, and not empty."""
+    fit = (F.col("confidence") >= sure) & (F.size(F.array_except(F.array(*map(F.lit, fields)), "header")) == 0)
+    return tables.where(fit & ~F.array_contains("warnings", "merged cells") & (F.size("rows") > 0))
+
+
 NODE = "struct<`@type`:string,name:string,sku:string,brand:string,image:array<string>,offers:struct<price:string,lowPrice:string,priceCurrency:string,availability:string>>"
 
 

@@ -91,11 +91,6 @@ def latest_validators(seen: DataFrame, not_before=None) -> DataFrame:
     return rows.groupBy("url").agg(F.max_by("validator", F.struct("seen_at", "validator")).alias("validator"), F.max("seen_at").alias("seen_at"))
 
 
-def write_bundle(df: DataFrame, path: str, kind: str = "json", by: str = "source_key") -> None:
-    """An export of a table, a folder for each source."""
-    df.write.mode("overwrite").partitionBy(by).format(kind).save(path)
-
-
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Files of an export with bytes and SHA-256."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -118,6 +113,16 @@ def packed(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return out
 
 
+def write_pack(stream: DataFrame, folder: str) -> None:
+    """The stream as compressed JSON lines, a folder for each dataset and table."""
+    stream.write.mode("overwrite").partitionBy("dataset", "table").option("compression", "gzip").json(folder)
+
+
+def read_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """A written stream; a filter on dataset or table reads those folders only."""
+    return spark.read.schema("row string, dataset string, table string").json(folder)
+
+
 def unpacked(stream: DataFrame, dataset: str, name: str, schema: str) -> DataFrame:
     """One table of such a stream."""
     return stream.where((F.col("dataset") == dataset) & (F.col("table") == name)).select(F.from_json("row", schema).alias("r")).select("r.*")
