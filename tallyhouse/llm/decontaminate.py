@@ -8,9 +8,10 @@ an item (or PASSAGE words), whatever other items there are.
 
 Most passages fall to a bound before they are searched. In each item the commonest words are set apart, as many as make up at
 most three quarters of the threshold: they are all that an item can get besides its other, essential words. A passage in
-which no item gets the rest of the threshold from its essential words can hold none. The others go through block-max WAND: cursors by item, a pivot where the words' largest weights reach the
-threshold, and the largest weights of the pivot's block before it is scored. All items above the threshold come back, and
-count when the words of the question and of the answer are both there in order.
+which no item gets the rest of the threshold from its essential words can hold none. The others go through block-max WAND:
+cursors by item, a pivot where the words' largest weights reach the threshold, and the largest weights of the pivot's block
+before it is scored. All items above the threshold come back, and count when the words of the question and of the answer are
+both there in order.
 
 The indexes are built from shards of the items, each bounded in bytes, so what is broadcast at once doesn't grow with the
 benchmark. Document frequencies, number and mean length are counted once over all items, so scores don't depend on shards.
@@ -22,11 +23,12 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import materialize, table, texts
+from tallyhouse.llm.common import Scratch, among, table, texts
 
 #: Share of an item that a passage has to cover; share of question and answer that has to be there in order.
 THRESHOLD, OVERLAP = 0.6, 0.8
@@ -205,37 +207,47 @@ class Banded:
         return found
 
 
-def _indexes(items: DataFrame, threshold: float):
-    """An index for each shard of the items, broadcast: at most about SHARD_BYTES of their texts pass the driver at once."""
+def _indexes(scratch: Scratch, items: DataFrame, threshold: float):
+    """An index for each shard of the items, broadcast: about SHARD_BYTES of their texts pass the driver at once. Yields it and whether it is the only one."""
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
-    shards = max(1, -(-(items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // SHARD_BYTES))
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
 
     def run(batches):
         for batch in batches:
-            rows = [(shard, w, x) for shard, text in zip(batch.column("shard").to_pylist(), texts(batch)) if (words := words_of(text)) for w, x in [(None, len(words)), *((w, 1) for w in set(words))]]
+            rows = []
+            for shard, text in zip(batch.column("shard").to_pylist(), texts(batch)):
+                if words := words_of(text):
+                    rows += [(shard, None, len(words)), *((shard, w, 1) for w in set(words))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64()))], names=["shard", "word", "n"])
 
     placed = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("long"))
     #: A row without word for each item holds its length.
-    words = materialize(placed.select("shard", "text").mapInArrow(run, "shard long, word string, n long").groupBy("shard", "word").agg(F.sum("n").alias("n"), F.count("*").alias("items")), "item_words")
+    words = placed.select("shard", "text").mapInArrow(run, "shard long, word string, n long")
+    words = scratch.write(words.groupBy("shard", "word").agg(F.sum("n").alias("n"), F.count("*").alias("items")), "item_words")
     n, length = words.where("word is null").agg(F.coalesce(F.sum("items"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = words.where("word is not null").groupBy("word").agg(F.sum("items").alias("df"))
     for shard in range(shards):
-        held = dict(map(tuple, df.join(words.where((F.col("shard") == shard) & F.col("word").isNotNull()).select("word"), "word", "left_semi").collect()))
-        yield items.sparkSession.sparkContext.broadcast(Banded([tuple(r) for r in placed.where(F.col("shard") == shard).select("item_id", "text").collect()], threshold, (n, length / max(n, 1), held)))
+        own = words.where((F.col("shard") == shard) & F.col("word").isNotNull()).select("word")
+        frequency = dict(map(tuple, df.join(own, "word", "left_semi").collect()))
+        rows = [tuple(r) for r in placed.where(F.col("shard") == shard).select("item_id", "text").collect()]
+        yield scratch.spark.sparkContext.broadcast(Banded(rows, threshold, (n, length / max(n, 1), frequency))), shards == 1
+    scratch.drop(words)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, item_id, score, question, answer: every document and test item that it holds, once for each row of ``docs``.
 
     Null or empty texts, and items without words, match nothing; repeated items of one id count as one by the larger
-    score; repeated documents give repeated rows; further columns are left aside.
+    score; repeated documents give repeated rows; further columns are left aside. Shards of the benchmark are searched one
+    after another, each with its own index in memory alone.
     """
+    scratch = Scratch(docs.sparkSession)
     source = docs.select("doc_id", "text").where("text is not null")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double, question double, answer double"
-    out = None
-    for held in _indexes(items, threshold):
+    parts = []
+    for held, only in _indexes(scratch, items, threshold):
 
         def run(batches, held=held):
             index = held.value
@@ -243,25 +255,46 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 rows = [(k, item, *x) for k, text in enumerate(texts(batch)) for item, x in index.search(text, threshold, overlap).items()]
                 if rows:
                     at, *rest = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(rest[0], pa.int64()), *map(pa.array, rest[1:])], names=["doc_id", "item_id", "score", "question", "answer"])
+                    columns = [batch.column("doc_id").take(pa.array(at)), pa.array(rest[0], pa.int64()), *map(pa.array, rest[1:])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "score", "question", "answer"])
 
         found = source.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        if only:
+            return found
+        parts.append(scratch.write(found, "found"))
+        held.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item; nothing is shuffled."""
-    for held in _indexes(items, threshold):
+    """The rows of ``docs``, all columns, that hold no test item; rows of null or empty text stay. With one shard of items nothing is shuffled."""
+    scratch, marks = Scratch(docs.sparkSession), []
+    one, two = F.xxhash64("text").alias("one"), F.xxhash64(F.lit(2), "text").alias("two")
+    for held, only in _indexes(scratch, items, threshold):
 
-        def run(batches, held=held):
+        def keep(batches, held=held):
             index = held.value
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(x, threshold, overlap) for x in texts(batch)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        def drop(batches, held=held):
+            index = held.value
+            for batch in batches:
+                hit = pa.array([bool(index.search(x, threshold, overlap)) for x in texts(batch)], pa.bool_())
+                yield batch.select(["one", "two"]).filter(hit)
+
+        if only:
+            return docs.mapInArrow(keep, docs.schema)
+        marked = docs.where("text is not null").select(one, two, "text")
+        marks.append(scratch.write(marked.mapInArrow(drop, "one long, two long"), "marked"))
+        held.destroy()
+    gone = scratch.write(reduce(DataFrame.unionByName, marks).distinct(), "gone")
+    rows = docs.withColumns({"_one": one, "_two": two})
+    asked, others = among(scratch, rows, "_one", gone.select("one"))
+    clean = asked.join(gone, (F.col("_one") == F.col("one")) & (F.col("_two") == F.col("two")), "left_anti").unionByName(others)
+    return clean.select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", F.round("score", 6).alias("score"), F.round("question", 6).alias("question"), F.round("answer", 6).alias("answer"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question", "answer")])

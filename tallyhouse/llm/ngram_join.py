@@ -30,7 +30,7 @@ from tallyhouse.llm.common import Scratch, among, map_batches, short_batches, ta
 from tallyhouse.llm.components import merged
 
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: 64-bit words of the long and of the short dense sketch; bits of a segment of the sparse one; layouts of segments at most.
+#: 64-bit words of the long dense sketch, at least, and of the short one; bits of a segment of the sparse one; layouts of segments at most.
 WORDS, SHORT, SEGMENT_BITS, LAYOUTS = 32, 8, 20, 16
 
 
@@ -61,15 +61,24 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.view(np.int64)) for x in (np.bitwise_xor.reduce(_mix(s + _MIX1)), np.add.reduce(_mix(s ^ _MIX3))))
 
 
-def dense_sketch(s: np.ndarray) -> list[int]:
-    """The parity sketch of WORDS * 64 bits."""
-    parity = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+def dense_sketch(s: np.ndarray) -> np.ndarray:
+    """The parity sketch: WORDS 64-bit words, doubled until there are two bits for each n-gram, so that it tells large sets apart too."""
+    words = WORDS
+    while 32 * words < len(s):
+        words *= 2
+    parity = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
 
 
-def folded(sketch: list[int]) -> list[int]:
-    """The parity sketch of SHORT * 64 bits, from the long one."""
-    return np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(-1, SHORT)).tolist()
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The parity sketch of fewer words, from a longer one."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words))
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> int:
+    """The distance of two parity sketches, over as many bits as the shorter one has: at most the size of the sets' symmetric difference."""
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
 class Bands:
@@ -143,12 +152,12 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 s = shingle_set(text, n)
                 a, b = fingerprint(s)
                 long = dense_sketch(s)
-                size.append(len(s)), one.append(a), two.append(b), short.append(folded(long)), sketch.append(long)
+                size.append(len(s)), one.append(a), two.append(b), short.append(folded(long, SHORT).view(np.int64)), sketch.append(long.tobytes())
             return [batch.column("doc_id"), size, one, two, short, sketch]
 
         return step
 
-    schema = "doc_id long, size long, one long, two long, short array<long>, sketch array<long>"
+    schema = "doc_id long, size long, one long, two long, short array<long>, sketch binary"
     return map_batches(docs.select("doc_id", "text"), schema, make)
 
 
@@ -195,16 +204,29 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, hub long, id long")
 
 
-def _close(bands: Bands, column: str, words: int) -> Column:
-    """Size and Hamming bounds of a pair with columns size_a, size_b and sketches ``column``_a, ``column``_b."""
+def _close(bands: Bands) -> Column:
+    """Size and Hamming bounds of a pair with columns size_a, size_b and short sketches short_a, short_b."""
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    within = _hamming(column, words) * (bands.den + bands.num) <= (small + large) * (bands.den - bands.num)
-    return (small * bands.den >= large * bands.num) & within
+    word = lambda x, i: F.element_at(f"short_{x}", i + 1)
+    apart = sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(SHORT)), F.lit(0))
+    return (small * bands.den >= large * bands.num) & (apart * (bands.den + bands.num) <= (small + large) * (bands.den - bands.num))
 
 
-def _hamming(column: str, words: int) -> Column:
-    word = lambda x, i: F.element_at(f"{column}_{x}", i + 1)
-    return sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(words)), F.lit(0))
+def _near(pairs: DataFrame, facts: DataFrame, bands: Bands) -> DataFrame:
+    """a, b, far: the pairs (a, b) of classes that pass the long sketch, and by how much."""
+    total, differ = bands.den + bands.num, bands.den - bands.num
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            sketches = zip(*(batch.column(c) for c in ("sketch_a", "sketch_b")))
+            apart = np.array([hamming(*(np.frombuffer(x.as_buffer(), np.uint64) for x in two)) for two in sketches], np.int64)
+            keep = pa.array(apart * total <= size * differ)
+            rows = batch.select(["a", "b"]).append_column("far", pa.array(apart / size)).filter(keep)
+            yield rows
+
+    full = pairs.join(_side(facts, "a", "id", "size", "sketch"), "a").join(_side(facts, "b", "id", "size", "sketch"), "b")
+    return full.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size"), "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, far double")
 
 
 def _side(rows: DataFrame, x: str, key: str, *columns: str) -> DataFrame:
@@ -222,6 +244,7 @@ class _Join:
         """id (of a class) and a text of it, for the classes named."""
         n = self.n
         named = classes.join(ids, "id", "left_semi").select("id", "rep", "size", "one", "two")
+        named = self.scratch.write(named, "named", links=True)  # its size is known from here on
         asked, _ = among(self.scratch, self.docs, "doc_id", named.select("rep"))
         whole = asked.join(named, F.col("doc_id") == F.col("rep")).select("id", "text", "size", "one", "two")
 
@@ -252,7 +275,8 @@ class _Join:
                     keep.append(both * den >= num * (len(s) + len(t) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        both = pairs.select("a", "b").join(_side(bodies, "a", "id", "text"), "a").join(_side(bodies, "b", "id", "text"), "b")
+        second = bodies.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
+        both = pairs.select("a", "b").join(_side(bodies, "a", "id", "text"), "a").join(_side(second, "b", "id", "text"), "b")
         with short_batches(self.scratch.spark, 500):
             return self.scratch.write(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "verified")
 
@@ -305,15 +329,10 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame
     facts = scratch.write(classes.join(marks, "one", "left_semi"), "facts", links=True)
     pairs = shared.select(F.col("hub").alias("mark_a"), F.col("id").alias("mark_b")).distinct()
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """a, b, far: the pairs (a, b) of classes that pass the long sketch, and by how much."""
-        full = pairs.join(_side(facts, "a", "id", "size", "sketch"), "a").join(_side(facts, "b", "id", "size", "sketch"), "b")
-        far = _hamming("sketch", WORDS) / (F.col("size_a") + F.col("size_b"))
-        return full.where(_close(bands, "sketch", WORDS)).select("a", "b", far.alias("far"))
-
     for x in "ab":
         pairs = pairs.join(_side(facts, x, "id", "one", "size", "short").withColumnRenamed(f"one_{x}", f"mark_{x}"), f"mark_{x}")
-    star = scratch.write(near(pairs.where("a <> b").where(_close(bands, "short", SHORT)).select("a", "b")), "star", links=True)
+    close = scratch.write(pairs.where("a <> b").where(_close(bands)).select("a", "b"), "close", links=True)
+    star = scratch.write(_near(close, facts, bands), "star", links=True)
     components = scratch.write(facts.select("id", F.col("id").alias("comp")), "components", links=True)
     components = run.settled(classes, components, star)
     # Buckets that still span components: their members meet each other, hubs apart.
@@ -322,9 +341,9 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame
     member = scratch.write(member.join(mixed, "key").drop("one"), "member", links=True)
     scratch.drop(shared)
     sides = [_side(member, x, "id", "key", "comp", "size", "short").withColumnRenamed(f"key_{x}", "key") for x in "ab"]
-    met = sides[0].join(sides[1], "key").where((F.col("comp_a") < F.col("comp_b")) & _close(bands, "short", SHORT))
+    met = sides[0].join(sides[1], "key").where((F.col("comp_a") < F.col("comp_b")) & _close(bands))
     met = scratch.write(met.select("a", "b").distinct(), "met", links=True)
-    across = scratch.write(near(met), "across", links=True)
+    across = scratch.write(_near(met, facts, bands), "across", links=True)
     components = run.settled(classes, components, across)
     # From classes to ids: rows that repeat an id with several texts join their classes.
     worded = sets.where("doc_id is not null and size > 0").select("doc_id", *same)
@@ -341,7 +360,7 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame
     every_ = every.join(over, "comp", "left").select(*same, "rep", F.coalesce("to", "comp").alias("comp"))
     least = every_.groupBy("comp").agg(F.min("rep").alias("least"))
     named = scratch.write(every_.join(least, "comp").select(*same, "least"), "named")
-    scratch.drop(classes, facts, components, member, met, every, bridges)
+    scratch.drop(classes, facts, components, close, member, met, every, bridges)
     scratch.tidy()
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return sets.select("doc_id", *same).join(named, same, "left").select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two Markov models of order one over character classes are trained from labelled samples that the corpus itself gives:
-what the patterns catch is labelled random; other words of 10 or more identifier characters, as far as no pattern touches
-them and digits stand at the end only, and plain numbers are labelled ordinary. A key may come from another alphabet than
+what the patterns catch is labelled random, but for assigned values that read like an ordinary word; other words of 10 or
+more identifier characters, as far as no pattern touches them and digits stand at the end only, and plain numbers are
+labelled ordinary. A key may come from another alphabet than
 the patterns' hits, so half of the random model is a uniform draw of letters and digits. A word, or what is left of one
 beside a pattern's match, is a secret too when its log-likelihood ratio passes a bound that grows with its length; nothing
 else is asked of it. Counting takes one pass over all texts; the counts are summed inside tasks, so what is gathered is a
@@ -61,13 +62,12 @@ def other_words(text: str, spans: list, whole: bool = False) -> list[tuple[int,
         at, end = m.span()
         while k < len(spans) and spans[k][2] <= at:
             k += 1
-        parts = []
-        for s in spans[k:]:
-            if s[0] >= end:
-                break
-            if s[2] > at:
-                parts.append((at, s[0]))
-                at = s[2]
+        parts, j = [], k
+        while j < len(spans) and spans[j][0] < end:
+            if spans[j][2] > at:
+                parts.append((at, spans[j][0]))
+                at = spans[j][2]
+            j += 1
         if whole and parts:
             continue
         out.extend((a, b, text[a:b]) for a, b in [*parts, (at, end)] if b - a >= SHORTEST)
@@ -83,7 +83,8 @@ def transition_counts(docs: DataFrame) -> DataFrame:
             for text in texts(batch):
                 spans = base_spans(text)
                 for s in spans:
-                    counts[1] += np.bincount(_steps(s[3]), minlength=SIZE * SIZE)
+                    if s[1] or not ORDINARY(s[3]):  # password=changeme is no sample of a random string
+                        counts[1] += np.bincount(_steps(s[3]), minlength=SIZE * SIZE)
                 for word in (w for _, _, w in other_words(text, spans, whole=True) if ORDINARY(w)):
                     counts[0] += np.bincount(_steps(word), minlength=SIZE * SIZE)
             label, which = np.nonzero(counts)
@@ -144,6 +145,9 @@ def secret_spans(docs: DataFrame, ratio: np.ndarray | None = None, bound: float
 
 def op2(spark, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
-    as_text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    as_text = lambda spans: F.array_join(F.transform(spans, one), ",")
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(as_text(F.filter("found", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
+    base = F.filter("found", lambda s: s["kind"] != "markov")
+    counts = [of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))

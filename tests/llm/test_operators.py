@@ -174,6 +174,55 @@ def test_secrets_of_letters_short_and_partly_covered(spark):
     assert found == {1: [], 900: [letters, short, rest, rest]}
 
 
+def test_base_spans_are_the_patterns_own():
+    import re
+
+    given = [
+        (0, re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII), lambda m: len(m[2]) >= 6),
+        (1, re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        (2, re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    r, parts = random.Random(12), ["password", "API_KEY", "apikey", "toKen", "secret", "=", ": ", ":", " ", "\n", "'", '"', "AKIA", "AKIAAKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "x", "é", "漢", "Z-_.+/=", "ſecret", "hunter22"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.choice([1, 3, 10, 40])))
+        want = sorted((m.start(), k, m.end()) for k, pattern, fits in given for m in pattern.finditer(text) if fits(m))
+        assert [x[:3] for x in secrets.base_spans(text)] == want, text
+
+
+def test_secrets_held_out_recall_and_precision(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ratio = secrets.log_ratios(secrets.transition_counts(docs.where("doc_id % 2 = 0")))
+    rows = [r["text"] or "" for r in docs.where("doc_id % 2 = 1").select("text").collect()]
+    spans = [(t, secrets.base_spans(t)) for t in rows]
+    words = {w for t, found in spans for _, _, w in secrets.other_words(t, found, whole=True) if secrets.ORDINARY(w)}
+    r = random.Random(5)  # keys of alphabets that the patterns' hits may or may not come from, in words of 20 and more
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {"base62": letters + letters.upper() + "0123456789", "letters": letters + letters.upper(), "base32": letters.upper() + "234567", "hex": "0123456789abcdef"}
+    caught = {}
+    for name, alphabet in alphabets.items():
+        keys = {s[3] for _, found in spans for s in found if s[1] == 2} if name == "hex" else {"".join(r.choice(alphabet) for _ in range(r.randrange(20, 40))) for _ in range(500)}
+        caught[name] = sum(secrets.is_random(w, ratio, 0.5) for w in keys) / len(keys)
+    wrong = sum(secrets.is_random(w, ratio, 0.5) for w in words) / len(words)
+    print("caught", caught, "of", len(words), "ordinary words wrong", wrong)
+    assert min(caught.values()) >= 0.95 and len(words) > 500 and wrong <= 0.01
+
+
+def test_many_matches_in_one_text_take_linear_time():
+    import time
+
+    text = "token=abcdefgh12 " * 60_000
+    began = time.process_time()
+    assert secrets.other_words(text, secrets.base_spans(text)) == []
+    assert time.process_time() - began < 10
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    a, b = quality.fit(docs, labels, sample=10**6), quality.fit(docs, labels.unionByName(labels), sample=10**6)
+    assert np.allclose(a["weights"], b["weights"]) and a["constant"] == b["constant"]
+
+
 def test_quality(spark, odd, none, sf_dir):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
@@ -217,6 +266,17 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(df.limit(0), RANKS).count() == 0
 
 
+def test_chat_of_one_very_long_conversation(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} " + "x" * (t % 50)) for t in range(6000)] + [(2, 0, "assistant", "y" * 300_000)]
+    shown = chat.format_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), RANKS, budget=300, history=60)
+    back = {x["conv_id"]: x for x in chat.read_back(shown).collect()}
+    for c in (1, 2):
+        own = [(role, text) for k, _, role, text in rows if k == c]
+        said = "".join(text for role, text in own if role == "assistant")
+        assert back[c]["n_turns"] == len(own) and back[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert back[1]["n_windows"] > 100 and back[2]["n_windows"] == 1
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     v = r.normal(size=(400, 8)) * r.uniform(0.1, 3, size=(400, 1))
@@ -305,12 +365,13 @@ def test_texts_with_many_empty_segments_have_no_key_in_common():
 def test_sketches_bound_the_difference():
     r = random.Random(9)
     for _ in range(50):
-        words = prose(r.random(), r.choice([20, 200])).split()
+        words = prose(r.random(), r.choice([20, 200, 1500])).split()
         other = [w if r.random() > 0.03 else "new" for w in words]
         a, b = ngram_join.shingle_set(" ".join(words), 3), ngram_join.shingle_set(" ".join(other), 3)
         apart = len(np.setxor1d(a, b))
-        hamming = sum((x ^ y).bit_count() for x, y in zip(*([v & (2**64 - 1) for v in ngram_join.dense_sketch(s)] for s in (a, b))))
-        assert hamming <= apart
+        assert ngram_join.hamming(*map(ngram_join.dense_sketch, (a, b))) <= apart
+        short = [ngram_join.folded(ngram_join.dense_sketch(s), ngram_join.SHORT) for s in (a, b)]
+        assert ngram_join.hamming(*short) <= ngram_join.hamming(*map(ngram_join.dense_sketch, (a, b)))
         bands = ngram_join.Bands(4, 5)
         if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) and len(a):
             assert apart == 0 or set(ngram_join.segment_keys(a, bands)) & set(ngram_join.segment_keys(b, bands))
@@ -418,8 +479,23 @@ def test_decontamination_does_not_depend_on_other_items_or_shards(spark, monkeyp
     assert [r["item_id"] for r in decontaminate.contaminated(held, bench([*items, long])).collect()] == [99]
     partly = [(k, f"common{k % 3} words{k % 2} {text}") for k, text in items]
     whole = found(partly)
+    kept = lambda: sorted(r["doc_id"] for r in decontaminate.uncontaminated(docs, bench(partly)).collect())
+    one = kept()
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 600)
-    assert whole and whole == found(partly)
+    assert whole and whole == found(partly) and one == kept()
+
+
+def test_decontamination_of_repeats_and_very_long_items(spark, monkeypatch):
+    long = prose(5, 9000, 3000)
+    items = [(1, f"{prose(1, 30)}. {prose(2, 8)}."), (1, f"{prose(1, 30)}. {prose(2, 8)}."), (2, f"{prose(1, 30)}. {prose(2, 8)}."), (3, long)]
+    text = f"{prose(9, 100)} {items[0][1]} {prose(8, 50)}"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, long), (3, None), (None, ""), (4, prose(77, 200))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (16 << 20, 500):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+        assert got == {(1, 1): 2, (1, 2): 2, (None, 1): 1, (None, 2): 1, (2, 3): 1}
+        assert sorted(str(r["doc_id"]) for r in decontaminate.uncontaminated(docs, bench).collect()) == ["3", "4", "None"]
 
 
 def test_wand_finds_what_full_scoring_finds():
