@@ -85,6 +85,21 @@ def piece_counts(words: DataFrame, model_file: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, pieces int")
 
 
+def most_frequent(pieces: DataFrame, common: int) -> dict[str, int]:
+    """The pieces of short words from a frequency on: the least bound, in steps of a twelfth, that at most ``common`` words reach. No more than those leave the tasks."""
+    short = pieces.where(F.length("word") <= COMMON_CHARS)
+    step = F.floor(F.log2("n") * 8).cast("int")
+    steps = short.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.col("step").desc()).collect()
+    room, least = common, None
+    for r in steps:  # a few hundred, whatever the input
+        if r["words"] > room:
+            break
+        room, least = room - r["words"], r["n"]
+    if least is None:
+        return {}
+    return {r["word"]: r["pieces"] for r in short.where(F.col("n") >= least).select("word", "pieces").collect()}
+
+
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
@@ -93,8 +108,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, common: in
     """
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.write(piece_counts(distinct_pre_tokens(docs), model_file), "pieces")
-    short = pieces.where(F.length("word") <= COMMON_CHARS).orderBy(F.col("n").desc(), "word").limit(common)
-    held = scratch.spark.sparkContext.broadcast({r["word"]: r["pieces"] for r in short.collect()})  # COMMON short words at most
+    scratch.tidy()
+    held = scratch.spark.sparkContext.broadcast(most_frequent(pieces, common))
 
     def run(batches):
         get = held.value.get
