@@ -10,20 +10,30 @@ from tallyhouse.llm.common import Scratch, among, materialize, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects.
+
+    A null text is scored as an empty one; rows of one text stand or fall together, whatever their ids.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.scores(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every line once, or nearly so: texts lose the lines that an earlier one repeats, and documents left without any go."""
+    """Every line once, or nearly so: texts lose the lines that an earlier one repeats, and documents left without any go.
+
+    Rows without id or text stay as they are, as do texts that had no words before; n_chars follows what is left.
+    """
     rows = line_dedup.deduplicated(docs, min_words=line_dedup.SHORT_WORDS)
     rows = rows.where((F.col("n_removed") == 0) | F.coalesce(F.trim("text") != "", F.lit(True)))
-    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    left = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumn("n_chars", left).select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles alike to 0.8 or more; rows that repeat an id stay or go together."""
+    """One document, that of the smallest id, of each group linked by five-word shingles alike to 0.8 or more.
+
+    Rows that repeat an id stay or go together; rows without id, and texts without words, stay.
+    """
     scratch = Scratch(spark)
     groups = ngram_join.linked(docs, n=5, num=4, den=5)
     gone = scratch.write(groups.where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
@@ -32,12 +42,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a test item."""
+    """Without the documents that hold a test item. Null and empty texts hold none, and rows without id are judged like any other."""
     return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number and digest of each document's ids, and the digest of what they decode to."""
+    """The number and digest of each document's ids, and the digest of what they decode to: a row for each row, null and empty texts with no ids."""
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -49,7 +59,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", tokens),
 ]
 
-#: The classifier and the rank queue have no SQL form; tests hold the stages against brute force.
+#: The classifier and the rank queue have no SQL form; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
