@@ -53,9 +53,15 @@ def profile(rows: DataFrame) -> DataFrame:
     """
     text = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in rows.columns}
     every = lambda c, pattern: F.coalesce(F.every(text[c].rlike(pattern)), F.lit(False))
-    facts = rows.agg(F.count("*").alias("n"), *[F.struct(F.count(text[c]).alias("filled"), F.count_distinct(text[c]).alias("values"), every(c, "^-?[0-9]+$").alias("integer"), every(c, "^-?[0-9]+(\\.[0-9]+)?$").alias("decimal"), every(c, "(?i)^(true|false)$").alias("boolean"), every(c, "^[0-9]{4}-[0-9]{2}-[0-9]{2}$").alias("date"), every(c, "^https?://").alias("url")).alias(c) for c in rows.columns])
-    kind = lambda c: F.when(F.col(f"{c}.boolean"), "boolean").when(F.col(f"{c}.integer"), "integer").when(F.col(f"{c}.decimal"), "decimal").when(F.col(f"{c}.date"), "date").when(F.col(f"{c}.url"), "url").otherwise("text")
-    return facts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.filled").alias("filled"), F.col(f"{c}.values").alias("values"), kind(c).alias("kind"), ((F.col(f"{c}.filled") == F.col("n")) & (F.col(f"{c}.values") == F.col("n"))).alias("identifies")) for c in rows.columns])).alias("c")).select("c.*")
+    shapes = {"integer": "^-?[0-9]+$", "decimal": "^-?[0-9]+(\\.[0-9]+)?$", "boolean": "(?i)^(true|false)$", "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "url": "^https?://"}
+    fits = lambda c: [every(c, pattern).alias(kind) for kind, pattern in shapes.items()]
+    facts = rows.agg(F.count("*").alias("n"), *[F.struct(F.count(text[c]).alias("filled"), F.count_distinct(text[c]).alias("values"), *fits(c)).alias(c) for c in rows.columns])
+    order = ("boolean", "integer", "decimal", "date", "url")
+    kind = lambda c: F.coalesce(*[F.when(F.col(f"{c}.{k}"), k) for k in order], F.lit("text"))
+    filled, values = (lambda c, k=k: F.col(f"{c}.{k}") for k in ("filled", "values"))
+    identifies = lambda c: (filled(c) == F.col("n")) & (values(c) == F.col("n"))
+    one = lambda c: F.struct(F.lit(c).alias("column"), filled(c).alias("filled"), values(c).alias("values"), kind(c).alias("kind"), identifies(c).alias("identifies"))
+    return facts.select(F.explode(F.array(*map(one, rows.columns))).alias("c")).select("c.*")
 
 
 def presence(rows: DataFrame, by: str) -> DataFrame:

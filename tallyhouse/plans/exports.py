@@ -13,7 +13,9 @@ from tallyhouse.sources import pages as H, payloads as P
 from tallyhouse.streaming import jobs
 
 FLAT = f"""(SELECT l.*, f.region, f.unit_code, f.basis_quantity, f.status, p.product_name, p.brand, p.category_path, p.material_key, p.curation, s.source_key
- FROM {LATEST} AS l JOIN offer f ON f.offer_id = l.offer_id JOIN product p ON p.source_id = l.source_id AND p.product_id = l.product_id JOIN site s ON s.source_id = l.source_id)"""
+ FROM {LATEST} AS l JOIN offer f ON f.offer_id = l.offer_id
+ JOIN product p ON p.source_id = l.source_id AND p.product_id = l.product_id
+ JOIN site s ON s.source_id = l.source_id)"""
 RANGES = f"""(SELECT o.offer_id, min(o.price) AS price_min, max(o.price) AS price_max, count(*) AS n, max(o.business_date) AS confirmed_at,
  last(o.price ORDER BY {', '.join('o.' + c for c in ORD.split(', '))}) FILTER (WHERE o.price <> l.price) AS previous
  FROM {LATEST} AS l JOIN obs o ON o.offer_id = l.offer_id AND o.currency = l.currency GROUP BY o.offer_id)"""
@@ -106,7 +108,8 @@ def _(v):
 
 GRID_SQL = f"""
 SELECT *, CAST(dense_rank() OVER (ORDER BY tax) AS INT) AS tax_id, count(*) OVER () > 20000 AS truncated FROM (
- SELECT l.offer_id, l.product_name, l.region, CAST(l.price AS DOUBLE) AS price, l.currency, {SHORT} AS tax, CAST(r.price_min AS DOUBLE) AS price_min, CAST(r.price_max AS DOUBLE) AS price_max, r.n AS observations,
+ SELECT l.offer_id, l.product_name, l.region, CAST(l.price AS DOUBLE) AS price, l.currency, {SHORT} AS tax, CAST(r.price_min AS DOUBLE) AS price_min, CAST(r.price_max AS DOUBLE) AS price_max,
+ r.n AS observations,
         l.brand AS axis_brand, l.material_key AS axis_finish, count(*) OVER (PARTITION BY l.product_id, l.price, l.currency, l.region) AS alike
  FROM {FLAT} AS l JOIN {RANGES} AS r ON r.offer_id = l.offer_id {RULED} WHERE l.source_key = 'ASIA') AS g
 ORDER BY product_name, region, offer_id LIMIT 20000
@@ -134,12 +137,24 @@ def _(v):
     return export.capped(grid, ["product_name", "region", "offer_id"], 20_000)
 
 
-@query("o7_truncation_flag", "SELECT offer_id, region, (SELECT count(*) FROM offer) > 5000 AS truncated FROM offer ORDER BY region, offer_id LIMIT 5000")
+@query(
+    "o7_truncation_flag",
+    """SELECT offer_id, region, (SELECT count(*)
+    FROM offer) > 5000 AS truncated FROM offer
+    ORDER BY region, offer_id LIMIT 5000""",
+)
 def _(v):
     return export.capped(v.offer.select("offer_id", "region"), ["region", "offer_id"], 5000)
 
 
-@query("p15_record_page", "SELECT c_custkey, c_name, CASE WHEN (SELECT count(*) FROM customer WHERE c_custkey > 100) > 30 THEN max(c_custkey) OVER () END AS next_cursor FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey > 100 ORDER BY c_custkey LIMIT 30) AS p")
+@query(
+    "p15_record_page",
+    """SELECT c_custkey, c_name, CASE WHEN (SELECT count(*)
+    FROM customer WHERE c_custkey > 100) > 30 THEN max(c_custkey) OVER () END AS next_cursor
+    FROM (SELECT c_custkey, c_name FROM customer
+    WHERE c_custkey > 100
+    ORDER BY c_custkey LIMIT 30) AS p""",
+)
 def _(v):
     from pyspark.sql import Window
 
@@ -171,7 +186,8 @@ def _(v):
 
 
 FOLD_SQL = f"""
-SELECT product_id, CAST(price AS DOUBLE) AS price, currency, region, min(offer_id) AS offer_id, string_agg(CAST(offer_id AS VARCHAR), ',' ORDER BY offer_id) AS offer_ids, count(*) AS variants,
+SELECT product_id, CAST(price AS DOUBLE) AS price, currency, region, min(offer_id) AS offer_id, string_agg(CAST(offer_id AS VARCHAR), ',' ORDER BY offer_id) AS offer_ids,
+ count(*) AS variants,
        CAST(min(price_min) AS DOUBLE) AS price_min, CAST(max(price_max) AS DOUBLE) AS price_max, string_agg(concat('S', source_id, '-', product_id), ', ' ORDER BY source_id) AS sku, string_agg(DISTINCT brand, ', ') AS variant,
        CASE WHEN count(DISTINCT availability) = 1 THEN min(availability) END AS availability, CASE WHEN count(DISTINCT tax_included) = 1 THEN min(tax_included) END AS tax_included
 FROM (SELECT l.*, r.price_min, r.price_max FROM {FLAT} AS l JOIN {RANGES} AS r ON r.offer_id = l.offer_id) AS c GROUP BY product_id, price, currency, region
@@ -233,7 +249,10 @@ def _(v):
 
 FAULTS_SQL = f"""
 SELECT source_key, CASE source_key WHEN 'ASIA' THEN 'missing' WHEN 'ORIENT' THEN 'unexpected' ELSE 'changed' END AS fault FROM (
- SELECT DISTINCT source_key FROM {FLAT} AS l WHERE source_key = 'ASIA' OR (source_key = 'EUROPE' AND currency = 'EGP') UNION ALL SELECT 'ORIENT' WHERE EXISTS (SELECT 1 FROM {FLAT} AS l WHERE source_key = 'ASIA')) AS f
+ SELECT DISTINCT source_key FROM {FLAT} AS l
+ WHERE source_key = 'ASIA' OR (source_key = 'EUROPE' AND currency = 'EGP')
+ UNION ALL SELECT 'ORIENT' WHERE EXISTS (SELECT 1
+ FROM {FLAT} AS l WHERE source_key = 'ASIA')) AS f
 """
 
 
@@ -303,7 +322,8 @@ def _(v):
 PUBLISHED_SQL = """
 SELECT o.offer_id, o.ord1, o.ord2, o.ord3, m.material_id, m.material_name, p.brand, CAST(o.price AS DOUBLE) AS price, o.provenance FROM (
  SELECT *, max(CASE WHEN provenance = 'observed' THEN 1 ELSE 0 END) OVER (PARTITION BY offer_id) AS any_observed,
-        row_number() OVER (PARTITION BY offer_id ORDER BY CASE WHEN provenance = 'observed' THEN 0 ELSE 1 END, business_date DESC, observed_at DESC, ord1 DESC, ord2 DESC, ord3 DESC, ord4 DESC) AS rn FROM obs) AS o
+        row_number() OVER (PARTITION BY offer_id ORDER BY CASE WHEN provenance = 'observed' THEN 0 ELSE 1 END, business_date DESC, observed_at DESC, ord1 DESC,
+        ord2 DESC, ord3 DESC, ord4 DESC) AS rn FROM obs) AS o
 JOIN product p ON p.source_id = o.source_id AND p.product_id = o.product_id JOIN part ON p_partkey = o.product_id
 JOIN material m ON m.material_name = p.product_name
 WHERE (o.rn = 1 OR o.any_observed = 0) AND p_size % 3 = 1
@@ -351,8 +371,12 @@ def _(v):
 STATES_SQL = f"""
 SELECT r.record_id, r.rev, CASE WHEN l.last_seen_at IS NULL THEN 'unsighted' WHEN r.gone AND l.last_seen_at > TIMESTAMP '2024-01-15' THEN 'returned' WHEN r.gone AND l.last_seen_at < TIMESTAMP '2024-01-15' THEN 'absent'
  WHEN l.first_seen_at >= TIMESTAMP '2024-01-25' THEN 'new' WHEN r.changed THEN 'changed' WHEN l.last_seen_at < TIMESTAMP '2024-01-25' THEN 'stale' ELSE 'current' END AS state
-FROM (SELECT a.record_id, max(b.rev) AS rev, bool_or(a.segment <> b.segment) AS changed, bool_or(a.segment LIKE 'AUTO%') AS gone FROM record_rev a JOIN record_rev b ON b.record_id = a.record_id AND a.rev = 1 AND b.rev = 2 GROUP BY a.record_id) AS r
-LEFT JOIN (SELECT external_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at FROM {LEDGER} AS g GROUP BY external_id) AS l ON l.external_id = CAST(r.record_id AS VARCHAR)
+FROM (SELECT a.record_id, max(b.rev) AS rev, bool_or(a.segment <> b.segment) AS changed, bool_or(a.segment LIKE 'AUTO%') AS gone
+ FROM record_rev a JOIN record_rev b ON b.record_id = a.record_id AND a.rev = 1 AND b.rev = 2
+ GROUP BY a.record_id) AS r
+LEFT JOIN (SELECT external_id, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at
+ FROM {LEDGER} AS g
+ GROUP BY external_id) AS l ON l.external_id = CAST(r.record_id AS VARCHAR)
 """
 
 
@@ -374,7 +398,8 @@ SELECT s.source_key, count(*) AS total, count(*) FILTER (WHERE l.provenance = 'r
        count(m.offer_id) AS moved, count(*) FILTER (WHERE z.last_day < DATE '2001-01-01') AS missing
 FROM {LATEST} AS l JOIN site s ON s.source_id = l.source_id JOIN product p ON p.source_id = l.source_id AND p.product_id = l.product_id
 JOIN (SELECT offer_id, max(business_date) AS last_day FROM obs GROUP BY offer_id) AS z ON z.offer_id = l.offer_id
-LEFT JOIN (SELECT DISTINCT offer_id FROM {PERIODS} AS p WHERE opened_because = 'price_change' AND first_detected_at >= TIMESTAMP '2001-06-01') AS m ON m.offer_id = l.offer_id
+LEFT JOIN (SELECT DISTINCT offer_id FROM {PERIODS} AS p
+ WHERE opened_because = 'price_change' AND first_detected_at >= TIMESTAMP '2001-06-01') AS m ON m.offer_id = l.offer_id
 GROUP BY s.source_key
 """
 
@@ -398,8 +423,17 @@ def _(v):
 PROMOTABLE_SQL = """
 SELECT kind, code, products FROM (
  SELECT 'attribute' AS kind, concat('only_', p_partkey) AS code, count(DISTINCT p_partkey) AS products FROM part WHERE p_size = 1 GROUP BY p_partkey
- UNION ALL SELECT 'attribute', code, count(DISTINCT p_partkey) FROM (SELECT p_partkey, concat('finish_', lower(p_type)) AS code FROM part UNION ALL SELECT p_partkey, 'brand' FROM part) AS a GROUP BY code
- UNION ALL SELECT 'axis', 'size', count(DISTINCT p_partkey) FROM part UNION ALL SELECT 'axis', 'colour', count(DISTINCT p_partkey) FROM part WHERE p_size > 25) AS c WHERE products > 1
+
+ UNION ALL SELECT 'attribute', code, count(DISTINCT p_partkey)
+ FROM (SELECT p_partkey, concat('finish_', lower(p_type)) AS code
+ FROM part
+ UNION ALL SELECT p_partkey, 'brand' FROM part) AS a
+ GROUP BY code
+
+ UNION ALL SELECT 'axis', 'size', count(DISTINCT p_partkey)
+ FROM part
+ UNION ALL SELECT 'axis', 'colour', count(DISTINCT p_partkey)
+ FROM part WHERE p_size > 25) AS c WHERE products > 1
 """
 
 
@@ -414,8 +448,10 @@ def _(v):
 KEPT_SQL = "(SELECT offer_id, min(business_date) AS f, max(business_date) AS l, min(price) AS mi, max(price) AS ma FROM obs GROUP BY offer_id)"
 REASON_SQL = f"""
 SELECT reason, count(*) AS n, count(*) FILTER (WHERE business_date < DATE '1998-01-01') AS before_cut FROM (
- SELECT unnest(list_filter([CASE WHEN o.business_date = b.f THEN 'first' END, CASE WHEN o.business_date = b.l THEN 'latest' END, CASE WHEN o.price = b.mi THEN 'minimum' END, CASE WHEN o.price = b.ma THEN 'maximum' END,
-   CASE WHEN o.business_date <> b.f AND o.business_date <> b.l AND o.price <> b.mi AND o.price <> b.ma THEN 'prunable' END], lambda r: r IS NOT NULL)) AS reason, o.business_date
+ SELECT unnest(list_filter([CASE WHEN o.business_date = b.f THEN 'first' END, CASE WHEN o.business_date = b.l THEN 'latest' END, CASE WHEN o.price = b.mi THEN 'minimum' END,
+ CASE WHEN o.price = b.ma THEN 'maximum' END,
+   CASE WHEN o.business_date <> b.f AND o.business_date <> b.l AND o.price <> b.mi AND o.price <> b.ma THEN 'prunable' END], lambda r: r IS NOT NULL)) AS reason,
+   o.business_date
  FROM obs o JOIN {KEPT_SQL} AS b ON b.offer_id = o.offer_id) AS x GROUP BY reason
 """
 
@@ -427,7 +463,10 @@ def _(v):
 
 
 PIVOT_SQL = f"""
-SELECT product_id, last(availability ORDER BY {ORD}) FILTER (WHERE availability <> 'unknown') AS "Availability", last(currency ORDER BY {ORD}) AS "Currency" FROM (SELECT product_id, availability, currency, {ORD} FROM obs) AS o GROUP BY product_id
+SELECT product_id, last(availability ORDER BY {ORD}) FILTER (WHERE availability <> 'unknown') AS "Availability", last(currency ORDER BY {ORD}) AS "Currency"
+ FROM (SELECT product_id, availability, currency, {ORD}
+ FROM obs) AS o
+ GROUP BY product_id
 """
 
 
@@ -488,7 +527,8 @@ def _(v):
 STORE_SQL = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN flash > 0 THEN flash ELSE usual END / 100.0 AS price, CASE WHEN flash > 0 THEN usual / 100.0 END AS price_before,
        CASE WHEN l_quantity > 40 THEN CAST(l_quantity AS BIGINT) / 100.0 END AS price_trade, flash > 0 AND usual > flash AS ranged
-FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS usual, CASE WHEN l_discount > 0.05 THEN CAST(round(l_extendedprice * 90) AS BIGINT) ELSE 0 END AS flash FROM lineitem) AS l
+FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS usual, CASE WHEN l_discount > 0.05 THEN CAST(round(l_extendedprice * 90) AS BIGINT) ELSE 0 END AS flash
+ FROM lineitem) AS l
 """
 
 
@@ -502,7 +542,8 @@ def _(v):
 
 
 DISCOVERED_SQL = """
-SELECT CAST(c_custkey AS BIGINT) AS record_id, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS error, CASE WHEN c_custkey % 7 = 0 THEN 'revised' WHEN c_custkey % 2 = 0 THEN 'unchanged' ELSE 'new' END AS outcome, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END AS rev
+SELECT CAST(c_custkey AS BIGINT) AS record_id, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS error, CASE WHEN c_custkey % 7 = 0 THEN 'revised' WHEN c_custkey % 2 = 0 THEN 'unchanged' ELSE 'new' END AS outcome,
+ CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END AS rev
 FROM customer WHERE c_custkey // 100 % 3 <> 2 AND c_nationkey <> 3
 UNION ALL SELECT NULL, c_mktsegment, concat('n/a ', c_custkey), NULL, NULL FROM customer WHERE c_custkey // 100 % 3 <> 2 AND c_nationkey = 3
 """

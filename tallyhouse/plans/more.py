@@ -53,7 +53,12 @@ def _(v):
     return v.stored_record.select(*[F.col(k).alias(label) for k, label in labels.items()])
 
 
-@query("w10_best_group_per_label", "SELECT p_brand AS label, p_type AS grp FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_size), p_type) AS rn FROM part GROUP BY p_brand, p_type) AS x WHERE rn = 1")
+@query(
+    "w10_best_group_per_label",
+    """SELECT p_brand AS label, p_type AS grp FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY min(p_size), p_type) AS rn
+    FROM part
+    GROUP BY p_brand, p_type) AS x WHERE rn = 1""",
+)
 def _(v):
     ranked = v.part.groupBy("p_brand", "p_type").agg(F.min("p_size").alias("rank"))
     return ranked.groupBy(F.col("p_brand").alias("label")).agg(F.min_by("p_type", F.struct("rank", "p_type")).alias("grp"))

@@ -38,16 +38,30 @@ def _(v):
     return rows.select("page_id", cell(0, "id"), cell(1, "name"), cell(2, "segment"), "confidence")
 
 
-@query("h2_jsonld_products", "SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, CAST(p_retailprice AS DECIMAL(12,2)) AS price, CASE WHEN p_size % 2 = 0 THEN 'in_stock' ELSE 'out_of_stock' END AS availability FROM part")
-def _(v):
-    offers = F.struct(F.when(F.col("p_size") % 3 == 0, "0").otherwise(F.col("p_retailprice").cast("decimal(12,2)").cast("string")).alias("price"), F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("lowPrice"), F.lit("SAR").alias("priceCurrency"), F.when(F.col("p_size") % 2 == 0, "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability"))
+@query(
+    "h2_jsonld_products",
+    """SELECT p_partkey AS page_id, p_name AS name, p_brand AS brand, CAST(p_retailprice AS DECIMAL(12,2)) AS price, CASE WHEN p_size % 2 = 0 THEN 'in_stock' ELSE 'out_of_stock' END AS availability
+    FROM part""",
+)
+def _(v):
+    money = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    offers = F.struct(
+        F.when(F.col("p_size") % 3 == 0, "0").otherwise(money).alias("price"),
+        money.alias("lowPrice"),
+        F.lit("SAR").alias("priceCurrency"),
+        F.when(F.col("p_size") % 2 == 0, "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability"),
+    )
     node = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), offers.alias("offers")))
     body = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("["), node, F.lit("]"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit('{"@graph":['), node, F.lit("]}"))).otherwise(node)
     html = v.part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")).alias("html"))
     return H.jsonld_products(html).select("page_id", "name", "brand", "price", "availability")
 
 
-@query("h3_english_alternates", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat(url, '/en-sa') ELSE concat(url, '/en') END AS href FROM pages WHERE page_id % 5 <> 0")
+@query(
+    "h3_english_alternates",
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat(url, '/en-sa') ELSE concat(url, '/en') END AS href
+    FROM pages WHERE page_id % 5 <> 0""",
+)
 def _(v):
     link = lambda lang, path: F.concat(F.lit(f'<link rel="alternate" hreflang="{lang}" href="'), "url", F.lit(f'{path}"/>'))
     html = F.concat(link("ar", "/ar"), F.when(F.col("page_id") % 5 != 0, link("en", "/en")).otherwise(""), F.when((F.col("page_id") % 3 == 0) & (F.col("page_id") % 5 != 0), link("en-SA", "/en-sa")).otherwise(""))
@@ -90,19 +104,34 @@ def _(v):
     return v.part.select("p_partkey", F.array_join(H.gallery(F.array("p_brand", "p_type"), F.array("p_type", "p_name", "p_brand")), ",").alias("pictures"))
 
 
-@query("j14_merged_locales", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment || 'x') END AS c_mktsegment_ar FROM customer")
+@query(
+    "j14_merged_locales",
+    """SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment || 'x') END AS c_mktsegment_ar
+    FROM customer""",
+)
 def _(v):
     arabic = v.customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 2 == 0, F.upper(F.concat("c_mktsegment", F.lit("x")))).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
     return directory.locales_merged(v.customer.select("c_custkey", "c_name", "c_mktsegment"), arabic, "c_custkey", ["c_mktsegment"]).select("c_custkey", "c_name", "c_mktsegment_ar")
 
 
-@query("j25_details_by_language", "SELECT p_partkey, 'brand' AS code, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END AS raw_value FROM part")
+@query(
+    "j25_details_by_language",
+    """SELECT p_partkey, 'brand' AS code, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE p_brand END AS raw_value
+    FROM part""",
+)
 def _(v):
     rows = v.part.select("p_partkey", F.expr("stack(2, 'brand', case when p_partkey % 3 <> 0 then p_brand end, 'brand_ar', upper(p_brand))").alias("code", "raw_value"))
     return directory.details_by_language(rows.where("raw_value is not null"), ["p_partkey"], "code", "raw_value")
 
 
-@query("j23_field_assignments", "SELECT product_id, source_id, priority FROM (SELECT product_id, source_id, source_id % 3 AS priority, row_number() OVER (PARTITION BY product_id ORDER BY source_id % 3, source_id) AS rn FROM (SELECT product_id, source_id, max(business_date) AS d FROM obs GROUP BY product_id, source_id) AS f WHERE d >= DATE '1997-01-01') AS x WHERE rn = 1")
+@query(
+    "j23_field_assignments",
+    """SELECT product_id, source_id, priority FROM (SELECT product_id, source_id, source_id % 3 AS priority, row_number() OVER (PARTITION BY product_id ORDER BY source_id % 3,
+    source_id) AS rn FROM (SELECT product_id, source_id, max(business_date) AS d
+    FROM obs
+    GROUP BY product_id, source_id) AS f WHERE d >= DATE '1997-01-01') AS x
+    WHERE rn = 1""",
+)
 def _(v):
     feeds = v.obs.groupBy("product_id", "source_id").agg(F.max("business_date").alias("last_seen"))
     feeds = feeds.select("product_id", "source_id", "last_seen", (F.col("source_id") % 3).alias("priority"), F.lit(None).cast("long").alias("variant_id"), F.lit("*").alias("region"))
@@ -126,25 +155,43 @@ def _(v):
     return rows.orderBy("offer_id").limit(25).crossJoin(rows.agg(F.count("*").alias("total")))  # 25 rows and one
 
 
-@query("p12_tree_shape", "SELECT count(DISTINCT region) AS regions, count(DISTINCT product_name) AS names, count(*) AS n, count(DISTINCT region) > 1 AND count(DISTINCT product_name) < count(*) AS grouped FROM offer f JOIN product p ON p.product_id = f.product_id AND p.source_id = f.source_id")
+@query(
+    "p12_tree_shape",
+    """SELECT count(DISTINCT region) AS regions, count(DISTINCT product_name) AS names, count(*) AS n, count(DISTINCT region) > 1 AND count(DISTINCT product_name) < count(*) AS grouped
+    FROM offer f JOIN product p ON p.product_id = f.product_id AND p.source_id = f.source_id""",
+)
 def _(v):
     return directory.tree_shape(v.offer.join(v.product.select("source_id", "product_id", "product_name"), ["source_id", "product_id"]))
 
 
-@query("t4_adopted_units", "SELECT how, count(*) AS n FROM (SELECT CASE WHEN unit_code IS NULL THEN 'adopts' ELSE 'exact' END AS how FROM offer WHERE product_id % 2 = 0 UNION ALL SELECT 'new' FROM offer WHERE product_id % 2 = 1) AS x GROUP BY how")
+@query(
+    "t4_adopted_units",
+    """SELECT how, count(*) AS n FROM (SELECT CASE WHEN unit_code IS NULL THEN 'adopts' ELSE 'exact' END AS how
+    FROM offer WHERE product_id % 2 = 0
+    UNION ALL SELECT 'new' FROM offer WHERE product_id % 2 = 1) AS x
+    GROUP BY how""",
+)
 def _(v):
     rows = v.offer.select("offer_id", F.col("offer_id").alias("product_id"), "region", "unit_code", F.col("product_id").alias("p"))
     batch = rows.select("product_id", "region", F.coalesce("unit_code", F.lit("kg")).alias("unit_code"))
     return directory.adopted_offers(rows.where("p % 2 = 0").drop("p"), batch).groupBy("how").agg(F.count("*").alias("n"))
 
 
-@query("f13_price_keys", "SELECT offer_id, ord1, ord2, ord3, sha256(concat('v2|currency=', currency, '|price=', CAST(price AS VARCHAR), '|tax=', CAST(tax_included AS VARCHAR))) AS price_key, 'currency,price,tax' AS fields FROM obs")
+@query(
+    "f13_price_keys",
+    """SELECT offer_id, ord1, ord2, ord3, sha256(concat('v2|currency=', currency, '|price=', CAST(price AS VARCHAR), '|tax=', CAST(tax_included AS VARCHAR))) AS price_key,
+    'currency,price,tax' AS fields FROM obs""",
+)
 def _(v):
     key, fields = directory.price_key(price=F.col("price"), currency=F.col("currency"), tax=F.col("tax_included"), region=F.lit("*"))
     return v.obs.select("offer_id", "ord1", "ord2", "ord3", key.alias("price_key"), F.array_join(fields, ",").alias("fields"))
 
 
-@query("f24_detail_groups", "SELECT p_brand, CASE WHEN p_brand = 'Brand#11' THEN 'first' WHEN p_brand LIKE 'Brand#2%' THEN 'second' WHEN p_brand LIKE '%5' THEN 'fifth' ELSE 'other' END AS detail_group FROM (SELECT DISTINCT p_brand FROM part) AS b")
+@query(
+    "f24_detail_groups",
+    """SELECT p_brand, CASE WHEN p_brand = 'Brand#11' THEN 'first' WHEN p_brand LIKE 'Brand#2%' THEN 'second' WHEN p_brand LIKE '%5' THEN 'fifth' ELSE 'other' END AS detail_group
+    FROM (SELECT DISTINCT p_brand FROM part) AS b""",
+)
 def _(v):
     rules = v.spark.createDataFrame([("exact", "brand#11", "first"), ("prefix", "brand#2", "second"), ("suffix", "5", "fifth")], "kind string, pattern string, group string")
     codes = v.part.select("p_brand").distinct().withColumn("code", F.concat("p_brand", F.lit("_ar")))

@@ -152,18 +152,36 @@ def _(v):
     return v.pages.select("page_id", "url").join(v.pages.where("page_id % 3 = 0").select("url"), "url", "left_anti")
 
 
-@query("s15_validators", "SELECT external_id AS url, validator, seen_at FROM (SELECT external_id, CAST(page_no AS VARCHAR) AS validator, seen_at, row_number() OVER (PARTITION BY external_id ORDER BY seen_at DESC, CAST(page_no AS VARCHAR) DESC) AS rn FROM sighting WHERE page_no <> 0 AND seen_at >= TIMESTAMP '2024-01-10') AS x WHERE rn = 1")
+@query(
+    "s15_validators",
+    """SELECT external_id AS url, validator, seen_at
+    FROM (SELECT external_id, CAST(page_no AS VARCHAR) AS validator, seen_at, row_number() OVER (PARTITION BY external_id ORDER BY seen_at DESC, CAST(page_no AS VARCHAR) DESC) AS rn
+    FROM sighting WHERE page_no <> 0 AND seen_at >= TIMESTAMP '2024-01-10') AS x
+    WHERE rn = 1""",
+)
 def _(v):
     seen = v.sighting.select(F.col("external_id").alias("url"), F.when(F.col("page_no") != 0, F.col("page_no").cast("string")).alias("validator"), "seen_at")
     return P.latest_validators(seen, "2024-01-10")
 
 
-@query("j13_locale_pairs", "SELECT locale_free_url, max(CASE WHEN locale = 'en' THEN page_id END) AS en, max(CASE WHEN locale = 'fr' THEN page_id END) AS fr, max(CASE WHEN locale = 'de' THEN page_id END) AS de, max(CASE WHEN locale = 'es' THEN page_id END) AS es FROM page_key GROUP BY locale_free_url")
+@query(
+    "j13_locale_pairs",
+    """SELECT locale_free_url, max(CASE WHEN locale = 'en' THEN page_id END) AS en, max(CASE WHEN locale = 'fr' THEN page_id END) AS fr, max(CASE WHEN locale = 'de' THEN page_id END) AS de,
+    max(CASE WHEN locale = 'es' THEN page_id END) AS es
+    FROM page_key
+    GROUP BY locale_free_url""",
+)
 def _(v):
     return v.page_key.groupBy("locale_free_url").pivot("locale", ["en", "fr", "de", "es"]).agg(F.max("page_id"))
 
 
-@query("w9_first_url", "SELECT host, url, page_id FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, url, page_id, row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1) ORDER BY page_id) AS rn FROM pages) AS x WHERE rn = 1")
+@query(
+    "w9_first_url",
+    """SELECT host, url, page_id FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, url, page_id, row_number() OVER (PARTITION BY regexp_extract(url,
+    '^https?://([^/]+)', 1)
+    ORDER BY page_id) AS rn FROM pages) AS x
+    WHERE rn = 1""",
+)
 def _(v):
     rows = v.pages.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "url", "page_id")
     return P.newest_by(rows, ["host"], F.col("page_id"))
@@ -179,44 +197,86 @@ def _upsert(v):
     return ingest.upserted(state, batch, "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("t2_upserted_state", f"SELECT coalesce(s.c_custkey, b.c_custkey) AS c_custkey, coalesce(nullif(b.c_name, ''), s.c_name) AS c_name, coalesce(b.c_mktsegment, s.c_mktsegment) AS c_mktsegment, CASE WHEN b.c_custkey IS NOT NULL THEN TRUE ELSE s.active END AS active FROM {STATE} AS s FULL OUTER JOIN {BATCH} AS b ON b.c_custkey = s.c_custkey")
+@query(
+    "t2_upserted_state",
+    f"""SELECT coalesce(s.c_custkey, b.c_custkey) AS c_custkey, coalesce(nullif(b.c_name, ''), s.c_name) AS c_name, coalesce(b.c_mktsegment, s.c_mktsegment) AS c_mktsegment,
+    CASE WHEN b.c_custkey IS NOT NULL THEN TRUE ELSE s.active END AS active
+    FROM {STATE} AS s
+    FULL OUTER JOIN {BATCH} AS b ON b.c_custkey = s.c_custkey""",
+)
 def _(v):
     return _upsert(v)[0]
 
 
-@query("t2_product_changes", f"SELECT b.c_custkey, 'c_mktsegment' AS field, s.c_mktsegment AS old, b.c_mktsegment AS new, 'changed' AS change_type FROM {STATE} AS s JOIN {BATCH} AS b ON b.c_custkey = s.c_custkey WHERE s.c_mktsegment <> b.c_mktsegment UNION ALL SELECT b.c_custkey, '', NULL, NULL, 'new' FROM {BATCH} AS b WHERE b.c_custkey % 3 = 0 UNION ALL SELECT b.c_custkey, '', NULL, NULL, 'returned' FROM {STATE} AS s JOIN {BATCH} AS b ON b.c_custkey = s.c_custkey WHERE NOT s.active")
+@query(
+    "t2_product_changes",
+    f"""SELECT b.c_custkey, 'c_mktsegment' AS field, s.c_mktsegment AS old, b.c_mktsegment AS new, 'changed' AS change_type
+    FROM {STATE} AS s JOIN {BATCH} AS b ON b.c_custkey = s.c_custkey
+    WHERE s.c_mktsegment <> b.c_mktsegment
+    UNION ALL SELECT b.c_custkey, '', NULL, NULL, 'new'
+    FROM {BATCH} AS b WHERE b.c_custkey % 3 = 0
+    UNION ALL SELECT b.c_custkey, '', NULL, NULL, 'returned'
+    FROM {STATE} AS s JOIN {BATCH} AS b ON b.c_custkey = s.c_custkey
+    WHERE NOT s.active""",
+)
 def _(v):
     return _upsert(v)[1]
 
 
-@query("t5_classified_observations", """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN o.ord1 % 10 = 3 THEN 'duplicate' WHEN o.provenance = 'observed' AND o.price = l.price THEN 'confirmed' ELSE 'new' END AS outcome FROM obs o LEFT JOIN (SELECT offer_id, max(price) AS price FROM obs GROUP BY offer_id) AS l ON l.offer_id = o.offer_id) AS x GROUP BY outcome""")
+@query("t5_classified_observations", """SELECT outcome, count(*) AS n
+ FROM (SELECT CASE WHEN o.ord1 % 10 = 3 THEN 'duplicate' WHEN o.provenance = 'observed' AND o.price = l.price THEN 'confirmed' ELSE 'new' END AS outcome
+ FROM obs o
+ LEFT JOIN (SELECT offer_id, max(price) AS price
+ FROM obs
+ GROUP BY offer_id) AS l ON l.offer_id = o.offer_id) AS x
+ GROUP BY outcome""")
 def _(v):
     keyed = v.obs.withColumn("record_hash", F.sha2(F.concat_ws("|", "ord1", "ord2", "ord3", "ord4"), 256)).withColumn("price_key", F.col("price").cast("string"))
     open_ = v.obs.groupBy("offer_id").agg(F.max("price").cast("string").alias("price_key"))
     return ingest.classified(keyed, open_, keyed.where("ord1 % 10 = 3")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("t7_retired_stand_ins", "SELECT DISTINCT p_size AS product_id FROM part WHERE p_size % 2 = 0 AND EXISTS (SELECT 1 FROM part q WHERE q.p_size = part.p_size AND q.p_partkey <> q.p_size)")
+@query(
+    "t7_retired_stand_ins",
+    """SELECT DISTINCT p_size AS product_id FROM part
+    WHERE p_size % 2 = 0 AND EXISTS (SELECT 1
+    FROM part q WHERE q.p_size = part.p_size AND q.p_partkey <> q.p_size)""",
+)
 def _(v):
     real = v.part.where("p_partkey <> p_size").select(F.col("p_size").alias("product_id"), F.col("p_partkey").cast("int").alias("variant_id"))
     own = v.part.where("p_size % 2 = 0").select(F.col("p_size").alias("product_id"), F.col("p_size").alias("variant_id")).distinct()
     return ingest.retired_stand_ins(real.unionByName(own)).select("product_id").distinct()
 
 
-@query("t9_restated_details", "SELECT p_partkey AS product_id, 'brand' AS code, CASE WHEN p_partkey % 4 = 0 THEN 'NEW' ELSE p_brand END AS raw_value FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part")
+@query(
+    "t9_restated_details",
+    """SELECT p_partkey AS product_id, 'brand' AS code, CASE WHEN p_partkey % 4 = 0 THEN 'NEW' ELSE p_brand END AS raw_value
+    FROM part
+    UNION ALL SELECT p_partkey, 'type', p_type
+    FROM part""",
+)
 def _(v):
     old = v.part.select(F.col("p_partkey").alias("product_id"), F.expr("stack(2, 'brand', p_brand, 'type', p_type)").alias("code", "raw_value"))
     new = v.part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("product_id"), F.lit("brand").alias("code"), F.lit("NEW").alias("raw_value"))
     return ingest.restated(old, new.unionByName(new))
 
 
-@query("t13_record_revisions", "SELECT a.record_id, CASE WHEN a.record_id % 7 = 0 THEN 'revised' ELSE 'unchanged' END AS outcome, CASE WHEN a.record_id % 7 = 0 THEN 2 ELSE 1 END AS rev FROM record_rev a WHERE a.rev = 2")
+@query(
+    "t13_record_revisions",
+    """SELECT a.record_id, CASE WHEN a.record_id % 7 = 0 THEN 'revised' ELSE 'unchanged' END AS outcome, CASE WHEN a.record_id % 7 = 0 THEN 2 ELSE 1 END AS rev
+    FROM record_rev a WHERE a.rev = 2""",
+)
 def _(v):
     rows = v.record_rev
     return ingest.revised(rows.where("rev = 1"), rows.where("rev = 2").drop("rev"), "record_id", ["c_name", "segment"])
 
 
-@query("t14_field_changes", "SELECT b.record_id, b.rev, 'segment' AS field, a.segment AS old, b.segment AS new FROM record_rev a JOIN record_rev b ON b.record_id = a.record_id AND a.rev = 1 AND b.rev = 2 WHERE a.segment <> b.segment")
+@query(
+    "t14_field_changes",
+    """SELECT b.record_id, b.rev, 'segment' AS field, a.segment AS old, b.segment AS new
+    FROM record_rev a JOIN record_rev b ON b.record_id = a.record_id AND a.rev = 1 AND b.rev = 2
+    WHERE a.segment <> b.segment""",
+)
 def _(v):
     return ingest.field_changes(v.record_rev, "record_id", "rev", ["c_name", "segment"])
 
@@ -238,36 +298,72 @@ def _(v):
     return ingest.memberships(v.product.withColumnRenamed("source_id", "record"), "record", "category_path")
 
 
-@query("j24_ancestors", f"SELECT DISTINCT node, node AS ancestor, 0 AS distance FROM {LEVELS} AS n UNION ALL SELECT DISTINCT node, parent, 1 FROM {LEVELS} AS n WHERE level > 1 UNION ALL SELECT DISTINCT node, split_part(node, ' > ', 1), 2 FROM {LEVELS} AS n WHERE level = 3")
+@query(
+    "j24_ancestors",
+    f"""SELECT DISTINCT node, node AS ancestor, 0 AS distance
+    FROM {LEVELS} AS n
+    UNION ALL SELECT DISTINCT node, parent, 1
+    FROM {LEVELS} AS n WHERE level > 1
+    UNION ALL SELECT DISTINCT node, split_part(node, ' > ', 1), 2
+    FROM {LEVELS} AS n WHERE level = 3""",
+)
 def _(v):
     return ingest.ancestors(_nodes(v).select("node", "parent"), 2)
 
 
-@query("t26_detail_frontier", "SELECT DISTINCT external_id FROM sighting s WHERE NOT EXISTS (SELECT 1 FROM stored_record r WHERE r.external_id = s.external_id)")
+@query(
+    "t26_detail_frontier",
+    """SELECT DISTINCT external_id FROM sighting s
+    WHERE NOT EXISTS (SELECT 1 FROM stored_record r
+    WHERE r.external_id = s.external_id)""",
+)
 def _(v):
     return v.sighting.select("external_id").join(v.stored_record.select("external_id"), "external_id", "left_anti").distinct()
 
 
-@query("t27_registrations", "SELECT n_name AS field_key, CASE WHEN n_nationkey % 5 = 0 THEN 'retired' WHEN n_nationkey % 2 = 0 THEN 'accepted' WHEN n_nationkey % 3 = 0 THEN 'conflict' ELSE 'already' END AS verdict FROM nation")
+@query(
+    "t27_registrations",
+    """SELECT n_name AS field_key, CASE WHEN n_nationkey % 5 = 0 THEN 'retired' WHEN n_nationkey % 2 = 0 THEN 'accepted' WHEN n_nationkey % 3 = 0 THEN 'conflict' ELSE 'already' END AS verdict
+    FROM nation""",
+)
 def _(v):
     known = v.nation.where("n_nationkey % 5 = 0 or n_nationkey % 2 = 1").select(F.col("n_name").alias("field_key"), F.when(F.col("n_nationkey") % 3 == 0, "text").otherwise("integer").alias("definition"), (F.col("n_nationkey") % 5 == 0).alias("retired"))
     return ingest.registered(known, v.nation.select(F.col("n_name").alias("field_key"), F.lit("integer").alias("definition")), "field_key", "definition")
 
 
-@query("j22_change_feed", "SELECT entity, product_id, run_id, change_type FROM (SELECT 'product' AS entity, p_partkey AS product_id, p_size AS run_id, 'new' AS change_type FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'variant', p_partkey, p_size, 'new' FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT 'variant', p_partkey, p_size, 'changed' FROM part) AS c")
+@query(
+    "j22_change_feed",
+    """SELECT entity, product_id, run_id, change_type
+    FROM (SELECT 'product' AS entity, p_partkey AS product_id, p_size AS run_id, 'new' AS change_type
+    FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT 'variant', p_partkey, p_size, 'new'
+    FROM part WHERE p_partkey % 2 = 1
+    UNION ALL SELECT 'variant', p_partkey, p_size, 'changed'
+    FROM part) AS c""",
+)
 def _(v):
     row = lambda df, entity, kind: df.select(F.lit(entity).alias("entity"), F.col("p_partkey").alias("product_id"), F.col("p_size").alias("run_id"), F.lit(kind).alias("change_type"))
     return ingest.collapsed_new(row(v.part.where("p_partkey % 2 = 0"), "product", "new").unionByName(row(v.part, "variant", "new")).unionByName(row(v.part, "variant", "changed")))
 
 
-@query("j19_relationship_profile", "SELECT count(*) AS orders, count(c_custkey) AS matched, count(*) - count(c_custkey) AS orphans, count(DISTINCT o_custkey) AS parents FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0")
+@query(
+    "j19_relationship_profile",
+    """SELECT count(*) AS orders, count(c_custkey) AS matched, count(*) - count(c_custkey) AS orphans, count(DISTINCT o_custkey) AS parents
+    FROM orders
+    LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 4 <> 0""",
+)
 def _(v):
     parents = v.customer.where("c_custkey % 4 <> 0").select("c_custkey")
     rows = v.orders.select("o_custkey").join(parents, F.col("o_custkey") == F.col("c_custkey"), "left")
     return rows.agg(F.count("*").alias("orders"), F.count("c_custkey").alias("matched"), (F.count("*") - F.count("c_custkey")).alias("orphans"), F.count_distinct("o_custkey").alias("parents"))
 
 
-@query("a1_source_summary", "SELECT s.source_key, count(DISTINCT o.product_id) AS products, count(DISTINCT o.offer_id) AS offers, count(*) AS observations, max(o.observed_at) AS last_seen FROM obs o JOIN site s ON s.source_id = o.source_id GROUP BY s.source_key")
+@query(
+    "a1_source_summary",
+    """SELECT s.source_key, count(DISTINCT o.product_id) AS products, count(DISTINCT o.offer_id) AS offers, count(*) AS observations, max(o.observed_at) AS last_seen
+    FROM obs o JOIN site s ON s.source_id = o.source_id
+    GROUP BY s.source_key""",
+)
 def _(v):
     offers = v.obs.groupBy("source_id", "product_id", "offer_id").agg(F.count("*").alias("n"), F.max("observed_at").alias("last"))
     products = offers.groupBy("source_id", "product_id").agg(F.count("*").alias("offers"), F.sum("n").alias("n"), F.max("last").alias("last"))
@@ -280,18 +376,33 @@ def _(v):
     return v.offer.select("region").distinct().orderBy("region").limit(20)
 
 
-@query("a13_footprint", "SELECT 'obs' AS entity, count(*) AS n FROM obs UNION ALL SELECT 'offer', count(*) FROM offer UNION ALL SELECT 'product', count(*) FROM product")
+@query(
+    "a13_footprint",
+    """SELECT 'obs' AS entity, count(*) AS n FROM obs
+    UNION ALL SELECT 'offer', count(*) FROM offer
+    UNION ALL SELECT 'product', count(*) FROM product""",
+)
 def _(v):
     count = lambda name: getattr(v, name).agg(F.lit(name).alias("entity"), F.count("*").alias("n"))
     return count("obs").unionByName(count("offer")).unionByName(count("product"))
 
 
-@query("a17_joined_categories", "SELECT p_brand, string_agg(p_type, ', ' ORDER BY p_type) AS types FROM (SELECT DISTINCT p_brand, p_type FROM part) AS p GROUP BY p_brand")
+@query(
+    "a17_joined_categories",
+    """SELECT p_brand, string_agg(p_type, ', ' ORDER BY p_type) AS types
+    FROM (SELECT DISTINCT p_brand, p_type FROM part) AS p
+    GROUP BY p_brand""",
+)
 def _(v):
     return v.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ", ").alias("types"))
 
 
-@query("a22_recent_observations", "SELECT offer_id, observed_at, ord1, ord2, ord3 FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, ord1 DESC, ord2 DESC, ord3 DESC, ord4 DESC) AS rn FROM obs) AS x WHERE rn <= 3")
+@query(
+    "a22_recent_observations",
+    """SELECT offer_id, observed_at, ord1, ord2, ord3
+    FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, ord1 DESC, ord2 DESC, ord3 DESC, ord4 DESC) AS rn
+    FROM obs) AS x WHERE rn <= 3""",
+)
 def _(v):
     from pyspark.sql import Window
 
@@ -299,20 +410,38 @@ def _(v):
     return v.obs.withColumn("rn", F.row_number().over(own)).where("rn <= 3").select("offer_id", "observed_at", "ord1", "ord2", "ord3")
 
 
-@query("a24_freshness", "SELECT s.source_key, max(o.observed_at) AS last_run FROM site s LEFT JOIN obs o ON o.source_id = s.source_id AND o.source_id <> 2 GROUP BY s.source_key")
+@query(
+    "a24_freshness",
+    """SELECT s.source_key, max(o.observed_at) AS last_run
+    FROM site s
+    LEFT JOIN obs o ON o.source_id = s.source_id AND o.source_id <> 2
+    GROUP BY s.source_key""",
+)
 def _(v):
     last = v.obs.where("source_id <> 2").groupBy("source_id").agg(F.max("observed_at").alias("last_run"))
     return v.site.join(last, "source_id", "left").select("source_key", "last_run")
 
 
-@query("a26_dataset_catalogue", "SELECT d.dataset_key, count(CASE WHEN r.status = 'active' THEN 1 END) AS active, max(d.newest) AS newest FROM (SELECT dataset_key, max(seen_at) AS newest FROM sighting GROUP BY dataset_key) AS d LEFT JOIN stored_record r ON r.dataset_key = d.dataset_key GROUP BY d.dataset_key")
+@query(
+    "a26_dataset_catalogue",
+    """SELECT d.dataset_key, count(CASE WHEN r.status = 'active' THEN 1 END) AS active, max(d.newest) AS newest
+    FROM (SELECT dataset_key, max(seen_at) AS newest
+    FROM sighting
+    GROUP BY dataset_key) AS d
+    LEFT JOIN stored_record r ON r.dataset_key = d.dataset_key
+    GROUP BY d.dataset_key""",
+)
 def _(v):
     newest = v.sighting.groupBy("dataset_key").agg(F.max("seen_at").alias("newest"))
     active = v.stored_record.groupBy("dataset_key").agg(F.count(F.when(F.col("status") == "active", 1)).alias("active"))
     return newest.join(active, "dataset_key", "left").select("dataset_key", F.coalesce("active", F.lit(0)).alias("active"), "newest")
 
 
-@query("p4_free_search", "SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE lower(c_name) LIKE '%00007%' OR lower(n_name) = 'nation_7'")
+@query(
+    "p4_free_search",
+    """SELECT c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey
+    WHERE lower(c_name) LIKE '%00007%' OR lower(n_name) = 'nation_7'""",
+)
 def _(v):
     rows = v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.where(F.col("c_name").ilike("%00007%") | (F.lower("n_name") == "nation_7")).select("c_custkey")

@@ -31,12 +31,16 @@ def _(v):
     return state.run_reports(rows.select("run_ref", error.alias("error")), bad.select("run_ref", "reason", F.size("rows").cast("long").alias("size")))
 
 
-STORED_VARIANT = """(SELECT p_partkey // 10 AS product_id, CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE concat('fp:no=', p_partkey, '|size=', p_size) END AS variant,
- CASE WHEN p_size % 5 <> 0 THEN concat('S', p_partkey) END AS sku, p_name AS label, CASE WHEN p_size % 7 = 0 THEN 'retired' ELSE 'active' END AS status FROM part WHERE p_brand <> 'Brand#3')"""
-VARIANT_BATCH = """(SELECT p_partkey // 10 AS product_id, CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE concat('fp:no=', p_partkey, '|size=', p_size) END AS variant,
+STORED_VARIANT = """(SELECT p_partkey // 10 AS product_id, CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE concat('fp:no=', p_partkey, '|size=',
+ p_size) END AS variant,
+ CASE WHEN p_size % 5 <> 0 THEN concat('S', p_partkey) END AS sku, p_name AS label, CASE WHEN p_size % 7 = 0 THEN 'retired' ELSE 'active' END AS status
+ FROM part WHERE p_brand <> 'Brand#3')"""
+VARIANT_BATCH = """(SELECT p_partkey // 10 AS product_id, CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE concat('fp:no=', p_partkey, '|size=',
+ p_size) END AS variant,
  concat('S', p_partkey) AS sku, CASE WHEN p_type = 'PROMO' THEN upper(p_name) ELSE '' END AS label FROM part WHERE p_type <> 'ECONOMY')"""
 VARIANTS_SQL = f"""
-SELECT coalesce(s.product_id, b.product_id) AS product_id, coalesce(s.variant, b.variant) AS variant, coalesce(b.sku, s.sku) AS sku, coalesce(nullif(b.label, ''), s.label) AS label,
+SELECT coalesce(s.product_id, b.product_id) AS product_id, coalesce(s.variant, b.variant) AS variant, coalesce(b.sku, s.sku) AS sku, coalesce(nullif(b.label,
+ ''), s.label) AS label,
        CASE WHEN b.variant IS NOT NULL THEN 'active' ELSE s.status END AS status, CASE WHEN s.variant IS NULL THEN 'new' WHEN b.variant IS NOT NULL AND s.status <> 'active' THEN 'returned' END AS event
 FROM {STORED_VARIANT} AS s FULL OUTER JOIN {VARIANT_BATCH} AS b ON b.product_id = s.product_id AND b.variant = s.variant
 """
@@ -61,7 +65,10 @@ def _(v):
 
 #: Status of each source's monthly run: partial if it fell short of ten rows or dropped by more than a fifth.
 RUN_STATUS = """(SELECT source_id, run_id, CASE WHEN rows < 10 OR coalesce(1 - rows / previous > 0.2, FALSE) THEN 'partial' ELSE 'success' END AS status
- FROM (SELECT *, lag(rows) OVER (PARTITION BY source_id ORDER BY run_id) AS previous FROM (SELECT source_id, run_id, count(*) AS rows FROM obs GROUP BY source_id, run_id) AS r) AS x)"""
+ FROM (SELECT *, lag(rows) OVER (PARTITION BY source_id ORDER BY run_id) AS previous
+ FROM (SELECT source_id, run_id, count(*) AS rows
+ FROM obs
+ GROUP BY source_id, run_id) AS r) AS x)"""
 
 
 def run_states(v):
@@ -69,7 +76,12 @@ def run_states(v):
     return state.run_status(lookups.volume_breaches(runs, 10, 0.2)).select("source_id", F.col("run").alias("run_id"), "status")
 
 
-@query("a7_last_successful_run", f"SELECT source_id, count(*) AS runs, max(CASE WHEN status = 'success' THEN run_id END) AS last_success FROM {RUN_STATUS} AS r GROUP BY source_id")
+@query(
+    "a7_last_successful_run",
+    f"""SELECT source_id, count(*) AS runs, max(CASE WHEN status = 'success' THEN run_id END) AS last_success
+    FROM {RUN_STATUS} AS r
+    GROUP BY source_id""",
+)
 def _(v):
     good = F.max(F.when(F.col("status") == "success", F.col("run_id")))
     return run_states(v).groupBy("source_id").agg(F.count("*").alias("runs"), good.alias("last_success"))
@@ -116,7 +128,8 @@ CURRENCY = "CASE WHEN l_linestatus = 'O' AND l_returnflag = 'R' THEN 'EGP' ELSE
 IMPLIED = f"""(SELECT currency, as_of, source_key, local / usd AS per_usd, 'shop' AS source_kind, n FROM (
  SELECT *, count(*) OVER (PARTITION BY currency, as_of, source_key) AS n,
         row_number() OVER (PARTITION BY currency, as_of, source_key ORDER BY l_shipdate DESC, o DESC, local DESC, l_partkey DESC) AS rn
- FROM (SELECT {CURRENCY} AS currency, strftime(l_shipdate, '%Y-%m') AS as_of, r_name AS source_key, l_extendedprice AS local, p_retailprice AS usd, l_shipdate, l_orderkey * 10 + l_linenumber AS o, l_partkey
+ FROM (SELECT {CURRENCY} AS currency, strftime(l_shipdate, '%Y-%m') AS as_of, r_name AS source_key, l_extendedprice AS local, p_retailprice AS usd, l_shipdate,
+ l_orderkey * 10 + l_linenumber AS o, l_partkey
        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN region ON r_regionkey = l_suppkey % 5 WHERE l_extendedprice > 0 AND p_retailprice > 0) AS l) AS x
  WHERE rn = 1)"""
 
@@ -142,12 +155,17 @@ def _(v):
 
 STATED = """(SELECT currency, as_of, source_key, per_usd, source_kind FROM (
  SELECT CASE o_orderstatus WHEN 'F' THEN 'USD' WHEN 'O' THEN 'SAR' ELSE 'EGP' END AS currency, strftime(o_orderdate, '%Y-%m') AS as_of, CASE WHEN o_orderpriority = '1-URGENT' THEN 'ASIA' ELSE 'provider' END AS source_key,
- CASE WHEN o_orderpriority = '2-HIGH' THEN 0 - o_totalprice ELSE o_totalprice / 100000 END AS per_usd, CASE WHEN o_orderpriority = '1-URGENT' THEN 'shop' ELSE 'provider' END AS source_kind, o_orderdate, o_orderkey FROM orders) AS o
- WHERE currency <> 'USD' AND per_usd > 0 AND per_usd <= 1000000 QUALIFY row_number() OVER (PARTITION BY currency, as_of, source_key ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
+ CASE WHEN o_orderpriority = '2-HIGH' THEN 0 - o_totalprice ELSE o_totalprice / 100000 END AS per_usd, CASE WHEN o_orderpriority = '1-URGENT' THEN 'shop' ELSE 'provider' END AS source_kind,
+ o_orderdate, o_orderkey FROM orders) AS o
+ WHERE currency <> 'USD' AND per_usd > 0 AND per_usd <= 1000000
+ QUALIFY row_number() OVER (PARTITION BY currency, as_of, source_key ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)"""
 RATES_SQL = f"""
 SELECT currency, as_of, source_key, per_usd, source_kind FROM (
  SELECT currency, as_of, source_key, per_usd, source_kind FROM {STATED} AS b
- UNION ALL SELECT currency, as_of, source_key, per_usd, source_kind FROM {IMPLIED} AS s WHERE NOT EXISTS (SELECT 1 FROM {STATED} AS b WHERE b.currency = s.currency AND b.as_of = s.as_of AND b.source_key = s.source_key)) AS r
+
+ UNION ALL SELECT currency, as_of, source_key, per_usd, source_kind
+ FROM {IMPLIED} AS s WHERE NOT EXISTS (SELECT 1
+ FROM {STATED} AS b WHERE b.currency = s.currency AND b.as_of = s.as_of AND b.source_key = s.source_key)) AS r
 """
 
 
@@ -171,8 +189,12 @@ def _(v):
 
 def _rules_sql(when: str) -> str:
     return f"""(SELECT source_key, region, material_key, tax_mode, rate FROM (
- SELECT r_name AS source_key, n_name AS region, p_type AS material_key, CASE WHEN l_linestatus = 'O' THEN 'incl' ELSE 'excl' END AS tax_mode, CAST(round(l_tax * 100) AS INT) AS rate, l_shipdate, l_orderkey * 10 + l_linenumber AS o, l_extendedprice, l_partkey
- FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = l_suppkey % 5 WHERE {when}) AS t
+ SELECT r_name AS source_key, n_name AS region, p_type AS material_key, CASE WHEN l_linestatus = 'O' THEN 'incl' ELSE 'excl' END AS tax_mode, CAST(round(l_tax * 100) AS INT) AS rate,
+ l_shipdate, l_orderkey * 10 + l_linenumber AS o, l_extendedprice, l_partkey
+ FROM lineitem JOIN part ON p_partkey = l_partkey
+ JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+ JOIN region ON r_regionkey = l_suppkey % 5
+ WHERE {when}) AS t
  QUALIFY row_number() OVER (PARTITION BY source_key, region, material_key ORDER BY l_shipdate DESC, o DESC, l_extendedprice DESC, l_partkey DESC) = 1)"""
 
 
@@ -205,8 +227,10 @@ def _(v):
 
 
 SCHEMAS_SQL = """
-SELECT product_id, verdict, CASE WHEN verdict = 'widened' THEN 2 ELSE 1 END AS version, sha256(array_to_string(list_sort(CASE WHEN verdict = 'refused' THEN old ELSE new END), ',')) AS schema_hash FROM (
- SELECT n.product_id, o.old, n.new, CASE WHEN o.old IS NULL THEN 'first' WHEN NOT list_has_all(n.new, o.old) THEN 'refused' WHEN NOT list_has_all(o.old, n.new) THEN 'widened' ELSE 'same' END AS verdict
+SELECT product_id, verdict, CASE WHEN verdict = 'widened' THEN 2 ELSE 1 END AS version, sha256(array_to_string(list_sort(CASE WHEN verdict = 'refused' THEN old ELSE new END),
+ ',')) AS schema_hash FROM (
+ SELECT n.product_id, o.old, n.new, CASE WHEN o.old IS NULL THEN 'first' WHEN NOT list_has_all(n.new, o.old) THEN 'refused' WHEN NOT list_has_all(o.old,
+ n.new) THEN 'widened' ELSE 'same' END AS verdict
  FROM (SELECT product_id, list(DISTINCT availability) AS new FROM obs WHERE year(observed_at) = 1995 GROUP BY product_id) AS n
  LEFT JOIN (SELECT product_id, list(DISTINCT availability) AS old FROM obs WHERE year(observed_at) = 1994 GROUP BY product_id) AS o ON o.product_id = n.product_id) AS s
 """
@@ -221,7 +245,8 @@ def _(v):
 
 
 FIELD_SETS_SQL = f"""
-SELECT offer_id, CASE WHEN a IS NULL THEN 'first' WHEN (a AND NOT a2) OR (t AND NOT t2) THEN 'narrowed' WHEN (a2 AND NOT a) OR (t2 AND NOT t) THEN 'widened' ELSE 'comparable' END AS verdict, count(*) AS n
+SELECT offer_id, CASE WHEN a IS NULL THEN 'first' WHEN (a AND NOT a2) OR (t AND NOT t2) THEN 'narrowed' WHEN (a2 AND NOT a) OR (t2 AND NOT t) THEN 'widened' ELSE 'comparable' END AS verdict,
+ count(*) AS n
 FROM (SELECT offer_id, availability <> 'unknown' AS a2, tax_included = 1 AS t2, lag(availability <> 'unknown') OVER w AS a, lag(tax_included = 1) OVER w AS t
       FROM obs WINDOW w AS (PARTITION BY offer_id ORDER BY {ORD})) AS x GROUP BY 1, 2
 """
@@ -280,9 +305,14 @@ def _(v):
 
 
 ABSENT_SQL = """
-SELECT dataset_key, external_id, (SELECT min(run_date) FROM (SELECT DISTINCT run_date FROM sighting) AS r WHERE r.run_date > x.run_date) AS missing_since, next_run AS returned_at FROM (
+SELECT dataset_key, external_id, (SELECT min(run_date)
+ FROM (SELECT DISTINCT run_date FROM sighting) AS r
+ WHERE r.run_date > x.run_date) AS missing_since, next_run AS returned_at
+ FROM (
  SELECT dataset_key, external_id, run_date, no, lead(run_date) OVER w AS next_run, lead(no) OVER w AS next_no FROM (
-  SELECT DISTINCT s.dataset_key, s.external_id, s.run_date, r.no FROM sighting s JOIN (SELECT run_date, row_number() OVER (ORDER BY run_date) AS no FROM (SELECT DISTINCT run_date FROM sighting) AS d) AS r ON r.run_date = s.run_date) AS p
+  SELECT DISTINCT s.dataset_key, s.external_id, s.run_date, r.no
+  FROM sighting s JOIN (SELECT run_date, row_number() OVER (ORDER BY run_date) AS no
+  FROM (SELECT DISTINCT run_date FROM sighting) AS d) AS r ON r.run_date = s.run_date) AS p
  WINDOW w AS (PARTITION BY dataset_key, external_id ORDER BY no)) AS x
 WHERE (next_no > no + 1 OR next_no IS NULL) AND run_date < (SELECT max(run_date) FROM sighting)
 """

@@ -131,7 +131,15 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     nodes = F.when(F.trim("j").startswith("["), many).when(graph.isNotNull(), graph).otherwise(F.array(one))
     rows = blocks.select("page_id", F.explode(nodes).alias("n")).where(F.col("n.@type") == "Product")
     price = lambda c: F.nullif(F.col(c).try_cast("decimal(18,4)"), F.lit(0).cast("decimal(18,4)"))
-    return rows.select("page_id", F.col("n.name").alias("name"), F.col("n.sku").alias("sku"), F.col("n.brand").alias("brand"), F.coalesce(price("n.offers.price"), price("n.offers.lowPrice")).alias("price"), F.col("n.offers.priceCurrency").alias("currency"), availability("n.offers.availability").alias("availability"))
+    return rows.select(
+        "page_id",
+        F.col("n.name").alias("name"),
+        F.col("n.sku").alias("sku"),
+        F.col("n.brand").alias("brand"),
+        F.coalesce(price("n.offers.price"), price("n.offers.lowPrice")).alias("price"),
+        F.col("n.offers.priceCurrency").alias("currency"),
+        availability("n.offers.availability").alias("availability"),
+    )
 
 
 def alternates(pages: DataFrame) -> DataFrame:

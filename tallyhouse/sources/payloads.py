@@ -39,7 +39,13 @@ def checked(payloads: DataFrame, required: list[str]) -> tuple[DataFrame, DataFr
 def whole(payloads: DataFrame) -> DataFrame:
     """Chunked batches put together in order; a batch that lacks chunks is left out. One without chunk is whole."""
     one = F.coalesce("chunk", F.struct(F.lit(0).alias("index"), F.lit(1).alias("total")))
-    parts = payloads.withColumn("_c", one).groupBy("source_key", "kind", "run_ref").agg(F.array_sort(F.collect_set(F.struct(F.col("_c.index").alias("index"), F.col("rows")))).alias("_parts"), F.max("_c.total").alias("_total"), F.first("header").alias("header"), F.max("scraped_at").alias("scraped_at"))
+    part = F.struct(F.col("_c.index").alias("index"), F.col("rows"))
+    parts = payloads.withColumn("_c", one).groupBy("source_key", "kind", "run_ref").agg(
+        F.array_sort(F.collect_set(part)).alias("_parts"),
+        F.max("_c.total").alias("_total"),
+        F.first("header").alias("header"),
+        F.max("scraped_at").alias("scraped_at"),
+    )
     return parts.where("size(_parts) = _total").withColumn("rows", F.flatten(F.transform("_parts", lambda p: p["rows"]))).drop("_parts", "_total")
 
 
