@@ -34,19 +34,26 @@ def previous_different(obs: DataFrame, latest: DataFrame) -> DataFrame:
     return rows.groupBy("offer_id").agg(F.max_by("price", in_order()).alias("previous"))
 
 
-def timeline(obs: DataFrame, price: list[str] = ["price"], currency: str = "currency", identity: list[str] = ["tax_included"]) -> DataFrame:  # noqa: B006
+def timeline(obs: DataFrame, price: list[str] = ["price"], currency: str = "currency", identity: list[str] = ["tax_included"], more: tuple[Column, ...] = ()) -> DataFrame:  # noqa: B006
     """Change-only periods of each offer (gaps and islands).
 
     A period opens where price, currency or another identifying field differs from the row before; ``opened_because`` names
     the first of first_seen, currency_change, price_change, fields_changed that holds. ``closed_at`` is the next period's
-    start, null for the open one.
+    start, null for the open one. ``more`` are further aggregates over the rows of a period.
     """
     own = Window.partitionBy("offer_id").orderBy(*ORDER)
     was = lambda c: F.lag(c).over(own)
     differs = lambda cs: F.lit(False) if not cs else F.greatest(*[~F.col(c).eqNullSafe(was(c)) for c in cs], F.lit(False))
     why = F.when(was("observed_at").isNull(), "first_seen").when(differs([currency]), "currency_change").when(differs(price), "price_change").when(differs(identity), "fields_changed")
     marked = obs.withColumn("why", why).withColumn("period_no", F.count("why").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    periods = marked.groupBy("offer_id", "period_no").agg(F.max("why").alias("opened_because"), F.min("observed_at").alias("first_detected_at"), F.max("observed_at").alias("last_confirmed_at"), F.count("*").alias("n_observations"), *[F.min(c).alias(c) for c in (*price, currency, *identity)])
+    periods = marked.groupBy("offer_id", "period_no").agg(
+        F.max("why").alias("opened_because"),
+        F.min("observed_at").alias("first_detected_at"),
+        F.max("observed_at").alias("last_confirmed_at"),
+        F.count("*").alias("n_observations"),
+        *[F.min(c).alias(c) for c in (*price, currency, *identity)],
+        *more,
+    )
     return periods.withColumn("closed_at", F.lead("first_detected_at").over(Window.partitionBy("offer_id").orderBy("period_no")))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyhouse.operators import history
+
 
 def run_reports(rows: DataFrame, rejected: DataFrame) -> DataFrame:
     """A row for each run: its status and counts.
@@ -59,17 +61,14 @@ def run_status(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", F.when(F.col("breach").isNull(), "success").otherwise("partial"))
 
 
-def confirmations(periods: DataFrame, seen: DataFrame) -> DataFrame:
-    """``periods`` with ``confirmed_at``: the last moment at which a successful run saw the period's price, else when it was first detected.
+def confirmed_periods(seen: DataFrame) -> DataFrame:
+    """Price periods with ``confirmed_at``: the last moment at which a successful run saw the period's price, else when it was first detected.
 
-    ``seen`` has offer_id, observed_at and status of its run. Periods are derived from all observations, whatever became of
-    their runs; only successful runs confirm.
+    ``seen`` are observations with the ``status`` of their run. Periods are derived from all of them, whatever became of their
+    runs; only successful runs confirm.
     """
-    good = seen.where("status = 'success'").select("offer_id", F.col("observed_at").alias("at"))
-    inside = (F.col("at") >= F.col("first_detected_at")) & (F.col("at") <= F.col("last_confirmed_at"))
-    hits = periods.join(good, "offer_id").where(inside).groupBy("offer_id", "period_no").agg(F.max("at").alias("at"))
-    rows = periods.join(hits, ["offer_id", "period_no"], "left")
-    return rows.withColumn("confirmed_at", F.coalesce("at", "first_detected_at")).drop("at")
+    at = F.max(F.when(F.col("status") == "success", F.col("observed_at"))).alias("_at")
+    return history.timeline(seen, more=(at,)).withColumn("confirmed_at", F.coalesce("_at", "first_detected_at")).drop("_at")
 
 
 def carried(derived: DataFrame, before: DataFrame, same: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tallyhouse.functions import text as x
 from tallyhouse.operators import audits, charter, export, history, ingest, lookups, matching, retention
@@ -107,34 +107,40 @@ def _(v):
 
 
 GRID_SQL = f"""
-SELECT *, CAST(dense_rank() OVER (ORDER BY tax) AS INT) AS tax_id, count(*) OVER () > 20000 AS truncated FROM (
- SELECT l.offer_id, l.product_name, l.region, CAST(l.price AS DOUBLE) AS price, l.currency, {SHORT} AS tax, CAST(r.price_min AS DOUBLE) AS price_min, CAST(r.price_max AS DOUBLE) AS price_max,
- r.n AS observations,
-        l.brand AS axis_brand, l.material_key AS axis_finish, count(*) OVER (PARTITION BY l.product_id, l.price, l.currency, l.region) AS alike
- FROM {FLAT} AS l JOIN {RANGES} AS r ON r.offer_id = l.offer_id {RULED} WHERE l.source_key = 'ASIA') AS g
-ORDER BY product_name, region, offer_id LIMIT 20000
+SELECT *, CAST(dense_rank() OVER (ORDER BY tax) AS INT) AS tax_id FROM (
+ SELECT *, count(*) OVER () > 20000 AS truncated FROM (
+  SELECT l.offer_id, l.product_name, l.region, CAST(l.price AS DOUBLE) AS price, l.currency, {SHORT} AS tax,
+         CAST(r.price_min AS DOUBLE) AS price_min, CAST(r.price_max AS DOUBLE) AS price_max, r.n AS observations,
+         l.brand AS axis_brand, l.material_key AS axis_finish, count(*) OVER (PARTITION BY l.product_id, l.price, l.currency, l.region) AS alike
+  FROM {FLAT} AS l JOIN {RANGES} AS r ON r.offer_id = l.offer_id {RULED} WHERE l.source_key = 'ASIA') AS g
+ ORDER BY product_name, region, offer_id LIMIT 20000) AS shown
 """
 
 
 @query("p10_grid_rows", GRID_SQL)
 def _(v):
-    # One source's grid: the source is pushed into the scan of the facts before anything is joined. Tax states are few, and numbered.
+    # One source's grid: the source is pushed into the scan of the facts before anything is joined. Tax states are numbered over the rows shown.
     own = v.obs.join(v.site.where("source_key = 'ASIA'").select("source_id"), "source_id", "left_semi")
     rows = v.flat(history.extremes(own, CARRIED), priced=True)
     rows = lookups.most_specific(rows, v.tax_rule, ["region", "material_key"], ["source_key"])
     mode = F.when(F.col("tax_included") == 1, "incl").otherwise("excl")
-    rows = rows.withColumn("tax", x.tax_short_label(mode, F.col("tax_rate_pct"), F.coalesce("tax_evidence", F.lit("unknown"))))
-    from pyspark.sql import Window
-
-    alike = F.count("*").over(Window.partitionBy("product_id", "current", "currency", "region"))
-    rows = rows.withColumn("alike", alike)
-    states = rows.select("tax").distinct().withColumn("tax_id", F.dense_rank().over(Window.orderBy("tax")))  # a row for each label
-    grid = rows.join(states, "tax").select(
-        "offer_id", "product_name", "region", F.col("current").cast("double").alias("price"), "currency", "tax", "tax_id",
-        F.col("lowest").cast("double").alias("price_min"), F.col("highest").cast("double").alias("price_max"), F.col("n").alias("observations"),
-        F.col("brand").alias("axis_brand"), F.col("material_key").alias("axis_finish"), "alike",
-    )
-    return export.capped(grid, ["product_name", "region", "offer_id"], 20_000)
+    tax = x.tax_short_label(mode, F.col("tax_rate_pct"), F.coalesce("tax_evidence", F.lit("unknown")))
+    grid = rows.select(
+        "offer_id",
+        "product_name",
+        "region",
+        F.col("current").cast("double").alias("price"),
+        "currency",
+        tax.alias("tax"),
+        F.col("lowest").cast("double").alias("price_min"),
+        F.col("highest").cast("double").alias("price_max"),
+        F.col("n").alias("observations"),
+        F.col("brand").alias("axis_brand"),
+        F.col("material_key").alias("axis_finish"),
+        F.count("*").over(Window.partitionBy("product_id", "current", "currency", "region")).alias("alike"),
+    )
+    shown = export.capped(grid, ["product_name", "region", "offer_id"], 20_000)
+    return shown.withColumn("tax_id", F.dense_rank().over(Window.orderBy("tax")))
 
 
 @query(
@@ -156,8 +162,6 @@ def _(v):
     ORDER BY c_custkey LIMIT 30) AS p""",
 )
 def _(v):
-    from pyspark.sql import Window
-
     page = lookups.after_key(v.customer.select("c_custkey", "c_name"), "c_custkey", 100, 30)  # thirty rows
     last = F.max("c_custkey").over(Window.partitionBy())
     return page.select("c_custkey", "c_name", F.when(F.col("has_more"), last).alias("next_cursor"))

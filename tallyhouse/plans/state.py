@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import text as x
 from tallyhouse.operators import directory, history, lookups, state
 from tallyhouse.plans.pipelines import BAD, LINE, REASONS, batches
-from tallyhouse.plans.prices import MOVES, ORD, PERIODS
+from tallyhouse.plans.prices import MOVES, ORD
 from tallyhouse.plans.register import query
 from tallyhouse.sources import payloads as P
 
@@ -88,24 +88,21 @@ def _(v):
 
 
 CONFIRMED_SQL = f"""
-SELECT p.offer_id, p.period_no, p.first_detected_at, coalesce(max(o.observed_at), p.first_detected_at) AS confirmed_at
-FROM {PERIODS} AS p LEFT JOIN (SELECT obs.* FROM obs JOIN {RUN_STATUS} AS r ON r.source_id = obs.source_id AND r.run_id = obs.run_id WHERE r.status = 'success') AS o
-  ON o.offer_id = p.offer_id AND o.observed_at BETWEEN p.first_detected_at AND p.last_confirmed_at
-GROUP BY p.offer_id, p.period_no, p.first_detected_at
+SELECT offer_id, period_no, min(observed_at) AS first_detected_at, coalesce(max(observed_at) FILTER (WHERE status = 'success'), min(observed_at)) AS confirmed_at
+FROM (SELECT *, count(why) OVER (PARTITION BY offer_id ORDER BY {ORD} ROWS UNBOUNDED PRECEDING) AS period_no FROM (
+ SELECT *, CASE WHEN lag(observed_at) OVER w IS NULL OR lag(currency) OVER w <> currency OR lag(price) OVER w <> price OR lag(tax_included) OVER w <> tax_included THEN 1 END AS why
+ FROM (SELECT obs.*, r.status FROM obs JOIN {RUN_STATUS} AS r ON r.source_id = obs.source_id AND r.run_id = obs.run_id) AS o
+ WINDOW w AS (PARTITION BY offer_id ORDER BY {ORD})) AS m) AS p
+GROUP BY offer_id, period_no
 """
 
 
 @query("t6_confirmed_periods", CONFIRMED_SQL)
 def _(v):
     # Derived twice, from the history up to a day and from all of it: what the first has confirmed outlives the second.
-    runs = run_states(v)
-    same = ["offer_id", "first_detected_at", "price", "currency", "tax_included"]
-
-    def derived(obs):
-        return state.confirmations(history.timeline(obs), obs.join(runs, ["source_id", "run_id"]))
-
-    early = v.obs.where("observed_at < timestamp_ntz'1998-01-01'")
-    rows = state.carried(derived(v.obs), derived(early), same)
+    seen = v.obs.join(run_states(v), ["source_id", "run_id"])
+    early = state.confirmed_periods(seen.where("observed_at < timestamp_ntz'1998-01-01'"))
+    rows = state.carried(state.confirmed_periods(seen), early, ["offer_id", "first_detected_at", "price", "currency", "tax_included"])
     return rows.select("offer_id", "period_no", "first_detected_at", "confirmed_at")
 
 

@@ -146,10 +146,9 @@ def test_rule_versions_close_and_open(spark):
 
 def test_confirmations_survive_a_rebuild(spark):
     obs = observations(spark, [(1, 1, 10, "SAR", 0), (1, 2, 10, "SAR", 0), (1, 3, 12, "SAR", 0), (1, 4, 12, "SAR", 0)])
-    periods = history.timeline(obs)
-    seen = lambda good: obs.select("offer_id", "observed_at", F.when(F.dayofmonth("observed_at").isin(good), "success").otherwise("partial").alias("status"))
-    first = state.confirmations(periods, seen([2, 4]))
-    again = state.carried(state.confirmations(periods, seen([3])), first, ["offer_id", "first_detected_at", "price", "currency"])
+    seen = lambda good: obs.withColumn("status", F.when(F.dayofmonth("observed_at").isin(good), "success").otherwise("partial"))
+    first = state.confirmed_periods(seen([2, 4]))
+    again = state.carried(state.confirmed_periods(seen([3])), first, ["offer_id", "first_detected_at", "price", "currency"])
     assert [r["confirmed_at"].day for r in first.orderBy("period_no").collect()] == [2, 4]
     assert [r["confirmed_at"].day for r in again.orderBy("period_no").collect()] == [2, 4]
 
