@@ -22,7 +22,14 @@ def test_money(spark, said, amount):
     assert one(spark, said, x.money_error) in ((True,) if said == "n/a" else (False, None))
 
 
-@pytest.mark.parametrize("said, currency, unit", [("USD/liter", "EGP", "liter"), ("sar/kg", "SAR", "kg"), ("kg/m2", "SAR", "kg/m2"), ("sqm", "", "m2"), ("Liters", "", "liter"), ("pcs.", "", "piece"), ("أمتار", "", "m"), ("kWh", "", "kWh"), (" ", "SAR", None), ("Metric Ton", "", "tonne"), ("SAR / m²", "EGP", "m2"), ("roll", "", "roll")])
+UNITS = [
+    ("USD/liter", "EGP", "liter"), ("sar/kg", "SAR", "kg"), ("kg/m2", "SAR", "kg/m2"), ("sqm", "", "m2"),
+    ("Liters", "", "liter"), ("pcs.", "", "piece"), ("أمتار", "", "m"), ("kWh", "", "kWh"),
+    (" ", "SAR", None), ("Metric Ton", "", "tonne"), ("SAR / m²", "EGP", "m2"), ("roll", "", "roll"),
+]
+
+
+@pytest.mark.parametrize("said, currency, unit", UNITS)
 def test_units(spark, said, currency, unit):
     got = spark.createDataFrame([(said, currency)], "u string, c string").select(x.canonical_unit("u", "c").alias("r"), x.canonical_unit("u").alias("alone")).first()
     assert got["r"] == unit
