@@ -29,7 +29,18 @@ def prose(seed, n, vocabulary=400):
 def odd(spark):
     """Nulls in any column, empty, blank and long texts, repeats, and columns whose names the operators use inside."""
     long = prose(1, 4000)
-    rows = [(1, "the cat sat on the mat\nthe cat sat on the mat", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, "the cat sat on the mat", "en", "a"), (4, " \n\t ", "en", "a"), (5, long, "en", "a"), (6, long, "en", "a"), (5, long, "en", "a"), (7, "x" * 20000, "en", "a"), (8, "漢字 тест \x00 😀 a b", None, "b")]
+    rows = [
+        (1, "the cat sat on the mat\nthe cat sat on the mat", "en", "a"),
+        (2, None, None, None),
+        (3, "", "en", "a"),
+        (None, "the cat sat on the mat", "en", "a"),
+        (4, " \n\t ", "en", "a"),
+        (5, long, "en", "a"),
+        (6, long, "en", "a"),
+        (5, long, "en", "a"),
+        (7, "x" * 20000, "en", "a"),
+        (8, "漢字 тест \x00 😀 a b", None, "b"),
+    ]
     return spark.createDataFrame([(*r, len(r[1] or ""), 0.1, 7, 3) for r in rows], DOCS)
 
 
