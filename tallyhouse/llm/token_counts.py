@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyhouse.llm.common import Scratch, table, texts
 
-#: Pre-tokens that are broadcast, and their characters at most: a few MB, whatever the input.
-COMMON, COMMON_CHARS = 100_000, 32
+#: Pre-tokens that are broadcast, and their characters at most: some 10 MB, whatever the input.
+COMMON, COMMON_CHARS = 200_000, 32
 #: Distinct pre-tokens that a task holds before it hands them on.
 HELD = 200_000
 
