@@ -1 +1 @@
-"""Operators for preparing training text: ten jobs over documents, conversations and vectors."""
+"""Operators for preparing training text: jobs over documents, conversations and vectors."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhouse.llm import byte_bpe, chat, decontaminate, line_dedup, mips, ngram_join, quality, secrets, sharding, token_counts
+from tallyhouse.llm import byte_bpe, chat, decontaminate, hard_negatives, line_dedup, mips, ngram_join, packing, quality, secrets, sharding, token_counts, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8,
         "op9_sharding": sharding.op9,
         "op10_byte_bpe": byte_bpe.op10,
+        "op11_embedding_whitening": whitening.op11,
+        "op12_best_fit_packing": packing.op12,
+        "op13_hard_negatives": hard_negatives.op13,
     }
 
 
@@ -39,6 +42,16 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: All scores of the anchors; the first rows of each anchor's label; the first rows of other labels in each one's window.
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE same) WHERE r <= 5),
+windowed AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INT) AS rank FROM windowed)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": NGRAM_SQL, "op5_exact_top_k": TOP_K_SQL}
+    return {"op1_ngram_jaccard": NGRAM_SQL, "op5_exact_top_k": TOP_K_SQL, "op13_hard_negatives": NEGATIVES_SQL}
