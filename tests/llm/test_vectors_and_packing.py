@@ -281,7 +281,7 @@ def test_hard_negatives_at_the_ends(spark):
     assert not check_negatives(spark, [(3, [1.0], 1), (5, [1.0], 1)], 2)
     assert not check_negatives(spark, [(2, [0.0, 0.0], 1), (4, [0.0, 0.0], 1)], 2)
     assert check_negatives(spark, [(2, [0.0], 1), (4, [0.0], 1), (5, [0.0], 2)], 2)
-    assert not check_negatives(spark, [(2, [], 1), (4, [], 1), (5, [], 2)], 2)
+    assert check_negatives(spark, [(2, [], 1), (4, [], 1), (5, [], 2)], 2)  # empty vectors count as zeros
 
 
 @pytest.mark.parametrize("seed", range(5))
