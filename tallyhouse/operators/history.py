@@ -57,6 +57,51 @@ def timeline(obs: DataFrame, price: list[str] = ["price"], currency: str = "curr
     return periods.withColumn("closed_at", F.lead("first_detected_at").over(Window.partitionBy("offer_id").orderBy("period_no")))
 
 
+#: A period as it is carried from batch to batch; ``last`` is the order of its newest row.
+PERIOD = "offer_id long, period_no long, opened_because string, first_detected_at {at}, last_confirmed_at {at}, n_observations long, price {price}, currency string, tax_included int, last struct<observed_at:{at},ord1:long,ord2:long,ord3:long,ord4:long>"
+
+
+def periods_after(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The periods of the offers of a batch, with ``closed_at``, and the rows that come too late to have a place in them.
+
+    ``held`` is the open period of each offer before. A batch's rows go on from it as ``timeline`` goes on within a table: the
+    same price, currency and tax position continue it, anything else closes it and opens the next. Rows that aren't after the
+    newest one before are late and change nothing. Windows over the offer do all of it, so an offer with very many rows spills
+    to disk instead of being held in memory.
+    """
+    same = ["price", "currency", "tax_included"]
+    was = F.struct(*same, "period_no", "last").alias("_held")
+    rows = batch.join(held.select("offer_id", was), "offer_id", "left")
+    late = F.coalesce(in_order() <= F.col("_held.last"), F.lit(False))
+    on_time = rows.where(~late)
+    own = Window.partitionBy("offer_id").orderBy(*ORDER)
+    before = F.coalesce(F.lag(F.struct(*same)).over(own), F.when(F.col("_held").isNotNull(), F.struct(*[F.col(f"_held.{c}").alias(c) for c in same])))
+    marked = on_time.withColumn("_before", before)
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_before.{c}"))
+    why = F.when(F.col("_before").isNull(), "first_seen").when(differs("currency"), "currency_change").when(differs("price"), "price_change").when(differs("tax_included"), "fields_changed")
+    marked = marked.withColumn("why", why)
+    number = F.count("why").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col("_held.period_no"), F.lit(0))
+    found = marked.withColumn("period_no", number).groupBy("offer_id", "period_no").agg(
+        F.max("why").alias("opened_because"),
+        F.min("observed_at").alias("first_detected_at"),
+        F.max("observed_at").alias("last_confirmed_at"),
+        F.count("*").alias("n_observations"),
+        *[F.first(c).alias(c) for c in same],
+        F.max(in_order()).alias("last"),
+    )
+    touched = held.join(on_time.select("offer_id").distinct(), "offer_id", "left_semi")
+    whole = found.unionByName(touched.select(*found.columns)).groupBy("offer_id", "period_no").agg(
+        F.max("opened_because").alias("opened_because"),
+        F.min("first_detected_at").alias("first_detected_at"),
+        F.max("last_confirmed_at").alias("last_confirmed_at"),
+        F.sum("n_observations").alias("n_observations"),
+        *[F.first(c).alias(c) for c in same],
+        F.max("last").alias("last"),
+    )
+    closed = F.lead("first_detected_at").over(Window.partitionBy("offer_id").orderBy("period_no"))
+    return whole.withColumn("closed_at", closed), rows.where(late).select(*batch.columns)
+
+
 def current_state(obs: DataFrame) -> DataFrame:
     """The last observation of each offer with when it was first and last seen."""
     last = F.max_by(F.struct("price", "currency", "availability", "stock_quantity"), in_order())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tallyhouse.sources.generations import Store
 
 
 def upserted(state: DataFrame, batch: DataFrame, key: str, tracked: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -74,14 +76,35 @@ def memberships(records: DataFrame, key: str, path: str) -> DataFrame:
     return records.groupBy(key, F.col(path).alias("node")).agg(F.count("*").alias("seen_count"))
 
 
-def ancestors(nodes: DataFrame, depth: int) -> DataFrame:
-    """node, ancestor, distance from an adjacency list, by joining parents up to a depth."""
-    step = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    out, up = step, nodes.select(F.col("node").alias("ancestor"), F.col("parent").alias("_up")).where("_up <> ''")
-    for k in range(1, depth + 1):
-        step = step.join(up, "ancestor").select("node", F.col("_up").alias("ancestor"), F.lit(k).alias("distance"))
-        out = out.unionByName(step)
-    return out
+def ancestors(nodes: DataFrame, write) -> tuple[DataFrame, DataFrame]:
+    """(node, ancestor, distance) for every ancestor of every node, itself included, and the nodes that reach no root.
+
+    ``nodes`` is an adjacency list of node and parent (null or blank: a root; a parent that isn't listed is one too). Known
+    stretches are joined end to end, so their length doubles with each round: a tree of any depth takes a number of rounds that
+    follows the logarithm of its depth. A node still under way after more rounds than there are nodes to pass is on a cycle or
+    below one: such nodes are reported, and have no ancestors but themselves. ``write`` (a DataFrame and a label) stores a
+    round's rows and reads them back.
+    """
+    edges = write(nodes.where("parent is not null and parent <> ''").select("node", F.col("parent").alias("up")).distinct(), "edges")
+    # The farthest node known above each node: it doubles its distance until it has no parent itself.
+    jumps, rounds, passed = edges.select("node", "up"), 0, 1
+    total = edges.count()
+    while passed <= total:
+        further = jumps.alias("a").join(jumps.select(F.col("node").alias("up"), F.col("up").alias("next")), "up")
+        further = write(further.select("node", F.col("next").alias("up")).distinct(), f"jumps{rounds}")
+        rounds, passed, jumps = rounds + 1, passed * 2, further
+        if jumps.isEmpty():
+            break
+    lost = jumps.select("node").distinct() if passed > total else edges.select("node").limit(0)
+    lost = write(lost, "lost")
+    known = write(edges.join(lost, "node", "left_anti").select("node", F.col("up").alias("ancestor"), F.lit(1).alias("distance")), "closure")
+    for k in range(rounds):
+        # All stretches of up to 2**k steps are known; those of exactly 2**k lead on to what is known above their ends.
+        long = known.where(F.col("distance") == 1 << k).select("node", F.col("ancestor").alias("middle"))
+        above = known.select(F.col("node").alias("middle"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
+        known = write(known.unionByName(long.join(above, "middle").select("node", "ancestor", "distance")), f"closure{k}")
+    own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    return own.unionByName(known), lost
 
 
 def registered(known: DataFrame, asked: DataFrame, key: str, definition: str) -> DataFrame:
@@ -95,3 +118,120 @@ def collapsed_new(changes: DataFrame) -> DataFrame:
     product = changes.where("entity = 'product' and change_type = 'new'").select("product_id", "run_id")
     twice = changes.where("entity = 'variant' and change_type = 'new'").join(product, ["product_id", "run_id"], "left_anti")
     return changes.where("not (entity = 'variant' and change_type = 'new')").unionByName(twice)
+
+
+#: Tables of a store that runs are committed to. ``detail`` is a log of what was stated, ``open_price`` of what was in force.
+RUN_TABLES = {
+    "observation": "offer_id long, product_id long, business_date date, record_hash string, price_key string, provenance string, at string, run_ref string, generation long",
+    "open_price": "offer_id long, price_key string, generation long",
+    "product": "product_id long, generation long",
+    "detail": "product_id long, code string, raw_values array<string>, generation long",
+    "seen": "offer_id long, business_date date, record_hash string, bucket int",
+    "seen_filter": "bucket int, part long, bits binary",
+    "run": "run_ref string, status string, rows_seen long, new long, confirmed long, duplicates long, errors long, details long, generation long",
+}
+#: Hash buckets of what was seen, and bits of each one's filter: 64 buckets of 32 KB are 2 MB, whatever the table.
+SEEN_BUCKETS, FILTER_BITS = 64, 1 << 18
+SEEN_KEY = ("offer_id", "business_date", "record_hash")
+
+
+def seen_bucket(key: str = "offer_id") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SEEN_BUCKETS)).cast("int")
+
+
+def _places() -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(seed), *SEEN_KEY), F.lit(FILTER_BITS)) for seed in (1, 2)]
+
+
+def filter_of(rows: DataFrame) -> DataFrame:
+    """bucket, part, bits: a Bloom filter with two hashes for each bucket of ``rows``, in parts of 32,768 bits."""
+    at = rows.select("bucket", F.explode(F.array(*_places())).alias("at"))
+    return at.groupBy("bucket", F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def maybe_seen(rows: DataFrame, filters: DataFrame) -> DataFrame:
+    """Adds ``maybe``: false for rows that surely weren't seen. The filters, a few MB by their parameters, are broadcast."""
+    merged = filters.groupBy("bucket", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    hits = []
+    for k, at in enumerate(_places()):
+        place = F.bitmap_bit_position(at)
+        byte = F.conv(F.hex(F.substring(f"_bits{k}", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        rows = rows.withColumn(f"_part{k}", F.bitmap_bucket_number(at))
+        rows = rows.join(F.broadcast(merged.select("bucket", F.col("part").alias(f"_part{k}"), F.col("bits").alias(f"_bits{k}"))), ["bucket", f"_part{k}"], "left")
+        hits.append(F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    return rows.withColumn("maybe", hits[0] & hits[1]).drop(*[f"_{x}{k}" for x in ("part", "bits") for k in (0, 1)])
+
+
+def sequenced(batch: DataFrame, open_prices: DataFrame, seen: DataFrame, order: list[str]) -> DataFrame:
+    """``outcome`` of each observation of a batch, as if they came one by one in ``order``.
+
+    duplicate: the same offer, day and content is among ``seen`` or came before in the batch; confirmed: observed at the price
+    that is open then; new: any other. Duplicates and reported rows open nothing. ``open_key`` is the price open after the row.
+    """
+    known = seen.select(*SEEN_KEY, F.lit(True).alias("_known")).distinct()
+    rows = batch.join(known, list(SEEN_KEY), "left").join(open_prices.select("offer_id", F.col("price_key").alias("_open")), "offer_id", "left")
+    again = F.row_number().over(Window.partitionBy(*SEEN_KEY).orderBy(*order)) > 1
+    rows = rows.withColumn("_again", F.coalesce("_known", F.lit(False)) | again)
+    moves = F.when((F.col("provenance") == "observed") & ~F.col("_again"), F.col("price_key"))
+    own = Window.partitionBy("offer_id").orderBy(*order)
+    before = F.coalesce(F.last(moves, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_open"))
+    after = F.coalesce(F.last(moves, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    outcome = F.when(F.col("_again"), "duplicate").when((F.col("provenance") == "observed") & (before == F.col("price_key")), "confirmed").otherwise("new")
+    return rows.withColumn("outcome", outcome).withColumn("open_key", after).drop("_known", "_again", "_open")
+
+
+def newest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The value that the last generation states for each key."""
+    return rows.groupBy(*keys).agg(F.max_by(value, "generation").alias(value))
+
+
+def details_in_force(store: Store) -> DataFrame:
+    """product_id, code, raw_value as last stated: stating a (product, code) again retires the values it had."""
+    return newest(store.read("detail"), ["product_id", "code"], "raw_values").select("product_id", "code", F.explode("raw_values").alias("raw_value"))
+
+
+def ingested(store: Store, run_ref: str, prices: DataFrame, details: DataFrame | None = None, order: tuple[str, ...] = ("at",)) -> int:
+    """One run as one commit over all tables: its products, observations, open prices, details and its report, or nothing.
+
+    ``prices`` has offer_id, product_id, business_date, record_hash, price_key, provenance, the order's columns and ``error``
+    (null where the row is usable; such rows are counted and left out). Details (product_id, code, raw_value) attach to
+    products that earlier runs or this one's prices have registered, in whatever order they came; others are errors. A run
+    under a reference that is committed already changes nothing; one that died before its commit is simply run again.
+    Only what a run adds is written: no table is rewritten, and of what was seen only the buckets are read in which the
+    filters find something.
+    """
+    if (done := store.generation_of(run_ref)) is not None:
+        return done
+    number = store.current()[0] + 1
+    rows = store.staged(prices.withColumn("bucket", seen_bucket()))
+    good = rows.where("error is null").drop("error")
+    marked = store.staged(maybe_seen(good, store.read("seen_filter")))
+    buckets = [r[0] for r in marked.where("maybe").select("bucket").distinct().collect()]  # SEEN_BUCKETS at most
+    seen = store.read("seen").where(F.col("bucket").isin(buckets)).join(marked.where("maybe").select(*SEEN_KEY).distinct(), list(SEEN_KEY), "left_semi")
+    offers = good.select("offer_id").distinct()
+    open_ = newest(store.read("open_price").join(offers, "offer_id", "left_semi"), ["offer_id"], "price_key")
+    told = store.staged(sequenced(marked.drop("maybe"), open_, seen, list(order)))
+    stamp = F.lit(number).cast("long").alias("generation")
+    at = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
+    fresh = told.where("outcome = 'new'").select(*SEEN_KEY[:1], "product_id", *SEEN_KEY[1:], "price_key", "provenance", at.alias("at"), F.lit(run_ref).alias("run_ref"), stamp)
+    passed = told.where("outcome <> 'duplicate'").select(*SEEN_KEY, "bucket")
+    opened = told.where("open_key is not null").groupBy("offer_id").agg(F.max_by("open_key", F.struct(*order)).alias("price_key")).select("*", stamp)
+    products = good.select("product_id").distinct().join(store.read("product"), "product_id", "left_anti").select("*", stamp)
+    appended = {"observation": fresh, "open_price": opened, "product": products, "seen": passed, "seen_filter": filter_of(passed)}
+    attached = F.lit(0).cast("long")
+    strangers = F.lit(0).cast("long")
+    if details is not None:
+        known = store.read("product").select("product_id").unionByName(good.select("product_id")).distinct()
+        stated = store.staged(details.join(known.withColumn("_known", F.lit(True)), "product_id", "left"))
+        kept = stated.where("_known and trim(raw_value) <> ''")
+        appended["detail"] = kept.groupBy("product_id", "code").agg(F.array_sort(F.collect_set("raw_value")).alias("raw_values")).select("*", stamp)
+        n = stated.agg(F.count("_known"), F.count("*") - F.count("_known")).first()
+        attached, strangers = F.lit(n[0]), F.lit(n[1])
+    count = lambda what: F.count(F.when(F.col("outcome") == what, 1))
+    totals = told.agg(count("new").alias("new"), count("confirmed").alias("confirmed"), count("duplicate").alias("duplicates"))
+    errors = rows.agg(F.count("*").alias("rows_seen"), (F.count("error") + strangers).alias("errors"))
+    stored = F.col("new") + F.col("confirmed") + F.col("duplicates")
+    status = F.when((F.col("errors") > 0) & (stored == 0), "failed").when(F.col("errors") > 0, "partial").otherwise("success")
+    report = totals.join(errors)  # one row each
+    appended["run"] = report.select(F.lit(run_ref).alias("run_ref"), status.alias("status"), "rows_seen", "new", "confirmed", "duplicates", "errors", attached.alias("details"), stamp)
+    return store.commit(run_ref, appended, by={"seen": "bucket"})

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyhouse.operators import history
 from tallyhouse.operators.history import in_order, week_of
+from tallyhouse.sources.generations import Store, compare
 
 POLICIES = ("keep_all", "daily", "weekly", "archive_only")
 
@@ -42,3 +44,48 @@ def pinned(pins: DataFrame, obs: DataFrame, keys: list[str]) -> DataFrame:
     """Each pin and whether the observation that it names is there: 'kept' or 'stale'."""
     rows = pins.join(obs.select(*keys, F.lit(True).alias("_there")).distinct(), keys, "left")
     return rows.select(*keys, F.when(F.col("_there"), "kept").otherwise("stale").alias("pin"))
+
+
+def missing_from(facts: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Protected observations (first, latest, lowest, highest of each offer) that aren't among the kept ones."""
+    return history.protected(facts).select(*keys).distinct().join(kept.select(*keys), keys, "left_anti")
+
+
+def verification(before: dict[str, DataFrame], after: dict[str, DataFrame], facts: str, keys: list[str]) -> DataFrame:
+    """entity, rows_before, rows_after, missing, strangers, verdict for each table.
+
+    The facts may lose rows, but no protected one (``missing``) and no row may come or change (``strangers``); what is protected
+    is derived anew from the facts before, not from what chose the rows. Every other table has to be carried whole, by number
+    and digest.
+    """
+    columns = sorted(before[facts].columns)
+    signed = before[facts].select(*columns, F.lit(-1).alias("_n")).unionByName(after[facts].select(*columns, F.lit(1).alias("_n")))
+    more = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n > 0")  # equal rows cancel out
+    strangers = more.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("strangers"))
+    missing = missing_from(before[facts], after[facts], keys).agg(F.count("*").alias("missing"))
+    rows = compare(before, after)
+    lost = rows.join(missing.join(strangers))  # one row
+    own = F.col("entity") == facts
+    verdict = F.when(own & (F.col("missing") > 0), "protected rows lost").when(own & (F.col("strangers") > 0), "strange rows").when(~own & ~F.col("same"), "not carried whole").otherwise("kept")
+    number = lambda c: F.when(own, F.col(c)).otherwise(0).cast("long").alias(c)
+    return lost.select("entity", "rows_before", "rows_after", number("missing"), number("strangers"), verdict.alias("verdict"))
+
+
+def compacted(store: Store, run_ref: str, facts: str, keys: list[str], policies: dict[int, str], default: str, before) -> DataFrame:
+    """A retention run: the kept facts are written as a new generation, checked, and put in force with all other tables as they were.
+
+    Gives the verification of the generation against the one before it, and leaves that in force if anything is wrong. Done
+    again under the same reference it changes nothing and gives the same rows.
+    """
+    done = store.generation_of(run_ref)
+    number = store.current()[0] if done is None else done - 1
+    old = {name: store.read(name, number) for name in store.schemas}
+    if done is None:
+        kept = retained(old[facts], policies, default, before)
+
+        def check(read) -> list[str]:
+            rows = verification({facts: old[facts]}, {facts: read(facts)}, facts, keys).where("verdict <> 'kept'")
+            return [f"{r['entity']}: {r['verdict']}" for r in rows.collect()]  # a row for each table
+
+        store.commit(run_ref, replaced={facts: kept}, check=check)
+    return verification(old, {name: store.read(name, number + 1) for name in store.schemas}, facts, keys)

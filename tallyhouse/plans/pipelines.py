@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import history, ingest
 from tallyhouse.plans.register import query
 from tallyhouse.sources import payloads as P
+from tallyhouse.streaming import jobs
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
@@ -308,7 +309,7 @@ def _(v):
     FROM {LEVELS} AS n WHERE level = 3""",
 )
 def _(v):
-    return ingest.ancestors(_nodes(v).select("node", "parent"), 2)
+    return ingest.ancestors(_nodes(v).select("node", "parent"), jobs.table_writer(v.spark, "ancestors"))[0]
 
 
 @query(

@@ -10,6 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyhouse.operators import history, ingest
+from tallyhouse.sources.generations import Store
+
 
 def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).format(kind).load(path)
@@ -21,6 +24,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}_{uuid.uuid4().hex}"
 
 
+def table_writer(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes a step's rows below a new shared folder and reads them back, so that steps after it don't compute it again."""
+    folder = work_folder(spark, name)
+
+    def write(rows: DataFrame, label: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{label}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{label}")
+
+    return write
+
+
 def append_new(keys: list[str], target: str, by: str) -> Callable[[DataFrame, int], None]:
     """A sink that appends rows whose keys the table at ``target`` doesn't hold; replaying a batch adds nothing.
 
@@ -71,6 +85,44 @@ def sightings_ledger(stream: DataFrame) -> DataFrame:
     return stream.groupBy("dataset_key", "external_id").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"), F.count("*").alias("sightings"))
 
 
+def drained(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str) -> None:
+    """All that is there now goes through ``write``; the checkpoint below ``folder`` remembers what has been read."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def ingest_into(store: Store, name: str, prices: Callable[[DataFrame], DataFrame], order: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
+    """A sink that commits each micro-batch as one run against the open prices; a batch that is replayed finds itself committed."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        ingest.ingested(store, f"{name}-{number}", prices(batch), order=order)
+
+    return write
+
+
+def periods_into(store: Store, name: str) -> Callable[[DataFrame, int], None]:
+    """A sink of observations that closes and opens price periods: table ``period`` has the closed ones, ``open_period`` the open one of each offer as each batch left it, ``late`` the rows that came too late.
+
+    The open periods are a table of the store, so they are committed together with what the batch closed, and a replayed batch
+    changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        run = f"{name}-{number}"
+        if store.generation_of(run) is not None:
+            return
+        rows = store.staged(batch)
+        held = store.read("open_period").join(rows.select("offer_id").distinct(), "offer_id", "left_semi")
+        rest = [c for c in held.columns if c not in ("offer_id", "generation")]
+        held = held.groupBy("offer_id").agg(F.max_by(F.struct(*rest), "generation").alias("p")).select("offer_id", "p.*")
+        found, late = history.periods_after(store.staged(held), rows)
+        found = store.staged(found)
+        stamp = F.lit(store.current()[0] + 1).cast("long").alias("generation")
+        open_ = found.where("closed_at is null").drop("closed_at").select("*", stamp)
+        store.commit(run, {"period": found.where("closed_at is not null").drop("last"), "open_period": open_, "late": late})
+
+    return write
+
+
 CHANGE = "offer_id long, observed_at timestamp, price double, currency string, reason string"
 OPEN = "observed_at timestamp, price double, currency string"
 
