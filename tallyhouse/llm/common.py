@@ -107,6 +107,17 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``rest``, a struct of all other columns: whatever names those have, none meets an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))).alias("rest"))
+
+
+def unbundled(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, in that order, of what ``bundled`` has made of rows with them."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns])
+
+
 #: Bits of the bitmap that ``among`` broadcasts: half a megabyte, whatever the input.
 BITMAP_BITS = 1 << 22
 
@@ -125,9 +136,9 @@ def among(scratch: Scratch, rows: DataFrame, column: str, ids: DataFrame) -> tup
     )
     bitmap = F.broadcast(scratch.write(bitmap, "bitmap"))  # a row of 4 KB for each 32,768 bits
     h = at(F.col(column))
-    place = F.bitmap_bit_position(h)
+    marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), h.alias("h"), F.bitmap_bucket_number(h).alias("at"), F.col(column).isNotNull().alias("known"))
+    place = F.bitmap_bit_position("h")
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
-    marked = rows.withColumn("_at", F.bitmap_bucket_number(h)).join(bitmap, F.col("_at") == F.col("_bucket"), "left")
-    parts = marked.withColumn("_hit", hit)
-    return tuple(parts.where(c).select(*[F.col(x) for x in rows.columns]) for c in (F.col("_hit"), ~F.col("_hit")))
+    hit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col("known")
+    parts = marked.join(bitmap, F.col("at") == F.col("_bucket"), "left").withColumn("hit", hit)
+    return tuple(parts.where(c).select("row.*") for c in (F.col("hit"), ~F.col("hit")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyhouse.llm.common import Scratch, among, table, texts
+from tallyhouse.llm.common import Scratch, among, bundled, table, texts
 
 MIN_WORDS = 8
 #: The floor of ``op7`` and the pipeline: one word is a quarter of a line at most.
@@ -226,16 +226,18 @@ def deduplicated(docs: DataFrame, max_edits: int = 1, min_words: int = MIN_WORDS
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = removed_lines(docs, max_edits, min_words)
-    rows = docs.select(*kept, F.xxhash64("text").alias("_body"))
+    rows = bundled(docs.select(*[F.col(f"`{c}`") for c in kept])).withColumn("body", F.xxhash64("text"))
     asked, others = among(Scratch(docs.sparkSession), rows, "doc_id", gone.select("doc_id"))
-    gone = gone.withColumnsRenamed({"doc_id": "_doc_id", "body": "_gone", "lines": "_lines"})
-    asked = asked.join(gone, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_body") == F.col("_gone")), "left")
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "body": "gone_body"})
+    asked = asked.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("body") == F.col("gone_body")), "left")
     rows = asked.unionByName(others, allowMissingColumns=True)
     parts = F.split("text", "\n", -1)
-    stay = F.filter(parts, lambda _, k: ~F.array_contains("_lines", k))
-    left = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    stay = F.filter(parts, lambda _, k: ~F.array_contains("lines", k))
+    left = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     count = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
-    return rows.select(*[left.alias(c) if c == "text" else F.col(c) for c in kept], count(parts).alias("n_lines"), count("_lines").alias("n_removed"))
+    said = rows.select("doc_id", left.alias("text"), "rest", count(parts).alias("n_lines"), count("lines").alias("n_removed"))
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in kept]
+    return said.select(*columns, "n_lines", "n_removed")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

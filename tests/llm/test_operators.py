@@ -247,6 +247,40 @@ def test_quality(spark, odd, none, sf_dir):
     assert {r["score"] for r in quality.scores(odd, quality.fit(odd, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_equals_a_plain_refit(spark):
+    """The whole fit again in numpy, over the same rows: features, normal equations in one matrix, pooled shares."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    calibrates = (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(4)) == 0).alias("calibrates")
+    known = docs.join(labels, "doc_id").where(~quality.held_out(F.col("doc_id"))).select("text", "quality", calibrates).collect()
+    x, y = np.array([quality.statistics(r["text"]) for r in known]), np.array([float(r["quality"]) for r in known])
+    apart = np.array([r["calibrates"] for r in known])
+    draw = np.random.default_rng(11)
+    waves = draw.normal(0, np.sqrt(2 * quality.GAMMA), (x.shape[1], quality.FEATURES))
+    phases = draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    spread = np.where(x.std(axis=0) == 0, 1, x.std(axis=0))
+
+    def features(rows):
+        z = np.clip((rows - x.mean(axis=0)) / spread, -8, 8) @ waves + phases
+        return np.concatenate([np.cos(z) * np.sqrt(2 / quality.FEATURES), np.ones((len(rows), 1))], axis=1)
+
+    a = features(x[~apart])
+    ridge = quality.RIDGE * max(1.0, len(a)) / (quality.FEATURES + 1 - 1)
+    weights = np.linalg.lstsq(np.concatenate([a, np.sqrt(ridge) * np.eye(a.shape[1])]), np.concatenate([y[~apart], np.zeros(a.shape[1])]), rcond=None)[0]
+    raw, own = np.round(features(x[apart]) @ weights, 9), y[apart]
+    # The pooled share of a score: the largest, over starts at or below it, of the least mean up to an end at or above it.
+    at = np.unique(raw)
+    total, n = (np.array([0.0, *np.cumsum([f(own[raw == s]) for s in at])]) for f in (np.sum, len))
+    share = [max(min((total[j] - total[i]) / (n[j] - n[i]) for j in range(k + 1, len(at) + 1)) for i in range(k + 1)) for k in range(len(at))]
+    got = np.interp(at, model["knots"], model["shares"])
+    assert np.abs(model["weights"] - weights).max() < 1e-4 * max(1, np.abs(weights).max())
+    # Knots are means of pooled scores, so within a pool the shares agree at the knot; compare there.
+    for knot, value in zip(model["knots"], model["shares"]):
+        k = np.abs(at - knot).argmin()
+        assert min(abs(share[i] - value) for i in range(max(0, k - 1), min(len(at), k + 2))) < 1e-6
+    assert np.corrcoef(got, share)[0, 1] > 0.999
+
+
 def test_isotonic_pools():
     knots, shares = quality.isotonic(np.array([1.0, 2.0, 3.0, 3.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert list(shares) == sorted(shares) and shares[0] == 0 and shares[-1] == 1 and len(knots) == 3
@@ -520,3 +554,17 @@ def test_wand_finds_what_full_scoring_finds():
                 full[item] += x
         for bound in (0.2, 0.5, 0.8):
             assert {i for i, x in full.items() if x >= bound} == {i for i, _ in index.retrieve(words, bound)}
+
+
+def test_repeated_items_count_by_the_larger_score():
+    """Two texts of one id, one of them wholly in the passage: its score is the item's, whichever row comes last."""
+    whole = "what is the capital of the old river province answer the town of three bridges"
+    part = "what is the capital of the old river province answer the town of three bridges and seven further towers"
+    text = f"some words before {whole} and some words after it"
+    alone = decontaminate.Banded([(1, whole)], known=None).search(text, 0.3, 0.3)[1]
+    for items in ([(1, whole), (1, part)], [(1, part), (1, whole)]):
+        index = decontaminate.Index(items, 0.3, None)
+        both = index.search(decontaminate.words_of(text), 0.3, 0.3)
+        each = [decontaminate.Index([(k, x[1]) for k, x in enumerate(items)], 0.3, None).search(decontaminate.words_of(text), 0.3, 0.3)]
+        assert both[1] == max(each[0].values()) and set(both) == {1}
+    assert alone[0] > 0.9

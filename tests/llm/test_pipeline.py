@@ -23,7 +23,7 @@ def test_stages_are_named_in_order():
 
 
 def test_every_query_is_registered():
-    assert {int(x[2:].split("_")[0]) for x in registry.queries()} == set(range(1, 11))
+    assert {int(x[2:].split("_")[0]) for x in registry.queries()} == set(range(1, 14))
 
 
 def brute_lines(docs):
@@ -138,3 +138,21 @@ def test_repeated_ids_stay_or_go_together(spark):
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.distinct_documents(spark, df, SF).collect()] == [1]
     assert ngram_join.linked(df).where("component_id = 1").count() == 4
+
+
+#: Names that operators use inside, or might.
+CLASHING = ("id", "gone", "rest", "row", "score", "predicted", "n_removed", "n_lines", "body", "lines", "_body", "_lines", "_bits", "_bucket", "_at", "_hit", "_one", "_two", "one", "two", "hit", "at", "h", "known", "component_id", "least", "size", "rep", "comp", "label", "item_id")
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_a_stage_keeps_the_values_of_all_columns(spark, odd, k, monkeypatch):
+    """Columns of any name come out of a stage with the values that they had; with one shard of the benchmark and with several."""
+    rows = [(r["doc_id"], r["text"], *[f"{c} {n}" for c in CLASHING]) for n, r in enumerate(odd.collect())]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{c} string" for c in CLASHING]]))
+    if k == 3:
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", 4000)
+    out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
+    assert out.columns == docs.columns  # there is no n_chars either
+    had = {x[2:] for x in rows}
+    got = [tuple(r)[2:] for r in out.collect()]
+    assert got and set(got) <= had and len(set(got)) == len(got)
