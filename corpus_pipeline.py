@@ -6,27 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyhouse.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality
-from tallyhouse.llm.common import Scratch, among, materialize, table
+from tallyhouse.llm.common import Scratch, among, bundled, materialize, table, unbundled
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects.
 
-    A null text is scored as an empty one; rows of one text stand or fall together, whatever their ids.
+    A null text is scored as an empty one; rows of one text stand or fall together, whatever their ids. All columns stay as they
+    are, whatever they are called; the same holds for the stages below.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scores(docs, model).where("predicted = 1").select(*docs.columns)
+    return unbundled(quality.scores(bundled(docs), model).where("predicted = 1"), docs.columns)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every line once, or nearly so: texts lose the lines that an earlier one repeats, and documents left without any go.
 
-    Rows without id or text stay as they are, as do texts that had no words before; n_chars follows what is left.
+    Rows without id or text stay as they are, as do texts that had no words before; n_chars, where there is such a column,
+    follows what is left.
     """
-    rows = line_dedup.deduplicated(docs, min_words=line_dedup.SHORT_WORDS)
+    rows = line_dedup.deduplicated(bundled(docs), min_words=line_dedup.SHORT_WORDS)
     rows = rows.where((F.col("n_removed") == 0) | F.coalesce(F.trim("text") != "", F.lit(True)))
-    left = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", left).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        said = F.col("rest.n_chars")
+        left = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(said)
+        rows = rows.withColumn("rest", F.col("rest").withField("n_chars", left))
+    return unbundled(rows, docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +40,10 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows that repeat an id stay or go together; rows without id, and texts without words, stay.
     """
     scratch = Scratch(spark)
-    groups = ngram_join.linked(docs, n=5, num=4, den=5)
-    gone = scratch.write(groups.where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
-    asked, stays = among(scratch, docs, "doc_id", gone)
-    return stays.unionByName(asked.join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
+    groups = ngram_join.linked(docs.select("doc_id", "text"), n=5, num=4, den=5)
+    gone = scratch.write(groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    asked, stays = among(scratch, bundled(docs), "doc_id", gone)
+    return unbundled(stays.unionByName(asked.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")), docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
