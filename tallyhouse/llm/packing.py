@@ -15,6 +15,9 @@ buckets, so a very common length is no single task's work; texts and tokens are
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -27,52 +30,109 @@ from tallyhouse.llm.byte_bpe import _CUT, _LOOSE
 from tallyhouse.llm.common import Scratch, table
 
 #: Parts of a text that a worker keeps encoded, in each of two generations, and their characters at most.
-KEPT, KEPT_CHARS = 150_000, 64
+KEPT, KEPT_CHARS = 300_000, 64
 #: Buckets in which the pieces of one length are numbered.
 BUCKETS = 512
 
 
+#: Characters on whose classes all libraries agree: parts of these alone are split here, others by the library itself.
+_WORD = re.compile(r" ?[A-Za-z]+").fullmatch
+_PLAIN = re.compile(r"[\t-\r -~\u00a1-\u052f]*").fullmatch
+
+
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones of Latin-1 as themselves, the others as the characters from U+0100 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return dict(zip(shown, shown)) | {b: 256 + k for k, b in enumerate(others)}
+
+
 class DocumentTokens:
-    """The library's ids of whole texts, as little-endian 32-bit words. The pattern of byte-level vocabularies starts a match at the last space before a word, so texts are cut there and parts seen before are looked up; texts that hold an added token's string go to the library whole."""
+    """The library's ids of whole texts, as little-endian 32-bit words.
 
-    def __init__(self, path: str):
+    The pattern of byte-level vocabularies starts a match at the last space before a word, so texts are cut there, and parts seen
+    before are looked up. A part that wasn't is split by the pattern, and only pre-tokens that are new go to the library's
+    model, each once. Parts with characters on which libraries may differ, texts that hold an added token's string, and texts
+    for a vocabulary of another kind go to the library as they are.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as said:
+            said = json.load(said)
+        before = said.get("pre_tokenizer") or {}
+        self.cuts = said["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and not said.get("normalizer")
+        self.split, self.letters = regex.compile(pattern).findall, byte_letters()
+        self.tokenize, self.space = self.library.model.tokenize, chr(self.letters[32])
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.fresh: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def words(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(parts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def pre_token(self, word: str) -> bytes:
+        ids = [x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(self, x: str) -> bytes:
+        """A part that isn't known yet."""
+        if (out := self.old.get(x)) is not None:
+            self.fresh[x] = out
+            return out
+        fresh = self.fresh
+        if _WORD(x):  # most new parts: one pre-token, its space aside as it is
+            ids = [y.id for y in self.tokenize(x.replace(" ", self.space))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(x) <= KEPT_CHARS:
+                fresh[x] = out
+            return out
+        if x[-1:] in (".", ",", "!") and _WORD(x[:-1]):  # marks are a match of their own
+            word = x[:-1]
+            out = (fresh.get(word) or self.part(word)) + (fresh.get(x[-1]) or self.pre_token(x[-1]))
+            if len(x) <= KEPT_CHARS:
+                fresh[x] = out
+            return out
+        if not _PLAIN(x):
+            return self.whole(x)
+        words = self.split(x)
+        out = b""
+        for word in words:
+            ids = fresh.get(word)
+            if ids is None:
+                ids = self.old.get(word)
+                if ids is None:
+                    ids = self.pre_token(word)
+                if len(word) <= KEPT_CHARS:  # longer ones hardly come again
+                    fresh[word] = ids
+            out += ids
+        if len(words) <= 3 and len(x) <= KEPT_CHARS:
+            fresh[x] = out
+        return out
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in self.added):
-            return self.words([text])[0]
+        if not self.cuts or any(x in text for x in self.added):
+            return self.whole(text)
         if _LOOSE(text):
             parts = _CUT.split(text)
         else:
             first, *rest = text.split(" ")
             parts = [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
-        try:
-            return b"".join(map(self.fresh.__getitem__, parts))
-        except KeyError:
-            pass
-        fresh, long, missing = self.fresh, {}, []
-        for x in set(parts):
-            if x not in fresh:
-                if x in self.old:
-                    fresh[x] = self.old[x]
-                else:
-                    missing.append(x)
-        for x, ids in zip(missing, self.words(missing) if missing else []):
-            (fresh if len(x) <= KEPT_CHARS else long)[x] = ids
-        out = b"".join([fresh[x] if x in fresh else long[x] for x in parts])
-        if len(fresh) > KEPT:
-            self.old, self.fresh = fresh, {}
-        return out
+        get = self.fresh.get
+        found = list(map(get, parts))
+        if None in found:
+            for k in [k for k, ids in enumerate(found) if ids is None]:
+                ids = get(parts[k])
+                found[k] = self.part(parts[k]) if ids is None else ids
+            if len(self.fresh) > KEPT:
+                self.old, self.fresh = self.fresh, {}
+        return b"".join(found)
 
 
 @lru_cache(maxsize=2)
@@ -80,7 +140,7 @@ def tokens_of(path: str) -> DocumentTokens:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads
-    return DocumentTokens(path)
+    return DocumentTokens(path, public_tokenizers.PATTERN)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, closing: int = 0, keep_tokens: bool = False) -> DataFrame:
