@@ -309,7 +309,7 @@ def test_cover_tree_covers_and_separates(seed):
 def test_descent_skips_nodes(spark):
     """In well separated groups only a small part of the points is scored."""
     r = np.random.default_rng(9)
-    v = np.concatenate([r.normal(size=(256, 3)) * 0.1 + c for c in np.eye(3).repeat(2, axis=0) * [[10.0], [-10.0]] * 3])
+    v = np.concatenate([r.normal(size=(256, 3)) * 0.1 + c for c in np.eye(3).repeat(2, axis=0) * np.array([[10.0], [-10.0]] * 3)])
     space = hard_negatives.Space(3, float(np.abs(v).max()), 2.0)
     tree = hard_negatives.Tree(space.augmented(v))
     arrays = {x: getattr(tree, x) for x in ("radius", "first", "last", "low", "high")} | {"centre": np.argsort(tree.order)[tree.centre]}
