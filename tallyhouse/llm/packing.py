@@ -36,7 +36,9 @@ BUCKETS = 512
 
 
 #: Characters on whose classes all libraries agree: parts of these alone are split here, others by the library itself.
-_WORD = re.compile(r" ?[A-Za-z]+").fullmatch
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+#: A word, marks behind it and one more word on the next line: what most new parts are. Each piece is a match of the pattern.
+_SHAPE = re.compile(rf"( ?{_LETTERS})([!-&(-/:-@\[-`{{-~]*)(?:\n({_LETTERS}))?").fullmatch
 _PLAIN = re.compile(r"[\t-\r -~\u00a1-\u052f]*").fullmatch
 
 
@@ -76,42 +78,35 @@ class DocumentTokens:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def pre_token(self, word: str) -> bytes:
-        ids = [x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """A match of the pattern: looked up, or by the library's model."""
+        if (out := self.fresh.get(word)) is not None:
+            return out
+        if (out := self.old.get(word)) is None:
+            shown = word.replace(" ", self.space) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [x.id for x in self.tokenize(shown)]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= KEPT_CHARS:  # longer ones hardly come again
+            self.fresh[word] = out
+        return out
 
     def part(self, x: str) -> bytes:
         """A part that isn't known yet."""
         if (out := self.old.get(x)) is not None:
             self.fresh[x] = out
             return out
-        fresh = self.fresh
-        if _WORD(x):  # most new parts: one pre-token, its space aside as it is
-            ids = [y.id for y in self.tokenize(x.replace(" ", self.space))]
-            out = struct.pack(f"<{len(ids)}I", *ids)
-            if len(x) <= KEPT_CHARS:
-                fresh[x] = out
-            return out
-        if x[-1:] in (".", ",", "!") and _WORD(x[:-1]):  # marks are a match of their own
-            word = x[:-1]
-            out = (fresh.get(word) or self.part(word)) + (fresh.get(x[-1]) or self.pre_token(x[-1]))
-            if len(x) <= KEPT_CHARS:
-                fresh[x] = out
-            return out
-        if not _PLAIN(x):
-            return self.whole(x)
-        words = self.split(x)
-        out = b""
-        for word in words:
-            ids = fresh.get(word)
-            if ids is None:
-                ids = self.old.get(word)
-                if ids is None:
-                    ids = self.pre_token(word)
-                if len(word) <= KEPT_CHARS:  # longer ones hardly come again
-                    fresh[word] = ids
-            out += ids
-        if len(words) <= 3 and len(x) <= KEPT_CHARS:
-            fresh[x] = out
+        if shape := _SHAPE(x):
+            word, marks, below = shape.groups()
+            out = self.pre_token(word)
+            if marks:
+                out += self.pre_token(marks)
+            if below:
+                return out + self.pre_token("\n") + self.pre_token(below)
+        elif _PLAIN(x):
+            return b"".join(map(self.pre_token, self.split(x)))
+        else:
+            out = self.whole(x)
+        if len(x) <= KEPT_CHARS:
+            self.fresh[x] = out
         return out
 
     def encode(self, text: str) -> bytes:
