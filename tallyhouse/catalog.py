@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyhouse.plans import directory, exports, generations, more, pages, pipelines, prices, scalars, state  # noqa: F401  registers on import
+from tallyhouse.plans import directory, exports, generations, grids, more, pages, pipelines, prices, scalars, state  # noqa: F401  registers on import
 from tallyhouse.plans.register import QUERIES, SQL
 
 

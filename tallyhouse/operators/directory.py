@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def locales_merged(english: DataFrame, arabic: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -19,13 +19,23 @@ def details_by_language(details: DataFrame, keys: list[str], code: str, value: s
     return pair.select(*keys, code, (F.coalesce("ar", "en") if prefer_arabic else F.coalesce("en", "ar")).alias(value))
 
 
-def assigned(feeds: DataFrame, key: list[str], freshness: int, today) -> DataFrame:
-    """The feeder of each field: of those that are fresh, the lowest priority; a stated variant or region goes before any."""
+def assigned(feeds: DataFrame, key: list[str], freshness: int | Column, today) -> DataFrame:
+    """The feeder of each field: of those that are fresh, the lowest priority; at one priority, a stated variant goes before any, then a stated region before all.
+
+    ``freshness`` is the days after which a feeder is stale, a number or a column of ``feeds``.
+    """
     rows = feeds.where(F.date_diff(F.lit(today).cast("date"), "last_seen") <= freshness)
     order = [F.col("priority"), F.col("variant_id").isNull(), F.col("region") == "*", F.col("source_id")]
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def assignments(feeds: DataFrame, fields: DataFrame, freshness: int | Column, today) -> DataFrame:
+    """The feeder of each of ``fields`` (product_id, variant_id, region): declarations for its variant or for all (null), and for its region or for all ('*'), compete by ``assigned``'s order. Fields that no fresh feeder serves are left out."""
+    asked = fields.select("product_id", F.col("variant_id").alias("of_variant"), F.col("region").alias("of_region"))
+    fits = (F.col("variant_id").isNull() | (F.col("variant_id") == F.col("of_variant"))) & F.col("region").isin("*", F.col("of_region"))
+    return assigned(feeds.join(asked, "product_id").where(fits), ["product_id", "of_variant", "of_region"], freshness, today)
+
+
 def laid_out(df: DataFrame, layout: list[tuple[str, str, bool]]) -> DataFrame:
     """Columns by a saved view: (column, label, shown), in order; columns it doesn't name follow as they are."""
     named = [c for c, _, _ in layout]
@@ -61,6 +71,27 @@ def implied_rates(rows: DataFrame, by: list[str]) -> DataFrame:
     return fit.groupBy("currency", *by).agg(last, F.count("*").alias("n"))
 
 
+def commodity_products(rows: DataFrame, crawled: str) -> DataFrame:
+    """Commodity rows as product rows: the material is the product, by the site's own name where it gives one.
+
+    A row that the source dates ('reported', with as_of_date) is dated so; all others by the day on which they were collected,
+    whatever label the source shows. The row is its country's.
+    """
+    text = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(""))
+    stated = (F.col("provenance") == "reported") & F.col("as_of_date").isNotNull()
+    return rows.select(
+        F.col("material_key").alias("external_product_id"),
+        F.coalesce(F.nullif(F.trim("material_label"), F.lit("")), F.col("material_key")).alias("product_name"),
+        text("material_label_ar").alias("product_name_ar"),
+        F.col("country_code_alpha2").alias("region"),
+        "currency",
+        "price",
+        text("unit").alias("unit"),
+        F.when(stated, "reported").otherwise("observed").alias("provenance"),
+        F.when(stated, F.col("as_of_date")).otherwise(F.to_date(crawled)).alias("business_date"),
+    )
+
+
 def price_key(**parts):
     """A versioned hash of what makes a price that price, and the names of the parts that are there; a region of '*' counts as absent."""
     present = {k: F.when(c.cast("string") != "*", F.nullif(F.trim(c.cast("string")), F.lit(""))) for k, c in sorted(parts.items())}

@@ -119,6 +119,64 @@ def folded(rows: DataFrame, joined: list[str], agreed: list[str]) -> DataFrame:
     )
 
 
+def ranked_labels(attributes: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """label, group, place: the labels of ``attributes`` (label, attribute_group) as columns would stand: by their best group's rank in ``order``, groups outside it last, then by label."""
+    ranks = F.array(*map(F.lit, order))
+    rank = F.when(F.array_contains(ranks, F.col("attribute_group")), F.array_position(ranks, F.col("attribute_group"))).otherwise(len(order) + 1)
+    best = attributes.groupBy("label").agg(F.min(F.struct(rank.alias("rank"), F.coalesce("attribute_group", F.lit("")).alias("group"))).alias("b"))
+    # A row for each label, after the aggregation: what one task numbers grows with the columns, not with the rows.
+    return best.select("label", F.col("b.group").alias("group"), F.row_number().over(Window.orderBy("b.rank", "label")).alias("place"))
+
+
+def cells(attributes: DataFrame, key: str) -> DataFrame:
+    """key, cells: the last value stated (``at``) for each label of a key, as a map. Rows are carried so until the columns are known."""
+    last = attributes.where("label <> '' and raw_value <> ''").groupBy(key, "label").agg(F.max_by("raw_value", F.struct("at", "raw_value")).alias("value"))
+    return last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("cells"))
+
+
+def widened(rows: DataFrame, maps: list[str], labels: list[str]) -> DataFrame:
+    """A column for each label, from the first of the maps that has it; blank where none has. A label that ``rows`` has as a column already gives none."""
+    fresh = [x for x in labels if x not in rows.columns]
+    said = lambda x: F.coalesce(*[F.try_element_at(m, F.lit(x)) for m in maps], F.lit(""))
+    return rows.select(*[c for c in rows.columns if c not in maps], *[said(x).alias(x) for x in fresh])
+
+
+#: Columns that a pivot may add; beyond, the caller reads the maps.
+MOST_COLUMNS = 500
+
+
+def columns_of(labels: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
+    """The labels in place order. A table of more than ``most`` columns isn't made."""
+    found = [r["label"] for r in labels.orderBy("place").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels: read them as maps")
+    return found
+
+
+def grid(rows: DataFrame, attributes: DataFrame, order: tuple[str, ...], fold: bool, most: int, axes: list[str] = [], joined: tuple[str, ...] = ()) -> DataFrame:  # noqa: B006
+    """One source's grid: capped rows, folded if asked for, with a column for each axis of its variants and each attribute its site filters by.
+
+    ``rows`` has offer_id, product_id, price, currency, region, ``sort`` (the order in which the cap cuts), price_min, price_max,
+    tax and whatever else is shown; ``axes`` names columns that stand for a variant's axes, which come before the attributes.
+    ``truncated`` says whether the cap cut rows off, before any fold. A fold puts variants of one product, price, currency and
+    region on a row: ``joined`` texts are listed once each, all else is blank where they disagree. ``tax_id`` numbers the
+    distinct tax states of the rows shown.
+    """
+    shown = capped(rows, ["sort", "offer_id"], most).drop("sort")
+    own = shown.select("product_id").distinct()
+    told = attributes.join(own, "product_id", "left_semi")
+    labels = columns_of(ranked_labels(told, order))
+    if fold:
+        keys = ["product_id", "price", "currency", "region"]
+        agreed = [c for c in shown.columns if c not in (*keys, "offer_id", "price_min", "price_max", "truncated", *joined)]
+        shown = folded(shown, list(joined), agreed).join(shown.select("truncated").limit(1))  # one value
+    states = shown.select("tax").distinct().select("tax", F.row_number().over(Window.orderBy("tax")).alias("tax_id"))
+    rows = shown.join(states, shown["tax"].eqNullSafe(states["tax"])).drop(states["tax"])
+    wide = widened(rows.join(cells(told, "product_id"), "product_id", "left"), ["cells"], labels)
+    at = [c for c in wide.columns if c not in (*axes, *labels)]
+    return wide.select(*at, *axes, *[x for x in labels if x in wide.columns and x not in axes])
+
+
 def headed(rows: DataFrame, by: str, key: str) -> DataFrame:
     """Rows nested under the values of a column: a heading with its count and rows where a value repeats; singletons stay flat, without rows."""
     nested = rows.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("rows"))
@@ -132,13 +190,18 @@ def capped(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     return numbered.where(F.col("_n") <= most).drop("_n")
 
 
+#: Rows of an exported file: a few dozen MB at most.
+FILE_ROWS = 100_000
+
+
 def write_bundle(tables: dict[str, DataFrame], folder: str, by: str = "source_key") -> None:
-    """An export: each table twice, as JSON lines for a reader and as CSV for a spreadsheet, a folder for each source. Tables without rows are left out, but for the first."""
+    """An export: each table twice, as JSON lines for a reader and as CSV for a spreadsheet, a folder for each source, in files of a bounded number of rows. Tables without rows are left out, but for the first."""
     for k, (name, df) in enumerate(tables.items()):
         if k and df.isEmpty():
             continue
-        df.write.mode("overwrite").partitionBy(by).json(f"{folder}/json/{name}")
-        df.write.mode("overwrite").partitionBy(by).option("header", True).csv(f"{folder}/csv/{name}")
+        writer = df.write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", FILE_ROWS)
+        writer.json(f"{folder}/json/{name}")
+        writer.option("header", True).csv(f"{folder}/csv/{name}")
 
 
 def contents(spark: SparkSession, folder: str, tables: dict[str, str], kind: str = "json", by: str = "source_key") -> DataFrame:

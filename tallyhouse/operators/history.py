@@ -199,6 +199,20 @@ def changes_only(series: DataFrame, key: str, at: list[str], value: str) -> Data
     return series.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col(f"_before.{value}").eqNullSafe(F.col(value))).drop("_before")
 
 
+def anchored(series: DataFrame, current: DataFrame, key: str, at: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """The change points of reported series that are anchored, and a verdict for every series (key, points, verdict).
+
+    A series states no currency or unit of its own, so it counts only if its last value equals the one published now
+    (``current``: key and value). 'unanchored' ends elsewhere; for 'no anchor' nothing is published.
+    """
+    last = series.groupBy(key).agg(F.max_by(value, F.struct(*at)).alias("_last"), F.count("*").alias("points"))
+    now = current.select(key, F.col(value).alias("_now"))
+    verdict = F.when(F.col("_now").isNull(), "no anchor").when(F.col("_now") == F.col("_last"), "anchored").otherwise("unanchored")
+    verdicts = last.join(now, key, "left").select(key, "points", verdict.alias("verdict"))
+    good = verdicts.where("verdict = 'anchored'").select(key)
+    return changes_only(series.join(good, key, "left_semi"), key, at, value), verdicts
+
+
 def absences(presence: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """missing_since, returned_at of each key from the runs it was seen in: runs are numbered, and a jump in numbers is an absence. The last one stays open."""
     numbered = runs.select("run", F.row_number().over(Window.orderBy("run")).alias("no"))  # a row for each run

@@ -118,6 +118,25 @@ def schemas_after(schemas: DataFrame) -> DataFrame:
     return rows.withColumn("version", version).withColumn("schema_hash", F.sha2(F.array_join(in_force, ","), 256))
 
 
+def schema_history(seen: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, at, verdict, version: what became of each schema that a dataset showed, in order of ``at``, its versions counted on.
+
+    A set of fields that had a version gets that one again ('same' if it is in force, else 'known'); one that holds all fields
+    in force and more opens the next; one that lost a field is refused, and the version in force stays. ``seen`` has ``fields``
+    (array of field keys); a dataset has a row for each schema that it showed, and they are walked through together.
+    """
+    walk = """aggregate(seen, cast(named_struct('known', array(), 'out', array()) as struct<known:array<array<string>>,out:array<struct<at:{at},verdict:string,version:int>>>), (s, x) ->
+        named_struct('known', if(size(s.known) = 0 or (not array_contains(s.known, x.fields) and size(array_except(element_at(s.known, -1), x.fields)) = 0), concat(s.known, array(x.fields)), s.known),
+                     'out', concat(s.out, array(named_struct('at', x.at,
+                         'verdict', case when size(s.known) = 0 then 'first' when element_at(s.known, -1) = x.fields then 'same' when array_contains(s.known, x.fields) then 'known'
+                                         when size(array_except(element_at(s.known, -1), x.fields)) > 0 then 'refused' else 'widened' end,
+                         'version', cast(case when size(s.known) = 0 then 1 when array_contains(s.known, x.fields) then array_position(s.known, x.fields)
+                                         when size(array_except(element_at(s.known, -1), x.fields)) > 0 then size(s.known) else size(s.known) + 1 end as int))))))"""
+    at = seen.schema["at"].dataType.simpleString()
+    rows = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.array_sort("fields").alias("fields")))).alias("seen"))
+    return rows.select(*keys, F.explode(F.expr(walk.format(at=at))["out"]).alias("r")).select(*keys, "r.*")
+
+
 def set_difference(earlier: Column, later: Column) -> Column:
     """How the fields of a later key compare with those of an earlier one: narrowed if some are lost, else widened or comparable."""
     lost, more = F.size(F.array_except(earlier, later)) > 0, F.size(F.array_except(later, earlier)) > 0

@@ -5,7 +5,8 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tallyhouse.functions.text import availability, strip_markup, unescape
 
@@ -114,6 +115,28 @@ def html_tables(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").where(F.col("html").contains("<table")).mapInArrow(run, TABLE)
 
 
+_TEXTS = T.ArrayType(T.StringType())
+FOUND = T.StructType().add("table_no", "int").add("caption", "string").add("header", _TEXTS).add("rows", T.ArrayType(_TEXTS)).add("confidence", "double").add("warnings", _TEXTS)
+
+
+class ParseHtmlTables:
+    """Table function: a row for each table of a page's text, for SQL. Null and blank texts give none."""
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument) -> AnalyzeResult:
+        if html.isTable or html.dataType not in (T.StringType(), T.NullType()):
+            raise ValueError("parse_html_tables takes one text")
+        return AnalyzeResult(FOUND)
+
+    def eval(self, html):
+        yield from ((k, *t) for k, t in enumerate(tables_of(html or "")))
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Makes ``parse_html_tables(html)`` known to a session's SQL: ``SELECT p.page_id, t.* FROM pages p, LATERAL parse_html_tables(p.html) t``."""
+    spark.udtf.register("parse_html_tables", F.udtf(ParseHtmlTables))
+
+
 def approved(tables: DataFrame, fields: list[str], sure: float) -> DataFrame:
     """Discovered tables that may be stored: sure enough of their header, with all fields in it, without merged cells, and not empty."""
     fit = (F.col("confidence") >= sure) & (F.size(F.array_except(F.array(*map(F.lit, fields)), "header")) == 0)

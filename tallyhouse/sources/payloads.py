@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PAYLOAD = "payload_version int, source_key string, kind string, scraped_at string, source_url string, header array<string>, rows array<array<string>>, chunk struct<index:int,total:int>, run_ref string"
@@ -97,16 +99,31 @@ def latest_validators(seen: DataFrame, not_before=None) -> DataFrame:
     return rows.groupBy("url").agg(F.max_by("validator", F.struct("seen_at", "validator")).alias("validator"), F.max("seen_at").alias("seen_at"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Files of an export with bytes and SHA-256."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of an export, by their path below ``folder``, with bytes and SHA-256. Files are what an export is cut into: their rows are bounded where it is written (``export.write_bundle``), so none is large."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    below = F.regexp_extract("path", f"{re.escape(folder.rstrip('/').rpartition('/')[2])}/(.*)$", 1)
+    return files.select(below.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of any file system that Spark writes to; one that isn't there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def roots(files: DataFrame, levels: int) -> DataFrame:
+    """part, files, bytes, sha256: a digest for each folder ``levels`` deep, over its files' names and digests in order. Of the root alone (0 levels) it is the digest of the whole export."""
+    part = F.array_join(F.slice(F.split("file", "/"), 1, levels), "/") if levels else F.lit("")
+    leaves = F.array_sort(F.collect_list(F.concat_ws(" ", "file", "sha256")))
+    return files.groupBy(part.alias("part")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(leaves, "\n"), 256).alias("sha256"))
 
 
 def verified(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """All faults of an export against its manifest: missing, unexpected or changed files."""
+    """All faults of an export against its manifest, not only the first: missing, unexpected, resized and changed files."""
     both = expected.alias("e").join(found.alias("f"), "file", "full_outer")
-    fault = F.when(F.col("f.sha256").isNull(), "missing").when(F.col("e.sha256").isNull(), "unexpected").when(F.col("e.sha256") != F.col("f.sha256"), "changed")
+    fault = F.when(F.col("f.sha256").isNull(), "missing").when(F.col("e.sha256").isNull(), "unexpected")
+    fault = fault.when(F.col("e.bytes") != F.col("f.bytes"), "resized").when(F.col("e.sha256") != F.col("f.sha256"), "changed")
     return both.select("file", fault.alias("fault")).where("fault is not null")
 
 
