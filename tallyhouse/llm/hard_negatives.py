@@ -393,7 +393,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, k:
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     rows = scratch.write(labelled(vectors), "rows")
     most_of = F.aggregate("v", F.lit(0.0), lambda a, e: F.greatest(a, F.abs(e)))
-    dim, largest = rows.agg(F.max(F.size("v")), F.max(most_of)).first()
+    dim, largest, total = rows.agg(F.max(F.size("v")), F.max(most_of), F.count("*")).first()
     if dim is None:
         return spark.createDataFrame([], schema)
     dim, largest = max(dim, 1), largest or 1.0
@@ -403,21 +403,15 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, k:
     placed = scratch.write(_layout(rows, space), "placed")
     scratch.drop(rows)
     order = ["label", "node", "row"]
-    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def laid_out(df, size):
-        # No more parts than blocks: many small parts would be as many small blocks, each with finds of its own.
-        parts = max(1, min(dealt, -(-df.count() // size)))
-        return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-    blocks = scratch.write(candidate_blocks(laid_out(placed, block), space, block), "blocks")
+    blocks = scratch.write(candidate_blocks(placed.repartitionByRange(*order).sortWithinPartitions(*order), space, block), "blocks")
     anchors = placed.where(is_anchor).dropDuplicates(["vec_id", "label", "v"])
     anchors = scratch.write(anchors, "anchors")
-    parts = max(1, min(blocks.count(), dealt))
+    # Blocks are dealt to no more parts than whole ones would fill: a part keeps an anchor's finds over all its blocks.
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block)))
 
     def asked(df, windows, label):
         # Anchors of a block share labels and neighbourhood, so that they need the same blocks of candidates.
-        return scratch.write(anchor_blocks(laid_out(df, anchor_block), space, anchor_block, windows), label)
+        return scratch.write(anchor_blocks(df.repartitionByRange(*order).sortWithinPartitions(*order), space, anchor_block, windows), label)
 
     with short_batches(spark, 8):  # rows of a MB each
         everything = anchors.withColumn("low", F.array(F.lit(-END))).withColumn("high", F.array(F.lit(END)))
