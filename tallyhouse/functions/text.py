@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: Arabic-Indic and Eastern Arabic digits, decimal and thousands marks, and what they become.
@@ -23,16 +25,17 @@ def fold_digits(c: str | Column) -> Column:
 CURRENCY_MARKS = ("SAR", "EGP", "USD", "EUR", "AED", "KWD", "QAR", "ر.س", "ريال", "ج.م", "جنيه", "LE", "L.E.", "$", "€", "£")
 
 
+#: One pass takes out all that is no part of an amount: marks that hold a point first, as it would be left of them; the others' letters go by themselves.
+_NO_AMOUNT = "|".join([*(re.escape(m) for m in CURRENCY_MARKS if set(m) & set(".,-")), "[^0-9.,-]"])
+
+
 def parse_money(c: str | Column) -> Column:
     """A decimal(18,4) from a price text; null for blank or unreadable ones (``money_error`` tells them apart).
 
     Currency marks go first, as some hold points. With both marks the one further right is the decimal mark. A comma alone
     is one if a single comma has one or two digits behind it; a point alone always is.
     """
-    text = fold_digits(c)
-    for mark in CURRENCY_MARKS:
-        text = F.replace(text, F.lit(mark), F.lit(""))
-    kept = F.regexp_replace(text, "[^0-9.,-]", "")
+    kept = F.regexp_replace(fold_digits(c), _NO_AMOUNT, "")
     comma, point = F.length(kept) - F.instr(F.reverse(kept), ","), F.length(kept) - F.instr(F.reverse(kept), ".")
     has_comma, has_point = kept.contains(","), kept.contains(".")
     plain = (
@@ -209,7 +212,7 @@ def tax_short_label(mode: Column, rate: Column, evidence: Column) -> Column:
     return F.when(stated, F.concat(side, _rate_text(rate))).when(evidence == "general", F.concat(side, F.lit("—"))).otherwise("Unverified")
 
 
-#: Countries by their two-letter codes, as far as sources are collected there.
+#: Countries by their two-letter codes, where sources are collected; ``country_names`` has all others too.
 COUNTRIES = {
     "AE": "United Arab Emirates", "BH": "Bahrain", "DJ": "Djibouti", "DZ": "Algeria", "EG": "Egypt", "IQ": "Iraq", "JO": "Jordan",
     "KM": "Comoros", "KW": "Kuwait", "LB": "Lebanon", "LY": "Libya", "MA": "Morocco", "MR": "Mauritania", "OM": "Oman", "PS": "Palestine",
@@ -217,17 +220,24 @@ COUNTRIES = {
 }
 
 
-def region_name(code: str | Column) -> Column:
-    """A country's name from its code; an unknown code stays, '*' and blank are no country."""
+def country_names(spark) -> dict[str, str]:
+    """All two-letter codes and English names, from the locale data that Java brings along; the names above go before it."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    english = locale.ENGLISH
+    return {code: locale("", code).getDisplayCountry(english) for code in locale.getISOCountries()} | COUNTRIES
+
+
+def region_name(code: str | Column, names: dict[str, str] = COUNTRIES) -> Column:
+    """A country's name from its code, by ``names``; an unknown code stays, '*' and blank are no country."""
     raw = F.trim(_col(code))
-    names = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.when(F.coalesce(raw, F.lit("")).isin("", "*"), "").otherwise(F.coalesce(F.try_element_at(names, F.upper(raw)), raw))
 
 
-def region_code(name: str | Column) -> Column:
-    """A country's code from its name; blank for anything else, and for texts of two letters, which are codes already."""
+def region_code(name: str | Column, names: dict[str, str] = COUNTRIES) -> Column:
+    """A country's code from its name, by ``names``; blank for anything else, and for texts of two letters, which are codes already."""
     raw = F.lower(F.trim(_col(name)))
-    codes = F.create_map(*[F.lit(x) for code, said in COUNTRIES.items() for x in (said.lower(), code)])
+    codes = F.create_map(*[F.lit(x) for code, said in names.items() for x in (said.lower(), code)])
     return F.when(F.length(raw) < 3, "").otherwise(F.coalesce(F.try_element_at(codes, raw), F.lit("")))
 
 

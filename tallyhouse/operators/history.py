@@ -154,6 +154,13 @@ def protected(obs: DataFrame, other: str | None = None) -> DataFrame:
     return obs.join(bounds, "offer_id").select(*obs.columns, F.explode(hit).alias("reason"))
 
 
+def is_protected() -> Column:
+    """Whether an observation is a first, latest, lowest or highest one of its offer: windows over one key, so nothing is read twice."""
+    own = Window.partitionBy("offer_id")
+    bounds = [F.col(c) == f(c).over(own) for c in ("business_date", "price") for f in (F.min, F.max)]
+    return bounds[0] | bounds[1] | bounds[2] | bounds[3]
+
+
 def extremes(obs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Lowest, highest, first, current and previous differing price of each offer in its current currency, with the change.
 

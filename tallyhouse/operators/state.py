@@ -155,17 +155,23 @@ def pruned(name: str, log: DataFrame, at: str, before) -> DataFrame:
 
 
 def administered(tables: dict[str, DataFrame], renamed: dict[str, str], archived: list[str], wiped: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables keyed by source_key after sources are renamed, archived (kept, marked) or wiped, and the rows that each action touched."""
+    """All tables keyed by source_key after sources are renamed, archived (kept, marked) or wiped, and a row for each table and source: the action, rows before (n) and after (remaining), its name and mark then.
+
+    Each table is read once for its counts.
+    """
     after, counts = {}, None
     key = F.col("source_key")
     names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair]) if renamed else F.create_map().cast("map<string,string>")
     action = F.when(key.isin(wiped), "wiped").when(key.isin(archived), "archived").when(F.map_contains_key(names, key), "renamed").otherwise("kept")
+    now = F.coalesce(F.try_element_at(names, key), key)
     for name, df in tables.items():
-        rows = df.withColumn("_action", action)
-        count = rows.groupBy(F.lit(name).alias("entity"), "source_key", F.col("_action").alias("action")).agg(F.count("*").alias("n"))
+        count = df.groupBy(F.lit(name).alias("entity"), "source_key").agg(F.count("*").alias("n"))
         counts = count if counts is None else counts.unionByName(count)
-        moved = rows.where("_action <> 'wiped'").withColumn("archived", F.col("_action") == "archived")
-        after[name] = moved.withColumn("source_key", F.coalesce(F.try_element_at(names, key), key)).drop("_action")
+        after[name] = df.where(action != "wiped").withColumn("archived", action == "archived").withColumn("source_key", now)
+    stays = action != "wiped"
+    counts = counts.select(
+        "entity", "source_key", action.alias("action"), "n", F.when(stays, F.col("n")).otherwise(0).alias("remaining"), F.when(stays, now).alias("now_called"), F.when(stays, action == "archived").alias("archived")
+    )
     return after, counts
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import audits, matching
-
 from tallyhouse.plans.register import query
+from tallyhouse.streaming import jobs
 
 LEDGER = "(SELECT dataset_key, external_id, min(seen_at) AS first_seen_at, max(seen_at) AS last_seen_at, count(DISTINCT run_date) AS seen_count FROM sighting WHERE trim(external_id) <> '' GROUP BY dataset_key, external_id)"
 
@@ -271,9 +271,13 @@ def _(v):
     WHERE product_id % 5 <> 0 AND NOT (product_id % 3 = 0 AND material_id % 2 = 0)""",
 )
 def _(v):
-    rows = _fuzzy(v).unionByName(matching.by_key(_products(v), v.material, "sku", "gtin", "gtin"))
+    # Products and candidates are made once and read from there: decided products and blocked pairs name some of them.
+    write = jobs.table_writer(v.spark, "candidates")
+    products, materials = write(_products(v), "products"), write(v.material, "materials")
+    fuzzy = matching.by_name(products, materials, ["product_name"], ["material_name", "material_name_alt"])
+    rows = write(fuzzy.unionByName(matching.by_key(products, materials, "sku", "gtin", "gtin")), "candidates")
     blocked = rows.where("product_id % 3 = 0 and material_id % 2 = 0")
-    return matching.undecided(rows, _products(v).where("product_id % 5 = 0"), blocked).select("product_id", "material_id", "method")
+    return matching.undecided(rows, products.where("product_id % 5 = 0"), blocked).select("product_id", "material_id", "method")
 
 
 @query(

@@ -516,8 +516,9 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey
 def _(v):
     key = F.col("c_nationkey").cast("int")
     code = F.when(key < len(CODES), F.lower(F.try_element_at(F.array(*map(F.lit, CODES)), key + 1))).when(key == len(CODES), "*").otherwise(F.col("n_name"))
-    rows = v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey")).withColumn("country", x.region_name(code))
-    return rows.select("c_custkey", "country", x.region_code(F.upper("country")).alias("code"))
+    names = x.country_names(v.spark)
+    rows = v.customer.join(v.nation, F.col("n_nationkey") == F.col("c_nationkey")).withColumn("country", x.region_name(code, names))
+    return rows.select("c_custkey", "country", x.region_code(F.upper("country"), names).alias("code"))
 
 
 @query("f19_tax_labels", f"SELECT l.offer_id, {LABEL} AS label, {SHORT} AS short_label FROM {FLAT} AS l {RULED}")

@@ -109,8 +109,7 @@ def _(v):
 )
 def _(v):
     keys = ["offer_id", "business_date", "ord1", "ord2", "ord3"]
-    pins = v.obs.where("ord1 % 97 = 0")
-    return history.protected(v.obs).select(*keys).unionByName(pins.select(*keys)).distinct()
+    return v.obs.withColumn("held", history.is_protected() | (F.col("ord1") % 97 == 0)).where("held").select(*keys).distinct()
 
 
 RETAINED = f"""SELECT DISTINCT offer_id, business_date, ord1, ord2, ord3 FROM (SELECT offer_id, business_date, ord1, ord2, ord3 FROM ({PROTECTED}) AS p

@@ -10,6 +10,7 @@ from tallyhouse.plans.pipelines import BAD, LINE, REASONS, batches
 from tallyhouse.plans.prices import MOVES, ORD
 from tallyhouse.plans.register import query
 from tallyhouse.sources import payloads as P
+from tallyhouse.streaming import jobs
 
 RUN_SQL = f"""
 SELECT CAST(run AS VARCHAR) AS run_ref, CASE WHEN stored = 0 THEN 'failed' WHEN stored < seen THEN 'partial' ELSE 'success' END AS status,
@@ -215,12 +216,14 @@ def _(v):
     rows = rows.join(v.region.select("r_regionkey", F.col("r_name").alias("source_key")), F.expr("r_regionkey = l_suppkey % 5"))
     keys, values = ["source_key", "region", "material_key"], ["tax_mode", "rate"]
     rule = F.struct(F.when(F.col("l_linestatus") == "O", "incl").otherwise("excl").alias("tax_mode"), F.round(F.col("l_tax") * 100).cast("int").alias("rate"))
-    last = F.max_by(rule, F.struct("l_shipdate", F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_extendedprice", "l_partkey")).alias("rule")
-    of = lambda when: rows.where(when).groupBy(*keys).agg(last).select(*keys, "rule.*")
-    day = lambda d: F.lit(d).cast("date")
-    stored = of("l_shipdate < timestamp_ntz'1995-01-01'").withColumn("valid_from", day("1995-01-01")).withColumn("valid_to", F.lit(None).cast("date"))
-    declared = of("l_shipdate >= timestamp_ntz'1999-01-01' and l_shipdate < timestamp_ntz'1999-07-01'")
-    return state.rules_after(stored, declared, keys, values, "1999-07-01")
+    # One scan gives the last rule of either time; it is written, as both are compared with each other.
+    then, later = F.expr("l_shipdate < timestamp_ntz'1995-01-01'"), F.expr("l_shipdate >= timestamp_ntz'1999-01-01' and l_shipdate < timestamp_ntz'1999-07-01'")
+    at = F.struct("l_shipdate", F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_extendedprice", "l_partkey")
+    last = lambda when, name: F.max_by(F.when(when, rule), F.when(when, at)).alias(name)
+    both = jobs.table_writer(v.spark, "rules")(rows.where(then | later).groupBy(*keys).agg(last(then, "stored"), last(later, "declared")), "last")
+    of = lambda name: both.where(F.col(name).isNotNull()).select(*keys, f"{name}.*")
+    stored = of("stored").withColumn("valid_from", F.lit("1995-01-01").cast("date")).withColumn("valid_to", F.lit(None).cast("date"))
+    return state.rules_after(stored, of("declared"), keys, values, "1999-07-01")
 
 
 SCHEMAS_SQL = """
@@ -291,14 +294,7 @@ FROM ({' UNION ALL '.join(f"SELECT '{k}' AS entity, source_key FROM ({q}) AS {k}
 @query("t25_renamed_source", ADMIN_SQL)
 def _(v):
     keyed = {"obs": v.facts.join(v.site, "source_id"), "offer": v.offer.join(v.site, "source_id"), "product": v.product.join(v.site, "source_id"), "tax_rule": v.tax_rule}
-    keyed = {k: df.select("source_key", F.col("source_key").alias("was")) for k, df in keyed.items()}
-    after, counts = state.administered(keyed, {"ASIA": "ORIENT"}, ["AFRICA"], ["EUROPE"])
-    left = None
-    for name, df in after.items():
-        rows = df.groupBy(F.lit(name).alias("entity"), F.col("was").alias("source_key"), F.col("source_key").alias("now_called"), "archived").agg(F.count("*").alias("remaining"))
-        left = rows if left is None else left.unionByName(rows)
-    rows = counts.join(left, ["entity", "source_key"], "left")
-    return rows.select("entity", "source_key", "action", "n", F.coalesce("remaining", F.lit(0)).alias("remaining"), "now_called", "archived")
+    return state.administered(keyed, {"ASIA": "ORIENT"}, ["AFRICA"], ["EUROPE"])[1]
 
 
 ABSENT_SQL = """

@@ -116,7 +116,7 @@ def html_tables(pages: DataFrame) -> DataFrame:
 
 
 _TEXTS = T.ArrayType(T.StringType())
-FOUND = T.StructType().add("table_no", "int").add("caption", "string").add("header", _TEXTS).add("rows", T.ArrayType(_TEXTS)).add("confidence", "double").add("warnings", _TEXTS)
+FOUND = T.StructType().add("table_no", T.IntegerType()).add("caption", T.StringType()).add("header", _TEXTS).add("rows", T.ArrayType(_TEXTS)).add("confidence", T.DoubleType()).add("warnings", _TEXTS)
 
 
 class ParseHtmlTables:
