@@ -21,16 +21,16 @@ from tallyhouse.llm.common import Scratch, table
 #: Queries and vectors in a block; leading coordinates; how many of them a task multiplies at once.
 QUERY_BLOCK, BLOCK, LEADING = 512, 2048, 16
 QUERY_GROUP, SLICE = 64, 256
-#: Levels of length for each doubling. Components beyond FAR, either way, count as FAR; scores beyond a long's range as its end.
-LEVELS, FAR, END = 2, 1e300, (1 << 63) - 1
+#: Levels of length for each doubling. Scores beyond a long's range count as its end.
+LEVELS, END = 2, (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v (array of double: whole numbers, floor(scale * x)) and its length, for rows that take part."""
+    """vec_id, v (array of double: floor(scale * x) / scale) and its length, for rows that take part. ``scale`` is a power of two, so v is exact however large x is."""
 
     def whole(e):
-        y = F.greatest(F.least(e.cast("double"), F.lit(FAR)), F.lit(-FAR)) * scale
-        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # doubles from there on are whole
+        x = e.cast("double")
+        return F.when(F.abs(x) < 2.0**53 / scale, F.floor(x * scale).cast("double") / scale).otherwise(x)  # from there on doubles times the scale are whole
 
     odd = F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
     usable = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~odd
@@ -95,28 +95,29 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(gram)[1][:, ::-1]
 
 
-def _exact(q: np.ndarray, c: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows ``at`` of q and ``of`` of c; what a long can't hold counts as its end."""
+def _exact(q: np.ndarray, c: np.ndarray, at: np.ndarray, of: np.ndarray, scale: int) -> np.ndarray:
+    """Inner products of rows ``at`` of scale * q and ``of`` of scale * c, as whole numbers; what a long can't hold counts as its end."""
     if not len(at):
         return np.zeros(0, np.int64)
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2.0**62:
-        return np.einsum("ij,ij->i", q[at].astype(np.int64), c[of].astype(np.int64))
-    big_q, big_c = ([[int(x) for x in row] for row in m] for m in (q, c))
-    scores = (sum(x * y for x, y in zip(big_q[i], big_c[j])) for i, j in zip(at, of))
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] * scale * scale < 2.0**62:
+        return np.einsum("ij,ij->i", (q[at] * scale).astype(np.int64), (c[of] * scale).astype(np.int64))
+    big = lambda m, rows: {i: [int(x) * scale if abs(x) >= 2.0**53 else int(x * scale) for x in m[i]] for i in set(rows.tolist())}
+    big_q, big_c = big(q, at), big(c, of)
+    scores = (sum(x * y for x, y in zip(big_q[i], big_c[j])) for i, j in zip(at.tolist(), of.tolist()))
     return np.fromiter((max(-END, min(END, x)) for x in scores), np.int64, len(at))
 
 
-def best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int):
+def best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int, scale: int = 256):
     """Up to k best (query index, id, score) of a block for each query, by score, then smaller id; below ``floor`` left out.
 
     Queries go in groups and the block, longest vectors first, in slices, so a few MB are held at a time. Each slice's finds
     raise the threshold for the next, and a group is done once no query of it can reach its own with the lengths that are left.
     """
     with np.errstate(over="ignore", invalid="ignore"):  # a bound that overflows prunes nothing
-        return _best_of(query_ids, queries, block_ids, block, turn, floor, k, lead)
+        return _best_of(query_ids, queries, block_ids, block, turn, floor, k, lead, scale)
 
 
-def _best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int):
+def _best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int, scale: int):
     out = []
     c_all = block @ turn
     c_length, c_rest = np.linalg.norm(c_all, axis=1), np.linalg.norm(c_all[:, lead:], axis=1)
@@ -129,15 +130,16 @@ def _best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: in
         best = (np.zeros(0, np.int64),) * 3  # query, id, score
         for low in range(0, len(block), SLICE):
             high = low + SLICE
-            slack = 1e-9 * length * longest[low] + 1e-6
-            if (length * longest[low] + slack < need).all():
+            slack = 1e-9 * length * longest[low] + 1e-6 / scale**2
+            least = need / float(scale**2)  # bounds are of vectors before the scale
+            if (length * longest[low] + slack < least).all():
                 break
             bound = q[:, :lead] @ c_all[low:high, :lead].T + np.outer(rest, c_rest[low:high])
-            at, of = np.nonzero(~(bound + slack[:, None] < need[:, None]))
+            at, of = np.nonzero(~(bound + slack[:, None] < least[:, None]))
             of += low
             keep = ids[at] != block_ids[of]
             at, of = at[keep], of[keep]
-            score = _exact(vectors, block, at, of)
+            score = _exact(vectors, block, at, of, scale)
             keep = score >= need[at]
             at, found, score = (np.concatenate([x, y]) for x, y in zip(best, (at[keep], block_ids[of[keep]], score[keep])))
             order = np.lexsort((found, -score, at))
@@ -155,7 +157,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
 
     ``is_query`` is a column over vec_id. All rows of a query's own id are left out; a repeated row is one more candidate.
     Fewer candidates than k give all of them; no query or no candidate gives no rows. Shorter vectors count as padded with
-    zeros. Very large finite components take part: scores that a long can't hold count as its end.
+    zeros. Components of any finite size take part as they are: scores that a long can't hold count as its end.
     """
     scratch = Scratch(vectors.sparkSession)
     spark = scratch.spark
@@ -164,7 +166,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
     turn = rotation(rows, dim)
     order = [F.col("length").desc(), F.col("vec_id").asc()]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    level = F.floor(F.log2(F.greatest("length", F.lit(1e-9))) * LEVELS).cast("int")
+    level = F.floor(F.log2(F.least(F.greatest("length", F.lit(1e-9)), F.lit(1.7e308))) * LEVELS).cast("int")
     blocks = packed(sorted_, block, dim).withColumn("level", level).withColumn("block", F.xxhash64("ids", "vectors"))
     blocks = scratch.write(blocks, "blocks")
     asked = rows.where(is_query).dropDuplicates(["vec_id"]).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -185,13 +187,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
             for r in batch.to_pylist():
                 ids, v = unpack(r["ids"], r["vectors"])
                 lowest = np.full(len(ids), -END)
-                at, _, score = best_of(ids, v, lead_ids, lead_vectors, turn, lowest, k_, lead_)
+                at, _, score = best_of(ids, v, lead_ids, lead_vectors, turn, lowest, k_, lead_, scale)
                 full = np.bincount(at, minlength=len(ids)) >= k_
                 np.minimum.at(floor := np.full(len(ids), END), at, score)
                 floor = np.where(full, floor, lowest)
                 most = np.abs(v).max(axis=1, initial=0)
                 length = most * np.sqrt(((v / np.maximum(most, 1e-300)[:, None]) ** 2).sum(axis=1))
-                need = np.where(length > 0, floor / np.maximum(length, 1e-300), np.where(floor <= 0, -1.0, np.inf))
+                need = np.where(length > 0, floor / float(scale**2) / np.maximum(length, 1e-300), np.where(floor <= 0, -1.0, np.inf))
                 columns = [pa.array([x], pa.binary()) for x in (r["ids"], r["vectors"], floor.astype(np.int64).tobytes())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([float(need.min())])], names=["ids", "vectors", "floors", "need"])
 
@@ -202,7 +204,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
             for r in batch.to_pylist():
                 ids, v = unpack(r["ids"], r["vectors"])
                 other, w = unpack(r["other_ids"], r["other_vectors"])
-                at, found, points = best_of(ids, v, other, w, turn, np.frombuffer(r["floors"], np.int64), k_, lead_)
+                at, found, points = best_of(ids, v, other, w, turn, np.frombuffer(r["floors"], np.int64), k_, lead_, scale)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(points)], names=["query_id", "vec_id", "score"])
 
     # A few thousand levels at most, whatever the input: a double has no more doublings.

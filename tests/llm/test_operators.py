@@ -272,13 +272,18 @@ def test_quality_equals_a_plain_refit(spark):
     at = np.unique(raw)
     total, n = (np.array([0.0, *np.cumsum([f(own[raw == s]) for s in at])]) for f in (np.sum, len))
     share = [max(min((total[j] - total[i]) / (n[j] - n[i]) for j in range(k + 1, len(at) + 1)) for i in range(k + 1)) for k in range(len(at))]
-    got = np.interp(at, model["knots"], model["shares"])
     assert np.abs(model["weights"] - weights).max() < 1e-4 * max(1, np.abs(weights).max())
-    # Knots are means of pooled scores, so within a pool the shares agree at the knot; compare there.
-    for knot, value in zip(model["knots"], model["shares"]):
-        k = np.abs(at - knot).argmin()
-        assert min(abs(share[i] - value) for i in range(max(0, k - 1), min(len(at), k + 2))) < 1e-6
-    assert np.corrcoef(got, share)[0, 1] > 0.999
+    # A knot is the mean score of the rows that share a value.
+    count, share = np.diff(n), np.array(share)
+    pools = np.split(np.arange(len(at)), np.flatnonzero(np.abs(np.diff(share)) > 1e-12) + 1)
+    knots = [(at[k] @ count[k]) / count[k].sum() for k in pools]
+    assert len(knots) == len(model["knots"])
+    np.testing.assert_allclose(model["knots"], knots, atol=1e-6)
+    np.testing.assert_allclose(model["shares"], [share[k[0]] for k in pools], atol=1e-9)
+    got = {r["doc_id"]: r["score"] for r in quality.scores(docs, model).where("doc_id % 10 = 0").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id % 10 = 0").collect()}
+    want = np.clip(np.interp(features(np.array([quality.statistics(texts[i] or "") for i in got])) @ weights, knots, [share[k[0]] for k in pools]), 0, 1)
+    assert np.abs(np.array(list(got.values())) - want).max() < 1e-3
 
 
 def test_isotonic_pools():
@@ -339,12 +344,13 @@ def test_top_k(spark):
 
 
 def test_top_k_of_large_components(spark):
-    rows = [(0, [1e8, 1.0]), (1, [3e8, -2.0]), (2, [-1e8, 5.0]), (50, [1e300, -1e300]), (51, [1e308, 1.0]), (52, [2e9, 1.0]), (53, [0.5, 0.25])]
+    rows = [(0, [1e8, 1.0]), (1, [3e8, -2.0]), (2, [-1e8, 5.0]), (50, [1e300, -1e300]), (51, [1e308, 1.0]), (52, [2e9, 1.0]), (53, [0.5, 0.25]), (54, [2e300, 1e300]), (100, [1.0, -1.0]), (101, [1.7e308, 1.7e308])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     end = mips.END
-    q = {i: [int(min(max(x, -1e300), 1e300) * 256) if abs(x * 256) >= 2**53 else int(np.floor(x * 256)) for x in v] for i, v in rows}
+    q = {i: [int(x) * 256 if abs(x) >= 2**53 else int(np.floor(x * 256)) for x in v] for i, v in rows}
     score = lambda a, b: max(-end, min(end, sum(x * y for x, y in zip(q[a], q[b]))))
-    want = [(a, k + 1, b, -s) for a in (0, 50) for k, (s, b) in enumerate(sorted((-score(a, b), b) for b in q if b != a)[:5])]
+    want = [(a, k + 1, b, -s) for a in (0, 50, 100) for k, (s, b) in enumerate(sorted((-score(a, b), b) for b in q if b != a)[:5])]
+    assert want[10][2] == 50 and [x for x in want if x[0] == 100 and x[2] == 54][0][3] == end
     assert sorted(map(tuple, mips.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
 
 
