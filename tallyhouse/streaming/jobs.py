@@ -19,8 +19,12 @@ def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", p
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that all machines share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below the one that all machines share: ``spark.checkpoint.dir``. On one machine it may be unset, and the warehouse serves; a cluster has to name it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared}/{name}_{uuid.uuid4().hex}"
 
 
