@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``. Only where it is unset (tests on one machine) is one made."""
+    """The folder all machines share: ``spark.checkpoint.dir``. Only where it is unset and there is one machine (tests) is one made; a cluster has to name it."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tallyhouse-")
         sc.setCheckpointDir(folder)
     return folder
