@@ -201,7 +201,9 @@ def _(v):
     return audits.availability_marks(v.stored_record, audits.ledger(v.sighting), absent).select("external_id", "mark")
 
 
-@query("t19_row_states", f"""SELECT s.external_id, CASE WHEN s.status = 'unavailable' THEN CASE WHEN l.last_seen_at > a THEN 'returned' ELSE 'unavailable' END WHEN l.last_seen_at IS NULL THEN 'unsighted' WHEN a IS NOT NULL AND l.last_seen_at > a THEN 'returned' WHEN a IS NOT NULL AND l.last_seen_at < a THEN 'absent'
+@query("t19_row_states", f"""SELECT s.external_id, CASE
+ WHEN s.status = 'unavailable' THEN CASE WHEN l.last_seen_at > a THEN 'returned' ELSE 'unavailable' END
+ WHEN l.last_seen_at IS NULL THEN 'unsighted' WHEN a IS NOT NULL AND l.last_seen_at > a THEN 'returned' WHEN a IS NOT NULL AND l.last_seen_at < a THEN 'absent'
  WHEN l.first_seen_at >= TIMESTAMP '2024-01-25' THEN 'new' WHEN c >= TIMESTAMP '2024-01-25' THEN 'changed' WHEN l.last_seen_at < TIMESTAMP '2024-01-25' THEN 'stale' ELSE 'current' END AS state
  FROM (SELECT *, CASE WHEN CAST(external_id AS BIGINT) % 5 = 0 THEN TIMESTAMP '2024-01-20' END AS a, CASE WHEN CAST(external_id AS BIGINT) % 7 = 0 THEN TIMESTAMP '2024-01-26' END AS c
  FROM stored_record) AS s
@@ -214,7 +216,12 @@ def _(v):
     return rows.select("external_id", state.alias("state"))
 
 
-PAIRS = "(SELECT p.product_id, m.material_id, max(len(list_intersect(p.t, m.t)) / len(list_distinct(list_concat(p.t, m.t)))) AS confidence FROM (SELECT DISTINCT product_id, string_split(lower(product_name), ' ') AS t FROM product) AS p CROSS JOIN (SELECT material_id, string_split(lower(material_name), ' ') AS t FROM material UNION ALL SELECT material_id, string_split(lower(material_name_alt), ' ') FROM material) AS m GROUP BY p.product_id, m.material_id HAVING max(len(list_intersect(p.t, m.t)) / len(list_distinct(list_concat(p.t, m.t)))) >= 0.55)"
+LIKE = "max(len(list_intersect(p.t, m.t)) / len(list_distinct(list_concat(p.t, m.t))))"
+PAIRS = f"""(SELECT p.product_id, m.material_id, {LIKE} AS confidence
+ FROM (SELECT DISTINCT product_id, string_split(lower(product_name), ' ') AS t FROM product) AS p
+ CROSS JOIN (SELECT material_id, string_split(lower(material_name), ' ') AS t FROM material
+ UNION ALL SELECT material_id, string_split(lower(material_name_alt), ' ') FROM material) AS m
+ GROUP BY p.product_id, m.material_id HAVING {LIKE} >= 0.55)"""
 
 
 def _products(v):

@@ -73,7 +73,8 @@ def _(v):
     return history.current_state(v.obs).select("offer_id", *double("price"), "currency", "availability", "stock_quantity", "first_seen_at", "confirmed_at", "n")
 
 
-MOVES = f"""(SELECT * FROM (SELECT *, CASE WHEN lag(offer_id) OVER w IS NULL THEN NULL WHEN lag(currency) OVER w <> currency THEN 'currency_change' WHEN price > lag(price) OVER w THEN 'price_up' WHEN price < lag(price) OVER w THEN 'price_down' WHEN lag(availability) OVER w <> availability THEN 'availability_change' END AS change_type
+MOVES = f"""(SELECT * FROM (SELECT *, CASE WHEN lag(offer_id) OVER w IS NULL THEN NULL WHEN lag(currency) OVER w <> currency THEN 'currency_change'
+ WHEN price > lag(price) OVER w THEN 'price_up' WHEN price < lag(price) OVER w THEN 'price_down' WHEN lag(availability) OVER w <> availability THEN 'availability_change' END AS change_type
  FROM obs WHERE provenance = 'observed'
  WINDOW w AS (PARTITION BY offer_id ORDER BY {ORD})) AS m
  WHERE change_type IS NOT NULL)"""
@@ -92,7 +93,10 @@ for bucket, part in (("day", "business_date"), ("week", "year(business_date), st
 
 
 BOUNDS = "(SELECT offer_id, min(business_date) AS f, max(business_date) AS l, min(price) AS mi, max(price) AS ma FROM obs GROUP BY offer_id)"
-PROTECTED = " UNION ALL ".join(f"SELECT o.offer_id, o.business_date, o.ord1, o.ord2, o.ord3, '{r}' AS reason FROM obs o JOIN {BOUNDS} AS b ON b.offer_id = o.offer_id WHERE o.{c} = b.{k}" for r, c, k in (("first", "business_date", "f"), ("latest", "business_date", "l"), ("minimum", "price", "mi"), ("maximum", "price", "ma")))
+PROTECTED = " UNION ALL ".join(
+    f"SELECT o.offer_id, o.business_date, o.ord1, o.ord2, o.ord3, '{r}' AS reason FROM obs o JOIN {BOUNDS} AS b ON b.offer_id = o.offer_id WHERE o.{c} = b.{k}"
+    for r, c, k in (("first", "business_date", "f"), ("latest", "business_date", "l"), ("minimum", "price", "mi"), ("maximum", "price", "ma"))
+)
 
 
 @query("w8_protected_rows", PROTECTED)
