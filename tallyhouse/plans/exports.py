@@ -410,10 +410,12 @@ GROUP BY s.source_key
 
 @query("a4_watch_strip", WATCH_SQL)
 def _(v):
-    periods = history.timeline(v.obs)
-    moved = periods.where("opened_because = 'price_change' and first_detected_at >= timestamp_ntz'2001-06-01'").select("offer_id", F.lit(1).alias("moved")).distinct()
-    last = v.facts.groupBy("offer_id").agg(F.max("business_date").alias("last_day"))
-    rows = v.flat(history.latest_per_offer(v.facts)).join(moved, "offer_id", "left").join(last, "offer_id")
+    # Latest row, last day and whether the price moved all come from windows over the offer: one scan and one shuffle of the facts.
+    own = Window.partitionBy("offer_id")
+    before = F.lag(F.struct("price", "currency")).over(own.orderBy(*history.ORDER))
+    moves = (F.col("before.currency") == F.col("currency")) & (F.col("before.price") != F.col("price")) & F.expr("observed_at >= timestamp_ntz'2001-06-01'")
+    rows = v.obs.withColumn("before", before).withColumn("moved", F.max(F.when(moves, 1)).over(own)).withColumn("last_day", F.max("business_date").over(own))
+    rows = v.flat(history.latest_per_offer(rows.drop("before")), priced=True)
     many = lambda c: F.count(F.when(c, 1))
     return rows.groupBy("source_key").agg(
         F.count("*").alias("total"),
