@@ -20,7 +20,7 @@ SHOWN_SQL = f"""(SELECT * FROM (SELECT l.offer_id, l.product_id // 10 AS product
   FROM {FLAT} AS l JOIN {RANGES} AS r ON r.offer_id = l.offer_id {RULED} WHERE l.source_key = 'ASIA') AS g)"""
 ONE = "CASE WHEN count(DISTINCT coalesce({0}, '\x01')) = 1 THEN min({0}) END AS {0}"
 GRID_SQL = f"""
-SELECT f.*, dense_rank() OVER (ORDER BY tax NULLS FIRST) AS tax_id, (SELECT count(*) FROM {SHOWN_SQL} AS n) > 20000 AS truncated, coalesce(a.size, '') AS "Size", coalesce(a.type, '') AS "Type", coalesce(a.shelf, '') AS "Shelf"
+SELECT f.*, CAST(dense_rank() OVER (ORDER BY tax NULLS FIRST) AS INT) AS tax_id, (SELECT count(*) FROM {SHOWN_SQL} AS n) > 20000 AS truncated, coalesce(a.size, '') AS "Size", coalesce(a.type, '') AS "Type", coalesce(a.shelf, '') AS "Shelf"
 FROM (SELECT product_id, price, currency, region, min(offer_id) AS offer_id, string_agg(CAST(offer_id AS VARCHAR), ',' ORDER BY offer_id) AS offer_ids, count(*) AS variants,
   min(price_min) AS price_min, max(price_max) AS price_max, string_agg(DISTINCT variant, ', ' ORDER BY variant) AS variant,
   {ONE.format('availability')}, {ONE.format('tax')}, {ONE.format('"Brand"')}
@@ -186,12 +186,12 @@ def _(v):
     # Feeders are declared for one variant or all, and one region or all, and each goes stale by its own days.
     feeds = v.facts.groupBy("product_id", "source_id").agg(F.max("business_date").alias("last_seen"))
     feeds = feeds.select(
-        "product_id", "source_id", "last_seen", F.expr("source_id div 2").alias("priority"),
+        "product_id", "source_id", "last_seen", F.expr("cast(source_id div 2 as int)").alias("priority"),
         F.expr("case when product_id % 3 = source_id % 3 then product_id % 2 end").alias("variant_id"),
         F.expr("case when source_id % 2 = 0 then '*' when product_id % 2 = 0 then 'north' else 'south' end").alias("region"),
         F.expr("200 + source_id * 100").alias("freshness_days"),
     )
-    every = F.explode(F.expr("transform(sequence(0, 3), k -> named_struct('variant_id', k div 2, 'region', if(k % 2 = 0, 'north', 'south')))"))
+    every = F.explode(F.expr("transform(sequence(0, 3), k -> named_struct('variant_id', cast(k div 2 as int), 'region', if(k % 2 = 0, 'north', 'south')))"))
     fields = v.part.select(F.col("p_partkey").alias("product_id"), every.alias("f")).select("product_id", "f.*")
     return directory.assignments(feeds, fields, F.col("freshness_days"), "1998-06-01").select("product_id", "of_variant", "of_region", "source_id", "priority")
 
