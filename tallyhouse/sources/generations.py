@@ -16,6 +16,8 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyhouse.sources.payloads import delete_folder
+
 LOG = "generation long, run_ref string, tables map<string,array<string>>"
 
 
@@ -25,7 +27,7 @@ class Refused(RuntimeError):
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str]):
-        self.spark, self.root, self.schemas = spark, root.rstrip("/"), schemas
+        self.spark, self.root, self.schemas, self.beside = spark, root.rstrip("/"), schemas, []
 
     def log(self) -> DataFrame:
         """All generations so far: a row for each commit."""
@@ -42,9 +44,10 @@ class Store:
         return (rows[0]["generation"], dict(rows[0]["tables"])) if rows else (0, {})
 
     def staged(self, rows: DataFrame) -> DataFrame:
-        """``rows`` as written beside the tables and read back: what a commit uses several times is computed once, and survives any executor."""
+        """``rows`` as written beside the tables and read back: what a commit uses several times is computed once, and survives any executor. The commit removes it."""
         folder = f"{self.root}/staged/{uuid.uuid4().hex}"
         rows.write.parquet(folder)
+        self.beside.append(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
     def generation_of(self, run_ref: str) -> int | None:
@@ -86,6 +89,8 @@ class Store:
             raise Refused("; ".join(problems))
         row = self.spark.createDataFrame([(number + 1, run_ref, tables)], LOG)
         row.coalesce(1).write.mode("append").json(f"{self.root}/log")
+        while self.beside:
+            delete_folder(self.spark, self.beside.pop())
         return number + 1
 
 

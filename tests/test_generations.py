@@ -1,6 +1,7 @@
 """Tables that change together: killed runs, replays, planted losses, what was seen, periods over batches, trees of any depth."""
 
 import datetime
+import os
 import uuid
 
 import pytest
@@ -100,6 +101,7 @@ def test_runs_against_the_open_price(spark, folder):
     r = report[0].asDict()
     assert (r["status"], r["rows_seen"], r["new"], r["confirmed"], r["duplicates"], r["errors"], r["details"]) == ("partial", 5, 3, 1, 0, 2, 3)
     assert rows_of(ingest.details_in_force(store)) == [(1, "c", "blue"), (1, "c", "red")]
+    assert not os.path.isdir(f"{folder}/staged") or not os.listdir(f"{folder}/staged")  # a commit leaves nothing beside its tables
     # All of the first run again under another name, and a price that comes back.
     again = first.unionByName(prices(spark, (10, 4, 5, 6, "observed", None), (20, 5, 1, 7, "observed", None)))
     ingest.ingested(store, "two", again, spark.createDataFrame([(1, "c", "green")], "product_id long, code string, raw_value string"), ("at",))
