@@ -346,7 +346,8 @@ def _met(space: Space, k: int, windows: int, same: bool):
 
 def _search(asked: DataFrame, blocks: DataFrame, space: Space, parts: int, k: int, windows: int, same: bool) -> DataFrame:
     """number, window, vec_id, score, rank: the k best of each anchor and window over all blocks."""
-    b = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    # A part's blocks lie together, so that one task meets them all, whichever side of the join Spark broadcasts.
+    b = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).repartition("part")
     q = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     if same:
         meets = (F.col("label_min") <= F.col("q_label_max")) & (F.col("label_max") >= F.col("q_label_min"))
