@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tallyhouse.operators import history, ingest
 from tallyhouse.sources.generations import Store
+from tallyhouse.sources.payloads import delete_folder
 
 
 def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", per_trigger: int = 1) -> DataFrame:
@@ -61,16 +61,44 @@ def append_new(keys: list[str], target: str, by: str) -> Callable[[DataFrame, in
     return write
 
 
-def stored(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """All that is there now, through to Parquet files: a folder for each micro-batch, so a batch that is replayed replaces itself."""
+class Following(NamedTuple):
+    """A stream whose micro-batches go on from what the one before has left.
+
+    ``step`` takes the rows held and a batch, and gives rows of ``schema`` with ``kind``: ``change`` is what the batch gives,
+    ``open`` is what is held from then on.
+    """
+
+    stream: DataFrame
+    step: Callable[[DataFrame, DataFrame], DataFrame]
+    schema: str
+
+
+def stored(stream: DataFrame | Following, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now, through to Parquet files: a folder for each micro-batch, so a batch that is replayed replaces itself.
+
+    What a ``Following`` stream holds is written with each batch, in the same step, and the batch before is where the next one
+    reads it: a batch replayed finds what it found at first. Only the last two are kept.
+    """
+    following = isinstance(stream, Following)
+    source = stream.stream if following else stream
+    fields = T.StructType.fromDDL(stream.schema).fields if following else source.schema.fields
+    kinds = [T.StructField("kind", T.StringType())] if following else []
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        if following:
+            held = T.StructType([*fields, *kinds])
+            read = batch.sparkSession.read.schema(held)
+            held = read.parquet(f"{folder}/out/batch={number - 1}") if number else batch.sparkSession.createDataFrame([], held)
+            stream.step(held.where("kind = 'open'").drop("kind"), batch).write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/out/batch={number}")
+            if number > 1:
+                delete_folder(batch.sparkSession, f"{folder}/out/batch={number - 2}/kind=open")
+        else:
+            batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    started = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    started = source.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state")
     started.trigger(availableNow=True).start().awaitTermination()
-    kind = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    return stream.sparkSession.read.schema(kind).parquet(f"{folder}/out")
+    out = source.sparkSession.read.schema(T.StructType([*fields, T.StructField("batch", T.LongType()), *kinds])).parquet(f"{folder}/out")
+    return out.where("kind = 'change'").drop("kind") if following else out
 
 
 def newest(updates: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,37 +156,32 @@ def periods_into(store: Store, name: str) -> Callable[[DataFrame, int], None]:
 
 
 CHANGE = "offer_id long, observed_at timestamp, price double, currency string, reason string"
-OPEN = "observed_at timestamp, price double, currency string"
 
 
-def price_changes(stream: DataFrame) -> DataFrame:
-    """An event whenever an offer's price or currency differs from its open one. Rows older than the open one are reported late and change nothing.
+def changes_after(held: DataFrame, batch: DataFrame) -> DataFrame:
+    """The price events of a batch (``kind`` change) and the open price of every offer after it (``kind`` open).
 
-    The state is one row for each offer, its open price, and stays: without it a later price couldn't be told from a change.
-    A batch's rows of one offer are sorted together, so files should be cut by time.
+    Held and new rows are sorted together by offer, and the held one goes before new ones of its time: whatever comes before it
+    is late. One shuffle and one sort serve all of it, and an offer with very many rows spills to disk.
     """
+    columns = ["offer_id", "observed_at", "price", "currency"]
+    rows = batch.select(*columns, F.lit(False).alias("held")).unionByName(held.select(*columns, F.lit(True).alias("held")))
+    own = Window.partitionBy("offer_id").orderBy("observed_at", F.col("held").desc(), "price", "currency")
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = lambda c: F.lag(c).over(own)
+    late = F.max("held").over(whole) & ~F.max("held").over(so_far)
+    differs = lambda c: ~F.col(c).eqNullSafe(before(c))
+    reason = F.when(late, "late").when(before("held").isNull(), "first_seen").when(differs("currency"), "currency_change").when(differs("price"), "price_change")
+    marked = rows.select(*columns, F.when(~F.col("held"), reason).alias("reason"), F.lead("held").over(own).isNull().alias("last"))
+    kinds = F.array_compact(F.array(F.when(F.col("reason").isNotNull(), "change"), F.when(F.col("last"), "open")))
+    return marked.select(*columns, "reason", F.explode(kinds).alias("kind"))
+
+
+def price_changes(stream: DataFrame) -> Following:
+    """An event whenever an offer's price or currency differs from its open one. Rows older than the open one are reported late and change nothing.
 
-    def step(key, frames, state: GroupState):
-        out = []
-        held = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["observed_at", "price"], kind="stable")
-        for at, price, currency in zip(rows["observed_at"], rows["price"], rows["currency"]):
-            if held is not None and at < held[0]:
-                out.append((key[0], at, price, currency, "late"))
-                continue
-            reason = None
-            if held is None:
-                reason = "first_seen"
-            elif currency != held[2]:
-                reason = "currency_change"
-            elif price != held[1]:
-                reason = "price_change"
-            if reason:
-                out.append((key[0], at, price, currency, reason))
-            held = (at, price, currency)
-        if held is not None:
-            at = held[0].to_pydatetime() if hasattr(held[0], "to_pydatetime") else held[0]
-            state.update((at, float(held[1]), held[2]))
-        yield pd.DataFrame(out, columns=["offer_id", "observed_at", "price", "currency", "reason"])
-
-    return stream.groupBy("offer_id").applyInPandasWithState(step, CHANGE, OPEN, "append", GroupStateTimeout.NoTimeout)
+    What is held is one row for each offer, its open price, and stays: without it a later price couldn't be told from a change.
+    A batch's rows of one offer are sorted together, so files should be cut by time. Through ``stored``.
+    """
+    return Following(stream, changes_after, CHANGE)

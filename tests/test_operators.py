@@ -187,3 +187,27 @@ def test_changes_carry_over_between_runs_and_late_rows_are_told(spark, tmp_path)
         out = jobs.stored(jobs.price_changes(jobs.file_stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "work"))
     got = [(r["observed_at"].day, r["reason"]) for r in out.orderBy("batch", "observed_at").collect()]
     assert got == [(1, "first_seen"), (3, "price_change"), (4, "price_change"), (2, "late"), (9, "currency_change")]
+
+
+def test_price_changes_need_no_python_for_each_offer(spark, tmp_path):
+    from tallyhouse.streaming import jobs
+
+    at = lambda day: datetime.datetime(2024, 1, day)
+    schema = "offer_id long, observed_at timestamp, price double, currency string"
+    rows = [[(1, at(2), 1.0, "SAR"), (2, at(2), None, "SAR"), (2, at(3), None, "SAR")], [(2, at(4), 5.0, "SAR"), (1, at(1), 9.0, "SAR")], [(1, at(2), 1.0, "SAR"), (2, at(4), 5.0, None)], [(1, at(3), 2.0, "SAR")]]
+    seen, step = [], jobs.changes_after
+
+    def watched(held, batch):
+        out = step(held, batch)
+        seen.append(sorted((r["offer_id"], r["price"]) for r in held.collect()))
+        assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.file_stream(spark, str(tmp_path / "in"), schema)
+        out = jobs.stored(jobs.price_changes(stream)._replace(step=watched), str(tmp_path / "work"))
+    got = sorted((r["batch"], r["offer_id"], r["reason"]) for r in out.collect())
+    assert got == [(0, 1, "first_seen"), (0, 2, "first_seen"), (1, 1, "late"), (1, 2, "price_change"), (2, 2, "currency_change"), (3, 1, "price_change")]
+    assert seen == [[], [(1, 1.0), (2, None)], [(1, 1.0), (2, 5.0)], [(1, 1.0), (2, 5.0)]]
+    assert sorted(p.parent.name for p in (tmp_path / "work" / "out").glob("batch=*/kind=open")) == ["batch=2", "batch=3"]
