@@ -153,16 +153,20 @@ def columns_of(labels: DataFrame, most: int = MOST_COLUMNS) -> list[str]:
     return found
 
 
-def grid(rows: DataFrame, attributes: DataFrame, order: tuple[str, ...], fold: bool, most: int, axes: list[str] = [], joined: tuple[str, ...] = ()) -> DataFrame:  # noqa: B006
+def grid(rows: DataFrame, attributes: DataFrame, order: tuple[str, ...], fold: bool, most: int, axes: list[str] = [], joined: tuple[str, ...] = (), whole: bool = False) -> DataFrame:  # noqa: B006
     """One source's grid: capped rows, folded if asked for, with a column for each axis of its variants and each attribute its site filters by.
 
     ``rows`` has offer_id, product_id, price, currency, region, ``sort`` (the order in which the cap cuts), price_min, price_max,
     tax and whatever else is shown; ``axes`` names columns that stand for a variant's axes, which come before the attributes.
-    ``truncated`` says whether the cap cut rows off, before any fold. A fold puts variants of one product, price, currency and
+    ``truncated`` says whether the cap cut rows off, before any fold; ``whole`` keeps them all, and it only says whether there are
+    more than a page of ``most`` holds. A fold puts variants of one product, price, currency and
     region on a row: ``joined`` texts are listed once each, all else is blank where they disagree. ``tax_id`` numbers the
     distinct tax states of the rows shown.
     """
-    shown = capped(rows, ["sort", "offer_id"], most).drop("sort")
+    if whole:
+        shown = rows.drop("sort").withColumn("truncated", F.lit(not rows.offset(most).isEmpty()))
+    else:
+        shown = capped(rows, ["sort", "offer_id"], most).drop("sort")
     own = shown.select("product_id").distinct()
     told = attributes.join(own, "product_id", "left_semi")
     labels = columns_of(ranked_labels(told, order))

@@ -67,6 +67,15 @@ def test_columns_follow_their_groups(spark):
     assert plain.count() == 5 and not any(r["truncated"] for r in plain.collect())
 
 
+def test_a_whole_grid_keeps_what_a_page_cuts(spark):
+    rows = spark.range(9).select(F.col("id").alias("offer_id"), F.col("id").alias("product_id"), F.lit(1.0).alias("price"), F.lit("SAR").alias("currency"), F.lit("*").alias("region"), F.col("id").alias("sort"), F.lit(1.0).alias("price_min"), F.lit(1.0).alias("price_max"), F.lit("t").alias("tax"))
+    none = spark.createDataFrame([], "product_id long, label string, attribute_group string, raw_value string, at int")
+    for fold in (False, True):
+        got = {most: export.grid(rows, none, (), fold, most, whole=True).select("offer_id", "truncated").collect() for most in (4, 8, 9)}
+        assert [(sorted(r["offer_id"] for r in x), {r["truncated"] for r in x}) for x in got.values()] == [(list(range(9)), {cut}) for cut in (True, True, False)]
+        assert export.grid(rows, none, (), fold, 4).count() == 4
+
+
 def test_schema_versions_go_on(spark):
     seen = [("d", k, f) for k, f in enumerate([["a"], ["a"], ["a", "b"], ["b"], ["c", "b", "a"], ["a"], ["b", "c", "a"], ["d"]])] + [("e", 1, ["x"])]
     got = state.schema_history(spark.createDataFrame(seen, "dataset string, at int, fields array<string>"), ["dataset"])
