@@ -56,11 +56,12 @@ def verification(before: dict[str, DataFrame], after: dict[str, DataFrame], fact
 
     The facts may lose rows, but no protected one (``missing``) and no row may come or change (``strangers``); what is protected
     is derived anew from the facts before, not from what chose the rows. Every other table has to be carried whole, by number
-    and digest.
+    and digest. Rows meet by 128 bits of hash, so whole ones aren't shuffled.
     """
     columns = sorted(before[facts].columns)
-    signed = before[facts].select(*columns, F.lit(-1).alias("_n")).unionByName(after[facts].select(*columns, F.lit(1).alias("_n")))
-    more = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n > 0")  # equal rows cancel out
+    whole = F.struct(*columns, *[F.isnull(c) for c in columns])  # a hash passes over nulls
+    signed = [rows[facts].select(*[F.xxhash64(F.lit(seed), whole).alias(f"_{seed}") for seed in "ab"], F.lit(n).alias("_n")) for rows, n in ((before, -1), (after, 1))]
+    more = signed[0].unionByName(signed[1]).groupBy("_a", "_b").agg(F.sum("_n").alias("_n")).where("_n > 0")  # equal rows cancel out
     strangers = more.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("strangers"))
     missing = missing_from(before[facts], after[facts], keys).agg(F.count("*").alias("missing"))
     rows = compare(before, after)
@@ -80,12 +81,14 @@ def compacted(store: Store, run_ref: str, facts: str, keys: list[str], policies:
     done = store.generation_of(run_ref)
     number = store.current()[0] if done is None else done - 1
     old = {name: store.read(name, number) for name in store.schemas}
-    if done is None:
-        kept = retained(old[facts], policies, default, before)
+    if done is not None:
+        return verification(old, {name: store.read(name, number + 1) for name in store.schemas}, facts, keys)
+    kept, told = retained(old[facts], policies, default, before), []
 
-        def check(read) -> list[str]:
-            rows = verification({facts: old[facts]}, {facts: read(facts)}, facts, keys).where("verdict <> 'kept'")
-            return [f"{r['entity']}: {r['verdict']}" for r in rows.collect()]  # a row for each table
+    def check(read) -> list[str]:
+        rows = verification(old, {name: read(name) for name in store.schemas}, facts, keys)
+        told.append((rows.collect(), rows.schema))  # a row for each table
+        return [f"{r['entity']}: {r['verdict']}" for r in told[0][0] if r["verdict"] != "kept"]
 
-        store.commit(run_ref, replaced={facts: kept}, check=check)
-    return verification(old, {name: store.read(name, number + 1) for name in store.schemas}, facts, keys)
+    store.commit(run_ref, replaced={facts: kept}, check=check)
+    return store.spark.createDataFrame(*told[0])

@@ -70,6 +70,27 @@ def test_retention_verifies_what_it_puts_in_force(spark, folder):
     assert verdict({"obs": obs})["site"] == "not carried whole"
 
 
+def test_a_generation_is_verified_once_and_by_short_rows(spark, folder, monkeypatch):
+    store = Store(spark, folder, {"obs": OBS})
+    obs = observations(spark).withColumn("currency", F.when(F.col("ord1") % 2 == 0, F.col("currency")))
+    store.commit("load", replaced={"obs": obs})
+    verification, plans = retention.verification, []
+
+    def watched(*args):
+        out = verification(*args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(retention, "verification", watched)
+    keys = ["offer_id", "business_date", "ord1"]
+    first = rows_of(retention.compacted(store, "keep", "obs", keys, {}, "weekly", "1998-01-01"))
+    assert len(plans) == 1 and not any("currency" in line.partition("[")[2].partition("]")[0] for line in plans[0].splitlines() if "Aggregate [" in line)
+    assert first == rows_of(retention.compacted(store, "keep", "obs", keys, {}, "weekly", "1998-01-01"))
+    # A null that changes its place is a strange row.
+    moved = obs.where("ord1 <> 17").unionByName(obs.where("ord1 = 17").withColumns({"ord2": F.lit(None).cast("long"), "tax_included": F.lit(None).cast("int")}))
+    assert {r["strangers"] for r in verification({"obs": obs}, {"obs": moved}, "obs", keys).collect()} == {1}
+
+
 def test_a_planted_loss_is_refused(spark, folder, monkeypatch):
     store = Store(spark, folder, {"obs": OBS})
     store.commit("load", replaced={"obs": observations(spark)})
