@@ -168,16 +168,21 @@ def sequenced(batch: DataFrame, open_prices: DataFrame, seen: DataFrame, order:
     duplicate: the same offer, day and content is among ``seen`` or came before in the batch; confirmed: observed at the price
     that is open then; new: any other. Duplicates and reported rows open nothing. ``open_key`` is the price open after the row.
     """
-    known = seen.select(*SEEN_KEY, F.lit(True).alias("_known")).distinct()
-    rows = batch.join(known, list(SEEN_KEY), "left").join(open_prices.select("offer_id", F.col("price_key").alias("_open")), "offer_id", "left")
-    again = F.row_number().over(Window.partitionBy(*SEEN_KEY).orderBy(*order)) > 1
-    rows = rows.withColumn("_again", F.coalesce("_known", F.lit(False)) | again)
-    moves = F.when((F.col("provenance") == "observed") & ~F.col("_again"), F.col("price_key"))
-    own = Window.partitionBy("offer_id").orderBy(*order)
-    before = F.coalesce(F.last(moves, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_open"))
-    after = F.coalesce(F.last(moves, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    # What is open and what was seen stand before the batch's rows: one shuffle by offer, as every key holds it, serves both.
+    rows = batch.withColumn("_new", F.lit(True))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    as_rows = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(False if c == "_new" else None).cast(kinds[c]).alias(c) for c in rows.columns])
+    rows = rows.unionByName(as_rows(seen.select(*SEEN_KEY))).unionByName(as_rows(open_prices.select("offer_id", "price_key").where("price_key is not null")))
+    rows = rows.repartition("offer_id")
+    opens = ~F.col("_new") & F.col("price_key").isNotNull()  # says nothing of what was seen
+    again = F.row_number().over(Window.partitionBy(*SEEN_KEY, opens).orderBy("_new", *order)) > 1
+    rows = rows.withColumn("_again", F.col("_new") & again)
+    moves = F.when(~F.col("_new") | ((F.col("provenance") == "observed") & ~F.col("_again")), F.col("price_key"))
+    own = Window.partitionBy("offer_id").orderBy("_new", *order)
+    before = F.last(moves, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(moves, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
     outcome = F.when(F.col("_again"), "duplicate").when((F.col("provenance") == "observed") & (before == F.col("price_key")), "confirmed").otherwise("new")
-    return rows.withColumn("outcome", outcome).withColumn("open_key", after).drop("_known", "_again", "_open")
+    return rows.withColumn("outcome", outcome).withColumn("open_key", after).where("_new").drop("_new", "_again")
 
 
 def newest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -203,14 +208,16 @@ def ingested(store: Store, run_ref: str, prices: DataFrame, details: DataFrame |
     if (done := store.generation_of(run_ref)) is not None:
         return done
     number = store.current()[0] + 1
-    rows = store.staged(prices.withColumn("bucket", seen_bucket()))
-    good = rows.where("error is null").drop("error")
-    marked = store.staged(maybe_seen(good, store.read("seen_filter")))
+    rows = store.staged(maybe_seen(prices.withColumn("bucket", seen_bucket()), store.read("seen_filter")))
+    marked = rows.where("error is null").drop("error")
+    good = marked.drop("maybe")
     buckets = [r[0] for r in marked.where("maybe").select("bucket").distinct().collect()]  # SEEN_BUCKETS at most
-    seen = store.read("seen").where(F.col("bucket").isin(buckets)).join(marked.where("maybe").select(*SEEN_KEY).distinct(), list(SEEN_KEY), "left_semi")
+    # Of what was seen, only offers of the batch: their rows meet by the whole key where they are sequenced.
+    asked = marked.where("maybe").select("offer_id").distinct()
+    seen = store.read("seen").where(F.col("bucket").isin(buckets)).join(asked, "offer_id", "left_semi")
     offers = good.select("offer_id").distinct()
     open_ = newest(store.read("open_price").join(offers, "offer_id", "left_semi"), ["offer_id"], "price_key")
-    told = store.staged(sequenced(marked.drop("maybe"), open_, seen, list(order)))
+    told = store.staged(sequenced(good, open_, seen, list(order)))
     stamp = F.lit(number).cast("long").alias("generation")
     at = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
     fresh = told.where("outcome = 'new'").select(*SEEN_KEY[:1], "product_id", *SEEN_KEY[1:], "price_key", "provenance", at.alias("at"), F.lit(run_ref).alias("run_ref"), stamp)

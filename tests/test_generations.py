@@ -135,6 +135,18 @@ def test_runs_against_the_open_price(spark, folder):
     assert store.read("run").where("run_ref = 'none'").first()["status"] == "failed"
 
 
+def test_a_batch_is_sequenced_in_one_shuffle(spark):
+    batch = prices(spark, (1, 1, 5, 1, "observed", None), (1, 2, 6, 2, "observed", None), (1, 2, 6, 3, "observed", None), (2, 1, 7, 4, "observed", None), (3, 1, 8, 5, "reported", None), (3, 2, 9, 6, "observed", None))
+    blank = F.col("offer_id") == 2  # a key of nulls isn't the open price's row
+    batch = batch.withColumns({"business_date": F.when(~blank, F.col("business_date")), "record_hash": F.when(~blank, F.col("record_hash"))})
+    seen = batch.where("at = 1")
+    open_ = spark.createDataFrame([(1, "6"), (2, "7"), (3, "9")], "offer_id long, price_key string")
+    out = ingest.sequenced(batch, open_, seen, ["at"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert [(r["at"], r["outcome"], r["open_key"]) for r in out.orderBy("at").collect()] == [(1, "duplicate", "6"), (2, "confirmed", "6"), (3, "duplicate", "6"), (4, "confirmed", "7"), (5, "new", "9"), (6, "confirmed", "9")]
+
+
 def test_filters_never_deny_what_was_seen(spark):
     keys = spark.range(4000).select(F.col("id").alias("offer_id"), F.lit("2024-01-01").cast("date").alias("business_date"), F.col("id").cast("string").alias("record_hash"))
     keys = keys.withColumn("bucket", ingest.seen_bucket())
