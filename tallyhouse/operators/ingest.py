@@ -217,11 +217,12 @@ def ingested(store: Store, run_ref: str, prices: DataFrame, details: DataFrame |
     seen = store.read("seen").where(F.col("bucket").isin(buckets)).join(asked, "offer_id", "left_semi")
     offers = good.select("offer_id").distinct()
     open_ = newest(store.read("open_price").join(offers, "offer_id", "left_semi"), ["offer_id"], "price_key")
-    told = store.staged(sequenced(good, open_, seen, list(order)))
+    # Duplicates leave nothing but their number, which is that of all others less.
+    told = store.staged(sequenced(good.drop("bucket"), open_, seen, list(order)).where("outcome <> 'duplicate'").withColumn("bucket", seen_bucket()))
     stamp = F.lit(number).cast("long").alias("generation")
     at = F.concat_ws("|", *[F.col(c).cast("string") for c in order])
     fresh = told.where("outcome = 'new'").select(*SEEN_KEY[:1], "product_id", *SEEN_KEY[1:], "price_key", "provenance", at.alias("at"), F.lit(run_ref).alias("run_ref"), stamp)
-    passed = told.where("outcome <> 'duplicate'").select(*SEEN_KEY, "bucket")
+    passed = told.select(*SEEN_KEY, "bucket")
     opened = told.where("open_key is not null").groupBy("offer_id").agg(F.max_by("open_key", F.struct(*order)).alias("price_key")).select("*", stamp)
     products = good.select("product_id").distinct().join(store.read("product"), "product_id", "left_anti").select("*", stamp)
     appended = {"observation": fresh, "open_price": opened, "product": products, "seen": passed, "seen_filter": filter_of(passed)}
@@ -235,10 +236,10 @@ def ingested(store: Store, run_ref: str, prices: DataFrame, details: DataFrame |
         n = stated.agg(F.count("_known"), F.count("*") - F.count("_known")).first()
         attached, strangers = F.lit(n[0]), F.lit(n[1])
     count = lambda what: F.count(F.when(F.col("outcome") == what, 1))
-    totals = told.agg(count("new").alias("new"), count("confirmed").alias("confirmed"), count("duplicate").alias("duplicates"))
-    errors = rows.agg(F.count("*").alias("rows_seen"), (F.count("error") + strangers).alias("errors"))
-    stored = F.col("new") + F.col("confirmed") + F.col("duplicates")
+    totals = told.agg(count("new").alias("new"), count("confirmed").alias("confirmed"))
+    errors = rows.agg(F.count("*").alias("rows_seen"), F.count("error").alias("_bad"), (F.count("error") + strangers).alias("errors"))
+    stored = F.col("rows_seen") - F.col("_bad")
     status = F.when((F.col("errors") > 0) & (stored == 0), "failed").when(F.col("errors") > 0, "partial").otherwise("success")
-    report = totals.join(errors)  # one row each
+    report = totals.join(errors).withColumn("duplicates", stored - F.col("new") - F.col("confirmed"))  # one row each
     appended["run"] = report.select(F.lit(run_ref).alias("run_ref"), status.alias("status"), "rows_seen", "new", "confirmed", "duplicates", "errors", attached.alias("details"), stamp)
     return store.commit(run_ref, appended, by={"seen": "bucket"})

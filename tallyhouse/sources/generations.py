@@ -46,7 +46,7 @@ class Store:
     def staged(self, rows: DataFrame) -> DataFrame:
         """``rows`` as written beside the tables and read back: what a commit uses several times is computed once, and survives any executor. The commit removes it."""
         folder = f"{self.root}/staged/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
+        rows.write.parquet(folder, compression="zstd")
         self.beside.append(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
 
@@ -83,7 +83,7 @@ class Store:
             writer = rows.write
             if by and name in by:
                 writer = writer.partitionBy(by[name])
-            writer.parquet(f"{self.root}/data/{name}/{commit}")
+            writer.parquet(f"{self.root}/data/{name}/{commit}", compression="zstd")
             tables[name] = [*(tables.get(name, []) if keep else []), f"{self.root}/data/{name}/{commit}"]
         if check and (problems := check(lambda name: self._of(name, tables.get(name, [])))):
             raise Refused("; ".join(problems))

@@ -147,6 +147,23 @@ def test_a_batch_is_sequenced_in_one_shuffle(spark):
     assert [(r["at"], r["outcome"], r["open_key"]) for r in out.orderBy("at").collect()] == [(1, "duplicate", "6"), (2, "confirmed", "6"), (3, "duplicate", "6"), (4, "confirmed", "7"), (5, "new", "9"), (6, "confirmed", "9")]
 
 
+def test_duplicates_are_counted_and_never_staged(spark, folder):
+    store, rows = Store(spark, folder, ingest.RUN_TABLES), prices(spark, (10, 1, 5, 1, "observed", None), (20, 1, 6, 2, "observed", None), (30, 1, 6, 3, "observed", "out of scope"))
+    ingest.ingested(store, "one", rows)
+    staged, sizes = store.staged, []
+
+    def watched(df):
+        out = staged(df)
+        sizes.append(out.count())
+        return out
+
+    store.staged = watched
+    ingest.ingested(store, "two", rows.unionByName(prices(spark, (10, 2, 5, 4, "observed", None))))
+    r = store.read("run").where("run_ref = 'two'").first()
+    assert (r["status"], r["rows_seen"], r["new"], r["confirmed"], r["duplicates"], r["errors"]) == ("partial", 4, 0, 1, 2, 1)
+    assert sizes == [4, 1] and rows_of(ingest.newest(store.read("open_price"), ["offer_id"], "price_key")) == [(10, "5"), (20, "6")]
+
+
 def test_filters_never_deny_what_was_seen(spark):
     keys = spark.range(4000).select(F.col("id").alias("offer_id"), F.lit("2024-01-01").cast("date").alias("business_date"), F.col("id").cast("string").alias("record_hash"))
     keys = keys.withColumn("bucket", ingest.seen_bucket())
