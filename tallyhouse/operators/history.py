@@ -61,45 +61,52 @@ def timeline(obs: DataFrame, price: list[str] = ["price"], currency: str = "curr
 PERIOD = "offer_id long, period_no long, opened_because string, first_detected_at {at}, last_confirmed_at {at}, n_observations long, price {price}, currency string, tax_included int, last struct<observed_at:{at},ord1:long,ord2:long,ord3:long,ord4:long>"
 
 
-def periods_after(held: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The periods of the offers of a batch, with ``closed_at``, and the rows that come too late to have a place in them.
+def periods_after(held: DataFrame, batch: DataFrame) -> DataFrame:
+    """The periods of the offers of a batch, by ``kind``: ``period`` is closed, ``open_period`` is open after it, ``late`` is a row that comes too late to have a place in them.
 
-    ``held`` is the open period of each offer before. A batch's rows go on from it as ``timeline`` goes on within a table: the
-    same price, currency and tax position continue it, anything else closes it and opens the next. Rows that aren't after the
-    newest one before are late and change nothing. Windows over the offer do all of it, so an offer with very many rows spills
-    to disk instead of being held in memory.
+    ``held`` has open periods as batches before left them, the last of an offer and any older ones. A batch's rows go on from it as
+    ``timeline`` goes on within a table: the same price, currency and tax position continue it, anything else closes it and opens
+    the next. Rows that aren't after the newest one before are late and change nothing. Offers without a row on time give none.
+
+    Held periods stand in the order of their newest row, after new rows of its time: all that comes before is late, or was held
+    before. One shuffle and one sort serve the windows over them, and an offer with very many rows spills to disk.
     """
     same = ["price", "currency", "tax_included"]
-    was = F.struct(*same, "period_no", "last").alias("_held")
-    rows = batch.join(held.select("offer_id", was), "offer_id", "left")
-    late = F.coalesce(in_order() <= F.col("_held.last"), F.lit(False))
-    on_time = rows.where(~late)
-    own = Window.partitionBy("offer_id").orderBy(*ORDER)
-    before = F.coalesce(F.lag(F.struct(*same)).over(own), F.when(F.col("_held").isNotNull(), F.struct(*[F.col(f"_held.{c}").alias(c) for c in same])))
-    marked = on_time.withColumn("_before", before)
-    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_before.{c}"))
-    why = F.when(F.col("_before").isNull(), "first_seen").when(differs("currency"), "currency_change").when(differs("price"), "price_change").when(differs("tax_included"), "fields_changed")
-    marked = marked.withColumn("why", why)
-    number = F.count("why").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col("_held.period_no"), F.lit(0))
-    found = marked.withColumn("period_no", number).groupBy("offer_id", "period_no").agg(
-        F.max("why").alias("opened_because"),
-        F.min("observed_at").alias("first_detected_at"),
-        F.max("observed_at").alias("last_confirmed_at"),
-        F.count("*").alias("n_observations"),
-        *[F.first(c).alias(c) for c in same],
-        F.max(in_order()).alias("last"),
+    was = F.struct("period_no", "opened_because", "first_detected_at", "n_observations").alias("_p")
+    rows = batch.withColumn("_held", F.lit(False)).unionByName(held.select("offer_id", "last.*", *same, was, F.lit(True).alias("_held")), allowMissingColumns=True)
+    own = Window.partitionBy("offer_id").orderBy(*ORDER, "_held")
+    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.count(F.when(F.col("_held"), 1))
+    rows = rows.withColumns(
+        {
+            "_past": seen.over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > seen.over(so_far),
+            "_before": F.lag(F.struct(*same)).over(own),
+            "_after": F.lead(F.struct(*same, "observed_at")).over(own),
+            "_row": F.row_number().over(own),
+        }
     )
-    touched = held.join(on_time.select("offer_id").distinct(), "offer_id", "left_semi")
-    whole = found.unionByName(touched.select(*found.columns)).groupBy("offer_id", "period_no").agg(
-        F.max("opened_because").alias("opened_because"),
-        F.min("first_detected_at").alias("first_detected_at"),
-        F.max("last_confirmed_at").alias("last_confirmed_at"),
-        F.sum("n_observations").alias("n_observations"),
-        *[F.first(c).alias(c) for c in same],
-        F.max("last").alias("last"),
+    differs = lambda c, side: ~F.col(c).eqNullSafe(F.col(f"{side}.{c}"))
+    why = F.when(F.col("_before").isNull(), "first_seen").when(differs("currency", "_before"), "currency_change").when(differs("price", "_before"), "price_change").when(differs("tax_included", "_before"), "fields_changed")
+    rows = rows.withColumn("_why", F.when(~F.col("_held") & ~F.col("_past"), why))
+    opened = F.struct(F.col("_why").alias("opened_because"), F.col("observed_at").alias("first_detected_at"), (F.col("_row") - 1).cast("long").alias("ahead"))
+    resumed = F.struct("_p.opened_because", "_p.first_detected_at", (F.col("_row") - F.col("_p.n_observations")).alias("ahead"))
+    start = F.when(F.col("_held"), resumed).when(F.col("_why").isNotNull(), opened)
+    rows = rows.withColumns(
+        {
+            "_start": F.last(start, True).over(so_far),
+            "_no": F.count("_why").over(so_far) + F.coalesce(F.last("_p.period_no", True).over(so_far), F.lit(0)),
+        }
     )
-    closed = F.lead("first_detected_at").over(Window.partitionBy("offer_id").orderBy("period_no"))
-    return whole.withColumn("closed_at", closed), rows.where(late).select(*batch.columns)
+    ends = differs("price", "_after") | differs("currency", "_after") | differs("tax_included", "_after")
+    on_time = F.when(F.col("_after").isNull(), F.when(~F.col("_held"), "open_period")).when(ends, "period")
+    found = rows.withColumn("kind", F.when(F.col("_past"), F.when(~F.col("_held"), "late")).otherwise(on_time)).where("kind is not null")
+    late = F.col("kind") == "late"
+    return found.select(
+        *["offer_id", *same, "kind"],
+        *[F.when(late, F.col(c)).alias(c) for c in batch.columns if c not in ("offer_id", *same)],
+        F.col("_no").alias("period_no"), "_start.opened_because", "_start.first_detected_at", F.col("observed_at").alias("last_confirmed_at"), (F.col("_row") - F.col("_start.ahead")).alias("n_observations"),
+        F.col("_after.observed_at").alias("closed_at"), F.when(F.col("kind") == "open_period", in_order()).alias("last"),
+    )
 
 
 def current_state(obs: DataFrame) -> DataFrame:

@@ -141,10 +141,8 @@ def _(v):
     period = history.PERIOD.format(at=kinds["observed_at"], price=kinds["price"])
     store = Store(v.spark, f"{folder}/store", {"period": period.partition(", last struct")[0] + f", closed_at {kinds['observed_at']}", "open_period": f"{period}, generation long", "late": schema_of(rows)})
     delivery = F.when(F.col("observed_at") < "1995-01-01", 0).when(F.col("observed_at") < "1999-01-01", 1).otherwise(2)
-    rows.withColumn("delivery", delivery).write.partitionBy("delivery").parquet(f"{folder}/all")
-    every = v.spark.read.parquet(f"{folder}/all")
     for k in range(3):
-        every.where(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(f"{folder}/in")
+        rows.where(delivery == k).write.mode("append").parquet(f"{folder}/in", compression="zstd")
         jobs.drained(jobs.file_stream(v.spark, f"{folder}/in", rows.schema, per_trigger=1000), jobs.periods_into(store, "delivery"), folder)
     found = store.read("period").withColumn("price", F.col("price").cast("double"))
     return found.select("offer_id", "period_no", "opened_because", "first_detected_at", "last_confirmed_at", "n_observations", "price", "currency", "tax_included", "closed_at")

@@ -16,7 +16,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyhouse.sources.payloads import delete_folder
+from tallyhouse.sources.payloads import delete_folder, move_folder
 
 LOG = "generation long, run_ref string, tables map<string,array<string>>"
 
@@ -69,10 +69,11 @@ class Store:
         rows = self.spark.read.schema(self.schemas[name]).option("basePath", f"{self.root}/data/{name}").parquet(*folders)
         return rows.select(*self.spark.createDataFrame([], self.schemas[name]).columns)  # without the commit that is part of the path
 
-    def commit(self, run_ref: str, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, by: dict[str, str] | None = None, check=None) -> int:
+    def commit(self, run_ref: str, appended: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, by: dict[str, str] | None = None, check=None, split: DataFrame | None = None) -> int:
         """The number of the generation that ``run_ref`` made, now or before.
 
         Tables that aren't named are carried on as they are. ``by`` names a column that a table's folder is partitioned by.
+        ``split`` are rows of several tables from one computation, written once: ``kind`` names the table that each is appended to.
         ``check`` takes a reader of the new tables (a name to a DataFrame) and gives its objections; any refuses the commit.
         """
         if (done := self.generation_of(run_ref)) is not None:
@@ -85,6 +86,13 @@ class Store:
                 writer = writer.partitionBy(by[name])
             writer.parquet(f"{self.root}/data/{name}/{commit}", compression="zstd")
             tables[name] = [*(tables.get(name, []) if keep else []), f"{self.root}/data/{name}/{commit}"]
+        if split is not None:
+            folder = f"{self.root}/staged/{uuid.uuid4().hex}"
+            split.write.partitionBy("kind").parquet(folder, compression="zstd")
+            for name in self.schemas:
+                if move_folder(self.spark, f"{folder}/kind={name}", f"{self.root}/data/{name}/{commit}"):
+                    tables[name] = [*tables.get(name, []), f"{self.root}/data/{name}/{commit}"]
+            self.beside.append(folder)
         if check and (problems := check(lambda name: self._of(name, tables.get(name, [])))):
             raise Refused("; ".join(problems))
         row = self.spark.createDataFrame([(number + 1, run_ref, tables)], LOG)

@@ -112,6 +112,19 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def move_folder(spark: SparkSession, folder: str, to: str) -> bool:
+    """Gives a folder another place on its file system; false if it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at, to = path(folder), path(to)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return False
+    files.mkdirs(to.getParent())
+    if not files.rename(at, to):
+        raise OSError(f"{folder} can't be moved")
+    return True
+
+
 def roots(files: DataFrame, levels: int) -> DataFrame:
     """part, files, bytes, sha256: a digest for each folder ``levels`` deep, over its files' names and digests in order. Of the root alone (0 levels) it is the digest of the whole export."""
     part = F.array_join(F.slice(F.split("file", "/"), 1, levels), "/") if levels else F.lit("")

@@ -142,15 +142,8 @@ def periods_into(store: Store, name: str) -> Callable[[DataFrame, int], None]:
         run = f"{name}-{number}"
         if store.generation_of(run) is not None:
             return
-        rows = store.staged(batch)
-        held = store.read("open_period").join(rows.select("offer_id").distinct(), "offer_id", "left_semi")
-        rest = [c for c in held.columns if c not in ("offer_id", "generation")]
-        held = held.groupBy("offer_id").agg(F.max_by(F.struct(*rest), "generation").alias("p")).select("offer_id", "p.*")
-        found, late = history.periods_after(store.staged(held), rows)
-        found = store.staged(found)
-        stamp = F.lit(store.current()[0] + 1).cast("long").alias("generation")
-        open_ = found.where("closed_at is null").drop("closed_at").select("*", stamp)
-        store.commit(run, {"period": found.where("closed_at is not null").drop("last"), "open_period": open_, "late": late})
+        found = history.periods_after(store.read("open_period"), batch)
+        store.commit(run, split=found.withColumn("generation", F.lit(store.current()[0] + 1).cast("long")))
 
     return write
 

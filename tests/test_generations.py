@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import history, ingest, retention
+from tallyhouse.plans.generations import schema_of
 from tallyhouse.sources.generations import Refused, Store, compare
 from tallyhouse.streaming import jobs
 
@@ -211,3 +212,28 @@ def test_ancestors_of_any_depth(spark):
     assert {r["node"] for r in lost.collect()} == {n for n, _ in ring}
     none, lost = ingest.ancestors(nodes.limit(0), jobs.table_writer(spark, "test_ancestors"))
     assert none.count() == lost.count() == 0
+
+
+def test_periods_follow_from_one_shuffle_and_are_written_once(spark, folder):
+    day = lambda d, k: (datetime.datetime(1997, 1, d), k)
+    of = lambda *rows: spark.createDataFrame([(o, at, k, 0, 0, 0, price, "SAR", 1) for o, (at, k), price in rows], "offer_id long, observed_at timestamp_ntz, ord1 long, ord2 long, ord3 long, ord4 long, price double, currency string, tax_included int")
+    batches = [
+        of((1, day(2, 1), 5.0), (1, day(3, 2), 5.0), (2, day(2, 3), None), (3, day(9, 4), 1.0)),
+        of((1, day(3, 2), 6.0), (1, day(4, 5), 5.0), (2, day(3, 6), None), (3, day(8, 7), 2.0)),  # a row of the newest one's time is late, and offer 3 has only a late one
+        of((1, day(3, 3), 7.0), (1, day(5, 8), 6.0), (2, day(4, 9), 4.0), (3, day(10, 10), 1.0)),
+    ]
+    period = history.PERIOD.format(at="timestamp_ntz", price="double")
+    store = Store(spark, folder, {"period": period.partition(", last struct")[0] + ", closed_at timestamp_ntz", "open_period": f"{period}, generation long", "late": schema_of(batches[0])})
+    store.staged = None  # nothing is written beside the tables
+    for k, batch in enumerate(batches):
+        found = history.periods_after(store.read("open_period"), batch)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        jobs.periods_into(store, "b")(batch, k)
+    at = lambda d: datetime.datetime(1997, 1, d)
+    closed = store.read("period").select("offer_id", "period_no", "opened_because", "first_detected_at", "last_confirmed_at", "n_observations", "price", "closed_at")
+    assert rows_of(closed) == [(1, 1, "first_seen", at(2), at(4), 3, 5.0, at(5)), (2, 1, "first_seen", at(2), at(3), 2, None, at(4))]
+    open_ = store.read("open_period").where("generation = 3").select("offer_id", "period_no", "opened_because", "first_detected_at", "n_observations", "price")
+    assert rows_of(open_) == [(1, 2, "price_change", at(5), 1, 6.0), (2, 2, "price_change", at(4), 1, 4.0), (3, 1, "first_seen", at(9), 2, 1.0)]
+    assert rows_of(store.read("open_period").where("generation = 2").select("offer_id")) == [(1,), (2,)]
+    assert rows_of(store.read("late").select("offer_id", "observed_at", "ord1", "price")) == [(1, at(3), 2, 6.0), (1, at(3), 3, 7.0), (3, at(8), 7, 2.0)]
+    assert sorted(os.listdir(f"{folder}/staged")) == []
