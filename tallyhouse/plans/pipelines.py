@@ -18,13 +18,16 @@ BAD = ", ".join(map(str, BAD_RUNS))
 REASONS = " ".join(f"WHEN {k} THEN '{why}'" for k, why in BAD_RUNS.items())
 
 
-def batches(v, unreadable: int | None = None):
+def batches(v, unreadable: int | None = None, in_order: bool = False):
     """Line items as batches of a source: a header and rows of strings. There are as many batches as the orders ask for, each of a few hundred rows.
 
-    Quantities equal to ``unreadable`` are written as words.
+    Quantities equal to ``unreadable`` are written as words. ``in_order`` keeps runs of near numbers together, as they come from a source.
     """
     cells = F.array(*[F.when(F.col("l_quantity") == unreadable, "n/a").otherwise(F.col(c).cast("string")) if c == "l_quantity" and unreadable else F.col(c).cast("string") for c in LINE])
-    out = v.lineitem.groupBy(F.expr("l_orderkey div 100").alias("run")).agg(F.collect_list(cells).alias("rows"))
+    lines = v.lineitem.withColumn("run", F.expr("l_orderkey div 100"))
+    if in_order:
+        lines = lines.select("run", *LINE).repartitionByRange("run")
+    out = lines.groupBy("run").agg(F.collect_list(cells).alias("rows"))
     of = lambda k: F.col("run") % 40 == k
     return out.select(
         F.when(of(9), 1).otherwise(3).alias("payload_version"),

@@ -52,9 +52,10 @@ def whole(payloads: DataFrame) -> DataFrame:
 
 
 def named_rows(payloads: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each row of each batch, its cells by name; columns a batch doesn't have are empty."""
-    cells = payloads.select("source_key", "run_ref", "scraped_at", "header", F.posexplode("rows").alias("row_no", "cells")).withColumn("_m", F.map_from_arrays("header", "cells"))
-    return cells.select("source_key", "run_ref", "scraped_at", "row_no", *[F.coalesce(F.try_element_at("_m", F.lit(c)), F.lit("")).alias(c) for c in columns])
+    """A row for each row of each batch, its cells by name; columns a batch doesn't have are empty. Where a column stands is found once for each batch."""
+    at = payloads.select("source_key", "run_ref", "scraped_at", "rows", *[(F.array_position("header", F.lit(c)) - 1).cast("int").alias(f"_at_{k}") for k, c in enumerate(columns)])
+    cells = at.select("*", F.posexplode("rows").alias("row_no", "cells"))
+    return cells.select("source_key", "run_ref", "scraped_at", "row_no", *[F.coalesce(F.get("cells", F.col(f"_at_{k}")), F.lit("")).alias(c) for k, c in enumerate(columns)])
 
 
 CATALOGUE = "struct<products:array<struct<id:bigint,title:string,vendor:string,attributes:map<string,string>,images:array<string>,variants:array<struct<id:bigint,sku:string,price:string,compare_at_price:string,available:boolean>>>>>"

@@ -43,20 +43,29 @@ def append_new(keys: list[str], target: str, by: str) -> Callable[[DataFrame, in
     """A sink that appends rows whose keys the table at ``target`` doesn't hold; replaying a batch adds nothing.
 
     The table is partitioned by ``by``, one of the keys or a column that they decide, and only the partitions that the batch
-    touches are read, so the cost of a batch doesn't grow with the table.
+    touches are read, so the cost of a batch doesn't grow with the table as long as what is sent together lies in few of them.
+    A batch is computed once, and one shuffle finds its repeats and what is held.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        touched = [r[0] for r in batch.select(by).distinct().collect()]  # the partitions of the files of one batch
+        batch = batch.persist()
         try:
-            held = batch.sparkSession.read.schema(batch.schema).parquet(target)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":  # before the first batch there is no table
-                raise
-        else:
-            rows = rows.join(held.where(F.col(by).isin(touched)).select(*keys), keys, "left_anti")
-        rows.write.mode("append").partitionBy(by).parquet(target)
+            rows = batch.withColumn("_held", F.lit(False))
+            touched = [r[0] for r in batch.select(by).distinct().collect()]  # the partitions of the files of one batch
+            try:
+                held = batch.sparkSession.read.schema(batch.schema).parquet(target)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":  # before the first batch there is no table
+                    raise
+            else:
+                there = F.col(by).isin([x for x in touched if x is not None])
+                held = held.where(there | F.col(by).isNull() if None in touched else there)
+                rows = rows.unionByName(held.withColumn("_held", F.lit(True)))
+            rest = [F.any_value(c).alias(c) for c in batch.columns if c not in keys]
+            fresh = rows.groupBy(*keys).agg(F.max("_held").alias("_held"), *rest).where("not _held")
+            fresh.select(*batch.columns).write.mode("append").partitionBy(by).parquet(target, compression="zstd")
+        finally:
+            batch.unpersist()
 
     return write
 

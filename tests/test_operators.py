@@ -211,3 +211,43 @@ def test_price_changes_need_no_python_for_each_offer(spark, tmp_path):
     assert got == [(0, 1, "first_seen"), (0, 2, "first_seen"), (1, 1, "late"), (1, 2, "price_change"), (2, 2, "currency_change"), (3, 1, "price_change")]
     assert seen == [[], [(1, 1.0), (2, None)], [(1, 1.0), (2, 5.0)], [(1, 1.0), (2, 5.0)]]
     assert sorted(p.parent.name for p in (tmp_path / "work" / "out").glob("batch=*/kind=open")) == ["batch=2", "batch=3"]
+
+
+def test_append_new_computes_a_batch_once_and_finds_rows_without_a_key(spark, tmp_path):
+    from tallyhouse.streaming import jobs
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    sink = jobs.append_new(["k", "v"], str(tmp_path / "t"), "day")
+    for rows in ([(1, "a", 1), (1, "a", 1), (None, "b", None)], [(1, "a", 1), (None, "b", None), (2, None, 2)]):
+        schema = "k long, v string, day int"
+        sink(spark.createDataFrame(rows, schema).mapInArrow(counted, schema), 0)
+    got = spark.read.parquet(str(tmp_path / "t")).select("k", "v", "day").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a", 1), (2, None, 2), (None, "b", None)]
+    assert made.value == 6
+
+
+def test_a_streamed_batch_meets_the_facts_of_its_own_runs(spark, sf_dir, monkeypatch):
+    from tallyhouse import catalog
+    from tallyhouse.streaming import jobs
+
+    append, touched = jobs.append_new, []
+
+    def watched(keys, target, by):
+        write = append(keys, target, by)
+
+        def each(batch, number):
+            touched.append((batch.select(by).distinct().count(), batch.select("run_ref").distinct().count()))
+            write(batch, number)
+
+        return each
+
+    monkeypatch.setattr(jobs, "append_new", watched)
+    out = catalog.queries()["r1_streaming_ingest"](spark, sf_dir)
+    assert out.count() == out.distinct().count() > 0
+    assert touched and all(parts == 1 < runs for parts, runs in touched)
