@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyhouse.functions import text as x
+from tallyhouse.sources.payloads import delete_folder
 
 #: Fixed value: levels into which an exported category path is split.
 LEVELS = 10
@@ -199,13 +202,19 @@ FILE_ROWS = 100_000
 
 
 def write_bundle(tables: dict[str, DataFrame], folder: str, by: str = "source_key") -> None:
-    """An export: each table twice, as JSON lines for a reader and as CSV for a spreadsheet, a folder for each source, in files of a bounded number of rows. Tables without rows are left out, but for the first."""
+    """An export: each table twice, as JSON lines (gzipped) for a reader and as CSV for a spreadsheet, a folder for each source, in files of a bounded number of rows. Tables without rows are left out, but for the first.
+
+    A table is computed once, into a folder beside the export, and both formats are made from it.
+    """
     for k, (name, df) in enumerate(tables.items()):
-        if k and df.isEmpty():
-            continue
-        writer = df.write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", FILE_ROWS)
-        writer.json(f"{folder}/json/{name}")
-        writer.option("header", True).csv(f"{folder}/csv/{name}")
+        beside = f"{folder.rstrip('/')}_staged_{uuid.uuid4().hex}"
+        df.write.parquet(beside, compression="zstd")
+        rows = df.sparkSession.read.schema(df.schema).parquet(beside)
+        if not k or not rows.isEmpty():
+            writer = rows.write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", FILE_ROWS)
+            writer.json(f"{folder}/json/{name}", compression="gzip")
+            writer.csv(f"{folder}/csv/{name}", header=True, compression="none")
+        delete_folder(df.sparkSession, beside)
 
 
 def contents(spark: SparkSession, folder: str, tables: dict[str, str], kind: str = "json", by: str = "source_key") -> DataFrame:

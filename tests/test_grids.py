@@ -136,3 +136,28 @@ def test_marks_with_points_leave_the_amount(spark):
     rows = spark.createDataFrame([(x,) for x in ("L.E. 1,234.50", "1.234,5 ر.س", "ج.م 7", "SAR12.5LE", "€-3", "..", "12,5", "1,234", None)], "t string")
     got = [None if r["m"] is None else float(r["m"]) for r in rows.select(text.parse_money("t").alias("m")).collect()]
     assert got == [1234.5, 1234.5, 7.0, 12.5, -3.0, None, 12.5, 1234.0, None]
+
+
+def counting(spark):
+    """A number, and a function whose rows are counted in it as often as they are computed."""
+    made = spark.sparkContext.accumulator(0)
+
+    def each(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    return made, lambda df: df.mapInArrow(each, df.schema)
+
+
+def test_a_bundle_computes_its_tables_once(spark, tmp_path):
+    made, counted = counting(spark)
+    folder = str(tmp_path / "bundle")
+    rows = spark.range(60).select(F.col("id").alias("offer_id"), F.concat(F.lit("S"), F.col("id") % 3).alias("source_key"), F.lit('a "b", c').alias("text"), F.lit(None).cast("double").alias("price"))
+    export.write_bundle({"current": counted(rows), "empty": rows.limit(0), "more": counted(rows)}, folder)
+    assert made.value == 120
+    assert [p.name for p in tmp_path.iterdir()] == ["bundle"] and not os.path.exists(f"{folder}/json/empty")
+    schema = {k: "offer_id long, text string, price double, source_key string" for k in ("current", "more")}
+    json, csv = (export.contents(spark, folder, schema, kind) for kind in ("json", "csv"))
+    assert export.faults(json, csv, ["table", "source_key"]).isEmpty()
+    assert rows_of(json.select("table", "source_key", "rows")) == [(t, f"S{k}", 20) for t in ("current", "more") for k in range(3)]
