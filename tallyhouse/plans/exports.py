@@ -264,6 +264,7 @@ SELECT source_key, CASE source_key WHEN 'ASIA' THEN 'missing' WHEN 'ORIENT' THEN
 def _(v):
     # An export of all sources, and a second one in which one source has another name and the rows of one lost their Egyptian prices.
     flat = v.flat(history.latest_per_offer(v.facts)).select("source_key", "offer_id", "region", *double("price"), "currency")
+    flat = jobs.table_writer(v.spark, "faults")(flat, "flat")  # both exports are made from it
     key = F.col("source_key")
     other = flat.where((key != "EUROPE") | (F.col("currency") != "EGP")).withColumn("source_key", F.when(key == "ASIA", "ORIENT").otherwise(key))
     read, sides = {"current": f"{BUNDLE['current']}, source_key string"}, []

@@ -161,3 +161,19 @@ def test_a_bundle_computes_its_tables_once(spark, tmp_path):
     json, csv = (export.contents(spark, folder, schema, kind) for kind in ("json", "csv"))
     assert export.faults(json, csv, ["table", "source_key"]).isEmpty()
     assert rows_of(json.select("table", "source_key", "rows")) == [(t, f"S{k}", 20) for t in ("current", "more") for k in range(3)]
+
+
+def test_two_exports_are_made_from_one_computation(spark, sf_dir, monkeypatch):
+    from tallyhouse import catalog
+
+    made, counted = counting(spark)
+    latest, offers = history.latest_per_offer, []
+
+    def watched(obs):
+        offers.append(latest(obs).count())
+        return counted(latest(obs))
+
+    monkeypatch.setattr(history, "latest_per_offer", watched)
+    found = catalog.queries()["s11_export_faults"](spark, sf_dir).collect()
+    assert len(offers) == 1 and made.value == offers[0] > 0
+    assert sorted(map(tuple, found)) == [("ASIA", "missing"), ("EUROPE", "changed"), ("ORIENT", "unexpected")]
