@@ -4,10 +4,12 @@ Vectors are laid out by descending length in blocks. A query first meets the blo
 a threshold: its k-th best score so far. It then goes only to blocks whose longest vector could reach that (length of query
 times length of vector), and there only the leading coordinates, after a rotation by the vectors' singular directions, are
 multiplied for all; the rest is bounded by the lengths of what is left (Cauchy-Schwarz). Whatever could still reach the
-threshold is scored exactly in integers. Rows without a vector, or with a null or non-finite component, take no part.
+threshold is scored exactly in integers: one by one if that is little, else all of a slice in one product, as doubles hold whole
+numbers below 2^53 exactly. Rows without a vector, or with a null or non-finite component, take no part.
 
 Blocks are grouped by levels of length. A block of queries is sent only to the levels that it can reach, and there to each
-of a number of parts that follows the level's share of the blocks.
+of a number of parts that follows the level's share of the blocks. Queries and blocks meet in a sort-merge join: nothing that
+grows with the input passes through the driver, and a task holds the blocks of one part at a time, HELD at most on average.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from tallyhouse.llm.common import Scratch, table
 #: Queries and vectors in a block; leading coordinates; how many of them a task multiplies at once.
 QUERY_BLOCK, BLOCK, LEADING = 512, 2048, 16
 QUERY_GROUP, SLICE = 64, 256
+#: From this share of a slice on, one product of it all is faster than the products of pairs picked out.
+DENSE = 1 / 32
+#: Blocks of a part that a task holds while queries pass by.
+HELD = 64
 #: Levels of length for each doubling. Scores beyond a long's range count as its end.
 LEVELS, END = 2, (1 << 63) - 1
 
@@ -107,6 +113,17 @@ def _exact(q: np.ndarray, c: np.ndarray, at: np.ndarray, of: np.ndarray, scale:
     return np.fromiter((max(-END, min(END, x)) for x in scores), np.int64, len(at))
 
 
+def _merged(best: tuple, found: tuple, need: np.ndarray, k: int) -> tuple:
+    """The k best (query index, id, score) of each query, by score, then smaller id; ``need`` of those with k rises to the last one's score."""
+    at, ids, score = (np.concatenate(x) for x in zip(best, found))
+    order = np.lexsort((ids, -score, at))
+    at, ids, score = at[order], ids[order], score[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    last = place == k - 1
+    need[at[last]] = np.maximum(need[at[last]], score[last])
+    return tuple(x[place < k] for x in (at, ids, score))
+
+
 def best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: int, scale: int = 256):
     """Up to k best (query index, id, score) of a block for each query, by score, then smaller id; below ``floor`` left out.
 
@@ -122,6 +139,8 @@ def _best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: in
     c_all = block @ turn
     c_length, c_rest = np.linalg.norm(c_all, axis=1), np.linalg.norm(c_all[:, lead:], axis=1)
     longest = np.maximum.accumulate(c_length[::-1])[::-1]
+    whole = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * block.shape[1] * scale * scale < 2.0**53
+    c_whole = block * scale if whole else None
     for start in range(0, len(queries), QUERY_GROUP):
         ids, vectors = query_ids[start : start + QUERY_GROUP], queries[start : start + QUERY_GROUP]
         q = vectors @ turn
@@ -135,19 +154,19 @@ def _best_of(query_ids, queries, block_ids, block, turn, floor, k: int, lead: in
             if (length * longest[low] + slack < least).all():
                 break
             bound = q[:, :lead] @ c_all[low:high, :lead].T + np.outer(rest, c_rest[low:high])
-            at, of = np.nonzero(~(bound + slack[:, None] < least[:, None]))
-            of += low
-            keep = ids[at] != block_ids[of]
-            at, of = at[keep], of[keep]
-            score = _exact(vectors, block, at, of, scale)
-            keep = score >= need[at]
-            at, found, score = (np.concatenate([x, y]) for x, y in zip(best, (at[keep], block_ids[of[keep]], score[keep])))
-            order = np.lexsort((found, -score, at))
-            at, found, score = at[order], found[order], score[order]
-            place = np.arange(len(at)) - np.searchsorted(at, at)
-            best = tuple(x[place < k] for x in (at, found, score))
-            last = place == k - 1
-            need[at[last]] = np.maximum(need[at[last]], score[last])
+            open_ = ~(bound + slack[:, None] < least[:, None])
+            if whole and np.count_nonzero(open_) >= DENSE * open_.size:
+                scores = (vectors * scale) @ c_whole[low:high].T
+                at, of = np.nonzero(open_ & (scores >= need[:, None]))
+                score = scores[at, of].astype(np.int64)
+                keep = ids[at] != block_ids[of + low]
+            else:
+                at, of = np.nonzero(open_)
+                at, of = (x[ids[at] != block_ids[of + low]] for x in (at, of))
+                score = _exact(vectors, block, at, of + low, scale)
+                keep = score >= need[at]
+            if keep.any():
+                best = _merged(best, (at[keep], block_ids[of[keep] + low], score[keep]), need, k)
         out.append((best[0] + start, best[1], best[2]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -171,9 +190,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
     blocks = scratch.write(blocks, "blocks")
     asked = rows.where(is_query).dropDuplicates(["vec_id"]).repartitionByRange(*order).sortWithinPartitions(*order)
     queries = scratch.write(packed(asked, query_block, dim), "queries")
-    longest = blocks.orderBy(F.col("length").desc(), "block").limit(1).collect()  # one block: its size is a parameter
-    if not longest:
+    first = blocks.select("length", "block").orderBy(F.col("length").desc(), "block").first()  # two numbers from each partition, not a block
+    if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    longest = blocks.where(F.col("block") == first["block"]).limit(1).collect()  # one block: its size is a parameter
 
     def unpack(ids, vectors):
         return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
@@ -200,22 +220,35 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, query_bloc
     started = scratch.write(queries.mapInArrow(start, "ids binary, vectors binary, floors binary, need double"), "started")
 
     def score(batches):
+        """The k best that the blocks following each other hold for a block of queries; each block's finds raise the thresholds for the next."""
+        asked, ids, v, need, best = None, None, None, None, ()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[best[0]], best[1], best[2])], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, v = unpack(r["ids"], r["vectors"])
+            for row in range(batch.num_rows):
+                r = {f: batch.column(f)[row].as_buffer() for f in ("ids", "vectors", "floors", "other_ids", "other_vectors")}
+                if asked != (key := r["ids"].to_pybytes()):
+                    if asked is not None:
+                        yield out()
+                    asked, (ids, v) = key, unpack(key, r["vectors"].to_pybytes())
+                    need, best = np.frombuffer(r["floors"], np.int64).copy(), (np.zeros(0, np.int64),) * 3
                 other, w = unpack(r["other_ids"], r["other_vectors"])
-                at, found, points = best_of(ids, v, other, w, turn, np.frombuffer(r["floors"], np.int64), k_, lead_, scale)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(points)], names=["query_id", "vec_id", "score"])
+                best = _merged(best, best_of(ids, v, other, w, turn, need, k_, lead_, scale), need, k_)
+        if asked is not None:
+            yield out()
 
     # A few thousand levels at most, whatever the input: a double has no more doublings.
     dealt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    levels = [tuple(r) for r in blocks.groupBy("level").agg(F.count("*"), F.max("length")).collect()]
-    held = F.array(*[F.struct(F.lit(a).alias("level"), F.lit(min(n, dealt)).alias("parts"), F.lit(m * (1 + 1e-9)).alias("reach")) for a, n, m in levels])
-    parts_of = F.create_map(*[F.lit(x) for a, n, _ in levels for x in (a, min(n, dealt))])
+    levels = [(a, max(min(n, dealt), -(-n // HELD)), m) for a, n, m in blocks.groupBy("level").agg(F.count("*"), F.max("length")).collect()]
+    held = F.array(*[F.struct(F.lit(a).alias("level"), F.lit(n).alias("parts"), F.lit(m * (1 + 1e-9)).alias("reach")) for a, n, m in levels])
+    parts_of = F.create_map(*[F.lit(x) for a, n, _ in levels for x in (a, n)])
     other = blocks.select("level", F.pmod("block", parts_of[F.col("level")]).cast("int").alias("part"), "length", F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
     sent = started.withColumn("to", F.explode(F.filter(held, lambda x: x["reach"] >= F.col("need"))))
     sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1))).withColumn("level", F.col("to.level")).drop("to")
-    met = sent.join(other, ["level", "part"]).where(F.col("length") * (1 + 1e-9) >= F.col("need"))
+    # Spark takes ``sent`` for as large as ``started``, whose rows it repeats for each part, and would broadcast it.
+    met = sent.hint("merge").join(other, ["level", "part"]).where(F.col("length") * (1 + 1e-9) >= F.col("need"))
     found = met.select("ids", "vectors", "floors", "other_ids", "other_vectors").mapInArrow(score, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
