@@ -26,6 +26,8 @@ from tallyhouse.llm.common import Scratch, short_batches, table
 
 #: Rows of a block, anchors of a block and how many of them descend together; points of a leaf and how many are scored at once.
 BLOCK, ANCHORS, GROUP, LEAF, SCORED = 2048, 256, 64, 32, 256
+#: Blocks of a part that a task holds while anchors pass by.
+HELD = 64
 #: Rows on which the layout's centres are fitted, and centres at most; ratio of the radii of two levels; anchor blocks a task remembers.
 SAMPLE, CENTRES, RATIO, REMEMBERED = 2048, 128, 1.3, 32
 SCALE, END = 256, (1 << 63) - 1
@@ -346,23 +348,35 @@ def _met(space: Space, k: int, windows: int, same: bool):
 
 def _search(asked: DataFrame, blocks: DataFrame, space: Space, parts: int, k: int, windows: int, same: bool) -> DataFrame:
     """number, window, vec_id, score, rank: the k best of each anchor and window over all blocks."""
-    # A part's blocks lie together, so that one task meets them all, whichever side of the join Spark broadcasts.
-    b = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).repartition("part")
+    # A part's blocks lie together, and a block of anchors meets them one after another. Spark takes ``q`` for as large as
+    # ``asked``, whose rows it repeats for each part, and would broadcast it.
+    b = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     q = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     if same:
         meets = (F.col("label_min") <= F.col("q_label_max")) & (F.col("label_max") >= F.col("q_label_min"))
     else:
         one = (F.col("label_min") == F.col("label_max")) & (F.col("q_label_min") == F.col("q_label_max")) & (F.col("label_min") == F.col("q_label_min"))
         meets = ~one & ~(F.col("longest") * F.col("q_longest") * (1 + 1e-9) < F.col("q_least"))
-    pairs = q.join(b, "part").where(meets).drop("part", "label_min", "label_max", "longest", "q_label_min", "q_label_max", "q_longest", "q_least")
+    pairs = q.hint("merge").join(b, "part").where(meets).drop("part", "label_min", "label_max", "longest", "q_label_min", "q_label_max", "q_longest", "q_least")
     found = pairs.mapInArrow(_met(space, k, windows, same), "number long, window int, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("number", "window").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _layout(rows: DataFrame, space: Space) -> DataFrame:
+def _sample(rows: DataFrame, total: int) -> DataFrame:
+    """The SAMPLE rows of the smallest hashes.
+
+    Each partition sends its first SAMPLE to the driver; where hashes above about four times SAMPLE rows' are left out before,
+    those are no more than four times SAMPLE together, however many partitions there are.
+    """
+    bound = -(1 << 63) + (4 * SAMPLE << 64) // max(total, 1)
+    low = rows.where(F.xxhash64("row") < bound) if bound <= END else rows
+    return low.orderBy(F.xxhash64("row"), "row").limit(SAMPLE)
+
+
+def _layout(rows: DataFrame, space: Space, total: int) -> DataFrame:
     """Adds ``node``, the nearest of a cover tree's centres over SAMPLE rows, numbered so that neighbours are near each other. It decides how rows are grouped, nothing else."""
-    sample = rows.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").collect()
+    sample = _sample(rows, total).select("v").collect()
     points = space.augmented(np.array([r["v"] + [0.0] * (space.dim - len(r["v"])) for r in sample]).reshape(len(sample), space.dim))
     levels = cover_levels(points, 8)
     held = [x for x in levels if len(np.unique(x)) <= CENTRES][-1][np.lexsort(levels[::-1])]
@@ -401,14 +415,16 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = 5, k:
     square = F.aggregate("v", F.lit(0.0), lambda a, e: a + (e / largest) * (e / largest))
     length = rows.agg(F.max(F.sqrt(square))).first()[0]
     space = Space(dim, largest, length * (1 + 1e-12))
-    placed = scratch.write(_layout(rows, space), "placed")
+    placed = scratch.write(_layout(rows, space, total), "placed")
     scratch.drop(rows)
     order = ["label", "node", "row"]
     blocks = scratch.write(candidate_blocks(placed.repartitionByRange(*order).sortWithinPartitions(*order), space, block), "blocks")
     anchors = placed.where(is_anchor).dropDuplicates(["vec_id", "label", "v"])
     anchors = scratch.write(anchors, "anchors")
-    # Blocks are dealt to no more parts than whole ones would fill: a part keeps an anchor's finds over all its blocks.
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block)))
+    # Blocks are dealt to no more parts than whole ones would fill, as a part keeps an anchor's finds over all its blocks; a task
+    # holds those of one part, so they are HELD at most on average.
+    whole = -(-total // block)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), whole), -(-whole // HELD))
 
     def asked(df, windows, label):
         # Anchors of a block share labels and neighbourhood, so that they need the same blocks of candidates.
